@@ -13,6 +13,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import regex
 
 #: Fixed value: the pre-tokenizer's pattern.
@@ -116,10 +117,11 @@ def split_slow(text: str) -> list[str]:
 class WordEncoder:
     """Texts to ids by way of their distinct words.
 
-    ``encode_words`` turns a list of distinct words into a list of id lists.
+    ``encode_words`` turns distinct words into the array of all their ids and
+    the array of each word's number of ids.
     """
 
-    def __init__(self, vocab: Vocabulary, encode_words: Callable[[list[str]], list]):
+    def __init__(self, vocab: Vocabulary, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.vocab, self.encode_words = vocab, encode_words
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
         self._reset()
@@ -135,9 +137,9 @@ class WordEncoder:
         new = [w for w in dict.fromkeys(words) if w not in self.slot]
         if new:
             ids = self.encode_words(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, sizes = ids
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
             base = len(self.slot)
             self.slot.update(zip(new, range(base, base + len(new)), strict=True))
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
@@ -168,18 +170,17 @@ class WordEncoder:
         begins = np.cumsum(sizes) - sizes
         first = np.zeros(len(points), bool)
         first[begins] = True
-        starts = np.flatnonzero(word_starts(points, first))
-        ends = np.append(starts[1:], len(points))
-        hashes = np.add.reduceat(mixed(points, starts, ends), starts)
-        _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
+        starts = np.flatnonzero(word_starts(points, first)).astype(np.int32)
+        length = np.diff(starts, append=np.int32(len(points)))
+        place = np.arange(len(points), dtype=np.int32) - np.repeat(starts, length)
+        which, distinct = pd.factorize(np.add.reduceat(mixed(points, place), starts))
+        chosen = np.zeros(len(distinct), np.int32)
+        chosen[which[::-1]] = np.arange(len(which), dtype=np.int32)[::-1]
         # equal hashes must mean equal words
-        length = ends - starts
-        same = length == length[chosen][which]
-        if same.all():
-            inside = np.arange(len(points)) - np.repeat(starts, length)
-            same = points == points[np.repeat(starts[chosen][which], length) + inside]
-        if not same.all():
+        model = chosen[which]
+        if not (length == length[model]).all() or not (points == points[np.repeat(starts[model], length) + place]).all():
             return [self.one(t) for t in texts]
+        ends = starts + length
         words = [whole[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)]
         ids, per_word = self._gather(self._slots(words)[which])
         bounds = np.concatenate([[0], np.cumsum(per_word)])[np.searchsorted(starts, begins)]
@@ -195,10 +196,11 @@ class WordEncoder:
                 yield self.one(t) if x else next(found)
 
 
-def mixed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def mixed(points: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A 64-bit number for each character and its place in its word."""
-    place = (np.arange(len(points)) - np.repeat(starts, ends - starts)).astype(np.uint64)
-    x = points.astype(np.uint64) + (place << np.uint64(21))
+    x = place.astype(np.uint64)
+    x <<= np.uint64(21)
+    x += points
     x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -230,8 +232,17 @@ def library_encoder(path: str) -> WordEncoder:
         tokenizer = Tokenizer.from_file(path)
         model, table = tokenizer.model, latin_table()
 
-        def encode_words(words: list[str]) -> list[list[int]]:
-            return [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(table))] for w in words]
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids: list[int] = []
+            sizes = []
+            chars = "\n".join(words).encode().decode("latin-1").translate({**table, 10: "\n"}).split("\n")
+            if len(chars) != len(words):  # words of line ends
+                chars = [w.encode().decode("latin-1").translate(table) for w in words]
+            for w in chars:
+                tokens = model.tokenize(w)
+                ids.extend([t.id for t in tokens])
+                sizes.append(len(tokens))
+            return np.array(ids, np.uint32), np.array(sizes, np.int64)
 
         _library[path] = WordEncoder(vocabulary(path), encode_words)
     return _library[path]

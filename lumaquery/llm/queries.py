@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parquet
+from .common import Scratch, parquet
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +16,60 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probabilities of every text."""
+    from .lm import score
+
+    return score(parquet(spark, sf_dir, "documents"), remainder(7))
+
+
+def remainder(n: int):
+    """Rows whose id's crc32 leaves 2 by n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == 2
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written to shard files and read back by key."""
+    from . import tokenids
+
+    directory = Scratch(spark, "tokenids").path("shards")
+    manifest = tokenids.write(parquet(spark, sf_dir, "documents"), directory, tokenizer_path(), end_id=2)
+    return tokenids.with_start(tokenids.read(spark, directory), manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text decoded from them, as digests."""
+    from .bpe import encode
+
+    out = encode(parquet(spark, sf_dir, "documents"), tokenizer_path(), decoded=True)
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its training sequence."""
+    from .packing import pack_documents
+
+    out = pack_documents(parquet(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_token_ids": op6_token_ids,
+    "op7_bpe": op7_bpe,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
