@@ -1,11 +1,62 @@
-"""Training-corpus pipeline (built further below as the stages' operators come)."""
+"""Training-corpus pipeline: quality rules, toxicity, near duplicates, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies
+them to ``documents``.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumaquery.llm import packing, quality, queries, secrets, simhash, toxicity
+from lumaquery.llm.common import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base limits or lie far outside their language and source go."""
+    return quality.keep(docs)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; learnt from all labels of the documents at hand."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    models, curve = toxicity.fit(docs, labels, F.lit(True))
+    scored = toxicity.annotate(docs, models, curve)
+    return scored.where(F.col("_toxicity") < toxicity.PREDICTED_FROM).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the smallest id stays, once; rows without an id stay."""
+    found = Scratch(spark, "dedup").write(simhash.components(docs).where("doc_id = component_id").select("doc_id").distinct())
+    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mask; every document stays."""
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    return secrets.redact(secrets.scan(docs, forest)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    out = packing.pack_documents(docs, queries.tokenizer_path(), end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality_rules), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("packing", pack)]
+
+#: The toxicity and secret stages hold trained models, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs, name)
     return docs

@@ -16,6 +16,48 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every document, and its redacted text as a digest."""
+    from .secrets import fit, labelled_findings, redact, scan
+
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = scan(docs, fit(labelled_findings(spark)))
+    found = found.withColumns({"n_candidates": F.size("_candidates").cast("long"), "n_secrets": F.size("_secrets").cast("long"), "secrets_sha256": F.sha2(F.array_join("_secrets", "\n"), 256)})
+    return redact(found).select("doc_id", "n_candidates", "n_secrets", "secrets_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("redacted_sha256"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every hundredth vector."""
+    from .topk import topk
+
+    rows = parquet(spark, sf_dir, "embeddings")
+    return topk(rows.where("vec_id % 100 = 0"), rows, 10)
+
+
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.w) = len(c.w)
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from labels outside the held-out quarter."""
+    from .toxicity import score
+
+    return score(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"), remainder(4))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model log10 probabilities of every text."""
     from .lm import score
@@ -65,11 +107,57 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    from .quality import judge
+
+    return judge(parquet(spark, sf_dir, "documents"))
+
+
+#: Host, path and action of the listed URLs.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    from .urls import filter_urls
+
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    pages = parquet(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP9_SQL = """
+WITH p AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+    SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM p
+), u AS (
+    SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+    FROM h
+), r(rhost, rpath, action) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), m AS (
+    SELECT page_id, rhost || rpath AS rule, action,
+           row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS k
+    FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+)
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.action, 'allow') AS verdict
+FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.k = 1
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
+    "op3_topk": op3_topk,
+    "op4_toxicity": op4_toxicity,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_token_ids": op6_token_ids,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op9_url_filter": OP9_SQL}
