@@ -117,7 +117,8 @@ def topk(queries: DataFrame, base: DataFrame, k: int = 10, id_col: str = "vec_id
     components, take no part.  A row of the query's id is the query's own and is
     no candidate.  Vectors of another width than the query's have no product with
     it.  Rows of equal ids in ``base`` are candidates of their own; of equal ids in
-    ``queries`` one vector is asked.  Other columns are not read.
+    ``queries`` one vector is asked.  Scores beyond the range of a long are held at
+    its ends, in any order among themselves.  Other columns are not read.
     """
     spark = base.sparkSession
     asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))

@@ -38,7 +38,7 @@ def test_topk_ties_nulls_and_small_leaves(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(700)]
     rows += [(1000 + i, [1.0] * 6) for i in range(300)]  # a third of equal vectors
-    rows += [(5000, None), (5001, [None] * 6), (5002, [float("nan")] * 6), (5003, [float("inf")] * 6), (None, [1.0] * 6), (5004, [1.0]), (5005, []), (5006, [1e200] * 6)]
+    rows += [(5000, None), (5001, [None] * 6), (5002, [float("nan")] * 6), (5003, [float("inf")] * 6), (None, [1.0] * 6), (5004, [1.0]), (5005, []), (5006, [1e6] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     few = df.where("vec_id % 50 = 0 or vec_id in (5000, 5004, 5006)")
     big = lambda r: min(max(r, -(2**63)), 2**63 - 1)
