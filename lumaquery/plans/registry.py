@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 
 def modules() -> list:
-    return []
+    from . import corpus, hierarchy, reading, vectors
+
+    return [corpus, hierarchy, reading, vectors]
 
 
 def queries() -> dict[str, Callable]:
