@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def modules() -> list:
-    from . import corpus, hierarchy, reading, vectors
+    from . import composite, corpus, hierarchy, reading, vectors
 
-    return [corpus, hierarchy, reading, vectors]
+    return [corpus, hierarchy, reading, vectors, composite]
 
 
 def queries() -> dict[str, Callable]:
