@@ -31,9 +31,9 @@ from .common import HashTable, column_texts, factorize, portions, text_column, w
 
 ORDER = 6
 #: Labelled rows of each class that the counts come from, and rows for the curve.
-MAX_ROWS = 4000
+MAX_ROWS = 2000
 #: Distinct words of these rows; beyond it the rarest are left out.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 #: Words of a text whose evidence is looked at apart from the rest.
 STRONGEST = (1, 3)
 BLOCK = 4_000_000
@@ -47,26 +47,30 @@ def expressions(text: str) -> list[bytes]:
     return [w for w in (x.strip(_TRIM) for x in words_of(text)) if w]
 
 
-def _grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(words: list[bytes], order: int = ORDER, every: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every byte (and end) of every word: hashes of it with its 0..order
     predecessors (order + 1 columns), of those predecessors alone, whether the
-    row reaches back to the word's beginning, and the word's index."""
+    row reaches back to the word's beginning, and the word's index.  Without
+    ``every`` only the column of the longest past."""
     flat = np.frombuffer(b"".join(b"\x02" + w + b"\x01" for w in words), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(sizes)
     place = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
     owner = np.repeat(np.arange(len(words)), sizes)
     at = np.flatnonzero(place > 0)  # the beginning is not predicted
-    gram = np.empty((order + 1, len(at)), np.uint64)
-    context = np.empty((order + 1, len(at)), np.uint64)
+    gram = np.empty((order + 1 if every else 1, len(at)), np.uint64)
+    context = np.empty_like(gram)
+    last = (flat[at] + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
     h_context = np.full(len(at), 0xCBF29CE484222325, np.uint64)
     for k in range(order + 1):
         if k:
             inside = place[at] >= k  # shorter pasts stay as they are
             h_context = np.where(inside, (h_context ^ (flat[np.maximum(at - k, 0)] + np.uint64(1))) * _PRIME + np.uint64(k), h_context)
-        context[k] = h_context
-        x = (h_context ^ (h_context >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (flat[at] + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
-        gram[k] = x ^ (x >> np.uint64(31))
+        if every or k == order:
+            to = k if every else 0
+            context[to] = h_context
+            x = (h_context ^ (h_context >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + last
+            gram[to] = x ^ (x >> np.uint64(31))
     reach = np.minimum(place[at], order)  # the longest past there is
     return gram, context, reach, owner[at]
 
@@ -79,15 +83,13 @@ class Models:
 
     def fit(self, words: list[bytes], counts: np.ndarray) -> Models:
         """``counts``: a row for each word, its occurrences in ordinary and in toxic texts."""
-        gram, context, reach, owner = _grams(words, self.order)
         n = self.order
-        weight = counts[owner].astype(np.float64)
+        gram, context, reach, weight = _distinct(words, counts, n)
         # shared: pooled counts for pasts that reach the word's beginning, else continuation counts
         self.shared = []
-        first = np.unique(gram[n], return_index=True)[1]  # distinct full rows
         for k in range(n):
-            g, c = gram[k][first], context[k][first]
-            longer = np.unique(gram[k + 1][first], return_index=True)[1]  # a longer row fixes the shorter
+            g, c = gram[k], context[k]
+            longer = np.unique(gram[k + 1], return_index=True)[1]  # a longer row fixes the shorter
             keys, cont = np.unique(g[longer], return_counts=True)
             cont = cont.astype(np.float64)
             # a past at the beginning has no longer one: its pooled count stands instead
@@ -116,6 +118,8 @@ class Models:
             safe = np.maximum(total, 1)
             self.own.append(((c - d) / safe[of]).astype(np.float32))
             self.spare.append(np.where(total > 0, np.bincount(of, d, minlength=len(ctx)) / safe, 1.0).astype(np.float32))
+        order = np.argsort(gram[n])  # rows as in keys
+        self.full = gram[:, order], context[:, order]
         return self
 
     def _backoff(self, gram: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -126,21 +130,59 @@ class Models:
             p = np.where(at >= 0, own[at], 0) + np.where(c >= 0, spare[c], 1.0) * p
         return p
 
+    def scorer(self) -> Scorer:
+        """The log-likelihood ratios of all rows that some class knows.
+
+        Where neither class has seen a byte after its past, the shared probability
+        cancels and only the two discounts are left; where neither knows the past,
+        the ratio is 1.  So scoring needs no backoff tables.
+        """
+        c = self.contexts.find(self.full[1][-1])
+        p = self._backoff(*self.full)
+        low, high = (self.own[i] + self.spare[i][c] * p for i in (0, 1))
+        return Scorer(self.order, self.keys, _log_ratio(low, high), self.contexts, _log_ratio(self.spare[0], self.spare[1]))
+
+
+def _log_ratio(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.log(high) - np.log(low)
+    return np.where(np.isfinite(out), out, 0.0).astype(np.float32)
+
+
+class Scorer:
+    """Log-likelihood ratios, toxic to ordinary, by rows and by pasts."""
+
+    def __init__(self, order: int, keys: HashTable, of_key: np.ndarray, contexts: HashTable, of_context: np.ndarray):
+        self.order, self.keys, self.of_key, self.contexts, self.of_context = order, keys, of_key, contexts, of_context
+
     def evidence(self, words: list[bytes]) -> np.ndarray:
-        """Log-likelihood ratio of each word, toxic to ordinary."""
+        """Log-likelihood ratio of each word."""
         if not words:
             return np.zeros(0)
-        gram, context, _, owner = _grams(words, self.order)
+        gram, context, _, owner = _grams(words, self.order, every=False)
         c = self.contexts.find(context[-1])
-        known = np.flatnonzero(c >= 0)  # elsewhere both classes fall back on the same
-        g, c = self.keys.find(gram[-1][known]), c[known]
-        p = self._backoff(gram[:, known], context[:, known])
-        with np.errstate(divide="ignore"):
-            low, high = (np.log(np.where(g >= 0, self.own[i][g], 0) + self.spare[i][c] * p) for i in (0, 1))
-        ratio = np.where(np.isfinite(high - low), high - low, 0.0)
+        known = np.flatnonzero(c >= 0)
+        g = self.keys.find(gram[-1][known])
+        ratio = np.where(g >= 0, self.of_key[g], self.of_context[c[known]])
         return np.bincount(owner[known], ratio, minlength=len(words))
 
 
+def _distinct(words: list[bytes], counts: np.ndarray, n: int, block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct full rows of all words: grams, contexts, reach, and their summed counts by class."""
+    parts = []
+
+    def merged(g: np.ndarray, c: np.ndarray, r: np.ndarray, w: np.ndarray) -> tuple:
+        _, first, inv = np.unique(g[n], return_index=True, return_inverse=True)
+        return g[:, first], c[:, first], r[first], np.stack([np.bincount(inv, w[:, i]) for i in (0, 1)], axis=1)
+
+    for i in range(0, len(words), block):
+        g, c, r, o = _grams(words[i : i + block], n)
+        parts.append(merged(g, c, r, counts[i : i + block][o].astype(np.float64)))
+        if len(parts) == 4:
+            parts = [merged(*(np.concatenate(x, axis=-1 if k < 3 else 0) for k, x in enumerate(zip(*parts, strict=True))))]
+    return merged(*(np.concatenate(x, axis=-1 if k < 3 else 0) for k, x in enumerate(zip(*parts, strict=True))))
+
+
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """What each count gives up: one amount for ones, one for twos, one for the rest."""
     n = [float((counts == i).sum()) for i in range(5)]
@@ -150,12 +192,12 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.select([counts <= 0, counts == 1, counts == 2], [0.0, max(one, 0.9), two], more)
 
 
-def features(models: Models, texts: list[str]) -> np.ndarray:
+def features(scorer: Scorer, texts: list[str]) -> np.ndarray:
     """For each text: mean evidence, and the mean of its strongest words."""
     per_text = [expressions(t) for t in texts]
     sizes = np.fromiter(map(len, per_text), np.int64, len(texts))
     codes, distinct = factorize([w for t in per_text for w in t])
-    word = models.evidence(distinct)[codes]
+    word = scorer.evidence(distinct)[codes]
     out = np.zeros((len(texts), 1 + len(STRONGEST)))
     for i, part in enumerate(np.split(word, np.cumsum(sizes)[:-1]) if len(texts) else ()):
         if len(part):
@@ -201,7 +243,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), *map(pa.array, n)], names=["word", "n0", "n1"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Models, Curve]:
+def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Scorer | None, Curve]:
     """Models and curve from labelled rows where the column ``learn_from`` is true.
 
     Rows are drawn by the hash of their id: at most ``max_rows`` of each class for
@@ -225,28 +267,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS
     counted = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     table = counted.orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(max_words).toArrow()
     counts = np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], axis=1) if len(table) else np.zeros((0, 2), np.int64)
-    models = Models().fit([bytes(w) for w in table.column("word").to_pylist()], counts) if len(table) else None
+    scorer = Models().fit([bytes(w) for w in table.column("word").to_pylist()], counts).scorer() if len(table) else None
     rest = rows.where("part = 2").select("doc_id", "text", "toxic")
-    seen = annotate(rest, models, None, raw=True).select("toxic", "_features").collect()
+    seen = annotate(rest, scorer, None, raw=True).select("toxic", "_features").collect()
     curve = Curve().fit(np.array([r[1] for r in seen]).reshape(-1, 1 + len(STRONGEST)), np.array([r[0] for r in seen], float))
-    return models, curve
+    return scorer, curve
 
 
 def key_of(docs: DataFrame, id_col: str):
     return F.col(id_col).cast("long").alias("doc_id")
 
 
-def annotate(docs: DataFrame, models: Models | None, curve: Curve | None, text_col: str = "text", raw: bool = False) -> DataFrame:
+def annotate(docs: DataFrame, scorer: Scorer | None, curve: Curve | None, text_col: str = "text", raw: bool = False) -> DataFrame:
     """``docs`` with ``_toxicity`` (0 to 1) of every row, null and empty texts too;
     with ``raw`` the features instead, as ``_features``."""
-    shared = docs.sparkSession.sparkContext.broadcast((models, curve))
+    shared = docs.sparkSession.sparkContext.broadcast((scorer, curve))
     name = "_features" if raw else "_toxicity"
     plain = docs.drop(name)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, curve = shared.value
+        scorer, curve = shared.value
         for b in portions(batches, text_col, BLOCK):
-            x = features(models, column_texts(b, text_col)) if models else np.zeros((b.num_rows, 1 + len(STRONGEST)))
+            x = features(scorer, column_texts(b, text_col)) if scorer else np.zeros((b.num_rows, 1 + len(STRONGEST)))
             out = pa.array(x.tolist(), pa.list_(pa.float64())) if raw else pa.array(curve(x))
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, name])
 
@@ -261,7 +303,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out, **options) -> DataFrame:
     A null id is not held out.  Equal texts have equal scores.
     """
     held = F.coalesce(held_out, F.lit(False))
-    models, curve = fit(docs, labels, ~held, **options)
+    scorer, curve = fit(docs, labels, ~held, **options)
     rows = docs.select(key_of(docs, options.get("id_col", "doc_id")), text_column(docs, options.get("text_col", "text")).alias("text"))
-    out = annotate(rows, models, curve)
+    out = annotate(rows, scorer, curve)
     return out.select("doc_id", held.alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= PREDICTED_FROM).cast("int").alias("predicted"))
