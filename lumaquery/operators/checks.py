@@ -45,7 +45,7 @@ def split_of(images: DataFrame, spec: DataFrame, keys: list[str]) -> DataFrame:
     """Images with their one split; an error for an image in several."""
     one = spec.groupBy(*keys).agg(F.collect_set("split_name").alias("_s"))
     name = F.when(F.size("_s") == 1, F.col("_s")[0]).otherwise(F.raise_error(F.lit("an image is in several splits")))
-    return images.join(one.select(*keys, name.alias("split_name")), keys)
+    return images.join(one, keys).withColumn("split_name", name).drop("_s")
 
 
 def update_validation(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -104,10 +104,16 @@ def masks(spark: SparkSession, path: str, pattern: str = "*.nrrd") -> DataFrame:
     return files.mapInPandas(work, "image_name string, layer int, row int, col int, label_index int")
 
 
+def windows_text(content: Column) -> Column:
+    """Bytes of code page 1252, which differs from Latin-1 in the C1 range only."""
+    c1 = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, c1)), bytes(c1).decode("cp1252"))
+
+
 def log_metadata(spark: SparkSession, path: str, pattern: str = "*_meta.log") -> DataFrame:
     """(image_name, key, value) of section files in code page 1252; keys are ``Section_Key``, decimal commas become points."""
     files = binary(spark, path, pattern)
-    lines = F.split(F.decode("content", "windows-1252"), r"\r?\n")
+    lines = F.split(windows_text(F.col("content")), r"\r?\n")
     sections = F.aggregate(
         lines,
         F.struct(F.lit("").alias("section"), F.array().cast("array<struct<key:string,value:string>>").alias("found")),
