@@ -22,9 +22,9 @@ def duck(sf_dir):
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def value(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
-        if isinstance(v, (int, float)) and not isinstance(v, bool) or getattr(getattr(v, "dtype", None), "kind", "") in "fiu":
+        if isinstance(v, (int, float)) and not isinstance(v, bool) or getattr(getattr(v, "dtype", None), "kind", "") in ("f", "i", "u"):
             return f"{float(v):.5f}"
         return str(v)
 
