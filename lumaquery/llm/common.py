@@ -41,7 +41,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out

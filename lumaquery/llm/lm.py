@@ -51,8 +51,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, distinct = factorize(flat)
         hashes = hash_words(distinct)
         hashes[[i for i, w in enumerate(distinct) if not w]] = END
+        # frequent words get small codes, whose upper bytes compress away
+        often = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+        place = np.empty(len(often), np.uint32)
+        place[often] = np.arange(len(often), dtype=np.uint32)
+        hashes = hashes[often]
         sizes = np.array([len(t) + 1 for t in words], np.int64)
-        cols = [[(task << 32) | seq], [ids], [held], [sizes.tobytes()], [hashes.tobytes()], [codes.astype(np.int32).tobytes()]]
+        cols = [[(task << 32) | seq], [ids], [held], [sizes.tobytes()], [hashes.tobytes()], [by_bytes(place[codes])]]
         types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["chunk", "doc_ids", "held", "sizes", "words", "codes"])
 
@@ -75,7 +80,7 @@ class Chunk:
     def __init__(self, row: dict):
         self.ids, self.held = row["doc_ids"], np.array(row["held"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
-        words, codes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["codes"], np.int32)
+        words, codes = np.frombuffer(row["words"], np.uint64), from_bytes(row["codes"], np.uint32)
         self.starts = np.cumsum(self.sizes) - self.sizes
         # distinct words in order of their hashes; equal hashes are one word
         self.words, place = np.unique(words, return_inverse=True)
@@ -93,13 +98,22 @@ class Chunk:
         return np.bincount(self.word[self.train], minlength=len(self.words)), np.bincount(self.pair[self.train], minlength=len(self.pairs))
 
 
+def by_bytes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then the next; like bytes compress well."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def from_bytes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def planes(keys: np.ndarray) -> bytes:
-    """Differences of sorted keys, byte by byte, which compress well."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Differences of sorted keys, byte by byte."""
+    return by_bytes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(from_bytes(raw, np.uint64), dtype=np.uint64)
 
 
 def _requests(bits: int):
