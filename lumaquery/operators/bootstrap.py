@@ -113,29 +113,37 @@ def oversampled(df: DataFrame, label: str, unit: str, n: int, size: int, seed: i
     """As ``balanced``, but each draw takes a unit of the label drawn least so far, counting all labels a unit has.
 
     The count runs on from draw to draw within a bootstrap, so each bootstrap is
-    one sequence; bootstraps are drawn in parallel, each from the (small) table of
-    units and their labels.
+    one sequence; bootstraps are drawn in parallel.  The count depends on a unit's
+    set of labels alone, so only the sets and their sizes are broadcast (as many as
+    there are combinations of labels); the drawn places are then joined to the units.
     """
     units = df.groupBy(unit).agg(F.sort_array(F.collect_set(label)).alias("labels"))
-    shared = df.sparkSession.sparkContext.broadcast(sorted((r[0], tuple(r[1])) for r in units.collect()))
+    w = Window.partitionBy("labels")
+    placed = units.withColumn("_p", F.row_number().over(w.orderBy(unit)) - 1)
+    sets = units.groupBy("labels").agg(F.count("*").alias("n")).collect()
+    shared = df.sparkSession.sparkContext.broadcast(sorted((tuple(r[0]), r[1]) for r in sets))
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
-        names = sorted({x for _, ls in table for x in ls})
-        having = {x: [k for k, (_, ls) in enumerate(table) if x in ls] for x in names}
+        names = sorted({x for ls, _ in table for x in ls})
+        having = {x: [(ls, n) for ls, n in table if x in ls] for x in names}
+        ends = {x: np.cumsum([n for _, n in having[x]]) for x in names}
         for pdf in parts:
             for b in pdf["id"]:
                 rng, seen, rows = np.random.default_rng([seed, int(b)]), dict.fromkeys(names, 0), []
                 for d in range(size):
                     least = min(names, key=lambda x: (seen[x], x))
-                    k = having[least][rng.integers(len(having[least]))]
-                    for x in table[k][1]:
+                    at = int(rng.integers(ends[least][-1]))
+                    k = int(np.searchsorted(ends[least], at, side="right"))
+                    labels, size_of = having[least][k]
+                    for x in labels:
                         seen[x] += 1
-                    rows.append((int(b), d, least, table[k][0]))
-                yield pd.DataFrame(rows, columns=["bootstrap", "draw", label, unit])
+                    rows.append((int(b), d, least, list(labels), int(at - ends[least][k] + size_of)))
+                yield pd.DataFrame(rows, columns=["bootstrap", "draw", label, "labels", "_p"])
 
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (label, unit)}
-    return df.sparkSession.range(n).mapInPandas(work, f"bootstrap long, draw long, {label} {kinds[label]}, {unit} {kinds[unit]}")
+    kind = df.schema[label].dataType.simpleString()
+    drawn = df.sparkSession.range(n).mapInPandas(work, f"bootstrap long, draw long, {label} {kind}, labels array<{kind}>, _p int")
+    return drawn.join(placed, ["labels", "_p"]).select("bootstrap", "draw", label, unit)
 
 
 def weighted_sample(df: DataFrame, keys: list[str], weight: str, n: int, id_col: str, seed: int = 0) -> DataFrame:

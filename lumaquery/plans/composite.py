@@ -36,7 +36,7 @@ def cohort_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cohort_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, "lineitem", "part")
-    rows = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("subject"), F.col("p_type").alias("label"), F.col("l_returnflag").alias("phase"), "l_quantity")
+    rows = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("subject"), F.col("p_type").alias("label"), F.col("l_returnflag").alias("phase"), "l_quantity")
     out = Q.baseline_difference(rows, "subject", "label", "phase", "A", "l_quantity")
     return out.groupBy("subject", "label").agg(F.round(F.sum("difference"), 4).alias("difference"))
 
@@ -80,7 +80,7 @@ def neighbour_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relative_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.aggregates import relative_change
 
-    rows = tables(spark, sf_dir, "lineitem")["lineitem"].where("l_orderkey % 10 = 0")
+    rows = tables(spark, sf_dir, "lineitem")["lineitem"]
     out = relative_change(rows, ["l_linenumber"], "l_quantity", F.col("l_returnflag") == "A")
     return out.groupBy("l_linenumber").agg(F.round(F.avg("change"), 6).alias("change"))
 
@@ -93,7 +93,7 @@ def table_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links followed from one table of paths to another."""
     o = tables(spark, sf_dir, "orders")["orders"]
-    paths = o.where("o_orderkey < 50").select(F.col("o_orderkey").cast("string").alias("path"))
+    paths = o.select(F.col("o_orderkey").cast("string").alias("path"))
     links = o.select(F.col("o_orderkey").cast("string").alias("from"), F.col("o_custkey").cast("string").alias("to"))
     return Q.follow_links(paths, links)
 
@@ -103,7 +103,7 @@ QUERIES = {
     "image_filters": (image_filters, STATS + " SELECT image_name FROM df GROUP BY image_name HAVING count(DISTINCT label_name) >= 3 AND bool_or(label_name IN ('PROMO', 'SMALL'))"),
     "cohort_inclusion": (cohort_inclusion, "SELECT o_custkey, o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE)) AS r FROM orders WHERE o_orderstatus <> 'P') WHERE r = 1"),
     "cohort_overlap": (cohort_overlap, "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 OR o_orderpriority = '1-URGENT')"),
-    "cohort_difference": (cohort_difference, "WITH r AS (SELECT l_suppkey AS subject, p_type AS label, l_returnflag AS phase, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0), e AS (SELECT subject, label, avg(q) AS m FROM r WHERE phase = 'A' GROUP BY ALL), g AS (SELECT label, avg(q) AS m FROM r WHERE phase = 'A' GROUP BY ALL) SELECT r.subject, r.label, round(sum(q - coalesce(e.m, g.m)), 4) + 0.0 AS difference FROM r LEFT JOIN e ON e.subject = r.subject AND e.label = r.label LEFT JOIN g ON g.label = r.label GROUP BY ALL"),
+    "cohort_difference": (cohort_difference, "WITH r AS (SELECT l_suppkey AS subject, p_type AS label, l_returnflag AS phase, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey), e AS (SELECT subject, label, avg(q) AS m FROM r WHERE phase = 'A' GROUP BY ALL), g AS (SELECT label, avg(q) AS m FROM r WHERE phase = 'A' GROUP BY ALL) SELECT r.subject, r.label, round(sum(q - coalesce(e.m, g.m)), 4) + 0.0 AS difference FROM r LEFT JOIN e ON e.subject = r.subject AND e.label = r.label LEFT JOIN g ON g.label = r.label GROUP BY ALL"),
     "model_comparison": (model_comparison, "SELECT l_linenumber, round(avg(l_discount) FILTER (l_linestatus = 'O'), 6) AS a, round(avg(l_discount) FILTER (l_linestatus = 'F'), 6) AS b FROM lineitem GROUP BY 1"),
     "ensemble_predictions": (ensemble_predictions, "WITH m AS (SELECT label AS image, i - 1 AS c, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, 6)) u(i) GROUP BY ALL) SELECT image, CAST(arg_max(c, x) AS INTEGER) AS prediction FROM m GROUP BY image"),
     "ensemble_mode": (ensemble_mode, "WITH p AS (SELECT label AS image, CAST(list_position(embedding[1:5], list_max(embedding[1:5])) - 1 AS INTEGER) AS c FROM embeddings), n AS (SELECT image, c, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, c) AS k FROM p GROUP BY image, c) SELECT image, c AS prediction FROM n WHERE k = 1"),
@@ -111,9 +111,9 @@ QUERIES = {
     "sampling_weights": (sampling_weights, STATS + ", w AS (SELECT label_name, 1 / count(DISTINCT image_name) AS w FROM df GROUP BY 1) SELECT image_name, round(avg(w), 8) AS weight FROM df JOIN w USING (label_name) GROUP BY 1"),
     "neighbour_shares": (
         neighbour_shares,
-        "WITH c AS (SELECT l_suppkey AS image, CAST(l_orderkey % 25 AS INTEGER) AS r, CAST(l_partkey % 25 AS INTEGER) AS k, min(l_linenumber) AS label FROM lineitem WHERE l_suppkey <= 10 GROUP BY ALL), p AS (SELECT DISTINCT a.image, a.label AS o, b.r, b.k, b.label FROM c a JOIN c b ON a.image = b.image AND abs(a.r - b.r) <= 1 AND abs(a.k - b.k) <= 1 AND a.label <> b.label), n AS (SELECT image, image % 3 AS subject, o, label, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT *, 100 * n / sum(n) OVER (PARTITION BY image, o) AS share FROM n), i AS (SELECT subject, o, count(DISTINCT image) AS images FROM s GROUP BY ALL), u AS (SELECT s.subject, s.o, label, sum(share) / any_value(images) AS share FROM s JOIN i ON s.subject = i.subject AND s.o = i.o GROUP BY ALL), t AS (SELECT o, count(*) AS subjects FROM i GROUP BY 1) SELECT u.o AS \"of\", label, round(sum(share) / any_value(subjects), 6) AS share FROM u JOIN t ON u.o = t.o GROUP BY ALL",
+        "WITH c AS (SELECT l_suppkey AS image, CAST(l_orderkey % 25 AS INTEGER) AS r, CAST(l_partkey % 25 AS INTEGER) AS k, min(l_linenumber) AS label FROM lineitem GROUP BY ALL), p AS (SELECT DISTINCT a.image, a.label AS o, b.r, b.k, b.label FROM c a JOIN c b ON a.image = b.image AND abs(a.r - b.r) <= 1 AND abs(a.k - b.k) <= 1 AND a.label <> b.label), n AS (SELECT image, image % 3 AS subject, o, label, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT *, 100 * n / sum(n) OVER (PARTITION BY image, o) AS share FROM n), i AS (SELECT subject, o, count(DISTINCT image) AS images FROM s GROUP BY ALL), u AS (SELECT s.subject, s.o, label, sum(share) / any_value(images) AS share FROM s JOIN i ON s.subject = i.subject AND s.o = i.o GROUP BY ALL), t AS (SELECT o, count(*) AS subjects FROM i GROUP BY 1) SELECT u.o AS \"of\", label, round(sum(share) / any_value(subjects), 6) AS share FROM u JOIN t ON u.o = t.o GROUP BY ALL",
     ),
-    "relative_changes": (relative_changes, "WITH b AS (SELECT l_linenumber, avg(l_quantity) AS m FROM lineitem WHERE l_orderkey % 10 = 0 AND l_returnflag = 'A' GROUP BY 1) SELECT l_linenumber, round(avg((l_quantity - m) / m), 6) + 0.0 AS change FROM lineitem JOIN b USING (l_linenumber) WHERE l_orderkey % 10 = 0 GROUP BY 1"),
+    "relative_changes": (relative_changes, "WITH b AS (SELECT l_linenumber, avg(l_quantity) AS m FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT l_linenumber, round(avg((l_quantity - m) / m), 6) + 0.0 AS change FROM lineitem JOIN b USING (l_linenumber) GROUP BY 1"),
     "table_consistency": (table_consistency, "WITH v AS (SELECT 'repeated key' AS c FROM (SELECT l_returnflag, l_linenumber, l_orderkey FROM lineitem GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'epochs of unequal size' FROM (SELECT l_returnflag FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linenumber) GROUP BY 1 HAVING max(n) <> min(n)) UNION ALL SELECT 'best epoch missing' FROM (SELECT l_returnflag FROM lineitem GROUP BY 1 HAVING NOT bool_or(l_linenumber = 7))) SELECT c AS \"check\", count(*) AS n FROM v GROUP BY 1"),
-    "linked_paths": (interval_neighbours, "SELECT CAST(o_orderkey AS VARCHAR) AS path FROM orders WHERE o_orderkey < 50 UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey < 50"),
+    "linked_paths": (interval_neighbours, "SELECT CAST(o_orderkey AS VARCHAR) AS path FROM orders UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders"),
 }

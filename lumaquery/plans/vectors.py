@@ -18,6 +18,10 @@ from ..session import tables
 from ..streaming import streams as S
 
 
+#: The event type that opens spans and carries marks.
+TYPE = "click"
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir, "embeddings")["embeddings"].select("vec_id", "label", V.doubles("embedding").alias("v"))
 
@@ -43,7 +47,7 @@ _E = "WITH e AS (SELECT vec_id, label, i - 1 AS idx, CAST(embedding[i] AS DOUBLE
 
 def nearest_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    out = J.least_distance(v.where("vec_id % 10 = 0"), v.where("vec_id % 10 <> 0"), "vec_id", "v")
+    out = J.least_distance(v.where("label < 3"), v.where("label >= 3"), "vec_id", "v")
     return out.select("vec_id", F.round("min_distance", 6).alias("min_distance"))
 
 
@@ -80,7 +84,7 @@ def first_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stable_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("user_id % 2 = 0").withColumn("half", F.col("value") > 50)
+    e = _events(spark, sf_dir).withColumn("half", F.col("value") > 50)
     return L.stable(e, "user_id", "ts", "half", 1).select("event_id", F.col("stable").cast("int").alias("stable"))
 
 
@@ -91,20 +95,20 @@ def moving_average_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interpolate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("hour", F.floor(L.micros("ts") / 3_600_000_000))
-    sparse = e.groupBy("user_id", "hour").agg(F.avg(F.when(F.col("event_id") % 3 != 0, F.col("value"))).alias("value"))
+    sparse = e.groupBy("user_id", "hour").agg(F.avg(F.when(F.col("event_type") != TYPE, F.col("value"))).alias("value"))
     return L.interpolated(sparse, ["user_id"], "hour", "value").select("user_id", "hour", F.round("value", 6).alias("value"))
 
 
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in the two hours after each purchase-like event of a user, by start event."""
-    e = _events(spark, sf_dir).select("event_id", "user_id", L.micros("ts").alias("t"))
-    spans = e.where("event_id % 20 = 0").select("user_id", F.col("event_id").alias("span"), F.col("t").alias("a"), (F.col("t") + 7_200_000_000).alias("b"))
+    e = _events(spark, sf_dir).select("event_id", "user_id", "event_type", L.micros("ts").alias("t"))
+    spans = e.where(F.col("event_type") == TYPE).select("user_id", F.col("event_id").alias("span"), F.col("t").alias("a"), (F.col("t") + 7_200_000_000).alias("b"))
     return J.within(e, spans, "t", "a", "b", 7_200_000_000, ["user_id"]).groupBy("span").agg(F.count("*").alias("n"))
 
 
 def nearest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).select("event_id", "user_id", L.micros("ts").alias("t"))
-    marks = e.where("event_id % 7 = 0").select("user_id", F.col("t").alias("r"), F.col("event_id").alias("mark"))
+    e = _events(spark, sf_dir).select("event_id", "user_id", "event_type", L.micros("ts").alias("t"))
+    marks = e.where(F.col("event_type") == TYPE).select("user_id", F.col("t").alias("r"), F.col("event_id").alias("mark"))
     marks = marks.groupBy("user_id", "r").agg(F.min("mark").alias("mark"))
     return J.nearest(e, marks, "t", "r", ["user_id"], ["mark"]).select("event_id", "mark")
 
@@ -167,7 +171,7 @@ def balanced_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oversampled_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .corpus import stats
 
-    return B.oversampled(stats(spark, sf_dir).where("image_name < 500"), "label_name", "image_name", 10, 50)
+    return B.oversampled(stats(spark, sf_dir), "label_name", "image_name", 10, 50)
 
 
 def weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +185,7 @@ def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folds_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, "customer", "nation")
-    out = C.leave_one_out(t["customer"].where("c_custkey <= 100"), "c_nationkey", "c_custkey")
+    out = C.leave_one_out(t["customer"], "c_nationkey", "c_custkey")
     return out.groupBy("fold_name", "split_name").agg(F.count("*").alias("n"))
 
 
@@ -202,7 +206,7 @@ def pair_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = tables(spark, sf_dir, "lineitem")["lineitem"].where("l_suppkey <= 8")
+    li = tables(spark, sf_dir, "lineitem")["lineitem"]
     keys = [F.col("l_suppkey").alias("image"), F.pmod("l_orderkey", F.lit(20)).cast("int").alias("row"), F.pmod("l_partkey", F.lit(20)).cast("int").alias("col")]
     return li.groupBy(*keys).agg(F.min("l_linenumber").alias("label"), F.max("l_quantity").alias("value"))
 
@@ -224,7 +228,7 @@ def cells_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curve_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("user_id <= 20").groupBy("user_id", F.col("value").cast("double").alias("x")).agg(F.count("*").cast("double").alias("y"))
+    e = _events(spark, sf_dir).groupBy("user_id", F.col("value").cast("double").alias("x")).agg(F.count("*").cast("double").alias("y"))
     return M.curve_on_grid(e, ["user_id"], "x", "y", 0.0, 100.0, 20)
 
 
@@ -241,7 +245,7 @@ QUERIES = {
     "vector_mean": (_elementwise("mean"), _E + " SELECT label, CAST(idx AS INTEGER) AS idx, round(avg(x), 6) + 0.0 AS x FROM e GROUP BY label, idx"),
     "vector_median": (_elementwise("median"), _E + " SELECT label, CAST(idx AS INTEGER) AS idx, round(median(x), 6) + 0.0 AS x FROM e GROUP BY label, idx"),
     "vector_std": (_elementwise("std"), _E + " SELECT label, CAST(idx AS INTEGER) AS idx, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(x) END, 6) + 0.0 AS x FROM e GROUP BY label, idx"),
-    "nearest_vector": (nearest_vector, _E + ", d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON a.idx = b.idx AND a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0 GROUP BY ALL) SELECT vec_id, round(min(d), 6) AS min_distance FROM d GROUP BY vec_id"),
+    "nearest_vector": (nearest_vector, _E + ", d AS (SELECT a.vec_id, b.vec_id AS other, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM e a JOIN e b ON a.idx = b.idx AND a.label < 3 AND b.label >= 3 GROUP BY ALL) SELECT vec_id, round(min(d), 6) AS min_distance FROM d GROUP BY vec_id"),
     "distance_correlation": (
         distance_correlation,
         "WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, abs(a.x - b.x) AS a, abs(a.y - b.y) AS b FROM v a JOIN v b USING (label)), c AS (SELECT label, a - avg(a) OVER (PARTITION BY label, i) - avg(a) OVER (PARTITION BY label, j) + avg(a) OVER (PARTITION BY label) AS a, b - avg(b) OVER (PARTITION BY label, i) - avg(b) OVER (PARTITION BY label, j) + avg(b) OVER (PARTITION BY label) AS b FROM p) SELECT label, round(sqrt(greatest(avg(a * b), 0)) / sqrt(sqrt(avg(a * a) * avg(b * b))), 6) AS dcor FROM c GROUP BY label",
@@ -250,23 +254,23 @@ QUERIES = {
     "running_stats": (running_stats, "SELECT channel, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT 'discount' AS channel, l_discount AS x FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem) GROUP BY channel"),
     "rel_time": (rel_time, "SELECT event_id, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6, 3) AS rel_time FROM events"),
     "first_inclusion": (first_inclusion, "SELECT event_id FROM (SELECT event_id, rank() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE)) AS r FROM events) WHERE r = 1"),
-    "stable_window": (stable_window, "WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d, value > 50 AS h FROM events WHERE user_id % 2 = 0) SELECT a.event_id, CAST(count(DISTINCT b.h) = 1 AS INTEGER) AS stable FROM e a JOIN e b ON a.user_id = b.user_id AND b.d BETWEEN a.d AND a.d + 1 GROUP BY a.event_id"),
+    "stable_window": (stable_window, "WITH e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS d, value > 50 AS h FROM events) SELECT a.event_id, CAST(count(DISTINCT b.h) = 1 AS INTEGER) AS stable FROM e a JOIN e b ON a.user_id = b.user_id AND b.d BETWEEN a.d AND a.d + 1 GROUP BY a.event_id"),
     "moving_average_valid": (moving_average_valid, "SELECT event_id, avg5 FROM (SELECT event_id, round(avg(value) OVER (w ROWS 4 PRECEDING), 6) AS avg5, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k >= 5"),
     "interpolate_gaps": (
         interpolate_gaps,
-        "WITH h AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, avg(CASE WHEN event_id % 3 <> 0 THEN value END) AS v FROM events GROUP BY ALL), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER b AS bh, last_value(v IGNORE NULLS) OVER b AS bv, first_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER a AS ah, first_value(v IGNORE NULLS) OVER a AS av FROM h WINDOW b AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, hour, round(CASE WHEN v IS NOT NULL THEN v WHEN bh IS NULL THEN av WHEN ah IS NULL THEN bv ELSE bv + (av - bv) * (hour - bh) / (ah - bh) END, 6) AS value FROM n",
+        "WITH h AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, avg(CASE WHEN event_type <> 'click' THEN value END) AS v FROM events GROUP BY ALL), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER b AS bh, last_value(v IGNORE NULLS) OVER b AS bv, first_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER a AS ah, first_value(v IGNORE NULLS) OVER a AS av FROM h WINDOW b AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, hour, round(CASE WHEN v IS NOT NULL THEN v WHEN bh IS NULL THEN av WHEN ah IS NULL THEN bv ELSE bv + (av - bv) * (hour - bh) / (ah - bh) END, 6) AS value FROM n",
     ),
-    "interval_join": (interval_join, "SELECT s.event_id AS span, count(*) AS n FROM events s JOIN events e ON s.user_id = e.user_id AND epoch_us(e.ts) BETWEEN epoch_us(s.ts) AND epoch_us(s.ts) + 7200000000 WHERE s.event_id % 20 = 0 GROUP BY 1"),
-    "nearest_join": (nearest_join, "WITH m AS (SELECT user_id, epoch_us(ts) AS r, min(event_id) AS mark FROM events WHERE event_id % 7 = 0 GROUP BY ALL), j AS (SELECT e.event_id, mark, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(e.ts) - r), r) AS k FROM events e LEFT JOIN m USING (user_id)) SELECT event_id, mark FROM j WHERE k = 1"),
+    "interval_join": (interval_join, "SELECT s.event_id AS span, count(*) AS n FROM events s JOIN events e ON s.user_id = e.user_id AND epoch_us(e.ts) BETWEEN epoch_us(s.ts) AND epoch_us(s.ts) + 7200000000 WHERE s.event_type = 'click' GROUP BY 1"),
+    "nearest_join": (nearest_join, "WITH m AS (SELECT user_id, epoch_us(ts) AS r, min(event_id) AS mark FROM events WHERE event_type = 'click' GROUP BY ALL), j AS (SELECT e.event_id, mark, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(e.ts) - r), r) AS k FROM events e LEFT JOIN m USING (user_id)) SELECT event_id, mark FROM j WHERE k = 1"),
     "percentile_row_pick": (percentile_row_pick, "WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderpriority, o_orderkey FROM r WHERE i = CAST(round_even(0.25 * n, 0) AS BIGINT)"),
     "running_totals": (running_totals, "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events"),
     "top_rows": (top_rows, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3"),
     "event_windows": (event_windows, "SELECT date_trunc('hour', ts) AS \"start\", event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL"),
-    "folds_leave_one_out": (folds_leave_one_out, "WITH c AS (SELECT c_nationkey AS s FROM customer WHERE c_custkey <= 100) SELECT 'fold_' || d.s AS fold_name, CASE WHEN c.s = d.s THEN 'val' ELSE 'train' END AS split_name, count(*) AS n FROM c, (SELECT DISTINCT s FROM c) d GROUP BY ALL"),
+    "folds_leave_one_out": (folds_leave_one_out, "WITH c AS (SELECT c_nationkey AS s FROM customer) SELECT 'fold_' || d.s AS fold_name, CASE WHEN c.s = d.s THEN 'val' ELSE 'train' END AS split_name, count(*) AS n FROM c, (SELECT DISTINCT s FROM c) d GROUP BY ALL"),
     "folds_grouped": (folds_grouped, "WITH f AS (SELECT DISTINCT c_nationkey % 5 AS f FROM customer), c AS (SELECT c_nationkey AS s, c_nationkey % 5 AS own, row_number() OVER (PARTITION BY c_nationkey) AS k FROM customer) SELECT 'f' || f AS fold_name, CASE WHEN own = f THEN 'val' WHEN k = 1 THEN 'val_known' ELSE 'train' END AS split_name, count(*) AS n FROM c, f GROUP BY ALL"),
     "pair_enumeration": (pair_enumeration, "SELECT a.p_type, a.p_partkey AS \"first\", b.p_partkey AS \"second\" FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size <= 3 AND b.p_size >= 49"),
-    "cells_tiled": (cells_tiled, "SELECT l_suppkey AS image, CAST(l_orderkey % 20 AS INTEGER) AS \"row\", CAST(l_partkey % 20 AS INTEGER) AS col, min(l_linenumber) AS label, max(l_quantity) AS value FROM lineitem WHERE l_suppkey <= 8 GROUP BY ALL"),
-    "cells_blanked": (cells_blanked, "SELECT l_suppkey AS image, CAST(l_orderkey % 20 AS INTEGER) AS \"row\", CAST(l_partkey % 20 AS INTEGER) AS col, CASE WHEN min(l_linenumber) = 2 THEN 100 ELSE min(l_linenumber) END AS label, CASE WHEN min(l_linenumber) = 2 THEN 0 ELSE max(l_quantity) END AS value FROM lineitem WHERE l_suppkey <= 8 GROUP BY ALL"),
+    "cells_tiled": (cells_tiled, "SELECT l_suppkey AS image, CAST(l_orderkey % 20 AS INTEGER) AS \"row\", CAST(l_partkey % 20 AS INTEGER) AS col, min(l_linenumber) AS label, max(l_quantity) AS value FROM lineitem GROUP BY ALL"),
+    "cells_blanked": (cells_blanked, "SELECT l_suppkey AS image, CAST(l_orderkey % 20 AS INTEGER) AS \"row\", CAST(l_partkey % 20 AS INTEGER) AS col, CASE WHEN min(l_linenumber) = 2 THEN 100 ELSE min(l_linenumber) END AS label, CASE WHEN min(l_linenumber) = 2 THEN 0 ELSE max(l_quantity) END AS value FROM lineitem GROUP BY ALL"),
     "cells_removed": (_changed(lambda c: R.remove_label(c, "image", F.col("label") < 5)), None),
     "cells_isolated": (_changed(lambda c: R.remove_label(c, "image", F.col("label") < 5, isolate=True)), None),
     "cells_hidden": (_changed(lambda c: R.hide_and_seek(c, "image", 5, 5, 6, 16)), None),
