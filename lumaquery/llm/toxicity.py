@@ -31,12 +31,12 @@ from .common import HashTable, column_texts, factorize, portions, text_column, w
 
 ORDER = 6
 #: Labelled rows of each class that the counts come from, and rows for the curve.
-MAX_ROWS = 2000
+MAX_ROWS = 3000
 #: Distinct words of these rows; beyond it the rarest are left out.
 MAX_WORDS = 300_000
 #: Words of a text whose evidence is looked at apart from the rest.
 STRONGEST = (1, 3)
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 PREDICTED_FROM = 0.3
 _TRIM = b".,;:!?\"'()[]{}|#$%&*<>-_/\\"
 _PRIME = np.uint64(0x100000001B3)
@@ -81,12 +81,16 @@ class Models:
     def __init__(self, order: int = ORDER):
         self.order = order
 
-    def fit(self, words: list[bytes], counts: np.ndarray) -> Models:
-        """``counts``: a row for each word, its occurrences in ordinary and in toxic texts."""
+    def fit(self, words: list[bytes], counts: np.ndarray, keep: bool = False) -> Models:
+        """``counts``: a row for each word, its occurrences in ordinary and in toxic texts.
+
+        With ``keep`` the tables of the shared distribution stay, to ask for more than the words hold.
+        """
         n = self.order
         gram, context, reach, weight = _distinct(words, counts, n)
         # shared: pooled counts for pasts that reach the word's beginning, else continuation counts
         self.shared = []
+        p = np.full(gram.shape[1], 1 / 256)  # shared probability of every row, from the shortest past on
         for k in range(n):
             g, c = gram[k], context[k]
             longer = np.unique(gram[k + 1], return_index=True)[1]  # a longer row fixes the shorter
@@ -104,7 +108,10 @@ class Models:
             ctx, inv = np.unique(pair, return_inverse=True)
             total = np.bincount(inv, cont)
             d = _discounts(cont)
-            self.shared.append((HashTable(keys), ((cont - d) / total[inv]).astype(np.float32), HashTable(ctx), (np.bincount(inv, d) / total).astype(np.float32)))
+            own, spare = (cont - d) / total[inv], np.bincount(inv, d) / total
+            p = own[which] + spare[inv[which]] * p
+            if keep:
+                self.shared.append((HashTable(keys), own, HashTable(ctx), spare))
         # classes: the longest pasts
         keys, inv = np.unique(gram[n], return_inverse=True)
         ctx, inv_c = np.unique(context[n], return_inverse=True)
@@ -119,7 +126,7 @@ class Models:
             self.own.append(((c - d) / safe[of]).astype(np.float32))
             self.spare.append(np.where(total > 0, np.bincount(of, d, minlength=len(ctx)) / safe, 1.0).astype(np.float32))
         order = np.argsort(gram[n])  # rows as in keys
-        self.full = gram[:, order], context[:, order]
+        self.of, self.p = of, p[order]
         return self
 
     def _backoff(self, gram: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -137,9 +144,7 @@ class Models:
         cancels and only the two discounts are left; where neither knows the past,
         the ratio is 1.  So scoring needs no backoff tables.
         """
-        c = self.contexts.find(self.full[1][-1])
-        p = self._backoff(*self.full)
-        low, high = (self.own[i] + self.spare[i][c] * p for i in (0, 1))
+        low, high = (self.own[i] + self.spare[i][self.of] * self.p for i in (0, 1))
         return Scorer(self.order, self.keys, _log_ratio(low, high), self.contexts, _log_ratio(self.spare[0], self.spare[1]))
 
 
