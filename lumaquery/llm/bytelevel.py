@@ -21,7 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters of texts that are split and encoded at a time.
 BLOCK_CHARS = 3_000_000
 #: Words that a worker keeps with their ids; the cache starts anew beyond it.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 

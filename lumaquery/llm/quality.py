@@ -113,7 +113,8 @@ def estimates(scratch: Scratch, rows: DataFrame, steps: int = STEPS) -> DataFram
     now = scratch.write(quartiles.select("key", *start, *zero))
     for _ in range(steps):
         placed = rows.join(now, "key").select("key", *_X, F.least(F.floor(16 * F.log2(1 + _distance())), F.lit(1000)).cast("int").alias("bin"))
-        binned = placed.groupBy("key", "bin").agg(F.count("*").alias("n"))
+        # written, so that the counts are dealt by key and bin, not by the key of the largest group
+        binned = scratch.write(placed.groupBy("key", "bin").agg(F.count("*").alias("n")))
         order = Window.partitionBy("key").orderBy("bin")
         upto = binned.withColumn("below", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("key")))
         edge = scratch.write(upto.where(F.col("below") < SHARE * F.col("all")).groupBy("key").agg(F.max("bin").alias("edge")))
