@@ -150,6 +150,18 @@ class HashTable:
         return found
 
 
+#: The largest table that is broadcast by hint, by its measured content.
+BROADCAST_BYTES = 16_000_000
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its content is measured to be at most ``limit``
+    bytes; a larger one stays as it is and is joined by shuffle.  Its columns are strings or numbers."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(8) for f in df.schema]
+    row = sum(sizes[1:], sizes[0]).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; one pass over one column."""
     return int(df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0)

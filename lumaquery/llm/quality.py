@@ -8,7 +8,9 @@ covariance anew, which lowers the determinant each time.  A text beyond the
 chi-squared limit of its group is rejected.
 
 Groups of fewer than ``SMALL`` texts are put together by language, and if still
-too few, all together.  A group's threshold comes from a histogram of distances
+too few, all together.  Estimates go to the rows by broadcast where their measured size
+allows it, so that a large group stays spread over its scan's tasks; beyond that they are
+joined by shuffle, where Spark's skew join splits a large group.  A group's threshold comes from a histogram of distances
 and its moments from sums, so the largest group is pre-aggregated in every task.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_column
+from .common import Scratch, bounded, text_column
 
 MIN_WORDS = 50
 #: Per cent of words in repeated windows beyond which a text fails.
@@ -106,19 +108,19 @@ def estimates(scratch: Scratch, rows: DataFrame, steps: int = STEPS) -> DataFram
     by_lang = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("_lang"))
     key = F.when(~small, F.concat_ws("\x00", F.lit("s"), "_lang", "_source")).when(F.col("of_lang") >= SMALL, F.concat_ws("\x00", F.lit("l"), "_lang")).otherwise("rest")
     keys = scratch.write(sizes.withColumn("of_lang", by_lang).select("_lang", "_source", key.alias("key")))
-    rows = scratch.write(rows.join(keys, ["_lang", "_source"]).select("key", *_X))
+    rows = scratch.write(rows.join(bounded(keys), ["_lang", "_source"]).select("key", *_X))
     quartiles = rows.groupBy("key").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in _X])
     start = [F.col(x)[1].alias(f"m{i}") for i, x in enumerate(_X)]
     zero = [(F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(VECTOR[x])) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS for x in [_X[i]]]
     now = scratch.write(quartiles.select("key", *start, *zero))
     for _ in range(steps):
-        placed = rows.join(now, "key").select("key", *_X, F.least(F.floor(16 * F.log2(1 + _distance())), F.lit(1000)).cast("int").alias("bin"))
+        placed = rows.join(bounded(now), "key").select("key", *_X, F.least(F.floor(16 * F.log2(1 + _distance())), F.lit(1000)).cast("int").alias("bin"))
         # written, so that the counts are dealt by key and bin, not by the key of the largest group
         binned = scratch.write(placed.groupBy("key", "bin").agg(F.count("*").alias("n")))
         order = Window.partitionBy("key").orderBy("bin")
         upto = binned.withColumn("below", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("key")))
         edge = scratch.write(upto.where(F.col("below") < SHARE * F.col("all")).groupBy("key").agg(F.max("bin").alias("edge")))
-        near = placed.join(edge, "key").where("bin <= edge")
+        near = placed.join(bounded(edge), "key").where("bin <= edge")
         sums = near.groupBy("key").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"s{i}{j}") for i, j in _PAIRS])
         now = scratch.write(_factor(sums))
     return scratch.write(keys.join(now, "key").drop("key"))
@@ -128,7 +130,7 @@ def _judged(scratch: Scratch, written: DataFrame) -> DataFrame:
     """Rows with statistics, language and source get ``base_failed`` and ``kept``."""
     rows = written.select("_lang", "_source", base_failed().alias("_failed"), *[c.alias(n) for n, c in _vector().items()]).where("not _failed")
     found = estimates(scratch, rows.drop("_failed"))
-    judged = written.withColumns(_vector()).join(found, ["_lang", "_source"], "left").withColumn("base_failed", base_failed())
+    judged = written.withColumns(_vector()).join(bounded(found), ["_lang", "_source"], "left").withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(_distance() <= LIMIT, F.lit(True)))
 
 
