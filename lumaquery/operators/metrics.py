@@ -111,14 +111,44 @@ def roc(scores: DataFrame, keys: list[str], score: str, label: str, steps: int =
     return out.select(*keys, "threshold", F.try_divide("tp", "positives").alias("tpr"), F.try_divide("fp", "negatives").alias("fpr"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
+def _ranked(scores: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """Positives ``p`` and negatives ``q`` of every distinct score, those of smaller scores
+    (``p_below``, ``q_below``) and of all scores (``p_all``, ``q_all``).
+
+    Running sums go over bins of the scores first and then within a bin, so that no task
+    orders all scores of a group.  NaN counts as the largest score and null as the smallest.
+    """
+    positive = F.col(label).cast("long")
+    counts = scores.groupBy(*keys, score).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
+    place = F.when(F.isnan(F.col(score).cast("double")), F.lit(2**63 - 1)).otherwise(F.floor(F.col(score).cast("double") * 1024))
+    counts = counts.withColumn("_bin", place)
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    sums = [F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_bins") for c in "pq"]
+    sums += [F.sum(f"_{c}").over(Window.partitionBy(*keys)).alias(f"{c}_all") for c in "pq"]
+    bins = bins.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_bin").alias("_b"), *sums)
+    same = F.col("_bin").eqNullSafe(F.col("_b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    within = Window.partitionBy(*keys, "_bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = [(F.col(f"_{c}_bins") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}_below") for c in "pq"]
+    return counts.join(bins, same).select(*keys, score, "p", "q", "p_all", "q_all", *below)
+
+
 def auroc(scores: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Exact area under the curve by ranks of the distinct scores, ties halved."""
-    counts = scores.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    pairs = counts.withColumn("_w", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("q") / 2))
+    pairs = _ranked(scores, keys, score, label).withColumn("_w", F.col("p") * (F.col("q_below") + F.col("q") / 2))
     return pairs.groupBy(*keys).agg(F.try_divide(F.sum("_w"), F.sum("p").cast("double") * F.sum("q")).alias("auc"))
 
 
+def average_precision(scores: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """Area under the precision-recall steps: the precision at each distinct score, weighted by the
+    recall gained there.  Null where a group has no positive."""
+    reached, hits = F.col("p_all") - F.col("p_below"), F.col("p_all") + F.col("q_all") - F.col("p_below") - F.col("q_below")
+    steps = _ranked(scores, keys, score, label).withColumn("_w", F.col("p") * reached / hits)
+    return steps.groupBy(*keys).agg(F.try_divide(F.sum("_w"), F.sum("p")).alias("average_precision"))
+
+
 def superpixels(cells: DataFrame, keys: list[str], superpixel: str, label: str, valid: Column) -> DataFrame:
     """Most frequent valid label of each superpixel (the lowest of equal ones), 0 for one without valid cells."""
     from .aggregates import most_common

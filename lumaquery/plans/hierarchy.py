@@ -129,6 +129,11 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.auroc(_scored(spark, sf_dir), ["prediction"], "confidence", "label").select("prediction", F.round("auc", 6).alias("auc"))
 
 
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.average_precision(_scored(spark, sf_dir), ["prediction"], "confidence", "label")
+    return out.select("prediction", F.round("average_precision", 6).alias("average_precision"))
+
+
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tables(spark, sf_dir, "part")["part"].groupBy(F.col("p_type").alias("label_index")).agg(F.count("*").alias("n"))
     out = A.class_weights(counts)
@@ -197,6 +202,10 @@ QUERIES = {
         auroc,
         _SCORED + ", r AS (SELECT prediction, label, rank() OVER w + (count(*) OVER (PARTITION BY prediction, confidence) - 1) / 2.0 AS k FROM s WINDOW w AS (PARTITION BY prediction ORDER BY confidence)), n AS (SELECT prediction, CAST(sum(label) AS DOUBLE) AS p, CAST(sum(1 - label) AS DOUBLE) AS q, sum(CASE WHEN label = 1 THEN k END) AS k FROM r GROUP BY 1) SELECT prediction, CASE WHEN p * q > 0 THEN round((k - p * (p + 1) / 2) / (p * q), 6) END AS auc FROM n",
     ),
+    "average_precision": (
+        average_precision,
+        _SCORED + ", c AS (SELECT prediction, confidence, sum(label) AS p, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT prediction, p, sum(p) OVER w AS tp, sum(n) OVER w AS hits FROM c WINDOW w AS (PARTITION BY prediction ORDER BY confidence DESC)) SELECT prediction, CASE WHEN sum(p) > 0 THEN round(CAST(sum(p * tp / hits) / sum(p) AS DOUBLE), 6) END AS average_precision FROM t GROUP BY 1",
+    ),
     "class_weights": (
         class_weights,
         "WITH c AS (SELECT p_type AS label_index, count(*) AS n FROM part GROUP BY 1), s AS (SELECT label_index, n, n / sum(n) OVER () AS s FROM c) SELECT label_index, round((1 - s) / sum(1 - s) OVER (), 6) AS share, round((1 / n) / sum(1 / n) OVER (), 6) AS inverse, round(exp(-s) / sum(exp(-s)) OVER (), 6) AS softmin, round(-ln(s), 6) AS nll FROM s",

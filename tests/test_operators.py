@@ -224,3 +224,22 @@ def test_dialect(spark, query, want):
     df = spark.createDataFrame([(1.0, 2, True, "p"), (2.0, 3, False, "q")], "x double, i int, b boolean, s string")
     assert dialect.table_names(query) == ["df"] or "(" in query
     assert dialect.sql(query, {"df": df}).first().v == want
+
+
+def test_ranked_scores(spark):
+    """Area and average precision against pairs counted one by one; odd scores and groups included."""
+    scores = [0.1, 0.4, 0.4, 0.4005, 0.8, 0.8, 2.5, -1.0, float("inf"), float("nan")]
+    labels = [0, 0, 1, 1, 1, 0, 1, 0, 1, 0]
+    rows = [(g, s, y) for g in ("a", None) for s, y in zip(scores, labels, strict=True)] + [("none", 0.5, 0)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    order = [1e9 if s != s else min(s, 1e8) for s in scores]  # NaN is the largest
+    pairs = [(a > b) + (a == b) / 2 for a, y in zip(order, labels, strict=True) if y for b, z in zip(order, labels, strict=True) if not z]
+    above = lambda s: [y for o, y in zip(order, labels, strict=True) if o >= s]
+    precision = [sum(above(s)) / len(above(s)) for s, y in zip(order, labels, strict=True) if y]
+    area = {r["g"]: r["auc"] for r in M.auroc(df, ["g"], "s", "y").collect()}
+    mean = {r["g"]: r["average_precision"] for r in M.average_precision(df, ["g"], "s", "y").collect()}
+    for g in ("a", None):
+        assert area[g] == pytest.approx(sum(pairs) / len(pairs))
+        assert mean[g] == pytest.approx(sum(precision) / len(precision))
+    assert area["none"] is None and mean["none"] is None
+    assert M.auroc(df.where("g = 'a'"), [], "s", "y").first()["auc"] == pytest.approx(area["a"])
