@@ -21,6 +21,8 @@ from .common import Scratch, text_column
 VALUE = r"[A-Za-z0-9+/_\-]{16,}"
 #: A document without a match holds no candidate.
 ANY = r"(?=[A-Za-z+/_\-]{0,200}[0-9])" + VALUE
+#: Gaps without a letter that are looked over for the words before a run.
+LOOK_BACK = 4
 #: Names beside which secrets stand, names beside which look-alikes stand,
 #: paths of examples, and words that made-up values are written with.
 SECRET_NAMES = "token|passw|passwd|pwd|secret|api_?key|apikey|auth|bearer|credential|access_?key|private"
@@ -34,30 +36,43 @@ FEATURES = ["length", "digits", "capitals", "switches", "distinct", "hexadecimal
 
 
 def candidates(text: Column) -> Column:
-    """The candidates of a text in order: their value and what stands before and after."""
+    """The candidates of a text in order: their value and what stands before and after.
+
+    Every run of a word is one.  Before the first stand the two words before it; before a
+    later one stands what parts it from the run before, and where that holds no letter (a
+    dot in a token of several segments) also what stands before that run.
+    """
     words = F.split(text, r"[\x20\x09-\x0D]+")
-    value = lambda w: F.regexp_extract(w, VALUE, 0)
     # the words are an argument of the outer lambda, so that they are split once
     found = F.transform(
         F.array(words),
-        lambda w: F.filter(
-            F.transform(
-                w,
-                lambda x, i: F.when(
-                    x.rlike(VALUE) & value(x).rlike("[0-9]"),
-                    F.struct(
-                        value(x).alias("value"),
-                        F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1), F.regexp_extract(x, "^(.*?)" + VALUE, 1)).alias("before"),
-                        F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"),
-                    ),
-                ),
-            ),
-            lambda c: c.isNotNull(),
-        ),
+        lambda w: F.flatten(F.filter(F.transform(w, lambda x, i: F.when(x.rlike(ANY), _runs(x, [F.get(w, i - 2), F.get(w, i - 1)], F.get(w, i + 1)))), lambda c: c.isNotNull())),
     )
     return F.when(text.rlike(ANY), found[0]).otherwise(F.array().cast("array<struct<value:string,before:string,after:string>>"))
 
 
+def _runs(word: Column, before: list[Column], after: Column) -> Column:
+    """The candidates of a word that stands between other words."""
+    gaps = F.split(word, VALUE, -1)  # gap k stands before run k
+    first = F.array(F.concat_ws(" ", *before, F.get(gaps, F.lit(0))))
+    parts = F.struct(F.regexp_extract_all(word, F.lit(VALUE), F.lit(0)).alias("values"), F.concat(first, F.slice(gaps, F.lit(2), F.size(gaps))).alias("gaps"))
+
+    def context(gaps: Column, k: Column) -> Column:
+        back = [F.get(gaps, k - d) for d in range(LOOK_BACK + 1)]
+        chains = [F.concat_ws("", *back[d::-1]) for d in range(LOOK_BACK + 1)]
+        out = chains[-1]
+        for gap, chain in zip(back[-2::-1], chains[-2::-1], strict=True):
+            out = F.when(gap.rlike("[A-Za-z]"), chain).otherwise(out)
+        return out
+
+    def run(p: Column, value: Column, k: Column) -> Column:
+        last = k == F.size(p["values"]) - 1
+        return F.when(value.rlike("[0-9]"), F.struct(value.alias("value"), context(p["gaps"], k).alias("before"), F.coalesce(F.when(last, after).otherwise(F.get(p["gaps"], k + 1)), F.lit("")).alias("after")))
+
+    # as above, so that a word's parts are computed once for all its runs
+    return F.transform(F.array(parts), lambda p: F.filter(F.transform(p["values"], lambda v, k: run(p, v, k)), lambda c: c.isNotNull()))[0]
+
+
 def features(c: Column, path: Column) -> list[Column]:
     """The features of a candidate, in the order of ``FEATURES``."""
     v, before = c["value"], F.lower(c["before"])

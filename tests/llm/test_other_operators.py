@@ -226,6 +226,26 @@ def test_forest_expression_equals_the_model(spark):
     assert np.mean([(r.p > 0.5) == (r.prediction > 0.5) for r in pairs if abs(r.p - 0.5) > 1e-9]) > 0.97
 
 
+def test_secrets_of_one_word(spark):
+    forest = secrets.fit(secrets.labelled_findings(spark))
+    key, ghp = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "ghp_Zk3vQ9xLmT27hPwR5bYcN8sJdF4gXa61KuEo"
+    jwt = [f"eyJhbGciOiJIUzI1NiJ{x}Q7" for x in "abc"]
+    rows = [
+        (1, '{"id":"d41d8cd98f00b204e9800998ecf8427e","token":"%s","api_key":"%s"}' % (ghp, key)),
+        (2, f"https://api.example.com/oauth/authorize/callback?token={key}"),
+        (3, f"token = {'.'.join(jwt)} end"),
+        (4, f"secret:{key};" * 500),
+    ]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()}
+    values = {i: [c.value for c in r._candidates] for i, r in out.items()}
+    assert values == {1: ["d41d8cd98f00b204e9800998ecf8427e", ghp, key], 2: [key], 3: jwt, 4: [key] * 500}
+    assert [c.before for c in out[1]._candidates] == ['{"id":"', '","token":"', '","api_key":"']
+    assert [c.before for c in out[3]._candidates] == ["token = ", "token = .", "token = .."]
+    assert ghp in out[1]._secrets and key in out[1]._secrets and out[2]._secrets == [key] and out[4]._secrets == [key]
+    clean = {r.doc_id: r.text for r in secrets.redact(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest)).collect()}
+    assert not any(key in t or ghp in t for t in clean.values()) and clean[2].endswith("?token=<SECRET>")
+
+
 def test_pipeline_stages(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
