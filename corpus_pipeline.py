@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaquery.llm import packing, quality, queries, secrets, simhash, toxicity
+from lumaquery.llm import packing, quality, queries, secrets, similar, toxicity
 from lumaquery.llm.common import Scratch
 
 
@@ -27,9 +27,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of the smallest id stays, once; rows without an id stay."""
-    found = Scratch(spark, "dedup").write(simhash.components(docs).where("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of documents linked by a similarity of 0.8 or more (five-word shingles) that of the smallest id stays, once; rows without an id stay."""
+    kept = docs.where("doc_id is not null").join(similar.kept(docs), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumaquery.llm import quality, queries, secrets, topk, toxicity, urls
+from lumaquery.llm import quality, queries, secrets, similar, topk, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -246,6 +246,29 @@ def test_secrets_of_one_word(spark):
     assert not any(key in t or ghp in t for t in clean.values()) and clean[2].endswith("?token=<SECRET>")
 
 
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_pipeline_drops_planted_near_copies(spark, sf_dir):
+    rng, rows, want = np.random.default_rng(3), [], set()
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        edited = list(words)
+        # an edit of one word takes five of the shingles from each side
+        edits = int(rng.integers(1, 12))
+        for place in rng.choice(300, edits, replace=False):
+            edited[place] = "edited"
+        a, b = " ".join(words), " ".join(edited)
+        x, y = shingle_set(a), shingle_set(b)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want |= {2 * k} if len(x & y) >= 0.8 * len(x | y) else {2 * k, 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()} == want and 120 < len(want) < 200
+    assert {r.doc_id for r in similar.kept(docs, chunk=1).collect()} == want
+
+
 def test_pipeline_stages(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
