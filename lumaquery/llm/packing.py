@@ -28,8 +28,8 @@ from .common import column_texts, portions, text_column
 WINDOW = 2048
 #: Token ids of a shard: its index and its ids are held by one task.
 SHARD_IDS = 3_000_000
-#: Terms of a seed that are looked up: those that weigh most.
-QUERY_TERMS = 32
+#: Terms that more than this share of a shard's documents have are kept as whole rows of weights.
+DENSE = 0.25
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -48,23 +48,27 @@ class Index:
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        #: each document's heaviest terms that some other document has
-        order = np.lexsort((-self.weight, self.doc))
-        order = order[np.repeat(df, df)[order] > 1]
-        owner = self.doc[order]
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        keep = rank < QUERY_TERMS
-        self.query_term = np.searchsorted(self.terms, term[order[keep]])
-        self.query_begin = np.searchsorted(owner[keep], np.arange(len(docs) + 1))
+        #: each document's terms that some other document has: those of many documents, and the rest
+        code = np.repeat(np.arange(len(df)), df)
+        many = df > max(1, DENSE * self.n)
+        self.row = np.cumsum(many) - 1
+        self.rows = np.zeros((int(many.sum()), self.n), np.float32)
+        at = many[code]
+        self.rows[self.row[code[at]], self.doc[at]] = self.weight[at]
+        self.many, self.few = (self._queries(code, which) for which in (many, ~many & (df > 1)))
+
+    def _queries(self, code: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(which[code])
+        at = at[np.argsort(self.doc[at], kind="stable")]
+        return code[at], np.searchsorted(self.doc[at], np.arange(self.n + 1))
 
     def nearest(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first."""
-        terms = self.query_term[self.query_begin[seed] : self.query_begin[seed + 1]]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        begin, size = self.begin[terms], (self.end - self.begin)[terms]
+        """Unused documents that share a term with the seed, best first; every distinct term of the seed counts once."""
+        few, many = (terms[begin[seed] : begin[seed + 1]] for terms, begin in (self.few, self.many))
+        begin, size = self.begin[few], (self.end - self.begin)[few]
         take = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         score = np.bincount(self.doc[take], self.weight[take], minlength=self.n)
+        score = score + self.rows[self.row[many]].sum(axis=0)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]

@@ -256,6 +256,32 @@ def test_packing_puts_neighbours_together():
     assert np.mean([len(x) for x in sequences.values()]) < 2
 
 
+def test_packing_scores_with_all_terms():
+    rng = np.random.default_rng(4)
+    common, rare = np.arange(1000, 1400), np.arange(5000, 5040)
+    # the seed's 40 rarest terms lie in documents 1 and 2; document 3 shares 400 other terms
+    docs = [np.concatenate([common, rare]), rare[:20], rare[20:], common, *(rng.choice(common, 150, replace=False) for _ in range(40))]
+    docs = [d.astype(np.uint32) for d in docs]
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    df = Counter(t for d in docs for t in set(d.tolist()))
+
+    def plain(seed):
+        out = []
+        for d in docs:
+            norm = 1.2 * (0.25 + 0.75 * len(d) / mean)
+            out.append(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 * k / (k + norm) for t, k in Counter(d.tolist()).items() if t in seed))
+        return np.array(out)
+
+    index = packing.Index(docs)
+    for k in (0, 3, 7):
+        want = plain(set(docs[k].tolist()))
+        used = np.zeros(n, bool)
+        used[k] = True
+        near = index.nearest(k, used)
+        assert set(near.tolist()) == {d for d in range(n) if d != k and want[d] > 0}
+        assert (np.diff(want[near]) < 1e-4).all()
+
+
 def test_digest_queries(spark, sf_dir):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     tok = Tokenizer.from_file(PATH)
