@@ -1,6 +1,10 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Every task works through its documents in shards of bounded size.  A shard keeps
+Document frequencies, the number of documents and their mean length are counted
+over the whole corpus first.  Then documents are dealt by a weighted MinHash of
+their terms, so that lexically near ones meet: two documents agree in a value of
+it with the probability of their weighted Jaccard similarity.  Every task works
+through its documents in that order, in shards of bounded size.  A shard keeps
 a BM25 inverted index over the token ids of its documents.  A seed document opens
 a window; the index returns the unused documents that are nearest to it, best
 first, and those that fit fill the window.  What room is left goes to the head
@@ -8,7 +12,7 @@ of the best neighbour that did not fit, whose rest is the next seed.  So every
 window of a shard is full but the last, whose content is cut into sequences of
 powers of two, which need no padding.
 
-Shards follow the scan, so nothing is shuffled.
+A neighbour that the dealing puts into another shard is not found.
 """
 
 from __future__ import annotations
@@ -23,21 +27,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import BLOCK_CHARS, library_encoder
-from .common import column_texts, portions, text_column
+from .common import Scratch, column_texts, mix, portions, text_column
 
 WINDOW = 2048
 #: Token ids of a shard: its index and its ids are held by one task.
 SHARD_IDS = 3_000_000
 #: Terms that more than this share of a shard's documents have are kept as whole rows of weights.
 DENSE = 0.25
+#: MinHash values by which documents are dealt.
+KEYS = 3
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+class Corpus:
+    """Statistics of all documents: each term's document frequency, the number of documents, the mean length."""
+
+    def __init__(self, terms: np.ndarray, df: np.ndarray, n: int, ids: int):
+        self.df = np.zeros(int(terms.max()) + 1 if len(terms) else 1, np.int64)
+        self.df[terms] = df
+        self.n, self.mean = n, ids / max(1, n)
+        every = np.arange(len(self.df))
+        draws = [(mix(every.astype(np.uint64), np.full(len(every), k + 1, np.uint64)) >> np.uint64(11)) / 2.0**53 for k in range(KEYS)]
+        self.waits = [-np.log(draw + 1e-18) / self.idf(every) for draw in draws]
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[terms]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+    def key(self, ids: np.ndarray) -> list[int]:
+        """``KEYS`` values of a weighted MinHash: the term that comes first when each waits by its weight."""
+        first = [ids[np.argmin(wait[ids])] for wait in self.waits]
+        # terms are ordered by a hash, which spreads them evenly
+        return mix(np.array(first, np.uint64), np.full(KEYS, 99, np.uint64)).view(np.int64).tolist()
+
+
 class Index:
     """BM25 weights of the terms of a shard's documents, in postings by term."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         sizes = np.array([len(d) for d in docs], np.int64)
         doc = np.repeat(np.arange(len(docs)), sizes)
         term = np.concatenate(docs).astype(np.int64)
@@ -45,8 +73,8 @@ class Index:
         term, self.doc = np.divmod(pair, len(docs))
         self.terms, self.begin, df = np.unique(term, return_index=True, return_counts=True)
         self.end, self.n = self.begin + df, len(docs)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
+        idf = corpus.idf(self.terms) if corpus else np.log1p((self.n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(1.0, corpus.mean if corpus else sizes.mean()))
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         #: each document's terms that some other document has: those of many documents, and the rest
         code = np.repeat(np.arange(len(df)), df)
@@ -74,7 +102,7 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard's documents."""
     out, sequence = [], 0
     begin = np.zeros(len(docs), np.int64)
@@ -88,7 +116,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     used = left == 0
     if used.all():
         return out
-    index, waiting, seed = Index(docs), iter(np.flatnonzero(~used).tolist()), -1
+    index, waiting, seed = Index(docs, corpus), iter(np.flatnonzero(~used).tolist()), -1
     room, held = window, []
 
     def place(d: int, n: int) -> None:
@@ -164,31 +192,65 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "d
     null ids are documents of their own.  Other columns are not read.
     """
 
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = library_encoder(path), np.array([end_id], np.uint32)
+        for b in portions(batches, "text", 2 * BLOCK_CHARS):
+            ids = [np.append(x, end).astype("<u4") for x in enc.encode(column_texts(b, "text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1, np.int64)
+        for b in batches:
+            for x in b.column("ids"):
+                terms = np.unique(np.frombuffer(x.as_py(), "<u4"))
+                if terms[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
+                df[terms] += 1
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], names=["term", "df"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shared.value.key(np.frombuffer(x.as_py(), "<u4")) for x in b.column("ids")]
+            values = [pa.array(v, pa.int64()) for v in (zip(*found, strict=True) if found else [[]] * KEYS)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), *values], names=["doc_id", "ids", *names])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, base = library_encoder(path), TaskContext.get().partitionId() << 33
-        end = np.array([end_id], np.uint32)
-        keys, ids, held, sequences = [], [], 0, 0
+        base = TaskContext.get().partitionId() << 33
+        docs, ids, held, sequences = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal keys, ids, held, sequences
-            pieces = pack(ids, window)
+            nonlocal docs, ids, held, sequences
+            pieces = pack(ids, window, shared.value)
             for k in range(0, len(pieces), 2000):
                 d, a, n, s, o = zip(*pieces[k : k + 2000], strict=True)
-                raw = [ids[x][b : b + c].astype("<u4").tobytes() for x, b, c in zip(d, a, n, strict=True)]
-                cols = [[keys[x] for x in d], a, n, [len(ids[x]) for x in d], [base + sequences + x for x in s], o]
+                raw = [ids[x][b : b + c].tobytes() for x, b, c in zip(d, a, n, strict=True)]
+                cols = [[docs[x] for x in d], a, n, [len(ids[x]) for x in d], [base + sequences + x for x in s], o]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(raw, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             sequences += max(p[3] for p in pieces) + 1
-            keys, ids, held = [], [], 0
+            docs, ids, held = [], [], 0
 
-        for b in portions(batches, "text", 2 * BLOCK_CHARS):
-            for key, found in zip(b.column("doc_id").to_pylist(), enc.encode(column_texts(b, "text")), strict=True):
-                keys.append(key)
-                ids.append(np.append(found, end))
+        for b in batches:
+            for doc, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                docs.append(doc)
+                ids.append(np.frombuffer(x.as_py(), "<u4"))
                 held += len(ids[-1])
                 if held >= SHARD_IDS:
                     yield from flush()
-        if keys:
+        if docs:
             yield from flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    return rows.mapInArrow(work, PIECES)
+    spark, names = docs.sparkSession, [f"key{k}" for k in range(KEYS)]
+    scratch = Scratch(spark, "packing")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
+    rows = scratch.write(texts.mapInArrow(tokenise, "doc_id long, ids binary"))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids").cast("long")), F.lit(0)) / 4).first()
+    # at most a row for each id of the vocabulary
+    df = rows.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    shared = spark.sparkContext.broadcast(Corpus(df["term"].to_numpy(np.int64), df["df"].to_numpy(np.int64), n, int(total)))
+    keyed = scratch.write(rows.mapInArrow(keys, "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in names)))
+    scratch.drop(rows)
+    # equal keys of many copies are spread by a hash of the row's id
+    order = [*names, F.xxhash64("doc_id", "ids")]
+    dealt = keyed.repartitionByRange(max(1, -(-int(total) // SHARD_IDS)), *order).sortWithinPartitions(*order)
+    return dealt.select("doc_id", "ids").mapInArrow(work, PIECES)

@@ -282,6 +282,27 @@ def test_packing_scores_with_all_terms():
         assert (np.diff(want[near]) < 1e-4).all()
 
 
+def test_packing_brings_far_copies_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(100)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k + 100, t + " more") for k, t in enumerate(texts)]
+    monkeypatch.setattr(packing, "SHARD_IDS", 6000)
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id"), PATH).collect()
+    sequences = defaultdict(set)
+    for p in pieces:
+        sequences[p.doc_id].add(p.sequence_id)
+    # in scan order a document and its copy lie in different shards
+    assert np.mean([bool(sequences[k] & sequences[k + 100]) for k in range(100)]) > 0.7
+
+
+def test_packing_corpus_statistics():
+    docs = [np.array(x, np.uint32) for x in ([1, 2, 2, 3], [2, 3], [3, 4, 4])]
+    corpus = packing.Corpus(np.array([1, 2, 3, 4]), np.array([10, 500, 900, 3]), 1000, 7000)
+    weight = {(int(index.terms[t]), int(index.doc[p])): index.weight[p] for index in [packing.Index(docs, corpus)] for t in range(4) for p in range(index.begin[t], index.end[t])}
+    norm = 1.2 * (0.25 + 0.75 * 4 / 7)
+    assert abs(weight[2, 0] - np.log1p((1000 - 500 + 0.5) / 500.5) * 2.2 * 2 / (2 + norm)) < 1e-9
+
+
 def test_digest_queries(spark, sf_dir):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     tok = Tokenizer.from_file(PATH)
