@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumaquery.llm import bpe, lm, packing, queries, simhash, tokenids
@@ -102,38 +103,50 @@ def test_simhash_empty(none):
 
 
 def lm_plain(rows):
+    """The interpolated trigram model written down directly, without an automaton."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c, pairs = Counter(), Counter()
+    c, pairs, triples = Counter(), Counter(), Counter()
     for i, t in rows:
         if not held(i):
             w = [*words(t), None]
             c.update(w)
             pairs.update(zip(["BOS", *w], w, strict=False))
+            triples.update(zip(["BOS", *w], w, w[1:], strict=False))
     n, v = sum(c.values()), len(c)
     texts = sum(not held(i) for i, _ in rows)
-    ones = sum(x == 1 for x in c.values())
-    u = min(0.5, (ones + 0.5) / (n + 1)) if n else 1.0
-    mass = Counter()
-    for x in c.values():
-        mass[math.floor(math.log2(x) * 4)] += x
-    k = lm.failure_weight(mass, sum(x == 1 for x in pairs.values()) / max(1, n))
+    ones = lambda x: sum(n == 1 for n in x.values())
+    u = min(0.5, (ones(c) + 0.5) / (n + 1)) if n else 1.0
+
+    def weight(contexts, grams):
+        mass = Counter()
+        for x in contexts.values():
+            mass[math.floor(math.log2(x) * 4)] += x
+        return lm.failure_weight(mass, ones(grams) / max(1, sum(grams.values())))
+
+    k2, k3 = weight(c, pairs), weight(pairs, triples)
+
+    def p(x, h="", g=""):
+        if g:
+            return (triples[g, h, x] + k3 * p(x, h)) / (pairs[g, h] + k3) if pairs[g, h] else p(x, h)
+        if h:
+            ch = texts if h == "BOS" else c[h]
+            return (pairs[h, x] + k2 * p(x)) / (ch + k2) if ch else p(x)
+        return (1 - u) * c[x] / n if c[x] else u
+
     out = []
     for i, t in rows:
         w = [*words(t), None]
-        p = lambda x: (1 - u) * c[x] / n if c[x] else u
-        s, h = 0.0, "BOS"
-        for x in w:
-            ch = texts if h == "BOS" else c[h]
-            s += math.log10((pairs[h, x] + k * p(x)) / (ch + k)) if ch else math.log10(p(x))
-            h = x
+        past = ["", "BOS", *w]
+        s = sum(math.log10(p(x, past[j + 1], past[j])) for j, x in enumerate(w))
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
         out.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, base, s))
     return out
 
 
-@pytest.mark.parametrize("table", ["odd", "docs"])
-def test_lm(table, request):
+@pytest.mark.parametrize(("table", "lane"), [("odd", 512), ("odd", 3), ("docs", 512), ("docs", 64)])
+def test_lm(table, lane, request, monkeypatch):
     df = request.getfixturevalue(table)
+    monkeypatch.setattr(lm, "LANE", lane)
     want, got = lm_plain(rows_of(df)), [tuple(r) for r in lm.score(df, queries.remainder(7)).collect()]
     key = lambda r: tuple((x is None, x or 0) for x in r)
     want, got = sorted(want, key=key), sorted(got, key=key)
@@ -141,17 +154,47 @@ def test_lm(table, request):
     assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-9)
 
 
+def test_lm_of_many_small_chunks(docs, monkeypatch):
+    whole = {r.doc_id: r.score for r in lm.score(docs, queries.remainder(7)).collect()}
+    monkeypatch.setattr(lm, "CHUNK", 20_000)
+    parts = {r.doc_id: r.score for r in lm.score(docs, queries.remainder(7), chunk_ranges=3).collect()}
+    assert whole.keys() == parts.keys() and np.allclose([whole[i] for i in whole], [parts[i] for i in whole])
+
+
 def test_lm_beats_base_on_held_out(docs):
     rows = [r for r in lm.score(docs, queries.remainder(7)).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_lm_tells_repeats_apart(spark):
+    """A text that the corpus holds twice is likelier by the word than one it holds once."""
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"w{x}" for x in (rng.zipf(1.3, 120) % 3000))
+    texts = [text() for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t) for k, t in enumerate(texts[:60])]
+    out = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()
+    gain = {r.doc_id: r.score / r.n_tokens for r in out}
+    twice, once = (np.array([gain[k] for k in part]) for part in (range(60), range(60, 300)))
+    assert np.mean(twice[:, None] > once[None, :]) > 0.98
+
+
 def test_lm_adds_up_to_one():
-    words_, n = np.array([5, 3, 2, 0]), 10
-    a = lm.Automaton(words_, n, 3, 4, 0.1, 1.5)
-    follow = np.array([2, 0, 3, 0])  # bigram counts after the first word
-    p = 10 ** a.traverse(np.zeros(4, int), np.arange(4), follow, np.zeros(0, int))
-    assert np.isclose(a.p.sum(), 1) and np.isclose(p.sum(), 1)
+    """The automaton's probabilities after every context add up to one over all words and the unknown one."""
+    texts = ["a b a c", "a b", "b a b c", "c"]
+    vocabulary = ["a", "b", "c", None]
+    hashes = dict(zip(vocabulary, np.array([11, 12, 13, 1], np.uint64), strict=True)) | {"?": np.uint64(99)}
+    context = [x.split() for x in ("a b", "b a", "a", "c", "", "c b", "? a")]
+    probes = [[*h, x] for h in context for x in [*vocabulary, "?"]]
+    every = [[*t.split(), None] for t in texts] + probes
+    flat = [w for t in every for w in t]
+    distinct = list(dict.fromkeys(flat))
+    row = {"doc_ids": list(range(len(every))), "held": [k >= 4 for k in range(len(every))], "sizes": np.array([len(t) for t in every], np.int64).tobytes()}
+    row |= {"words": np.array([hashes[w] for w in distinct], np.uint64).tobytes(), "codes": lm.by_bytes(np.array([distinct.index(w) for w in flat], np.uint32))}
+    c = lm.Chunk(row)
+    counts = c.counts()
+    a = lm.Automaton(c, counts, int(counts[0].sum()), 4, 0.1, [1.5, 0.7])
+    last = 10 ** a.traverse(c.starts, c.sizes)[(c.starts + c.sizes - 1)[4:]]
+    assert np.allclose(last.reshape(-1, 5).sum(1), 1)
 
 
 def test_lm_empty(none):
