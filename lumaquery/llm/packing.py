@@ -37,6 +37,8 @@ DENSE = 0.25
 #: MinHash values by which documents are dealt.
 KEYS = 3
 K1, B = 1.2, 0.75
+#: In the place of a term, the number of documents and that of ids.
+DOCS, IDS = -1, -2
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -49,17 +51,19 @@ class Corpus:
         self.n, self.mean = n, ids / max(1, n)
         every = np.arange(len(self.df))
         draws = [(mix(every.astype(np.uint64), np.full(len(every), k + 1, np.uint64)) >> np.uint64(11)) / 2.0**53 for k in range(KEYS)]
-        self.waits = [-np.log(draw + 1e-18) / self.idf(every) for draw in draws]
+        #: for each value, the terms in the order of their waits, and each term's place in it
+        self.first = [np.argsort(-np.log(draw + 1e-18) / self.idf(every), kind="stable") for draw in draws]
+        self.place = [np.argsort(first).astype(np.int32) for first in self.first]
 
     def idf(self, terms: np.ndarray) -> np.ndarray:
         df = self.df[terms]
         return np.log1p((self.n - df + 0.5) / (df + 0.5))
 
-    def key(self, ids: np.ndarray) -> list[int]:
-        """``KEYS`` values of a weighted MinHash: the term that comes first when each waits by its weight."""
-        first = [ids[np.argmin(wait[ids])] for wait in self.waits]
+    def keys(self, ids: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+        """``KEYS`` values of a weighted MinHash of each document: the term that comes first when each waits by its weight."""
+        terms = [first[np.minimum.reduceat(place[ids], begins)] for first, place in zip(self.first, self.place, strict=True)]
         # terms are ordered by a hash, which spreads them evenly
-        return mix(np.array(first, np.uint64), np.full(KEYS, 99, np.uint64)).view(np.int64).tolist()
+        return [mix(t.astype(np.uint64), np.full(len(t), 99, np.uint64)).view(np.int64) for t in terms]
 
 
 class Index:
@@ -193,27 +197,34 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "d
     """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = library_encoder(path), np.array([end_id], np.uint32)
+        """Each document's ids; the task's last row holds its document frequencies instead."""
+        enc, end, names = library_encoder(path), np.array([end_id], np.uint32), ["doc_id", "ids", "terms"]
+        df, n, total = np.zeros(1, np.int64), 0, 0
         for b in portions(batches, "text", 2 * BLOCK_CHARS):
             ids = [np.append(x, end).astype("<u4") for x in enc.encode(column_texts(b, "text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1, np.int64)
-        for b in batches:
-            for x in b.column("ids"):
-                terms = np.unique(np.frombuffer(x.as_py(), "<u4"))
+            for x in ids:
+                terms = np.unique(x)
                 if terms[-1] >= len(df):
                     df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
                 df[terms] += 1
+            n, total = n + len(ids), total + sum(map(len, ids))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
         terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], names=["term", "df"])
+        counts = np.stack([np.append(terms, [DOCS, IDS]), np.append(df[terms], [n, total])])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("terms"):
+                terms, df = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df)], names=["term", "df"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.key(np.frombuffer(x.as_py(), "<u4")) for x in b.column("ids")]
-            values = [pa.array(v, pa.int64()) for v in (zip(*found, strict=True) if found else [[]] * KEYS)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), *values], names=["doc_id", "ids", *names])
+            sizes = np.asarray(pa.compute.binary_length(b.column("ids"))).astype(np.int64) // 4
+            flat = np.frombuffer(b"".join(x.as_py() for x in b.column("ids")), "<u4")
+            found = shared.value.keys(flat, np.cumsum(sizes) - sizes) if b.num_rows else [np.zeros(0, np.int64)] * KEYS
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), *map(pa.array, found)], names=["doc_id", "ids", *names])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
@@ -243,14 +254,17 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "d
     spark, names = docs.sparkSession, [f"key{k}" for k in range(KEYS)]
     scratch = Scratch(spark, "packing")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    rows = scratch.write(texts.mapInArrow(tokenise, "doc_id long, ids binary"))
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids").cast("long")), F.lit(0)) / 4).first()
-    # at most a row for each id of the vocabulary
-    df = rows.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    shared = spark.sparkContext.broadcast(Corpus(df["term"].to_numpy(np.int64), df["df"].to_numpy(np.int64), n, int(total)))
-    keyed = scratch.write(rows.mapInArrow(keys, "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in names)))
+    rows = scratch.write(texts.mapInArrow(tokenise, "doc_id long, ids binary, terms binary"))
+    # at most a row for each id of the vocabulary, and the two totals
+    counted = rows.where("terms is not null").select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    totals = dict(counted[counted["term"] < 0].itertuples(index=False))
+    n, total = int(totals.get(DOCS, 0)), int(totals.get(IDS, 0))
+    counted = counted[counted["term"] >= 0]
+    shared = spark.sparkContext.broadcast(Corpus(counted["term"].to_numpy(np.int64), counted["df"].to_numpy(np.int64), n, total))
+    keyed = rows.where("ids is not null").select("doc_id", "ids").mapInArrow(keys, "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in names))
+    # equal keys of many copies are spread by a hash of the row; sampling for the ranges reads keys and hash only
+    keyed = scratch.write(keyed.withColumn("spread", F.xxhash64("doc_id", "ids")))
     scratch.drop(rows)
-    # equal keys of many copies are spread by a hash of the row's id
-    order = [*names, F.xxhash64("doc_id", "ids")]
-    dealt = keyed.repartitionByRange(max(1, -(-int(total) // SHARD_IDS)), *order).sortWithinPartitions(*order)
+    order = [*names, "spread"]
+    dealt = keyed.repartitionByRange(max(1, -(-total // SHARD_IDS)), *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids").mapInArrow(work, PIECES)
