@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, column_texts, factorize, hash_words, mix, portions, text_column, words_of
 
 #: Bytes of text in a chunk.
-CHUNK = 12_000_000
+CHUNK = 8_000_000
 ORDER = 3
 #: Tokens that one lane of the traversal reads.
 LANE = 512
