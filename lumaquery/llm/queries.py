@@ -18,10 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates and secrets of every document, and its redacted text as a digest."""
-    from .secrets import fit, labelled_findings, redact, scan
+    from .secrets import redact, scan, train
 
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = scan(docs, fit(labelled_findings(spark)))
+    found = scan(docs, train(docs))
     found = found.withColumns({"n_candidates": F.size("_candidates").cast("long"), "n_secrets": F.size("_secrets").cast("long"), "secrets_sha256": F.sha2(F.array_join("_secrets", "\n"), 256)})
     return redact(found).select("doc_id", "n_candidates", "n_secrets", "secrets_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("redacted_sha256"))
 

@@ -1,178 +1,211 @@
 """Secret scans with a random forest against false positives, in DataFrame operations only.
 
-A candidate is a run of at least 16 token characters with a digit in it.  Its
-features are its length, its kinds of characters and the transitions between
-them, how much of it dictionary words cover, the document's path (its source),
-and the words around it.  A random forest, trained from labelled findings,
-gives the share of its trees that take the candidate for a secret; the trees
-become one expression, so scanning needs no join and no shuffle, and a row's
-candidates stay with its row.
+A candidate is a run of at least 16 token characters with a digit in it, or what
+stands after a secret's name and a sign of assignment (at least 8 signs without
+white space, digits or not, dots included).  Its features are its length, its
+kinds of characters, how likely its transitions between classes of characters are
+among secrets and among look-alikes (a table counted from the labelled findings),
+how much of it words cover (those counted in the corpus and some fixed ones), the
+document's path (its source), and the words before and after it.  A random
+forest, trained from labelled findings, gives the probability that the candidate
+is a secret; its trees become one expression, so scanning needs no join and no
+shuffle, and a row's candidates stay with its row.
+
+A secret that is shorter than 16 characters or without a digit is found beside a
+name only.
 """
 
 from __future__ import annotations
 
-import re
+import math
+from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_column
 
-VALUE = r"[A-Za-z0-9+/_\-]{16,}"
-#: A document without a match holds no candidate.
-ANY = r"(?=[A-Za-z+/_\-]{0,200}[0-9])" + VALUE
-#: Gaps without a letter that are looked over for the words before a run.
-LOOK_BACK = 4
 #: Names beside which secrets stand, names beside which look-alikes stand,
 #: paths of examples, and words that made-up values are written with.
-SECRET_NAMES = "token|passw|passwd|pwd|secret|api_?key|apikey|auth|bearer|credential|access_?key|private"
+SECRET_NAMES = "token|passw|pwd|secret|api[_-]?key|auth|bearer|credential|access[_-]?key|private"
 OTHER_NAMES = "commit|sha|uuid|guid|hash|md5|etag|version|revision|checksum|digest|isbn|order|invoice|session|page|file|image|object"
 EXAMPLES = "test|example|sample|mock|fixture|doc"
-DICTIONARY = "example|sample|placeholder|change|your|here|test|user|name|token|secret|password|admin|default|index|image|file|page|data|value|order|session|customer|service|server|client|config|backup|release|version|build|report|account|update|string|number|object|request|response|handler|manager|the|and|for|get|set|key|api|url|id"
+DICTIONARY = "example|sample|placeholder|change|your|here|test|user|name|token|secret|password|admin|default|index|image|file|page|data|value|order|session|customer|service|server|client|config|backup|release|version|build|report|account|update|string|number|object|request|response|handler|manager|required|optional|header|the|and|for|get|set|key|api|url|id"
+#: Runs of token characters, and values after a secret's name.
+VALUE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}"
+NAME = rf"(?:(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{{0,64}}?(?i:{SECRET_NAMES})[A-Za-z0-9_\-]{{0,32}}[\"']{{0,2}}[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']?|(?<![A-Za-z0-9_\-])(?i:bearer)[\x20\t]{{1,3}})"
+NAMED = NAME + r"[^\x20\x09-\x0D\"'<>,;&]{8,}"
+CANDIDATE = f"{NAMED}|{VALUE}"
+#: A document without a match of either holds no candidate.
+ANY = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}"
+#: Characters that are looked at before and after a candidate, and gaps without a letter
+#: that are looked over for what stands before it.
+BEFORE, AFTER, LOOK_BACK = 48, 24, 4
+#: Words of the corpus that make its dictionary, the most frequent ones.
+DICTIONARY_WORDS = 2000
 THRESHOLD = 0.5
 MASK = "<SECRET>"
 TREES, DEPTH, TRAINING_ROWS, SEED = 20, 6, 4000, 7
-FEATURES = ["length", "digits", "capitals", "switches", "distinct", "hexadecimal", "run", "dictionary", "separators", "example_path", "secret_name", "other_name", "assigned"]
+FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "hexadecimal", "run", "dictionary", "separators", "example_path", "secret_name", "other_name", "assigned", "quoted", "other_after"]
+#: The class of each character; other characters have class "o".
+CLASSES = {"d": "0123456789", "h": "bcdf", "v": "aeiouy", "c": "ghjklmnpqrstvwxz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "s": "+/_-", "p": ".:=$@!%"}
+_ARRAY = "array<struct<value:string,before:string,after:string>>"
 
 
 def candidates(text: Column) -> Column:
     """The candidates of a text in order: their value and what stands before and after.
 
-    Every run of a word is one.  Before the first stand the two words before it; before a
-    later one stands what parts it from the run before, and where that holds no letter (a
-    dot in a token of several segments) also what stands before that run.
+    Before stand up to ``BEFORE`` characters since the candidate before; where these hold no
+    letter (in a list of values), also what stands before that one.
     """
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    # the words are an argument of the outer lambda, so that they are split once
-    found = F.transform(
-        F.array(words),
-        lambda w: F.flatten(F.filter(F.transform(w, lambda x, i: F.when(x.rlike(ANY), _runs(x, [F.get(w, i - 2), F.get(w, i - 1)], F.get(w, i + 1)))), lambda c: c.isNotNull())),
-    )
-    return F.when(text.rlike(ANY), found[0]).otherwise(F.array().cast("array<struct<value:string,before:string,after:string>>"))
-
-
-def _runs(word: Column, before: list[Column], after: Column) -> Column:
-    """The candidates of a word that stands between other words."""
-    gaps = F.split(word, VALUE, -1)  # gap k stands before run k
-    first = F.array(F.concat_ws(" ", *before, F.get(gaps, F.lit(0))))
-    parts = F.struct(F.regexp_extract_all(word, F.lit(VALUE), F.lit(0)).alias("values"), F.concat(first, F.slice(gaps, F.lit(2), F.size(gaps))).alias("gaps"))
-
-    def context(gaps: Column, k: Column) -> Column:
-        back = [F.get(gaps, k - d) for d in range(LOOK_BACK + 1)]
-        chains = [F.concat_ws("", *back[d::-1]) for d in range(LOOK_BACK + 1)]
-        out = chains[-1]
-        for gap, chain in zip(back[-2::-1], chains[-2::-1], strict=True):
-            out = F.when(gap.rlike("[A-Za-z]"), chain).otherwise(out)
-        return out
-
-    def run(p: Column, value: Column, k: Column) -> Column:
-        last = k == F.size(p["values"]) - 1
-        return F.when(value.rlike("[0-9]"), F.struct(value.alias("value"), context(p["gaps"], k).alias("before"), F.coalesce(F.when(last, after).otherwise(F.get(p["gaps"], k + 1)), F.lit("")).alias("after")))
-
-    # as above, so that a word's parts are computed once for all its runs
-    return F.transform(F.array(parts), lambda p: F.filter(F.transform(p["values"], lambda v, k: run(p, v, k)), lambda c: c.isNotNull()))[0]
-
-
-def features(c: Column, path: Column) -> list[Column]:
-    """The features of a candidate, in the order of ``FEATURES``."""
-    v, before = c["value"], F.lower(c["before"])
-    n = F.length(v).cast("double")
-    share = lambda pattern: F.size(F.regexp_extract_all(v, F.lit(pattern), F.lit(0))) / n
-    letters = F.lower(v)
-    covered = (n - F.length(F.regexp_replace(letters, f"({DICTIONARY})", ""))) / n
-    flag = lambda x: x.cast("double")
-    return [
-        n,
-        share("[0-9]"),
-        share("[A-Z]"),
-        share("[0-9](?=[A-Za-z])|[a-z](?=[0-9A-Z])|[A-Z](?=[0-9a-z])"),
-        F.size(F.array_distinct(F.split(v, ""))) / n,
-        flag(v.rlike("^[0-9a-f]+$")),
-        flag(v.rlike(r"(.)\1{4,}")),
-        covered,
-        share(r"[+/_\-]"),
-        flag(F.coalesce(F.lower(path), F.lit("")).rlike(EXAMPLES)),
-        flag(before.rlike(SECRET_NAMES)),
-        flag(before.rlike(f"({OTHER_NAMES})")),
-        flag(before.rlike("[=:]\\s*[\"']?$")),
-    ]
-
-
-def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS) -> DataFrame:
-    """Findings with their labels (``value``, ``before``, ``after``, ``path``, ``secret``) to train from
-    where a user has none of their own: made from digests, so always the same."""
-    hexes = lambda size, salt: F.substring(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512), 1, size)
-    mixed = lambda size, salt: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(96, salt))), "=", ""), 1, size)
-    pick = lambda words, salt: F.element_at(F.split(F.lit(words), r"\|"), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words.split("|")))) + 1).cast("int"))
-    size = (F.pmod(F.xxhash64("id", F.lit("n")), F.lit(30)) + 16).cast("int")
-    named = "token = \"|password=|secret: |api_key=|PASSWORD = '|auth_token: |bearer |access_key=|pwd=|passwd: "
-    other = "commit |sha1 |uuid |etag: |checksum = |version |order |file |md5: |page |session |revision "
-    plain = "|see |the |von |le |el |and "
-    secret = [(hexes(40, "a"), named), (F.substring(hexes(64, "b"), F.lit(1), size), named), (F.substring(mixed(48, "c"), F.lit(1), size), named), (F.concat(F.lit("AKIA"), F.upper(mixed(16, "d"))), named + "|" + plain), (F.concat(F.lit("ghp_"), mixed(36, "e")), named + "|" + plain)]
-    words = lambda k: F.concat_ws(k, pick(DICTIONARY, "u"), pick(DICTIONARY, "v"), pick(DICTIONARY, "w"), pick("01|2024|v2|7|2019-05", "x"))
-    false = [
-        (hexes(40, "f"), other),
-        (F.concat_ws("-", hexes(8, "g"), hexes(4, "h"), hexes(4, "i"), hexes(4, "j"), hexes(12, "k")), other + "|" + plain),
-        (F.rpad(F.concat(words("_"), F.lit("_0")), 18, "0"), named),
-        (F.rpad(words("-"), 18, "1"), plain),
-        (F.rpad(words("/"), 18, "2"), plain),
-        (F.regexp_replace(hexes(18, "l"), "[a-f]", "4"), plain + "|" + other),
-        (F.concat(F.repeat(F.lit("x"), 14), hexes(4, "m")), named),
-        (F.concat(F.lit("your_api_key_here_"), hexes(2, "o")), named),
-        (hexes(32, "p"), other + "|" + plain),
-    ]
-    rows = spark.range(n)
-    kinds = [*((v, b, 1.0) for v, b in secret for _ in range(2)), *((v, b, 0.0) for v, b in false)]
-    kind = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(len(kinds)))
-    made = F.element_at(F.array(*[F.struct(v.alias("value"), pick(b, "b").alias("before"), F.lit(y).alias("secret")) for v, b, y in kinds]), (kind + 1).cast("int"))
-    out = rows.select(F.pmod(F.xxhash64("id", F.lit("path")), F.lit(4)).alias("p"), made.alias("m"))
-    return out.select("m.value", "m.before", F.lit("").alias("after"), F.when(F.col("p") == 0, "src/example").otherwise("src3").alias("path"), "m.secret")
+    assigned = text.contains("=") | text.contains(":") | text.rlike("(?i)bearer")
+    some = (text.rlike("[0-9]") & text.rlike(ANY)) | (assigned & text.rlike(NAMED))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("m"), F.split(text, CANDIDATE, -1).alias("g"))
+    # arguments of lambdas are computed once
+    found = F.transform(F.array(parts), lambda p: F.transform(p["m"], lambda m, k: _split(m, F.get(p["g"], k), F.get(p["g"], k + 1))))[0]
+    chained = F.transform(F.array(found), lambda f: F.filter(F.transform(f, lambda c, k: _with_context(f, c, k)), lambda c: c.isNotNull()))[0]
+    return F.when(some, chained).otherwise(F.array().cast(_ARRAY))
+
+
+def _split(match: Column, gap: Column, after: Column) -> Column:
+    """A match as its value, the text on its left and the text on its right."""
+    name = F.regexp_extract(match, "^" + NAME, 0)
+    whole = F.substring(match, F.length(name) + 1, F.length(match))
+    value = F.when(F.length(name) > 0, F.regexp_replace(whole, r"[.)\]};:!?*$#%&]+$", "")).otherwise(whole)
+    rest = F.substring(whole, F.length(value) + 1, F.length(whole))
+    return F.struct(value.alias("value"), F.concat(F.right(gap, F.lit(BEFORE)), name).alias("left"), F.left(F.concat(rest, after), F.lit(AFTER)).alias("after"), (F.length(name) > 0).alias("named"))
+
+
+def _with_context(found: Column, c: Column, k: Column) -> Column:
+    """The candidate with its context, null for a match that is none."""
+    lefts = [F.get(found, k - d)["left"] for d in range(LOOK_BACK + 1)]
+    chains = [F.concat_ws("", *lefts[d::-1]) for d in range(LOOK_BACK + 1)]
+    before = chains[-1]
+    for left, chain in zip(lefts[-2::-1], chains[-2::-1], strict=True):
+        before = F.when(left.rlike(r"\p{L}"), chain).otherwise(before)
+    fits = (c["named"] & (F.length(c["value"]) >= 8)) | (c["value"].rlike("[0-9]") & (F.length(c["value"]) >= 16))
+    return F.when(fits, F.struct(c["value"].alias("value"), before.alias("before"), c["after"].alias("after")))
+
+
+def classes(value: Column) -> Column:
+    """The value with each character's class in its place."""
+    known = F.regexp_replace(value, r"[^A-Za-z0-9+/_\-.:=$@!%]", "~")
+    return F.translate(known, "".join(CLASSES.values()) + "~", "".join(k * len(v) for k, v in CLASSES.items()) + "o")
+
+
+def transitions(value: Column) -> Column:
+    """Pairs of classes of neighbouring characters."""
+    return F.transform(F.array(classes(value)), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))[0]
+
+
+def corpus_words(docs: DataFrame, n: int = DICTIONARY_WORDS, text_col: str = "text") -> list[str]:
+    """The ``n`` most frequent words of 4 to 16 letters of all whole texts, in lower case; of equally frequent ones the smaller."""
+    words = docs.select(F.explode(F.split(F.lower(text_column(docs, text_col)), r"[^\p{L}\p{Nd}]+")).alias("word"))
+    words = words.where(F.length("word").between(4, 16)).groupBy("word").count().where(~F.col("word").rlike(r"\p{Nd}"))
+    return [r[0] for r in words.orderBy(F.desc("count"), "word").limit(n).collect()]
+
+
+class Model:
+    """What scanning needs: the table of transitions, the dictionary and the forest."""
+
+    def __init__(self, table: dict[str, float], words: list[str], trees: list | None = None):
+        self.table, self.words, self.trees = table, [w for w in words if len(w) >= 4], trees or []
+
+    def features(self, c: Column, path: Column) -> list[Column]:
+        """The features of a candidate, in the order of ``FEATURES``."""
+        v, before, after = c["value"], F.lower(c["before"]), F.lower(c["after"])
+        n = F.length(v).cast("double")
+        share = lambda pattern: F.size(F.regexp_extract_all(v, F.lit(pattern), F.lit(0))) / n
+        flag = lambda x: x.cast("double")
+        table = F.create_map(*[F.lit(x) for pair in sorted(self.table.items()) for x in pair]) if self.table else F.lit(None).cast("map<string,double>")
+        weighed = F.aggregate(transitions(v), F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(table, p), F.lit(0.0)))
+        pieces = F.split(F.lower(F.regexp_replace(v, r"(\p{Ll})(\p{Lu})", "$1 $2")), r"[^\p{L}]+")
+        known = F.aggregate(F.filter(pieces, lambda p: p.isin(self.words)), F.lit(0), lambda a, p: a + F.length(p)) / n if self.words else F.lit(0.0)
+        fixed = (n - F.length(F.regexp_replace(F.lower(v), f"({DICTIONARY})", ""))) / n
+        return [
+            n,
+            share("[0-9]"),
+            share("[A-Z]"),
+            weighed / F.greatest(n - 1, F.lit(1.0)),
+            F.size(F.array_distinct(F.split(v, ""))) / n,
+            flag(v.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
+            flag(v.rlike(r"(.)\1{4,}")),
+            F.greatest(known, fixed),
+            share(r"[+/_\-.:]"),
+            flag(F.coalesce(F.lower(path), F.lit("")).rlike(EXAMPLES)),
+            flag(before.rlike(SECRET_NAMES)),
+            flag(before.rlike(f"({OTHER_NAMES})")),
+            flag(before.rlike("[=:]\\s*[\"']?$")),
+            flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
+            flag(after.rlike(f"{OTHER_NAMES}|{EXAMPLES}")),
+        ]
 
+    def probability(self, x: list[Column]) -> Column:
+        """The forest's probability: the mean over trees of the share of secrets in the leaf."""
 
-class Forest:
-    """A trained forest as an expression over a candidate's features."""
+        def value(node) -> Column:
+            return F.lit(node) if isinstance(node, float) else F.when(x[node[0]] <= node[1], value(node[2])).otherwise(value(node[3]))
 
-    def __init__(self, debug: str):
-        self.trees = [self._tree(t.splitlines()[1:]) for t in re.split(r"\n\s+Tree \d+", debug)[1:]]
+        return sum((value(t) for t in self.trees[1:]), value(self.trees[0])) / len(self.trees)
 
-    def _tree(self, lines: list[str]):
-        lines = [x.strip() for x in lines if x.strip()]
-        at = 0
 
-        def node():
-            nonlocal at
-            line = lines[at]
-            at += 1
-            if m := re.match(r"Predict: (\S+)", line):
-                return float(m[1])
-            m = re.match(r"If \(feature (\d+) <= (\S+)\)", line)
-            below = node()
-            at += 1  # the line of Else
-            return int(m[1]), float(m[2]), below, node()
+def saved_trees(spark: SparkSession, path: str) -> list:
+    """The trees of a saved forest as nested (feature, threshold, below, above); a leaf is its share of label 1."""
+    nodes: dict[int, dict] = defaultdict(dict)
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():  # trees times 2 ** depth at most
+        nodes[r["treeID"]][r["id"]] = r
 
-        return node()
+    def grow(tree: dict, at: int):
+        r = tree[at]
+        if r["leftChild"] < 0:
+            return float(r["impurityStats"][1] / sum(r["impurityStats"]))
+        return r["split"]["featureIndex"], r["split"]["leftCategoriesOrThreshold"][0], grow(tree, r["leftChild"]), grow(tree, r["rightChild"])
 
-    def probability(self, x: list[Column]) -> Column:
-        def value(t) -> Column:
-            return F.lit(t) if isinstance(t, float) else F.when(x[t[0]] <= t[1], value(t[2])).otherwise(value(t[3]))
+    return [grow(tree, 0) for _, tree in sorted(nodes.items())]
 
-        return sum((value(t) for t in self.trees[1:]), value(self.trees[0])) / len(self.trees)
 
+def fit(findings: DataFrame, words: list[str] = (), trees: int = TREES, depth: int = DEPTH) -> Model:
+    """Train from labelled findings (``value``, ``before``, ``after``, ``path``, ``secret``).
 
-def fit(findings: DataFrame) -> Forest:
-    """Train from labelled findings; a null value, context or path counts as empty."""
+    A null value, context or path counts as empty; findings without a value or a label
+    are left out.  Findings of one label only, or none, give a model of that label's
+    share (0 without findings).
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    spark = findings.sparkSession
+    scratch = Scratch(spark, "secrets")
     f = findings.where("secret is not null").select(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("value", "before", "after")]).alias("c"), F.coalesce("path", F.lit("")).alias("path"), F.col("secret").cast("double").alias("label"))
-    f = f.where(F.length("c.value") > 0).select("label", *[x.alias(n) for n, x in zip(FEATURES, features(F.col("c"), F.col("path")), strict=True)])
-    f = Scratch(findings.sparkSession, "secrets").write(f)  # training reads them several times
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(f).select("label", "features")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
-    return Forest(forest.toDebugString)
-
-
-def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+    f = scratch.write(f.where(F.length("c.value") > 0))
+    counts = f.select("label", F.explode(transitions(F.col("c.value"))).alias("pair")).groupBy("pair").agg(F.count_if(F.col("label") > 0.5).alias("secret"), F.count_if(F.col("label") <= 0.5).alias("other")).collect()
+    totals = [sum(r[k] for r in counts) + (len(CLASSES) + 1) ** 2 for k in ("secret", "other")]
+    table = {r["pair"]: math.log((r["secret"] + 1) / totals[0]) - math.log((r["other"] + 1) / totals[1]) for r in counts}
+    model = Model(table, list(words))
+    share = f.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
+    if share in (0.0, 1.0):
+        model.trees = [share]
+        return model
+    rows = f.select("label", *[x.alias(n) for n, x in zip(FEATURES, model.features(F.col("c"), F.col("path")), strict=True)])
+    rows = scratch.write(rows)  # training reads them several times
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt").fit(rows)
+    path = scratch.path("forest")
+    forest.write().save(path)
+    model.trees = saved_trees(spark, path)
+    for written in (f, rows):
+        scratch.drop(written)
+    return model
+
+
+def train(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text") -> Model:
+    """The model for ``docs``: their words as dictionary; without ``findings`` of a user's own, made-up ones."""
+    words = corpus_words(docs, text_col=text_col)
+    return fit(labelled_findings(docs.sparkSession, words=words) if findings is None else findings, words)
+
+
+def scan(docs: DataFrame, model: Model, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``_candidates`` (value, before, after, probability) and ``_secrets`` (distinct values).
 
     Null and empty texts have none.  Without the path column the path is empty.
@@ -180,9 +213,9 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
     out = docs.withColumn("_found", candidates(text_column(docs, text_col)))
     # a candidate's features are an array first, so that the trees don't compute them again and again
-    weighed = F.transform("_found", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"), F.array(*features(c, path)).alias("x")))
+    weighed = F.transform("_found", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"), F.array(*model.features(c, path)).alias("x")))
     out = out.withColumn("_weighed", weighed)
-    judged = F.transform("_weighed", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"), forest.probability([F.get(c["x"], F.lit(i)) for i in range(len(FEATURES))]).alias("probability")))
+    judged = F.transform("_weighed", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"), model.probability([F.get(c["x"], F.lit(i)) for i in range(len(FEATURES))]).alias("probability")))
     out = out.withColumn("_candidates", judged)
     secrets = F.transform(F.filter("_candidates", lambda c: c["probability"] >= threshold), lambda c: c["value"])
     return out.withColumn("_secrets", F.array_distinct(secrets)).drop("_found", "_weighed")
@@ -194,3 +227,61 @@ def redact(scanned: DataFrame, text_col: str = "text", mask: str = MASK) -> Data
     text = F.col(text_col)
     clean = F.aggregate(longest, text, lambda t, s: F.replace(t, s["v"], F.lit(mask)))
     return scanned.withColumn(text_col, F.when(F.size("_secrets") > 0, clean).otherwise(text)).drop("_secrets", "_candidates")
+
+
+def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, words: list[str] = ()) -> DataFrame:
+    """Findings with their labels (``value``, ``before``, ``after``, ``path``, ``secret``) to train from
+    where a user has none of their own: ``n`` made from digests, so always the same for the same ``words``."""
+    draw = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("int")
+    hexes = lambda size, salt: F.substring(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512), 1, size)
+    mixed = lambda size, salt: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(96, salt))), "=", ""), 1, size)
+    pick = lambda options, salt: F.get(F.array(*map(F.lit, options)), draw(salt, len(options)))
+    cut = lambda value, low, high, salt: F.substring(value, F.lit(1), draw(salt, high - low + 1) + low)
+    letters = F.regexp_replace(mixed(60, "l"), "[^A-Za-z]", "")
+    every = [*DICTIONARY.split("|"), *[w for w in words if len(w) >= 4]]
+    joined = lambda sep, salt, k=3: F.concat_ws(sep, *[pick(every, f"{salt}{i}") for i in range(k)])
+    quoted, bare = ["token = \"", "PASSWORD = '", "api_key: \"", "secret=\"", "auth_token = '"], ["password=", "secret: ", "api_key=", "auth_token: ", "bearer ", "access_key=", "pwd=", "passwd: ", "token="]
+    other = ["commit ", "sha1 ", "uuid ", "etag: ", "checksum = ", "version ", "order ", "file ", "md5: ", "page ", "session ", "revision "]
+    plain = ["", "see ", "the ", "von ", "le ", "el ", "and ", *[f"{w} " for w in list(words)[:40]]]
+    named = [*quoted, *bare]
+    special = F.concat(cut(letters, 4, 7, "s"), pick(list("!@$%.:"), "t"), hexes(3, "u"), cut(mixed(30, "v"), 2, 6, "w"))
+    either = lambda value, salt: F.when(draw(salt, 4) == 0, F.upper(value)).otherwise(value)
+    secret = [
+        (either(hexes(40, "a"), "A"), named),
+        (either(cut(hexes(64, "b"), 16, 64, "B"), "C"), named),
+        (cut(mixed(60, "c"), 16, 60, "D"), named),
+        (cut(mixed(30, "d"), 8, 15, "E"), named),
+        (cut(letters, 9, 24, "F"), named),
+        (special, named),
+        (F.concat_ws(".", mixed(20, "e"), mixed(36, "f"), mixed(27, "g")), [*named, "bearer "]),
+        (F.concat(F.lit("AKIA"), F.upper(cut(mixed(40, "h"), 16, 16, "G"))), named + plain),
+        (F.concat(F.lit("ghp_"), mixed(36, "i")), named + plain),
+    ]
+    false = [
+        (either(hexes(40, "j"), "H"), other),
+        (F.concat_ws("-", hexes(8, "k"), hexes(4, "m"), hexes(4, "n"), hexes(4, "o"), hexes(12, "p")), other + plain),
+        (F.rpad(F.concat(joined("_", "q"), F.lit("_0")), 18, "0"), named + plain),
+        (F.rpad(joined("-", "r"), 18, "1"), plain),
+        (F.rpad(joined("/", "x"), 18, "2"), plain),
+        (joined("_", "y"), named),
+        (joined(".", "z", 2), bare),
+        (F.rpad(pick(every, "1"), 8, "s"), named),
+        (F.concat(F.lit("${"), F.upper(joined("_", "2", 2)), F.lit("}")), named),
+        (F.regexp_replace(hexes(16, "3"), "[a-f]", "4"), plain + other),
+        (F.regexp_replace(cut(hexes(40, "4"), 16, 40, "I"), "[a-f]", "7"), plain + other),
+        (F.concat(F.repeat(F.lit("x"), 14), hexes(4, "5")), named),
+        (F.repeat(pick(list("x*."), "6"), 12), named),
+        (F.concat(F.lit("your_api_key_here_"), hexes(2, "7")), named),
+        (hexes(32, "8"), other + plain),
+    ]
+    kinds = [*((v, b, 1.0) for v, b in secret for _ in range(2)), *((v, b, 0.0) for v, b in false)]
+    ids = spark.range(0, n, 1, max(1, n // 20_000)).withColumn("kind", draw("kind", len(kinds)))
+    made = [ids.where(F.col("kind") == k).select("id", v.alias("value"), pick(b, "b").alias("before"), F.lit(y).alias("secret")) for k, (v, b, y) in enumerate(kinds)]
+    rows = reduce(DataFrame.unionAll, made)
+    # what encloses a value closes after it; made-up values lie in examples more often, and what they are is said after them
+    close = F.regexp_extract("before", "[\"']$", 0)
+    true = F.col("secret") > 0.5
+    after = F.when(~true & (draw("after", 5) == 0), F.concat(F.lit(" # "), pick([*EXAMPLES.split("|"), "checksum", "version"], "9"))).otherwise(F.concat(F.lit(" "), pick(plain, "0")))
+    lead = F.when(draw("lead", 2) == 0, F.concat(pick(plain, "J"), F.lit(" "))).otherwise("")
+    path = F.when(F.when(true, draw("path", 10) == 0).otherwise(draw("path", 10) < 4), pick(["src/example", "tests/mock", "docs/sample"], "K")).otherwise(F.concat(F.lit("src"), draw("dir", 20).cast("string")))
+    return rows.select("value", F.concat(lead, "before").alias("before"), F.concat(close, after).alias("after"), path.alias("path"), "secret")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -194,8 +195,74 @@ def test_bloom_has_no_false_negative(spark):
     assert passed(listed) == 3000 and passed(other) < 300
 
 
-def test_secrets(spark, odd, none):
-    forest = secrets.fit(secrets.labelled_findings(spark))
+@pytest.fixture(scope="module")
+def scanner(spark):
+    return secrets.fit(secrets.labelled_findings(spark))
+
+
+def candidates_plain(text):
+    """Candidates by going through the text match by match."""
+    found, at = [], 0
+    for m in re.finditer(secrets.CANDIDATE, text):
+        name = re.match(secrets.NAME, m.group())
+        name = name.group() if name else ""
+        whole = m.group()[len(name) :]
+        value = re.sub(r"[.)\]};:!?*$#%&]+$", "", whole) if name else whole
+        found.append([value, text[at : m.start()][-secrets.BEFORE :] + name, whole[len(value) :], bool(name), m.end()])
+        at = m.end()
+    ends = [m.start() for m in re.finditer(secrets.CANDIDATE, text)][1:] + [len(text)]
+    out = []
+    for k, ((value, left, rest, named, end), stop) in enumerate(zip(found, ends[: len(found)], strict=True)):
+        before = left
+        for d in range(1, secrets.LOOK_BACK + 1):
+            if k >= d and not any(x.isalpha() for x in found[k - d + 1][1]):
+                before = found[k - d][1] + before
+            else:
+                break
+        if len(value) >= (8 if named else 16) and (named or re.search("[0-9]", value)):
+            out.append((value, before, (rest + text[end:stop])[: secrets.AFTER]))
+    return out
+
+
+def features_plain(value, before, after, path, model):
+    n, low = len(value), value.lower()
+    kind = {x: k for k, xs in secrets.CLASSES.items() for x in xs}
+    pairs = ["".join(kind.get(x, "o") for x in value[i : i + 2]) for i in range(max(1, n - 1))]
+    pieces = regex.split(r"[^\p{L}]+", regex.sub(r"(\p{Ll})(\p{Lu})", r"\1 \2", value).lower())
+    known = sum(len(p) for p in pieces if p in model.words)
+    count = lambda p, t=value: len(re.findall(p, t))
+    has = lambda p, t: float(bool(re.search(p, t)))
+    b, a = before.lower(), after.lower()
+    return [
+        n, count("[0-9]") / n, count("[A-Z]") / n, sum(model.table.get(p, 0) for p in pairs) / max(1, n - 1), len(set(value)) / n, has("^[0-9a-f]+$|^[0-9A-F]+$", value), has(r"(.)\1{4,}", value),
+        max(known, n - len(re.sub(f"({secrets.DICTIONARY})", "", low))) / n, count(r"[+/_\-.:]") / n, has(secrets.EXAMPLES, path), has(secrets.SECRET_NAMES, b), has(secrets.OTHER_NAMES, b),
+        has("[=:]\\s*[\"']?$", b), float(bool(re.search("[\"']$", b) and re.search("^[\"']", a))), has(f"{secrets.OTHER_NAMES}|{secrets.EXAMPLES}", a),
+    ]
+
+
+def awkward_texts(n=300):
+    rng = np.random.default_rng(9)
+    pieces = ["token=", "API_KEY: ", 'password = "', "'", '"', ",", ";", "&", ".", " ", "  ", "\n", "\t", "=", ":", "bearer ", "my-secret-id=", "x" * 70 + "token=", "0123456789abcdef", "deadbeefdeadbeefdeadbeef", "a" * 40, "A1b2C3d4E5f6G7h8I9", "word", "hunter2!", "é", "日本", "a.b.c.d.e.f", "xxxxxxxxxxxx", "/path/to/some-file/0001", "commit ", "####", "thonre", "CamelCaseWordHere", "1234-5678"]
+    return ["".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, 30))) for _ in range(n)]
+
+
+def test_secret_candidates_and_features(spark):
+    model = secrets.fit(secrets.labelled_findings(spark, 800, ["thonre", "word"]), ["thonre", "word", "path"])
+    texts = [*awkward_texts(), "", " ", "token=" * 50, "token=12345678." * 300, "z9" * 30_000, ("k" * 15 + " ") * 500]
+    df = spark.createDataFrame([(i, t, f"src{i % 3}/" + "test" * (i % 2)) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    c = F.col("_found")
+    rows = df.withColumn("_found", secrets.candidates(F.col("text"))).withColumn("x", F.transform(c, lambda c: F.array(*model.features(c, F.col("source"))))).collect()
+    n = 0
+    for r in rows:
+        want = candidates_plain(r.text)
+        assert [(c.value, c.before, c.after) for c in r._found] == want
+        for found, x in zip(want, r.x, strict=True):
+            assert np.allclose(x, features_plain(*found, r.source, model), atol=1e-12)
+            n += 1
+    assert n > 500
+
+
+def test_secrets(spark, odd, none, scanner):
     texts = {
         1: 'en token = "49ab8b03847754d938118ecf003181de2dc09b88" then',
         2: "see password=b7db7aa4a5fcc78305 and password=b7db7aa4a5fcc78305",
@@ -203,46 +270,73 @@ def test_secrets(spark, odd, none):
         4: "id 123e4567-e89b-12d3-a456-426614174000 in the list",
         5: "words and nothing else",
         6: "card 4785380592391139 of nobody",
+        7: "the password: required, token: whatever and secret = placeholder1",
+        8: 'pwd="qWxZpLmKvBtR"',
     }
     rows = spark.createDataFrame([(i, t, "src1", 3) for i, t in texts.items()], "doc_id long, text string, source string, value int")
-    out = {r.doc_id: r for r in secrets.redact(secrets.scan(rows, forest)).collect()}
-    assert out[1].text == 'en token = "<SECRET>" then' and out[2].text == "see password=<SECRET> and password=<SECRET>"
-    assert all(out[i].text == texts[i] for i in (3, 4, 5, 6))
-    assert rows.columns == secrets.redact(secrets.scan(rows, forest)).columns
-    before, after = (Counter((r.doc_id, r.text) for r in df.collect()) for df in (odd, secrets.redact(secrets.scan(odd, forest))))
-    assert before == after and secrets.scan(none, forest).collect() == []
+    out = {r.doc_id: r for r in secrets.redact(secrets.scan(rows, scanner)).collect()}
+    assert out[1].text == 'en token = "<SECRET>" then' and out[2].text == "see password=<SECRET> and password=<SECRET>" and out[8].text == 'pwd="<SECRET>"'
+    assert all(out[i].text == texts[i] for i in (3, 4, 5, 6, 7))
+    assert rows.columns == secrets.redact(secrets.scan(rows, scanner)).columns
+    before, after = (Counter((r.doc_id, r.text) for r in df.collect()) for df in (odd, secrets.redact(secrets.scan(odd, scanner))))
+    assert before == after and secrets.scan(none, scanner).collect() == []
+    assert secrets.corpus_words(none) == [] and "word" in secrets.corpus_words(odd)
+
+
+def test_secrets_without_findings(spark, odd):
+    f = secrets.labelled_findings(spark, 50)
+    for few, share in ((f.where("false"), 0.0), (f.where("secret > 0.5"), 1.0)):
+        model = secrets.fit(few)
+        found = secrets.scan(spark.createDataFrame([(1, "token=49ab8b03847754d938118ecf003181de2dc09b88")], "doc_id long, text string"), model).collect()
+        assert [c.probability for c in found[0]._candidates] == [share]
 
 
 def test_forest_expression_equals_the_model(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from lumaquery.llm.common import Scratch
 
+    model = secrets.Model({"dd": 0.3, "hd": -0.2}, [])
     f = secrets.labelled_findings(spark, 600)
-    x = f.select(F.col("secret").alias("label"), *[c.alias(n) for n, c in zip(secrets.FEATURES, secrets.features(F.struct("value", "before", "after"), F.col("path")), strict=True)])
+    x = f.select(F.col("secret").alias("label"), *[c.alias(n) for n, c in zip(secrets.FEATURES, model.features(F.struct("value", "before", "after"), F.col("path")), strict=True)])
     rows = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(x)
-    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(rows)
-    p = secrets.Forest(model.toDebugString).probability([F.col(c) for c in secrets.FEATURES])
-    pairs = model.transform(rows).select("prediction", p.alias("p")).collect()
-    assert np.mean([(r.p > 0.5) == (r.prediction > 0.5) for r in pairs if abs(r.p - 0.5) > 1e-9]) > 0.97
+    forest = RandomForestClassifier(numTrees=7, maxDepth=5, seed=1).fit(rows)
+    at = Scratch(spark, "forest").path()
+    forest.write().save(at)
+    model.trees = secrets.saved_trees(spark, at)
+    pairs = forest.transform(rows).select(vector_to_array("probability")[1].alias("want"), model.probability([F.col(c) for c in secrets.FEATURES]).alias("got")).collect()
+    assert np.allclose([r.want for r in pairs], [r.got for r in pairs], atol=1e-9) and len(pairs) == 600
+
+
+def test_secrets_planted_in_the_corpus(spark):
+    """Every token of 40 digits beside its name is found; card numbers and the like are left."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = re.compile(r"(?i)token\s*=\s*\"([0-9a-f]{40})\"")
+    found = secrets.scan(docs, secrets.train(docs)).select("text", "_secrets").where("text rlike '(?i)token' or size(_secrets) > 0").collect()
+    pairs = [(set(planted.findall(r.text)), set(r._secrets)) for r in found]
+    hits, want, got = (sum(map(len, x)) for x in ([a & b for a, b in pairs], [a for a, _ in pairs], [b for _, b in pairs]))
+    assert want > 100 and hits >= 0.98 * want and hits >= 0.98 * got
 
 
-def test_secrets_of_one_word(spark):
-    forest = secrets.fit(secrets.labelled_findings(spark))
+def test_secrets_of_one_word(spark, scanner):
     key, ghp = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "ghp_Zk3vQ9xLmT27hPwR5bYcN8sJdF4gXa61KuEo"
-    jwt = [f"eyJhbGciOiJIUzI1NiJ{x}Q7" for x in "abc"]
+    jwt = ".".join(f"eyJhbGciOiJIUzI1NiJ{x}Q7" for x in "abc")
     rows = [
         (1, '{"id":"d41d8cd98f00b204e9800998ecf8427e","token":"%s","api_key":"%s"}' % (ghp, key)),
         (2, f"https://api.example.com/oauth/authorize/callback?token={key}"),
-        (3, f"token = {'.'.join(jwt)} end"),
+        (3, f"token = {jwt} end"),
         (4, f"secret:{key};" * 500),
+        (5, f"documentation-page-archive;token={key}"),
+        (6, f"a={key},b={key}00"),
     ]
-    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()}
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()}
     values = {i: [c.value for c in r._candidates] for i, r in out.items()}
-    assert values == {1: ["d41d8cd98f00b204e9800998ecf8427e", ghp, key], 2: [key], 3: jwt, 4: [key] * 500}
+    assert values == {1: ["d41d8cd98f00b204e9800998ecf8427e", ghp, key], 2: [key], 3: [jwt], 4: [key] * 500, 5: [key], 6: [key, key + "00"]}
     assert [c.before for c in out[1]._candidates] == ['{"id":"', '","token":"', '","api_key":"']
-    assert [c.before for c in out[3]._candidates] == ["token = ", "token = .", "token = .."]
-    assert ghp in out[1]._secrets and key in out[1]._secrets and out[2]._secrets == [key] and out[4]._secrets == [key]
-    clean = {r.doc_id: r.text for r in secrets.redact(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest)).collect()}
+    assert ghp in out[1]._secrets and key in out[1]._secrets and out[2]._secrets == [key] and out[4]._secrets == [key] and out[3]._secrets == [jwt]
+    clean = {r.doc_id: r.text for r in secrets.redact(secrets.scan(spark.createDataFrame(rows[:5], "doc_id long, text string"), scanner)).collect()}
     assert not any(key in t or ghp in t for t in clean.values()) and clean[2].endswith("?token=<SECRET>")
 
 
