@@ -13,6 +13,12 @@ Documents of equal fingerprints are one class from the start, so copies cost
 nothing further.  In a table's bucket the classes are compared in chunks of
 bounded size (each pair of chunks is a group of its own), and a group gives only
 a spanning forest of its links, never all pairs.
+
+``components`` links by fingerprints alone.  ``deduplicate`` keeps one document of
+each group whose five-word shingles are at least 0.8 similar.  There fingerprints
+alone would find little, as a pair of similarity 0.8 differs in about 10 bits: the
+covering tables give one kind of candidates, MinHash bands the others, and all are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -57,7 +63,14 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         return xxhash.xxh64_intdigest(b" ".join(w), 42)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     n = len(w) - words + 1
-    h = np.fromiter((digest(join(w[i : i + words]), 42) for i in range(n)), np.uint64, n)
+    return of_hashes(np.fromiter((digest(join(w[i : i + words]), 42) for i in range(n)), np.uint64, n))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """SimHash of the 64-bit hashes of a text's shingles, zero without any."""
+    n = len(h)
+    if not n:
+        return 0
     counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(np.packbits(counts.ravel() * 2 > n, bitorder="little").view("<u8")[0])
 
@@ -126,14 +139,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "simhash")
     fps = scratch.write(fingerprints(docs, id_col, text_col))
     classes = scratch.write(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = scratch.write(_links(scratch, classes, radius, chunk))
+    found_links = scratch.write(links(scratch, classes, radius, chunk))
     # two fingerprints of one id are linked through it
-    found = connected_components(spark, scratch, links)
+    found = connected_components(spark, scratch, found_links)
     whole = scratch.write(classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
     return fps.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _links(scratch: Scratch, classes: DataFrame, radius: int, chunk: int) -> DataFrame:
+def links(scratch: Scratch, classes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Links that join the fingerprint classes of every bucket, as (src, dst) ids."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).alias("m")) for i, m in enumerate(masks(radius))])
     keyed = classes.select("fp", "node", F.explode(tables).alias("x")).select("fp", "node", "x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"))
@@ -149,3 +162,10 @@ def _links(scratch: Scratch, classes: DataFrame, radius: int, chunk: int) -> Dat
 
 def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that are similar to another that stays; see ``similar.deduplicate``."""
+    from .similar import deduplicate as work
+
+    return work(docs, id_col, text_col)

@@ -1,10 +1,11 @@
-"""Documents that repeat an earlier one: shingle similarity of at least a threshold.
+"""Near duplicates by shingle similarity of at least a threshold, part of the SimHash operator.
 
 A document is the set of its five-word shingles.  Documents of equal sets are one
-class.  Classes that agree in a band of a MinHash signature are candidates: with
-32 bands of 6 values a pair of similarity 0.8 is missed with probability
-(1 - 0.8 ** 6) ** 32, which is 6e-5.  Candidates count only after their sets
-have been compared whole.
+class.  Classes whose SimHash fingerprints meet in a covering table (3 bits or fewer
+apart) are candidates.  As few pairs of similarity 0.8 are that near, classes that
+agree in a band of a MinHash signature are candidates too: with 32 bands of 6
+values a pair of similarity 0.8 is missed with probability (1 - 0.8 ** 6) ** 32,
+which is 6e-5.  Candidates count only after their sets have been compared whole.
 
 Candidates that hang together are compared in groups of bounded size, two chunks
 at a time.  In a group the smallest id leads: what is similar to it is linked to
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Scratch, hash_words, mix, text_column, words_of
 from .components import connected_components
 
@@ -37,14 +39,19 @@ _A = _RNG.integers(0, 1 << 63, BANDS * BAND_VALUES, np.uint64) * np.uint64(2) +
 _B = _RNG.integers(0, 1 << 63, BANDS * BAND_VALUES, np.uint64)
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; a shorter text is one shingle."""
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, repeats included; a shorter text is one shingle."""
     h = hash_words(words_of(text))
     n = max(1, len(h) - words + 1)
     out = np.zeros(n if len(h) else 0, np.uint64)
     for k in range(min(words, len(h))):
         out = mix(out, h[k : k + n])
-    return np.unique(out)
+    return out
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def band_keys(sets: np.ndarray) -> np.ndarray:
@@ -68,10 +75,23 @@ def digest(sets: np.ndarray) -> int:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t or "") for t in b.column("text").to_pylist()]
+        every = [shingle_hashes(t or "") for t in b.column("text").to_pylist()]
+        fps = np.array([simhash.of_hashes(h) for h in every], np.uint64).view(np.int64)
+        sets = list(map(np.unique, every))
         nodes = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
         keys = [band_keys(s).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "keys"])
+
+
+def _nodes(text_col: str):
+    """Rows with the class of their text in a last column."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = np.array([digest(shingles(t or "")) for t in b.column(text_col).cast(pa.string()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes)], names=[*b.schema.names, "_node"])
+
+    return work
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,21 +145,51 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: of what is linked that of the smallest id.
+
+    Rows of the same id count as one document, of which the row of the smallest text
+    stays.  Rows without an id are compared by their whole shingle sets only: of those
+    with equal sets the one of the smallest text stays, and none if a row with an id
+    has that set.  Null and empty texts are one class.
+    """
+    own = docs.columns
+    found, classes = _kept(docs, id_col, text_col, chunk)
+    place = F.struct(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(*[f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]))
+    first = F.min_by(F.struct(*[f"`{c}`" for c in own]), place).alias("_row")
+    known = docs.where(F.col(id_col).isNotNull()).withColumn("_id", F.col(id_col).cast("long"))
+    known = known.join(found.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").groupBy("_id").agg(first).select("_row.*")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    loose = docs.where(F.col(id_col).isNull()).mapInArrow(_nodes(text_col), f"{fields}, _node long")
+    loose = loose.join(classes.select(F.col("node").alias("_node")), "_node", "left_anti").groupBy("_node").agg(first).select("_row.*")
+    return known.unionAll(loose)
+
+
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``doc_id`` of the documents that stay: the smallest id of what is linked.
 
     Rows without an id are left out; rows of the same id count as one document.
     """
+    return _kept(docs, id_col, text_col, chunk)[0]
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Ids that stay, and the classes of all rows with an id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "similar")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    rows = scratch.write(texts.mapInArrow(_signatures, "doc_id long, node long, keys array<long>"))
-    classes = scratch.write(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")))
+    rows = scratch.write(texts.mapInArrow(_signatures, "doc_id long, node long, fp long, keys array<long>"))
+    classes = scratch.write(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
 
+    # candidates: equal or near fingerprints, and equal bands
+    same = scratch.write(classes.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = classes.join(same.withColumnRenamed("node", "dst"), "fp").where("node <> dst").select(F.col("node").alias("src"), "dst")
+    near = simhash.links(scratch, same)
     keyed = classes.select("node", F.explode("keys").alias("key"))
     shared = scratch.write(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    met = scratch.write(keyed.join(shared, "key").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct())
+    banded = keyed.join(shared, "key").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
+    met = scratch.write(banded.unionAll(equal).unionAll(near).distinct())
     together = scratch.write(connected_components(spark, scratch, met))
 
     sizes = together.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
@@ -155,4 +205,4 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk:
     links = scratch.write(links.unionAll(rows.join(several, "doc_id").select(F.col("node").alias("src"), "dst")).distinct())
     found = connected_components(spark, scratch, links)
     whole = classes.select("node", "first").join(found, "node", "left").select(F.coalesce("component", "node").alias("c"), "first")
-    return scratch.write(whole.groupBy("c").agg(F.min("first").alias("doc_id")).select("doc_id"))
+    return scratch.write(whole.groupBy("c").agg(F.min("first").alias("doc_id")).select("doc_id")), classes

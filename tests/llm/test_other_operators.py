@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumaquery.llm import quality, queries, secrets, similar, topk, toxicity, urls
+from lumaquery.llm import quality, queries, secrets, simhash, similar, topk, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -363,6 +363,19 @@ def test_pipeline_drops_planted_near_copies(spark, sf_dir):
     assert {r.doc_id for r in similar.kept(docs, chunk=1).collect()} == want
 
 
+def test_deduplicate_repeated_and_missing_ids(spark, odd, none):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1), 9), (1, text(2), 8), (1, text(1), 9), (2, text(2), 7), (3, text(3), 1), (4, text(3) + " more", 1), (None, text(3).upper(), 5), (None, text(4), 2), (None, text(4), 2), (None, text(4).upper(), 3), (5, None, 0), (6, "", 0), (7, " ", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _node int")
+    docs = docs.withColumnRenamed("_node", "fp").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    # ids 1 and 2 are linked by a text of id 1; of texts without an id one of each set that no id has
+    assert Counter((r.doc_id, r.text, r.fp) for r in got.collect()) == Counter([(1, text(1), 9), (3, text(3), 1), (None, text(4).upper(), 3), (5, None, 0)])
+    assert simhash.deduplicate(none).collect() == []
+    assert len(simhash.deduplicate(odd).collect()) == len({r.doc_id for r in similar.kept(odd).collect()}) + 1
+
+
 def test_pipeline_stages(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}

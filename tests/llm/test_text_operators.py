@@ -79,7 +79,7 @@ def test_simhash_chunks_of_a_bucket(spark):
     from lumaquery.llm.components import connected_components
 
     s = Scratch(spark, "t")
-    found = dict(connected_components(spark, s, simhash._links(s, table, 3, 7)).collect())
+    found = dict(connected_components(spark, s, simhash.links(s, table, 3, 7)).collect())
     low = {k: k for _, k in rows}
     for _ in rows:
         for fa, a in rows:
