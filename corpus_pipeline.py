@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaquery.llm import packing, quality, queries, secrets, similar, toxicity
+from lumaquery.llm import packing, quality, queries, secrets, simhash, toxicity
 from lumaquery.llm.common import Scratch
 
 
@@ -27,15 +27,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more (five-word shingles) that of the smallest id stays, once; rows without an id stay."""
-    kept = docs.where("doc_id is not null").join(similar.kept(docs), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of documents linked by a similarity of 0.8 or more (five-word shingles) that of the smallest id stays, once."""
+    return simhash.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mask; every document stays."""
-    forest = secrets.fit(secrets.labelled_findings(spark))
-    return secrets.redact(secrets.scan(docs, forest)).select(*docs.columns)
+    return secrets.redact(secrets.scan(docs, secrets.train(docs))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
