@@ -122,7 +122,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     from .urls import filter_urls
 
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    values = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, action)")
     pages = parquet(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 

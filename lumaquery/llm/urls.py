@@ -1,11 +1,16 @@
-"""URL filters: listed canonical URLs, found by a blocked Bloom filter and an exact join.
+"""URL filters: listed canonical URLs, found by a blocked Bloom filter and exact joins.
 
 A list entry is a host and the beginning of a path, with an action.  It fits its
 host and all subdomains where the path begins so; of several the longest counts.
-A URL's candidates are the ends of its host with the beginnings of its path, of
-the lengths that occur in the list.  A blocked Bloom filter (blocks of four
-64-bit words, a bit in each) passes possible hits on to the exact hash join with
-the list, which removes false positives.  DataFrame operations only.
+The ends of a URL's host are tried first.  What a blocked Bloom filter (blocks of
+four 64-bit words, a bit in each) of the listed hosts and entries lets pass is
+joined with the listed hosts, which tells the lengths of the paths listed for each
+host.  Beginnings of the URL's path of these lengths are tried likewise and joined
+with the entries.  The exact joins remove the filter's false positives.
+
+The filter is a table of blocks and is joined by block number, so it may be as long
+as the list needs; Spark's own size check decides whether it is broadcast.
+DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -18,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Bits an entry in the filter, and the largest filter that is broadcast; a longer
-#: list goes to the exact join unfiltered.
-BITS, MAX_FILTER_BYTES = 16, 8_000_000
+#: Bits of the filter for each key.
+BITS = 16
 WORDS = 4
 
 
@@ -39,29 +43,34 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return out.drop("_rest")
 
 
-def candidates(labels: int, lengths: list[int]) -> Column:
-    """Ends of up to ``labels`` labels of the host, with beginnings of the path."""
+def host_ends(labels: int) -> Column:
+    """Ends of up to ``labels`` labels of the host."""
     parts = F.slice(F.reverse(F.split("host", r"\.")), 1, labels)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.reverse(F.slice(parts, F.lit(1), n)), "."))
-    paths = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.reverse(F.slice(parts, F.lit(1), n)), "."))
 
 
-def _bits(key: Column, blocks: int) -> list[tuple[Column, Column]]:
-    """For each word of its block, the key's place in the filter and its bit."""
-    block, h = F.pmod(F.xxhash64(key), F.lit(blocks)), F.xxhash64(key, F.lit(1))
-    return [((block * WORDS + i).cast("int"), F.shiftright(h, 6 * i).bitwiseAND(63).cast("int")) for i in range(WORDS)]
+def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
+    """The key's block and its bit in each word of the block."""
+    h = F.xxhash64(key, F.lit(1))
+    one = F.lit(1).cast("long")
+    return F.pmod(F.xxhash64(key), F.lit(blocks)), [F.call_function("shiftleft", one, F.shiftright(h, 6 * i).bitwiseAND(63).cast("int")) for i in range(WORDS)]
 
 
-def bloom(entries: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """The filter of ``entries.rule`` as one row with an array of 64-bit words, and its number of blocks."""
+def bloom(keys: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The filter of ``keys.key`` (``n`` of them) as rows of a block number and its words, and the number of blocks."""
     blocks = max(1, math.ceil(n * BITS / (64 * WORDS)))
-    places = F.array(*[F.struct(p.alias("p"), b.alias("b")) for p, b in _bits(F.col("rule"), blocks)])
-    bits = entries.select(F.explode(places).alias("x")).select("x.p", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.b")).alias("w"))
-    words = entries.sparkSession.range(blocks * WORDS).select(F.col("id").cast("int").alias("p"), F.lit(0).cast("long").alias("w")).unionAll(bits)
-    words = words.groupBy("p").agg(F.bit_or("w").alias("w"))
-    row = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]).alias("words"))
-    return row, blocks  # at most MAX_FILTER_BYTES
+    block, bits = _bits(F.col("key"), blocks)
+    rows = keys.select(block.alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(bits)])
+    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
+
+
+def passing(tried: DataFrame, key: Column, table: DataFrame, blocks: int) -> DataFrame:
+    """Rows whose key the filter lets pass: all listed ones and few others."""
+    block, bits = _bits(key, blocks)
+    hit = F.lit(True)
+    for i, b in enumerate(bits):
+        hit = hit & (F.col(f"w{i}").bitwiseAND(b) != 0)
+    return tried.withColumn("block", block).join(table, "block").where(hit).drop("block", *[f"w{i}" for i in range(WORDS)])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -72,24 +81,28 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     ``default``; so has every URL if the list is empty.  Columns of ``pages`` with
     the names of results are replaced.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "urls")
+    scratch = Scratch(pages.sparkSession, "urls")
     parted = with_parts(pages.drop("host", "path", "rule", "verdict"), url_col)
-    listed = rules.where("host is not null and path is not null and action is not null").select(F.concat("host", "path").alias("rule"), F.length("host").alias("_host"), F.size(F.split("host", r"\.")).alias("_labels"), F.length("path").alias("_path"), "action")
-    listed = scratch.write(listed.groupBy("rule", "_host", "_labels", "_path").agg(F.max("action").alias("action")))  # block comes after allow
-    n, labels, lengths = listed.agg(F.count("*"), F.max("_labels"), F.collect_set("_path")).first()
+    whole = rules.where("host is not null and path is not null and action is not null").groupBy("host", "path").agg(F.max("action").alias("action"))  # block comes after allow
+    listed = scratch.write(whole.select(F.concat("host", "path").alias("rule"), F.length("host").alias("_host"), "action", "host", "path"))
+    n, labels = listed.agg(F.count("*"), F.max(F.size(F.split("host", r"\.")))).first()
     if not n:
         return parted.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    tried = parted.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("_url"), F.explode(candidates(labels, sorted(lengths))).alias("rule"))
-    if n * BITS / 8 <= MAX_FILTER_BYTES:
-        row, blocks = bloom(listed, n)
-        words = scratch.write(row).scalar()
-        test = [F.get(words, p).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0 for p, b in _bits(F.col("rule"), blocks)]
-        tried = tried.where(test[0] & test[1] & test[2] & test[3])
-    hits = tried.join(listed, "rule")
+    hosts = scratch.write(listed.groupBy("host").agg(F.sort_array(F.collect_set(F.length("path"))).alias("_lengths")))
+    entry = lambda host, path: F.concat_ws("\x00", host, path)
+    keys = hosts.select(F.col("host").alias("key")).unionAll(listed.select(entry("host", "path").alias("key")))
+    table, blocks = bloom(keys, 2 * n)
+    table = scratch.write(table)
+    tried = parted.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("_url"), "path", F.explode(host_ends(labels)).alias("_end"))
+    tried = passing(tried, F.col("_end"), table, blocks).join(hosts.withColumnRenamed("host", "_end"), "_end")
+    begins = F.transform(F.filter("_lengths", lambda k: k <= F.length("path")), lambda k: F.left("path", k))
+    tried = tried.select("_url", "_end", F.explode(begins).alias("_begin"))
+    entries = listed.select(F.col("host").alias("_end"), F.col("path").alias("_begin"), "rule", "_host", "action")
+    hits = passing(tried, entry("_end", "_begin"), table, blocks).join(entries, ["_end", "_begin"])
     longest = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), "_host"))
     best = scratch.write(hits.groupBy("_url").agg(longest.alias("b")).select("_url", "b.rule", F.col("b.action").alias("_action")))
     known = parted.where(F.col(url_col).isNotNull())
-    out = known.join(best, known[url_col] == best["_url"], "left").drop("_url")
+    # grows with the pages, so it is never broadcast
+    out = known.join(best.hint("merge"), known[url_col] == best["_url"], "left").drop("_url")
     none = parted.where(F.col(url_col).isNull()).withColumn("rule", F.lit(None).cast("string")).withColumn("_action", F.lit(None).cast("string"))
     return out.unionByName(none).withColumn("verdict", F.coalesce("_action", F.lit(default))).drop("_action")

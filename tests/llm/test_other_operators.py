@@ -174,24 +174,40 @@ def url_plain(url):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("limit", [urls.MAX_FILTER_BYTES, 0])
-def test_urls(spark, monkeypatch, limit):
-    monkeypatch.setattr(urls, "MAX_FILTER_BYTES", limit)
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_urls(spark, broadcast):
+    """The same whether Spark broadcasts the filter and the list or shuffles them."""
     pages = spark.createDataFrame([(k % 15, u, "r", "h") for k, u in enumerate(URLS)], "page_id long, url string, rule string, host string")
     rules = spark.createDataFrame(queries.RULES, "host string, path string, action string")
-    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, rules).collect())
-    assert got == Counter((k % 15, *url_plain(u)) for k, u in enumerate(URLS))
-    assert urls.filter_urls(pages.where("false"), rules).collect() == []
-    assert {r.verdict for r in urls.filter_urls(pages, rules.where("false")).collect()} == {"allow"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, rules).collect())
+        assert got == Counter((k % 15, *url_plain(u)) for k, u in enumerate(URLS))
+        assert urls.filter_urls(pages.where("false"), rules).collect() == []
+        assert {r.verdict for r in urls.filter_urls(pages, rules.where("false")).collect()} == {"allow"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_urls_of_a_long_list(spark):
+    """Thousands of entries, many below one host, with paths of many lengths."""
+    rng = np.random.default_rng(7)
+    paths = ["/" + "ab"[k % 2] * int(rng.integers(0, 40)) + str(k % 7) for k in range(1500)]
+    rules = {(f"h{k % 300}.org" if k % 3 else "big.org", p): "block" if k % 2 else "allow" for k, p in enumerate(paths)}
+    pages = [(k, f"http://x.{h}{p}{'tail' * (k % 3)}") for k, (h, p) in enumerate(rules)] + [(9000 + k, f"http://other{k}.net/") for k in range(300)]
+    found = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(h, p, a) for (h, p), a in rules.items()], "host string, path string, action string")).collect()
+    for r in found:
+        fits = [(len(h + p), len(h), h + p, a) for (h, p), a in rules.items() if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == max(fits, default=(0, 0, None, "allow"))[2:]
+    assert len(found) == len(pages)
 
 
 def test_bloom_has_no_false_negative(spark):
-    listed = spark.range(3000).select(F.concat(F.lit("host"), F.col("id").cast("string"), F.lit(".org/")).alias("rule"))
-    row, blocks = urls.bloom(listed, 3000)
-    words = row.scalar()
-    test = [F.get(words, p).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b)) != 0 for p, b in urls._bits(F.col("rule"), blocks)]
-    passed = lambda df: df.where(test[0] & test[1] & test[2] & test[3]).count()
-    other = spark.range(3000).select(F.concat(F.lit("other"), F.col("id").cast("string"), F.lit(".org/")).alias("rule"))
+    listed = spark.range(3000).select(F.concat(F.lit("host"), F.col("id").cast("string"), F.lit(".org/")).alias("key"))
+    table, blocks = urls.bloom(listed, 3000)
+    passed = lambda df: urls.passing(df, F.col("key"), table, blocks).count()
+    other = spark.range(3000).select(F.concat(F.lit("other"), F.col("id").cast("string"), F.lit(".org/")).alias("key"))
     assert passed(listed) == 3000 and passed(other) < 300
 
 
