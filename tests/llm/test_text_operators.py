@@ -208,7 +208,7 @@ def test_token_ids(odd, docs, spark):
         manifest = tokenids.write(df, at, PATH, end_id=2, shard_ids=3000)
         got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenids.with_start(tokenids.read(spark, at), manifest).collect()]
         want, start = [], 0
-        for i, t in sorted(rows_of(df), key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode())):
+        for i, t in sorted(rows_of(df), key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64))):
             ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
             want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
@@ -219,10 +219,29 @@ def test_token_ids(odd, docs, spark):
     assert found == {i: [*tok.encode(text[i] or "", add_special_tokens=False).ids, 2] for i in (3, 5)}
 
 
+def test_fetch_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(tokenids, "GROUP", 3)
+    monkeypatch.setattr(tokenids, "BLOCK", 2)
+    rows = [(7 * (k // 3), f"text number {k}") for k in range(900)] + [(700, f"many {k}") for k in range(200)] + [(None, "no id")] * 40
+    at = Scratch(spark, "ids").path("shards")
+    manifest = tokenids.write(spark.createDataFrame(rows, "doc_id long, text string"), at, PATH, end_id=2, shard_ids=60)
+    got = tokenids.with_start(tokenids.read(spark, at), manifest).orderBy("start").collect()
+    assert manifest.count() > 40 and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    keys = spark.createDataFrame([(k,) for k in [*range(-5, 2200), 700, None, 2**62]], "doc_id long")
+    found = Counter((r.doc_id, zlib.crc32(r.ids)) for r in tokenids.fetch(spark, at, keys).collect())
+    first = {}
+    for r in got:
+        if r.doc_id is not None:
+            first.setdefault(r.doc_id, r.ids_crc32)
+    assert found == Counter(first.items())
+
+
 def test_token_ids_empty(none, spark):
     at = Scratch(spark, "ids").path("shards")
     manifest = tokenids.write(none, at, PATH, end_id=2)
     assert tokenids.with_start(tokenids.read(spark, at), manifest).collect() == []
+    assert tokenids.fetch(spark, at, none).collect() == [] == tokenids.fetch(spark, at, spark.createDataFrame([(1,)], "doc_id long")).collect()
 
 
 def test_perfect_hash():
