@@ -4,11 +4,15 @@ Each text has five transformed statistics.  For every language and source a
 minimum-covariance-determinant estimate describes the ordinary texts: starting
 from medians and quartiles, concentration steps keep the three quarters of a
 group's texts that are nearest in Mahalanobis distance and take their mean and
-covariance anew, which lowers the determinant each time.  A text beyond the
-chi-squared limit of its group is rejected.
-
-Groups of fewer than ``SMALL`` texts are put together by language, and if still
-too few, all together.  Estimates go to the rows by broadcast where their measured size
+covariance anew, which lowers the determinant each time.  A text that is not among
+the nearest three quarters of its language, by the distance from its own group, is
+left out as well, so that a few odd texts can't carry a small group.  A text beyond
+the chi-squared limit of its group is rejected.
+
+Every group has an estimate of its own at every size.  Its mean and covariance are
+shrunk towards its language's with the weight of ``SHRINK`` texts, and those of the
+language towards those of all texts, so that few texts lean on what is like them
+and many hardly do.  Estimates go to the rows by broadcast where their measured size
 allows it, so that a large group stays spread over its scan's tasks; beyond that they are
 joined by shuffle, where Spark's skew join splits a large group.  A group's threshold comes from a histogram of distances
 and its moments from sums, so the largest group is pre-aggregated in every task.
@@ -24,7 +28,8 @@ from .common import Scratch, bounded, text_column
 MIN_WORDS = 50
 #: Per cent of words in repeated windows beyond which a text fails.
 MAX_REPEAT = 50
-SMALL = 50
+#: Texts that the wider estimate counts for in a narrower one.
+SHRINK = 50
 STEPS = 4
 SHARE = 0.75
 #: Chi-squared with 5 degrees of freedom at an upper tail of 1e-6, and
@@ -34,7 +39,7 @@ LIMIT, CONSISTENT = 36.9, 1.41
 #: differences below it never count as unusual, even if a group's texts are all alike.
 VECTOR = {"x_words": 1.0, "x_length": 0.08, "x_symbols": 0.3, "x_lines": 0.15, "x_repeat": 0.15}
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_X = list(VECTOR)
+_X, _GROUP = list(VECTOR), ["_lang", "_source"]
 _PAIRS = [(i, j) for i in range(len(_X)) for j in range(i + 1)]
 
 
@@ -95,7 +100,7 @@ def _factor(moments: DataFrame) -> DataFrame:
         for k in range(j):
             value = value - F.col(f"c{i}{k}") * F.col(f"c{j}{k}")
         out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"c{j}{j}"))
-    return out.select("key", *[f"m{i}" for i in range(len(_X))], *[f"c{i}{j}" for i, j in _PAIRS])
+    return out.select(*_GROUP, *[f"m{i}" for i in range(len(_X))], *[f"c{i}{j}" for i, j in _PAIRS])
 
 
 def estimates(scratch: Scratch, rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -103,34 +108,52 @@ def estimates(scratch: Scratch, rows: DataFrame, steps: int = STEPS) -> DataFram
 
     ``rows``: written rows with ``_lang``, ``_source`` and the vector, of texts that passed the base limits.
     """
-    sizes = rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    small = F.col("n") < SMALL
-    by_lang = F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("_lang"))
-    key = F.when(~small, F.concat_ws("\x00", F.lit("s"), "_lang", "_source")).when(F.col("of_lang") >= SMALL, F.concat_ws("\x00", F.lit("l"), "_lang")).otherwise("rest")
-    keys = scratch.write(sizes.withColumn("of_lang", by_lang).select("_lang", "_source", key.alias("key")))
-    rows = scratch.write(rows.join(bounded(keys), ["_lang", "_source"]).select("key", *_X))
-    quartiles = rows.groupBy("key").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in _X])
+    quartiles = rows.groupBy(*_GROUP).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in _X])
     start = [F.col(x)[1].alias(f"m{i}") for i, x in enumerate(_X)]
     zero = [(F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(VECTOR[x])) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS for x in [_X[i]]]
-    now = scratch.write(quartiles.select("key", *start, *zero))
+    now = scratch.write(quartiles.select(*_GROUP, *start, *zero))
     for _ in range(steps):
-        placed = rows.join(bounded(now), "key").select("key", *_X, F.least(F.floor(16 * F.log2(1 + _distance())), F.lit(1000)).cast("int").alias("bin"))
-        # written, so that the counts are dealt by key and bin, not by the key of the largest group
-        binned = scratch.write(placed.groupBy("key", "bin").agg(F.count("*").alias("n")))
-        order = Window.partitionBy("key").orderBy("bin")
-        upto = binned.withColumn("below", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("key")))
-        edge = scratch.write(upto.where(F.col("below") < SHARE * F.col("all")).groupBy("key").agg(F.max("bin").alias("edge")))
-        near = placed.join(bounded(edge), "key").where("bin <= edge")
-        sums = near.groupBy("key").agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(_X)], *[F.covar_pop(_X[i], _X[j]).alias(f"s{i}{j}") for i, j in _PAIRS])
-        now = scratch.write(_factor(sums))
-    return scratch.write(keys.join(now, "key").drop("key"))
+        placed = rows.join(bounded(now), _GROUP).select(*_GROUP, *_X, F.least(F.floor(16 * F.log2(1 + _distance())), F.lit(1000)).cast("int").alias("bin"))
+        # written, so that the counts are dealt by group and bin, not by the largest group
+        binned = scratch.write(placed.groupBy(*_GROUP, "bin").agg(F.count("*").alias("n")))
+        of_lang = _edge(binned.groupBy("_lang", "bin").agg(F.sum("n").alias("n")), ["_lang"]).select("_lang", F.col("edge").alias("wide"))
+        limit = F.least("edge", F.greatest("wide", "low"))
+        edge = scratch.write(_edge(binned, _GROUP).join(of_lang, "_lang").select(*_GROUP, limit.alias("edge")))
+        near = placed.join(bounded(edge), _GROUP).where("bin <= edge")
+        sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"t{i}") for i, x in enumerate(_X)], *[F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"u{i}{j}") for i, j in _PAIRS]]
+        now = scratch.write(_factor(_shrunk(scratch.write(near.groupBy(*_GROUP).agg(*sums)))))
+    return now
+
+
+def _edge(binned: DataFrame, keys: list[str]) -> DataFrame:
+    """The bin up to which a group's nearest ``SHARE`` of texts go, and its first bin; a row for each bin comes in."""
+    upto = binned.withColumn("below", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    return upto.where(F.col("below") < SHARE * F.col("all")).groupBy(*keys).agg(F.max("bin").alias("edge"), F.min("bin").alias("low"))
+
+
+def _shrunk(sums: DataFrame) -> DataFrame:
+    """Means m* and covariances s* of each group from its sums, leaning on its language's and those on all."""
+    names = ["n", *[f"t{i}" for i in range(len(_X))], *[f"u{i}{j}" for i, j in _PAIRS]]
+    total = [F.sum(x).alias(x) for x in names]
+
+    def moments(row) -> dict[str, Column]:
+        mean = {f"m{i}": row(f"t{i}") / row("n") for i in range(len(_X))}
+        return mean | {f"s{i}{j}": row(f"u{i}{j}") / row("n") - mean[f"m{i}"] * mean[f"m{j}"] for i, j in _PAIRS}
+
+    lean = lambda row, own, wider: {k: (row("n") * v + SHRINK * wider[k]) / (row("n") + SHRINK) for k, v in own.items()}
+    of_all = sums.agg(*total).first()
+    whole = {k: F.lit(v) for k, v in moments(lambda x: float(of_all[x] or 0)).items()} if of_all["n"] else {k: F.lit(0.0) for k in moments(F.col)}
+    languages = sums.groupBy("_lang").agg(*total)
+    languages = languages.select("_lang", *[v.alias(f"l{k}") for k, v in lean(F.col, moments(F.col), whole).items()])
+    shrunk = lean(F.col, moments(F.col), {k: F.col(f"l{k}") for k in whole})
+    return sums.join(languages, "_lang").select(*_GROUP, *[v.alias(k) for k, v in shrunk.items()])
 
 
 def _judged(scratch: Scratch, written: DataFrame) -> DataFrame:
     """Rows with statistics, language and source get ``base_failed`` and ``kept``."""
     rows = written.select("_lang", "_source", base_failed().alias("_failed"), *[c.alias(n) for n, c in _vector().items()]).where("not _failed")
     found = estimates(scratch, rows.drop("_failed"))
-    judged = written.withColumns(_vector()).join(bounded(found), ["_lang", "_source"], "left").withColumn("base_failed", base_failed())
+    judged = written.withColumns(_vector()).join(bounded(found), _GROUP, "left").withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(_distance() <= LIMIT, F.lit(True)))
 
 

@@ -114,18 +114,34 @@ def test_quality_statistics(table, request):
     assert all(not r.kept for r in got if r.base_failed)
 
 
-def mcd_plain(x):
-    """The same concentration steps over one group's vectors."""
+def mcd_plain(groups):
+    """The same concentration steps over all groups: squared distances of each group's vectors."""
     floors = np.array(list(quality.VECTOR.values()))
-    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    mean, cov = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floors) ** 2)
-    distance = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    estimates = {}
+    for k, x in groups.items():
+        q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        estimates[k] = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floors) ** 2)
+
+    def distance(k):
+        mean, cov = estimates[k]
+        return np.einsum("ij,jk,ik->i", groups[k] - mean, np.linalg.inv(cov), groups[k] - mean)
+
+    moments = lambda x: (x.mean(0), np.cov(x.T, bias=True))
+    lean = lambda n, own, wider: tuple((n * a + quality.SHRINK * b) / (n + quality.SHRINK) for a, b in zip(own, wider, strict=True))
     for _ in range(quality.STEPS):
-        bins = np.minimum(np.floor(16 * np.log2(1 + distance())), 1000)
-        edge = max(b for b in set(bins) if (bins < b).sum() < quality.SHARE * len(x))
-        near = x[bins <= edge]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality.CONSISTENT + np.diag(floors**2)
-    return distance()
+        bins = {k: np.minimum(np.floor(16 * np.log2(1 + distance(k))), 1000) for k in groups}
+        edge = lambda b: max(x for x in set(b) if (b < x).sum() < quality.SHARE * len(b))
+        wide = {lang: edge(np.concatenate([b for k, b in bins.items() if k[0] == lang])) for lang in {k[0] for k in groups}}
+        near = {k: x[bins[k] <= min(edge(bins[k]), max(wide[k[0]], bins[k].min()))] for k, x in groups.items()}
+        whole = moments(np.concatenate(list(near.values())))
+        langs = {}
+        for lang in {k[0] for k in near}:
+            x = np.concatenate([v for k, v in near.items() if k[0] == lang])
+            langs[lang] = lean(len(x), moments(x), whole)
+        for k, x in near.items():
+            mean, cov = lean(len(x), moments(x), langs[k[0]])
+            estimates[k] = mean, cov * quality.CONSISTENT + np.diag(floors**2)
+    return {k: distance(k) for k in groups}
 
 
 def test_quality_verdicts(spark):
@@ -135,16 +151,8 @@ def test_quality_verdicts(spark):
         w, chars, symbols, dup, repeat, lines = stats_plain(r.text)
         if not (w < 50 or 100 * repeat > 50 * w):
             groups.setdefault((r.lang, r.source), []).append((r.doc_id, [np.log(w), np.log(chars / w), np.log1p(20 * symbols / w), dup / max(lines, 1), repeat / w]))
-    small = {k: v for k, v in groups.items() if len(v) < quality.SMALL}
-    merged = {("s", *k): v for k, v in groups.items() if k not in small}
-    by_lang = Counter()
-    for (lang, _), v in small.items():
-        by_lang[lang] += len(v)
-    for (lang, _), v in small.items():
-        merged.setdefault(("l", lang) if by_lang[lang] >= quality.SMALL else ("rest",), []).extend(v)
-    want = {}
-    for v in merged.values():
-        want |= {i: d for (i, _), d in zip(v, mcd_plain(np.array([x for _, x in v])), strict=True)}
+    found = mcd_plain({k: np.array([x for _, x in v]) for k, v in groups.items()})
+    want = {i: d for k, v in groups.items() for (i, _), d in zip(v, found[k], strict=True)}
     got = {r.doc_id: r.kept for r in quality.judge(docs).collect() if not r.base_failed}
     assert got == {i: d <= quality.LIMIT for i, d in want.items()}
     good = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()}
