@@ -14,8 +14,7 @@ curve, fitted on labelled texts that the counts do not come from, makes it a
 probability.
 
 The models are fitted on a bounded sample of labelled rows (``max_rows`` of each
-class and as many for the curve, ``max_words`` distinct words); every text is
-scored whole.
+class and as many for the curve), with all their words; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -31,9 +30,9 @@ from .common import HashTable, column_texts, factorize, portions, text_column, w
 
 ORDER = 6
 #: Labelled rows of each class that the counts come from, and rows for the curve.
-MAX_ROWS = 3000
-#: Distinct words of these rows; beyond it the rarest are left out.
-MAX_WORDS = 300_000
+MAX_ROWS = 4000
+#: Places in words whose hashes are computed at a time.
+STEP = 1_000_000
 #: Words of a text whose evidence is looked at apart from the rest.
 STRONGEST = (1, 3)
 BLOCK = 2_000_000
@@ -86,24 +85,30 @@ class Models:
 
         With ``keep`` the tables of the shared distribution stay, to ask for more than the words hold.
         """
-        n = self.order
-        gram, context, reach, weight = _distinct(words, counts, n)
+        n, rows = self.order, _Places(words)
+        keys, first, inv = np.unique(rows.hashes(rows.at, n)[0], return_index=True, return_inverse=True)
+        owner = rows.owner[rows.at]
+        weight = np.stack([np.bincount(inv, counts[owner, i]) for i in (0, 1)], axis=1)
+        # a place for each distinct row of the longest past; shorter pasts are computed as they are needed
+        at = rows.at[first]
+        reach = np.minimum(rows.place[at], n)
+        del inv, owner, first
         # shared: pooled counts for pasts that reach the word's beginning, else continuation counts
         self.shared = []
-        p = np.full(gram.shape[1], 1 / 256)  # shared probability of every row, from the shortest past on
+        p = np.full(len(at), 1 / 256)  # shared probability of every row, from the shortest past on
         for k in range(n):
-            g, c = gram[k], context[k]
-            longer = np.unique(gram[k + 1], return_index=True)[1]  # a longer row fixes the shorter
-            keys, cont = np.unique(g[longer], return_counts=True)
+            g, c = rows.hashes(at, k)
+            longer = np.unique(rows.hashes(at, k + 1)[0], return_index=True)[1]  # a longer row fixes the shorter
+            short, cont = np.unique(g[longer], return_counts=True)
             cont = cont.astype(np.float64)
             # a past at the beginning has no longer one: its pooled count stands instead
             begins = reach <= k
             if begins.any():
-                bk, inv = np.unique(gram[k][begins], return_inverse=True)
-                hit = np.searchsorted(keys, bk)
+                bk, inv = np.unique(g[begins], return_inverse=True)
+                hit = np.searchsorted(short, bk)
                 cont[hit] = np.maximum(cont[hit], np.bincount(inv, weight.sum(1)[begins]))
-            which = np.searchsorted(keys, g)
-            pair = np.zeros(len(keys), np.uint64)
+            which = np.searchsorted(short, g)
+            pair = np.zeros(len(short), np.uint64)
             pair[which] = c
             ctx, inv = np.unique(pair, return_inverse=True)
             total = np.bincount(inv, cont)
@@ -111,22 +116,17 @@ class Models:
             own, spare = (cont - d) / total[inv], np.bincount(inv, d) / total
             p = own[which] + spare[inv[which]] * p
             if keep:
-                self.shared.append((HashTable(keys), own, HashTable(ctx), spare))
+                self.shared.append((HashTable(short), own, HashTable(ctx), spare))
         # classes: the longest pasts
-        keys, inv = np.unique(gram[n], return_inverse=True)
-        ctx, inv_c = np.unique(context[n], return_inverse=True)
-        of = np.zeros(len(keys), np.int64)
-        of[inv] = inv_c
+        ctx, of = np.unique(rows.hashes(at, n)[1], return_inverse=True)
         self.keys, self.contexts, self.own, self.spare = HashTable(keys), HashTable(ctx), [], []
-        for cls in (0, 1):
-            c = np.bincount(inv, weight[:, cls])
+        for c in weight.T:
             d = _discounts(c)
             total = np.bincount(of, c, minlength=len(ctx))
             safe = np.maximum(total, 1)
             self.own.append(((c - d) / safe[of]).astype(np.float32))
             self.spare.append(np.where(total > 0, np.bincount(of, d, minlength=len(ctx)) / safe, 1.0).astype(np.float32))
-        order = np.argsort(gram[n])  # rows as in keys
-        self.of, self.p = of, p[order]
+        self.of, self.p = of, p
         return self
 
     def _backoff(self, gram: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -172,20 +172,29 @@ class Scorer:
         return np.bincount(owner[known], ratio, minlength=len(words))
 
 
-def _distinct(words: list[bytes], counts: np.ndarray, n: int, block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct full rows of all words: grams, contexts, reach, and their summed counts by class."""
-    parts = []
+class _Places:
+    """The bytes of all words in one array; the hashes that ``_grams`` gives, for chosen places and pasts."""
 
-    def merged(g: np.ndarray, c: np.ndarray, r: np.ndarray, w: np.ndarray) -> tuple:
-        _, first, inv = np.unique(g[n], return_index=True, return_inverse=True)
-        return g[:, first], c[:, first], r[first], np.stack([np.bincount(inv, w[:, i]) for i in (0, 1)], axis=1)
+    def __init__(self, words: list[bytes]):
+        self.flat = np.frombuffer(b"".join(b"\x02" + w + b"\x01" for w in words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int32, len(words)) + 2
+        ends = np.cumsum(sizes)
+        self.place = np.arange(len(self.flat), dtype=np.int32) - np.repeat(ends - sizes, sizes).astype(np.int32)
+        self.owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        self.at = np.flatnonzero(self.place > 0).astype(np.int32)
 
-    for i in range(0, len(words), block):
-        g, c, r, o = _grams(words[i : i + block], n)
-        parts.append(merged(g, c, r, counts[i : i + block][o].astype(np.float64)))
-        if len(parts) == 4:
-            parts = [merged(*(np.concatenate(x, axis=-1 if k < 3 else 0) for k, x in enumerate(zip(*parts, strict=True))))]
-    return merged(*(np.concatenate(x, axis=-1 if k < 3 else 0) for k, x in enumerate(zip(*parts, strict=True))))
+    def hashes(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each place's byte with its k predecessors, and of these alone."""
+        gram, context = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+        for i in range(0, len(at), STEP):
+            here = at[i : i + STEP]
+            h, place = np.full(len(here), 0xCBF29CE484222325, np.uint64), self.place[here]
+            for j in range(1, k + 1):
+                before = self.flat[np.maximum(here - j, 0)].astype(np.uint64)
+                h = np.where(place >= j, (h ^ (before + np.uint64(1))) * _PRIME + np.uint64(j), h)
+            x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (self.flat[here].astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
+            gram[i : i + STEP], context[i : i + STEP] = x ^ (x >> np.uint64(31)), h
+        return gram, context
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -248,7 +257,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), *map(pa.array, n)], names=["word", "n0", "n1"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Scorer | None, Curve]:
+def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Scorer | None, Curve]:
     """Models and curve from labelled rows where the column ``learn_from`` is true.
 
     Rows are drawn by the hash of their id: at most ``max_rows`` of each class for
@@ -270,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS
     rows = Scratch(spark, "toxicity").write(rows)
     counted = rows.where("part < 2").select("text", "toxic").mapInArrow(_counted, "word binary, n0 long, n1 long")
     counted = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = counted.orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(max_words).toArrow()
+    table = counted.toArrow()  # the words of 2 * max_rows texts
     counts = np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], axis=1) if len(table) else np.zeros((0, 2), np.int64)
     scorer = Models().fit([bytes(w) for w in table.column("word").to_pylist()], counts).scorer() if len(table) else None
     rest = rows.where("part = 2").select("doc_id", "text", "toxic")
@@ -285,7 +294,8 @@ def key_of(docs: DataFrame, id_col: str):
 
 def annotate(docs: DataFrame, scorer: Scorer | None, curve: Curve | None, text_col: str = "text", raw: bool = False) -> DataFrame:
     """``docs`` with ``_toxicity`` (0 to 1) of every row, null and empty texts too;
-    with ``raw`` the features instead, as ``_features``."""
+    with ``raw`` the features instead, as ``_features``.  A column of that name is replaced;
+    ``ordinary`` keeps all columns."""
     shared = docs.sparkSession.sparkContext.broadcast((scorer, curve))
     name = "_features" if raw else "_toxicity"
     plain = docs.drop(name)
@@ -301,6 +311,19 @@ def annotate(docs: DataFrame, scorer: Scorer | None, curve: Curve | None, text_c
     return plain.mapInArrow(work, f"{fields}, {name} {'array<double>' if raw else 'double'}")
 
 
+def ordinary(docs: DataFrame, scorer: Scorer | None, curve: Curve, below: float = PREDICTED_FROM, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score under ``below``, with their own columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast((scorer, curve))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, curve = shared.value
+        for b in portions(batches, text_col, BLOCK):
+            x = features(scorer, column_texts(b, text_col)) if scorer else np.zeros((b.num_rows, 1 + len(STRONGEST)))
+            yield b.filter(pa.array(curve(x) < below))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out, **options) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row of ``docs``.
 

@@ -76,6 +76,13 @@ def test_toxicity_odd_rows(odd, none, spark):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(none, labels, queries.remainder(4)).collect() == []
     assert len({r.score for r in toxicity.score(odd, labels.where("false"), queries.remainder(4)).collect()}) == 1
+    clash = odd.withColumn("_toxicity", F.lit("mine"))
+    scorer, curve = toxicity.fit(odd, labels, F.lit(True))
+    assert toxicity.annotate(clash, scorer, curve).schema["_toxicity"].dataType.typeName() == "double"
+    assert Counter(map(tuple, toxicity.ordinary(clash, scorer, curve, 2.0).collect())) == Counter(map(tuple, clash.collect()))
+    assert toxicity.ordinary(none, scorer, curve).collect() == []
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    assert all(0 <= r._toxicity <= 1 for r in toxicity.annotate(long, scorer, curve).select("_toxicity").collect())
 
 
 def test_class_models_add_up_to_one():
@@ -93,6 +100,71 @@ def test_class_models_add_up_to_one():
     assert np.allclose(total, 1, atol=0.02)  # what is left is the share of the bytes that words don't hold
 
 
+def evidence_plain(words, counts, order, asked):
+    """The two smoothed models written down with dictionaries; log-likelihood ratio of each asked word."""
+    rows = Counter()
+    weight = [Counter(), Counter()]
+    past = lambda w, at, k: w[max(0, at - k) : at]
+    for word, n in zip(words, counts, strict=True):
+        w = b"\x02" + word + b"\x01"
+        for at in range(1, len(w)):
+            row = (past(w, at, order), w[at])
+            rows[row] += 1
+            for i in (0, 1):
+                weight[i][row] += n[i]
+    cut = lambda row, k: (row[0][max(0, len(row[0]) - k) :], row[1])
+    p = dict.fromkeys(rows, 1 / 256)
+    for k in range(order):
+        cont = Counter(cut(g, k) for g in {cut(r, k + 1) for r in rows})
+        begins = Counter()
+        for r in rows:
+            if len(r[0]) <= k:
+                begins[cut(r, k)] += weight[0][r] + weight[1][r]
+        for g, n in begins.items():
+            cont[g] = max(cont[g], n)
+        grams = list(cont)
+        d = dict(zip(grams, toxicity._discounts(np.array([float(cont[g]) for g in grams])), strict=True))
+        total, given = Counter(), Counter()
+        for g in grams:
+            total[g[0]] += cont[g]
+            given[g[0]] += d[g]
+        p = {r: (cont[g] - d[g]) / total[g[0]] + given[g[0]] / total[g[0]] * p[r] for r in rows for g in [cut(r, k)]}
+    likely = []
+    spares = []
+    keys = list(rows)
+    for i in (0, 1):
+        d = dict(zip(keys, toxicity._discounts(np.array([float(weight[i][r]) for r in keys])), strict=True))
+        total, given = Counter(), Counter()
+        for r in keys:
+            total[r[0]] += weight[i][r]
+            given[r[0]] += d[r]
+        spare = {h: given[h] / total[h] if total[h] else 1.0 for h in {r[0] for r in keys}}
+        likely.append({r: (weight[i][r] - d[r]) / max(1, total[r[0]]) + spare[r[0]] * p[r] for r in keys})
+        spares.append(spare)
+    out = []
+    for word in asked:
+        w = b"\x02" + word + b"\x01"
+        s = 0.0
+        for at in range(1, len(w)):
+            row = (past(w, at, order), w[at])
+            if row in likely[0]:
+                s += np.log(likely[1][row]) - np.log(likely[0][row])
+            elif row[0] in spares[0] and spares[0][row[0]] > 0 and spares[1][row[0]] > 0:
+                s += np.log(spares[1][row[0]]) - np.log(spares[0][row[0]])
+        out.append(s)
+    return out
+
+
+def test_evidence_equals_plain_models():
+    rng = np.random.default_rng(12)
+    words = sorted({bytes(rng.integers(97, 102, rng.integers(1, 9)).astype(np.uint8)) for _ in range(150)})
+    counts = rng.integers(0, 4, (len(words), 2))
+    counts[counts.sum(1) == 0, 0] = 1
+    asked = [*words[::3], b"abcde", b"zzz", b"a", b"edcbaedcba"]
+    got = toxicity.Models(4).fit(words, counts).scorer().evidence(asked)
+    assert np.allclose(got, evidence_plain(words, counts, 4, asked), atol=1e-4)
+
+
 def stats_plain(text):
     text = text or ""
     w = WORD.findall(text)
