@@ -22,8 +22,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; learnt from all labels of the documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scorer, curve = toxicity.fit(docs, labels, F.lit(True))
-    scored = toxicity.annotate(docs, scorer, curve)
-    return scored.where(F.col("_toxicity") < toxicity.PREDICTED_FROM).select(*docs.columns)
+    return toxicity.ordinary(docs, scorer, curve)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
