@@ -157,10 +157,11 @@ def _judged(scratch: Scratch, written: DataFrame) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(_distance() <= LIMIT, F.lit(True)))
 
 
-def _group(docs: DataFrame) -> DataFrame:
+def _group(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns with the language and the source of each row."""
     none = F.lit("\x00none")
     column = lambda c: F.coalesce(F.col(c).cast("string"), none) if c in docs.columns else none
-    return docs.withColumn("_lang", column("lang")).withColumn("_source", column("source"))
+    return docs.select(*columns, column("lang").alias("_lang"), column("source").alias("_source"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,15 +171,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     source is a group like any other.  Rows of equal or null ids are judged each.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    plain = _group(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "_lang", "_source")
+    plain = _group(docs, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     written = scratch.write(with_stats(plain).drop("text"))
     return _judged(scratch, written).select("doc_id", *STATS, "base_failed", "kept")
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names."""
     scratch = Scratch(docs.sparkSession, "quality")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    plain = _group(docs).select(own, F.col(text_col).alias("text"), "_lang", "_source")
-    written = scratch.write(with_stats(plain).drop("text"))
+    written = scratch.write(with_stats(_group(docs, own, F.col(text_col).alias("text"))).drop("text"))
     return _judged(scratch, written).where("kept").select("_row.*")

@@ -229,6 +229,15 @@ def redact(scanned: DataFrame, text_col: str = "text", mask: str = MASK) -> Data
     return scanned.withColumn(text_col, F.when(F.size("_secrets") > 0, clean).otherwise(text)).drop("_secrets", "_candidates")
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """``docs`` with its secrets replaced by the mask and its own columns, whatever their names; every row stays."""
+    rest = [c for c in docs.columns if c != text_col]
+    path = F.col(f"`{path_col}`").cast("string") if path_col in docs.columns else F.lit("")
+    rows = docs.select(F.struct(F.lit(0), *[f"`{c}`" for c in rest]).alias("_row"), F.col(f"`{text_col}`").alias("text"), path.alias("source"))
+    out = redact(scan(rows, model))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, words: list[str] = ()) -> DataFrame:
     """Findings with their labels (``value``, ``before``, ``after``, ``path``, ``secret``) to train from
     where a user has none of their own: ``n`` made from digests, so always the same for the same ``words``."""

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import simhash
 from .common import Scratch, hash_words, mix, text_column, words_of
@@ -153,16 +154,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with equal sets the one of the smallest text stays, and none if a row with an id
     has that set.  Null and empty texts are one class.
     """
-    own = docs.columns
     found, classes = _kept(docs, id_col, text_col, chunk)
-    place = F.struct(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.xxhash64(*[f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]))
-    first = F.min_by(F.struct(*[f"`{c}`" for c in own]), place).alias("_row")
-    known = docs.where(F.col(id_col).isNotNull()).withColumn("_id", F.col(id_col).cast("long"))
-    known = known.join(found.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").groupBy("_id").agg(first).select("_row.*")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    loose = docs.where(F.col(id_col).isNull()).mapInArrow(_nodes(text_col), f"{fields}, _node long")
-    loose = loose.join(classes.select(F.col("node").alias("_node")), "_node", "left_anti").groupBy("_node").agg(first).select("_row.*")
-    return known.unionAll(loose)
+    # the row as one value, so that names of its columns can't clash
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    text = F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit(""))
+    place = F.struct(text, F.xxhash64(*[f"_row.`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]))
+    first = F.min_by("_row", place).alias("_row")
+    known = rows.where("_id is not null").join(found.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").groupBy("_id").agg(first)
+    loose = rows.where("_id is null").select("_row", text.alias("_text"))
+    loose = loose.mapInArrow(_nodes("_text"), T.StructType([*loose.schema.fields, T.StructField("_node", T.LongType())]))
+    loose = loose.join(classes.select(F.col("node").alias("_node")), "_node", "left_anti").groupBy("_node").agg(first)
+    return known.select("_row.*").unionAll(loose.select("_row.*"))
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
