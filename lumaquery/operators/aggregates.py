@@ -111,19 +111,17 @@ def presence(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).pivot(column, values).agg(F.lit(1)).na.fill(0)
 
 
-def class_weights(counts: DataFrame, label: str = "label_index", n: str = "n") -> DataFrame:
-    """Weights by four rules from label counts (one row a label).
+def class_weights(counts: DataFrame, label: str = "label_index", n: str = "n", scaling: float = -2.0) -> DataFrame:
+    """Weights by five rules from label counts (one row a label).
 
-    ``share``: (total - n) / total, scaled to add up to 1; ``inverse``: 1 / n likewise;
-    ``softmin``: softmin of shares; ``nll``: -ln of shares.
+    ``one``: 1; ``share``: (total - n) / total, scaled to add up to 1; ``inverse``: 1 / n
+    likewise; ``softmin``: softmax of the shares times ``scaling``; ``nll``: -ln of shares.
     """
-    every = Window.partitionBy()
-    total = F.sum(n).over(every)
-    out = counts.withColumn("_share", F.col(n) / total)
-    out = out.withColumn("share", (1 - F.col("_share"))).withColumn("inverse", 1 / F.col(n)).withColumn("softmin", F.exp(-F.col("_share"))).withColumn("nll", -F.ln("_share"))
-    for c in ("share", "inverse", "softmin"):
-        out = out.withColumn(c, F.col(c) / F.sum(c).over(every))
-    return out.drop("_share")
+    sums = counts.agg(F.sum(n).alias("_total"), F.sum(1 / F.col(n)).alias("_inverse"), F.count("*").alias("_labels"))
+    out = counts.join(F.broadcast(sums)).withColumn("_share", F.col(n) / F.col("_total"))  # one row of sums
+    soft = out.agg(F.sum(F.exp(scaling * F.col("_share")))).scalar()
+    share = F.when(F.col("_labels") > 1, (1 - F.col("_share")) / (F.col("_labels") - 1))
+    return out.select(*counts.columns, F.lit(1.0).alias("one"), share.alias("share"), (1 / F.col(n) / F.col("_inverse")).alias("inverse"), (F.exp(scaling * F.col("_share")) / soft).alias("softmin"), (-F.ln("_share")).alias("nll"))
 
 
 def relative_change(df: DataFrame, keys: list[str], value: str, is_base: Column) -> DataFrame:

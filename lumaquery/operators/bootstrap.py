@@ -15,8 +15,27 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, *parts: Column) -> Column:
-    """A number in [0, 1) fixed by its parts."""
-    return F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) fixed by its parts: the first 52 bits of the md5 of their text, so that any engine can draw it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+#: Ranges of random keys that rows are numbered by.
+RANGES = 1024
+
+
+def numbered(df: DataFrame, u: Column, tie: list[str], name: str, keys: list[str] = ()) -> DataFrame:
+    """Rows numbered from 0 in the order of a random key in [0, 1), of all rows or of each group.
+
+    Keys are ranked within ranges of ``u``, and the ranges' sizes are added up, so no task
+    gets all rows of a group.
+    """
+    rows = df.withColumn("_u", u).withColumn("_range", F.floor(F.col("_u") * RANGES).cast("int"))
+    sizes = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_range", before.alias("_before"))  # RANGES rows a group
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_u", *tie)) - 1
+    return rows.withColumn("_place", place).join(sizes, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_u", "_range", "_place", "_before")
 
 
 def resampled(df: DataFrame, keys: list[str], unit: str, n: int, seed: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bootstrap import uniform
+from .bootstrap import numbered, uniform
 
 INVALID = 100
 
@@ -53,9 +53,8 @@ def erase_rectangle(cells: DataFrame, image: str, height: int, width: int, rows:
 
 
 def transplant(cells: DataFrame, image: str, valid: Column, seed: int = 0) -> DataFrame:
-    """A random valid label's cells of each image go to the next image at the same places."""
-    order = cells.select(image).distinct()
-    order = order.withColumn("_i", F.row_number().over(Window.orderBy(image)) - 1)
+    """A random valid label's cells of each image go to the next image, in a random order, at the same places."""
+    order = numbered(cells.select(image).distinct(), uniform(seed + 2, F.col(image)), [image], "_i")
     n = order.agg(F.count("*")).scalar()
     target = order.select(F.col(image).alias("_donor"), F.pmod(F.col("_i") - 1, n).alias("_i")).join(order, "_i").drop("_i")
     donors = cells.where(valid).join(chosen_label(cells, image, valid, seed), image).where("label = _chosen")
@@ -64,22 +63,64 @@ def transplant(cells: DataFrame, image: str, valid: Column, seed: int = 0) -> Da
     return out.select(*[F.coalesce("_dl", "label").alias("label") if c == "label" else F.coalesce("_dv", "value").alias("value") if c == "value" else F.col(c) for c in cells.columns])
 
 
+def transplant_region(cells: DataFrame, image: str, region: str, seed: int = 0) -> DataFrame:
+    """A random region (a superpixel, or a rectangle's number) of each image goes to the next image, in a random order, with its labels."""
+    order = numbered(cells.select(image).distinct(), uniform(seed + 2, F.col(image)), [image], "_i")
+    n = order.agg(F.count("*")).scalar()
+    target = order.select(F.col(image).alias("_donor"), F.pmod(F.col("_i") - 1, n).alias("_i")).join(order, "_i").drop("_i")
+    donors = cells.join(chosen_label(cells, image, F.lit(True), seed, region), image).where(F.col(region) == F.col("_chosen"))
+    donors = donors.select(F.col(image).alias("_donor"), "row", "col", F.col("label").alias("_dl"), F.col("value").alias("_dv")).join(target, "_donor").drop("_donor")
+    out = cells.join(donors, [image, "row", "col"], "left")
+    moved = F.col("_dl").isNotNull() | F.col("_dv").isNotNull()
+    return out.select(*[F.when(moved, F.col({"label": "_dl", "value": "_dv"}[c])).otherwise(F.col(c)).alias(c) if c in ("label", "value") else F.col(c) for c in cells.columns])
+
+
+def rectangles(cells: DataFrame, image: str, height: int, width: int, rows: int, cols: int, seed: int = 0, name: str = "region") -> DataFrame:
+    """Cells with a region number: 1 in a rectangle at a random place of their image, else null; for ``transplant_region``."""
+    top = F.floor(uniform(seed, F.col(image), F.lit("r")) * (rows - height + 1))
+    left = F.floor(uniform(seed, F.col(image), F.lit("c")) * (cols - width + 1))
+    inside = F.col("row").between(top, top + height - 1) & F.col("col").between(left, left + width - 1)
+    return cells.withColumn(name, F.when(inside, 1))
+
+
+def labels_of_colours(pixels: DataFrame, colours: DataFrame) -> DataFrame:
+    """``label`` of pixels (r, g, b) by their colour; a colour without a label is an error."""
+    out = pixels.join(colours.select("r", "g", "b", F.col("label").alias("_label")), ["r", "g", "b"], "left")
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("no label for the colour"), "r", "g", "b")).cast(colours.schema["label"].dataType)
+    return out.select(*pixels.columns, F.coalesce("_label", unknown).alias("label"))
+
+
+def colours_of_labels(cells: DataFrame, colours: DataFrame) -> DataFrame:
+    """``r``, ``g``, ``b`` of cells by their label; black for a label without a colour."""
+    out = cells.join(colours.select("label", "r", "g", "b"), "label", "left")
+    return out.select(*cells.columns, *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in "rgb"])
+
+
 def jigsaw(cells: DataFrame, image: str, height: int, width: int, seed: int = 0) -> DataFrame:
     """One permutation of all patches of all images of a batch."""
     patch = cells.select(image, F.floor(F.col("row") / height).alias("_r"), F.floor(F.col("col") / width).alias("_c")).distinct()
-    here = patch.withColumn("_k", F.row_number().over(Window.orderBy(image, "_r", "_c")))
-    there = here.select(F.col(image).alias("_ti"), F.col("_r").alias("_tr"), F.col("_c").alias("_tc"), F.row_number().over(Window.orderBy(uniform(seed, F.col("_k")), "_k")).alias("_k"))
+    order = lambda s: numbered(patch, uniform(s, F.col(image), F.col("_r"), F.col("_c")), [image, "_r", "_c"], "_k")
+    here = order(seed)
+    there = order(seed + 1).select(F.col(image).alias("_ti"), F.col("_r").alias("_tr"), F.col("_c").alias("_tc"), "_k")
     moves = here.join(there, "_k").drop("_k")
     out = cells.withColumn("_r", F.floor(F.col("row") / height)).withColumn("_c", F.floor(F.col("col") / width)).join(moves, [image, "_r", "_c"])
     moved = {image: F.col("_ti"), "row": F.col("_tr") * height + F.col("row") % height, "col": F.col("_tc") * width + F.col("col") % width}
     return out.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in cells.columns])
 
 
-def mix_up(images: DataFrame, image: str, columns: list[str], alpha: float, seed: int = 0) -> DataFrame:
-    """Each image's vectors mixed with those of a shuffled partner."""
-    a = images.withColumn("_k", F.row_number().over(Window.orderBy(image)))
-    b = images.select(*[F.col(c).alias(f"_{c}") for c in columns], F.row_number().over(Window.orderBy(uniform(seed, F.col(image)), image)).alias("_k"))
-    mixed = {c: F.zip_with(c, f"_{c}", lambda x, y: alpha * x + (1 - alpha) * y) for c in columns}
+def mix_up(images: DataFrame, image: str, columns: list[str], alpha: float, seed: int = 0, labels: list[str] = (), n_classes: int = 0, valid: str | None = None) -> DataFrame:
+    """Each image's vectors mixed with those of a shuffled partner.
+
+    ``labels``: columns of class numbers, which become mixed one-hot vectors; with
+    ``valid`` a mixed row is valid where both are.
+    """
+    one_hot = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: (F.col(c) == k).cast("double"))
+    hot = [one_hot(c).alias(c) for c in labels]
+    rows = images.select(*[c for c in images.columns if c not in labels], *hot) if labels else images
+    vectors, flags = [*columns, *labels], [valid] if valid else []
+    a = numbered(rows, uniform(seed, F.col(image)), [image], "_k")
+    b = numbered(rows, uniform(seed + 1, F.col(image)), [image], "_k").select(*[F.col(c).alias(f"_{c}") for c in [*vectors, *flags]], "_k")
+    mixed = {c: F.zip_with(c, f"_{c}", lambda x, y: alpha * x + (1 - alpha) * y) for c in vectors} | {c: F.col(c) & F.col(f"_{c}") for c in flags}
     return a.join(b, "_k").select(*[mixed[c].alias(c) if c in mixed else F.col(c) for c in images.columns])
 
 

@@ -58,9 +58,10 @@ def update_validation(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
 
 def leave_one_out(df: DataFrame, subject: str, image: str) -> DataFrame:
     """(fold_name, split_name, image): each subject's images are one fold's validation set."""
-    subjects = df.select(F.col(subject).alias("_out")).distinct()
     images = df.select(subject, image).distinct()
-    train = images.join(subjects, F.col(subject) != F.col("_out"))
+    # the result has a row for each image and fold, so the subjects are few
+    every = images.agg(F.collect_set(subject)).scalar()
+    train = images.withColumn("_out", F.explode(every)).where(F.col(subject) != F.col("_out"))
     name = lambda c: F.concat(F.lit("fold_"), F.col(c).cast("string"))
     return train.select(name("_out").alias("fold_name"), F.lit("train").alias("split_name"), image).unionAll(images.select(name(subject), F.lit("val"), image))
 
@@ -81,7 +82,39 @@ def stratified_folds(df: DataFrame, subject: str, label: str, k: int) -> DataFra
     """(subject, fold): subjects of each label combination dealt round to the folds, so folds share no subject and labels are even."""
     kinds = df.groupBy(subject).agg(F.concat_ws(",", F.sort_array(F.collect_set(F.col(label).cast("string")))).alias("_kind"), F.count("*").alias("_n"))
     w = Window.partitionBy("_kind").orderBy(F.desc("_n"), subject)
-    return kinds.select(subject, F.pmod(F.row_number().over(w) - 1 + F.pmod(F.crc32(F.col("_kind").cast("binary")), F.lit(k)), F.lit(k)).cast("int").alias("fold"))
+    return kinds.select(subject, F.pmod(F.row_number().over(w) - 1 + F.floor(uniform(0, F.col("_kind")) * k), F.lit(k)).cast("int").alias("fold"))
+
+
+def nested_folds(df: DataFrame, subject: str, label: str, outer: int, inner: int) -> DataFrame:
+    """(subject, outer_fold, fold, split): stratified folds, and within each one's training subjects folds of their own.
+
+    ``split`` is ``test`` in the outer fold, ``val`` in the inner and ``train`` else.
+    """
+    dealt = stratified_folds(df, subject, label, outer).withColumnRenamed("fold", "_own")
+    rows = dealt.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
+    kinds = df.groupBy(subject).agg(F.concat_ws(",", F.sort_array(F.collect_set(F.col(label).cast("string")))).alias("_kind"), F.count("*").alias("_n"))
+    test = F.col("_own") == F.col("outer_fold")
+    w = Window.partitionBy("outer_fold", "_kind", test).orderBy(F.desc("_n"), subject)
+    rows = rows.join(kinds, subject).withColumn("_inner", F.pmod(F.row_number().over(w) - 1, F.lit(inner)))
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))))
+    return rows.select(subject, "outer_fold", "fold", F.when(test, "test").when(F.col("_inner") == F.col("fold"), "val").otherwise("train").alias("split"))
+
+
+def subset_series(df: DataFrame, subject: str, sizes: list[int], seeds: int, tries: int = 100) -> DataFrame:
+    """(size, seed, subject): for each size as many different random sets of subjects as there are seeds.
+
+    A try takes the subjects with the smallest draws; a set that an earlier try of its size has
+    is passed over.  Fewer sets come out where ``tries`` do not give enough different ones.
+    """
+    subjects = df.select(subject).distinct()
+    drawn = subjects.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    w = Window.partitionBy("_try").orderBy(uniform(0, F.col("_try"), F.col(subject)), subject)
+    placed = drawn.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max(sizes))
+    sets = placed.withColumn("size", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: n >= F.col("_k"))))
+    sets = sets.groupBy("size", "_try").agg(F.sort_array(F.collect_list(subject)).alias("_set")).where(F.size("_set") == F.col("size"))
+    first = sets.groupBy("size", "_set").agg(F.min("_try").alias("_try"))
+    chosen = first.withColumn("seed", F.row_number().over(Window.partitionBy("size").orderBy("_try")) - 1).where(F.col("seed") < seeds)
+    return chosen.select("size", "seed", F.explode("_set").alias(subject))
 
 
 def large_enough(df: DataFrame, image: str, inside: Column, least: int) -> DataFrame:

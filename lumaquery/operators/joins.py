@@ -53,7 +53,8 @@ def nearest(left: DataFrame, right: DataFrame, at: str, other: str, keys: list[s
     """Each row of ``left`` with the row of ``right`` of the same keys that is nearest; the smaller of two equally near.
 
     A union of both sides is ordered by key and place; the neighbours before and
-    after each left row come from windows, so the work is linear, not pairwise.
+    after each left row are the last ones read upwards and downwards, so the work is
+    a sort and two passes, not pairwise.
     """
     from pyspark.sql import Window
 
@@ -63,10 +64,10 @@ def nearest(left: DataFrame, right: DataFrame, at: str, other: str, keys: list[s
     rows = left.select(*keys, F.col(at).cast("double").alias("_p"), F.lit(None).cast(kind).alias("_x"), own.alias("_own"))
     blank = F.lit(None).cast(rows.schema["_own"].dataType)
     both = rows.unionByName(right.select(*keys, F.col(other).cast("double").alias("_p"), payload.alias("_x"), blank.alias("_own")))
-    w = Window.partitionBy(*keys).orderBy("_p")
-    before = F.last("_x", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_x", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    out = both.withColumn("_b", before).withColumn("_a", after).where("_own is not null")
+    # rows of the right side come first at equal places, of several there the smallest last
+    tie = [F.col("_own").isNotNull(), F.desc("_x")]
+    found = lambda order: F.last("_x", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = both.withColumn("_b", found(F.asc("_p"))).withColumn("_a", found(F.desc("_p"))).where("_own is not null")
     near = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_p") - F.col("_b._r") <= F.col("_a._r") - F.col("_p"), F.col("_b")).otherwise(F.col("_a"))
     return out.withColumn("_n", near).select("_own.*", *[F.col(f"_n.{c}").alias(c if c not in left.columns else f"{c}_right") for c in take])
 
@@ -96,9 +97,10 @@ def least_distance(tests: DataFrame, training: DataFrame, key: str, vector: str,
 
     spark = tests.sparkSession
     v = F.col(vector).cast("array<double>")
-    n = training.count()
+    different = training.select(v.alias("v")).distinct()  # else equal vectors would fill one block
+    n = different.count()
     blocks, parts = max(1, -(-n // block)), []
-    numbered = training.select(v.alias("v")).withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
+    numbered = different.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
     for b in range(blocks):
         rows = [r[0] for r in numbered.where(F.col("_b") == b).select("v").collect()]
         if not rows:

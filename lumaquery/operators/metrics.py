@@ -6,8 +6,6 @@ millions of cells is counted before anything is joined.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,19 +94,22 @@ def dice_at_thresholds(cells: DataFrame, keys: list[str], thresholds: list[float
 
 
 def roc(scores: DataFrame, keys: list[str], score: str, label: str, steps: int = 500) -> DataFrame:
-    """Rates at evenly spaced thresholds (score >= threshold).
+    """Rates at evenly spaced thresholds from 0 to 1 (score >= threshold).
 
-    Scores are first counted by the last threshold they reach, so thresholds times
+    A score below 0 counts as reaching no threshold, one above 1 as reaching all; rows
+    with a score that is null or NaN are left out.  Scores are first counted by the last threshold they reach, so thresholds times
     rows never arise.
     """
-    bins = scores.groupBy(*keys, F.least(F.floor(F.col(score) * (steps - 1) + 1e-9), F.lit(steps - 1)).cast("int").alias("_b")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    known = scores.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    place = F.greatest(F.lit(-1), F.least(F.floor(F.col(score).cast("double") * (steps - 1) + 1e-9), F.lit(steps - 1)))
+    bins = known.groupBy(*keys, place.cast("int").alias("_b")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
     grid = bins.select(*keys).distinct() if keys else scores.sparkSession.range(1).select()
-    grid = grid.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    grid = grid.withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))))
     full = grid.join(bins, [*keys, "_b"], "left").na.fill(0, ["p", "n"])
     back = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
     out = full.select(*keys, (F.col("_b") / (steps - 1)).alias("threshold"), F.sum("p").over(back).alias("tp"), F.sum(F.col("n") - F.col("p")).over(back).alias("fp"), F.sum("p").over(every).alias("positives"), F.sum(F.col("n") - F.col("p")).over(every).alias("negatives"))
-    return out.select(*keys, "threshold", F.try_divide("tp", "positives").alias("tpr"), F.try_divide("fp", "negatives").alias("fpr"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    return out.where("threshold >= 0").select(*keys, "threshold", F.try_divide("tp", "positives").alias("tpr"), F.try_divide("fp", "negatives").alias("fpr"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def _ranked(scores: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -274,25 +275,75 @@ def _sums(rows: DataFrame, key: str) -> DataFrame:
     return elementwise(rows, [key], "v").withColumnRenamed("v", "m").join(rows.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
-def distance_correlation(df: DataFrame, keys: list[str], row: str, x: str, y: str) -> DataFrame:
-    """Distance correlation of two columns in each (bounded) group, by doubly centred distances."""
-    a = df.select(*keys, F.col(row).alias("_i"), F.col(x).alias("_xi"), F.col(y).alias("_yi"))
-    b = df.select(*keys, F.col(row).alias("_j"), F.col(x).alias("_xj"), F.col(y).alias("_yj"))
-    pairs = a.join(b, keys).select(*keys, "_i", "_j", F.abs(F.col("_xi") - F.col("_xj")).alias("a"), F.abs(F.col("_yi") - F.col("_yj")).alias("b"))
-    whole = Window.partitionBy(*keys)
-    centred = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy(*keys, "_i")) - F.avg(c).over(Window.partitionBy(*keys, "_j")) + F.avg(c).over(whole)
-    c = pairs.select(*keys, centred("a").alias("a"), centred("b").alias("b"))
-    s = c.groupBy(*keys).agg(F.avg(F.col("a") * F.col("b")).alias("ab"), F.avg(F.col("a") * F.col("a")).alias("aa"), F.avg(F.col("b") * F.col("b")).alias("bb"))
-    return s.select(*keys, F.coalesce(F.try_divide(F.sqrt(F.greatest("ab", F.lit(0.0))), F.sqrt(F.sqrt(F.col("aa") * F.col("bb")))), F.lit(0.0)).alias("dcor"))
-
-
-def batches(rows: DataFrame, size: int) -> Iterator[pd.DataFrame]:
-    """Rows in batches through the driver, one partition at a time; for feeding a trainer."""
-    held = []
-    for r in rows.toLocalIterator():
-        held.append(r.asDict())
-        if len(held) == size:
-            yield pd.DataFrame(held)
-            held = []
-    if held:
-        yield pd.DataFrame(held)
+def distance_correlation(df: DataFrame, keys: list[str], row: str, x: str, y: str, block: int = 2048) -> DataFrame:
+    """Distance correlation of two columns in each group, by doubly centred distances.
+
+    A group's rows are dealt into blocks of about ``block`` rows; each pair of blocks is a task's
+    work and gives sums of products and the rows' sums of distances, never the distances.
+    """
+    point = df.select(*keys, F.col(row).alias("_i"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sizes = point.groupBy(*keys).agg(F.count("*").alias("_n"), F.ceil(F.count("*") / block).cast("int").alias("_k"))
+    placed = point.join(sizes, keys).withColumn("_c", F.pmod(F.xxhash64("_i"), "_k").cast("int"))
+    pairs = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    pairs = pairs.select(*keys, "_i", "_x", "_y", "_n", "_c", F.least("_c", "_o").alias("_p"), F.greatest("_c", "_o").alias("_q"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    kind = point.schema["_i"].dataType.simpleString()
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = (pdf["_c"] == pdf["_p"].iloc[0]).to_numpy()
+        u, same = pdf[low], pdf["_p"].iloc[0] == pdf["_q"].iloc[0]
+        v = u if same else pdf[~low]
+        ids, sums, ab = [*u["_i"], *(() if same else v["_i"])], [], np.zeros(3)
+        each = [np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(v)), np.zeros(len(v))]
+        for i in range(0, len(u), 256):
+            a, b = (np.abs(u[c].to_numpy()[i : i + 256, None] - v[c].to_numpy()[None, :]) for c in ("_x", "_y"))
+            ab += [(a * b).sum(), (a * a).sum(), (b * b).sum()]
+            each[0][i : i + 256], each[1][i : i + 256] = a.sum(1), b.sum(1)
+            each[2] += a.sum(0)
+            each[3] += b.sum(0)
+        sums = [each[0], each[1]] if same else [np.append(each[0], each[2]), np.append(each[1], each[3])]
+        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"_i": ids, "_a": sums[0], "_b": sums[1]})
+        for name, value in zip(("_ab", "_aa", "_bb"), ab if same else 2 * ab, strict=True):
+            out[name] = [value] + [0.0] * (len(out) - 1)
+        return out
+
+    parts = pairs.groupBy(*keys, "_p", "_q").applyInPandas(work, f"{kinds}, _i {kind}, _a double, _b double, _ab double, _aa double, _bb double")
+    rows = parts.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in ("_a", "_b", "_ab", "_aa", "_bb")])
+    s = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in ("_a", "_b", "_ab", "_aa", "_bb")], F.sum(F.col("_a") * F.col("_b")).alias("rab"), F.sum(F.col("_a") * F.col("_a")).alias("raa"), F.sum(F.col("_b") * F.col("_b")).alias("rbb"))
+    n = F.col("n")
+    # mean of products of doubly centred distances, from sums alone
+    centred = lambda p, r, u, v: F.col(p) / (n * n) - 2 * F.col(r) / (n * n * n) + F.col(u) * F.col(v) / (n * n * n * n)
+    s = s.select(*keys, centred("_ab", "rab", "_a", "_b").alias("ab"), centred("_aa", "raa", "_a", "_a").alias("aa"), centred("_bb", "rbb", "_b", "_b").alias("bb"))
+    whole = F.sqrt(F.sqrt(F.greatest("aa", F.lit(0.0)) * F.greatest("bb", F.lit(0.0))))
+    return s.select(*keys, F.coalesce(F.try_divide(F.sqrt(F.greatest("ab", F.lit(0.0))), whole), F.lit(0.0)).alias("dcor"))
+
+
+def evaluate_images(cells: DataFrame, image: str, n_classes: int, confidence: str | None = None, bins: int = 10, tolerance: float | None = None) -> DataFrame:
+    """One row an image: ``accuracy``, ``dice`` by label (a map), their mean, ``confusion`` (rows of the
+    matrix), with ``confidence`` the calibration ``error``, with ``tolerance`` the surface dice by label.
+
+    Cells (image, label, prediction, valid, and row and col for surfaces) that are not valid
+    take no part; an image without a valid cell is an error.
+    """
+    any_valid = F.when(F.bool_or("valid"), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no valid cell in image"), F.col(image).cast("string"))).cast("boolean"))
+    images = cells.groupBy(image).agg(any_valid.alias("_ok")).where("_ok").select(image)
+    counts = confusion(cells, [image], n_classes, valid="valid")
+    dice = dice_from_confusion(counts, [image]).groupBy(image).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "dice")))).alias("dice"), F.avg("dice").alias("dice_mean"))
+    lines = counts.groupBy(image, "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "n"))), lambda s: s["n"]).alias("_row"))
+    matrix = lines.groupBy(image).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "_row"))), lambda s: s["_row"]).alias("confusion"))
+    out = images.join(accuracy_from_confusion(counts, [image]), image).join(dice, image).join(matrix, image)
+    if confidence:
+        binned = calibration_bins(cells.where("valid"), [image], bins, confidence, F.col("label") == F.col("prediction"))
+        out = out.join(calibration_error(binned, [image]), image)
+    if tolerance is not None:
+        surface = surface_scores(cells, image, tolerance).groupBy(image).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "nsd")))).alias("surface_dice"))
+        out = out.join(surface, image, "left")
+    return out
+
+
+def batches(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of each partition with a running ``batch`` number, for a trainer that reads by partition
+    (``foreachPartition``, or files written by it); nothing passes the driver."""
+    numbered = rows.withColumn("_m", F.monotonically_increasing_id())
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.select(*rows.columns, F.shiftright("_m", 33).alias("part"), F.floor(place / size).alias("batch"))

@@ -37,9 +37,9 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 def interpolated(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """Missing values by linear interpolation over ``at``; the ends keep the edge value."""
-    w = Window.partitionBy(*keys).orderBy(at)
+    upto = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
-    out = df.withColumn("_b", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = df.withColumn("_b", F.last(known, ignorenulls=True).over(upto(F.asc(at)))).withColumn("_a", F.last(known, ignorenulls=True).over(upto(F.desc(at))))
     b, a, x = F.col("_b"), F.col("_a"), F.col(at).cast("double")
     between = b["y"] + (a["y"] - b["y"]) * (x - b["x"]) / (a["x"] - b["x"])
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when(b.isNull(), a["y"]).when(a.isNull(), b["y"]).otherwise(between)

@@ -94,6 +94,37 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "not_in_list": ("SELECT label_name, COUNT(DISTINCT image_name) AS n_images FROM df WHERE label_name NOT IN ('PROMO', 'SMALL') AND set_type IN ('F', 'O') GROUP BY label_name", None),
     "hashed_name": ("SELECT DISTINCT sha1(label_name) AS hashed FROM df", None),
     "average": ("SELECT ROUND(AVG(n_pixels), 6) AS mean FROM df", None),
+    "superpixel_bound": ("SELECT subject_name, ROUND(AVG(dice), 6) AS bound, ROUND(AVG(n_pixels), 6) AS pixels, ROUND(AVG(dice * n_pixels), 6) AS weighted FROM df GROUP BY subject_name", None),
+    "test_labels": ("SELECT COUNT(DISTINCT label_name) AS n_labels FROM df WHERE is_test = 1 AND label_name != 'PROMO'", "SELECT COUNT(DISTINCT label_name) AS n_labels FROM df WHERE is_test AND label_name != 'PROMO'"),
+    "background_share": (
+        "SELECT ROUND(CAST(SUM(CASE WHEN label_name = 'PROMO' THEN n_pixels ELSE 0 END) AS FLOAT) / SUM(n_pixels), 6) AS share FROM df",
+        "SELECT ROUND(CAST(SUM(CASE WHEN label_name = 'PROMO' THEN n_pixels ELSE 0 END) AS DOUBLE) / SUM(n_pixels), 6) AS share FROM df",
+    ),
+    "invalid_share": (
+        "SELECT is_test, ROUND(CAST(SUM(n_pixels) AS FLOAT) / COUNT(DISTINCT image_name), 6) AS pixels FROM df WHERE label_name = 'SMALL' AND is_test = 0 GROUP BY is_test",
+        "SELECT CAST(is_test AS INTEGER) AS is_test, ROUND(CAST(SUM(n_pixels) AS DOUBLE) / COUNT(DISTINCT image_name), 6) AS pixels FROM df WHERE label_name = 'SMALL' AND NOT is_test GROUP BY is_test",
+    ),
+    "test_label_list": (
+        "SELECT subject_name, GROUP_CONCAT(DISTINCT label_name) AS labels FROM df WHERE is_test = 1 AND label_name NOT IN ('PROMO') GROUP BY subject_name",
+        "SELECT subject_name, string_agg(DISTINCT label_name, ',' ORDER BY label_name) AS labels FROM df WHERE is_test AND label_name NOT IN ('PROMO') GROUP BY subject_name",
+    ),
+    "superpixel_means": ("SELECT label_name, ROUND(AVG(dice), 6) AS dice FROM df WHERE dice > 0.02 GROUP BY label_name", None),
+    "one_subject_labels": (
+        "SELECT image_name, subject_name, GROUP_CONCAT(DISTINCT label_name) AS labels FROM df GROUP BY image_name, subject_name HAVING COUNT(DISTINCT label_name) > 3",
+        "SELECT image_name, subject_name, string_agg(DISTINCT label_name, ',' ORDER BY label_name) AS labels FROM df GROUP BY image_name, subject_name HAVING COUNT(DISTINCT label_name) > 3",
+    ),
+    "label_distribution": ("SELECT label_name, CAST(SUM(n_pixels) AS BIGINT) AS n_pixels, COUNT(DISTINCT image_name) AS n_images FROM df WHERE label_name NOT IN ('MEDIUM') GROUP BY label_name ORDER BY n_pixels DESC", "SELECT label_name, CAST(SUM(n_pixels) AS BIGINT) AS n_pixels, COUNT(DISTINCT image_name) AS n_images FROM df WHERE label_name NOT IN ('MEDIUM') GROUP BY label_name"),
+    "label_distribution_by_set": ("SELECT set_type, label_name, CAST(SUM(n_pixels) AS BIGINT) AS n_pixels FROM df WHERE label_name NOT IN ('MEDIUM') GROUP BY set_type, label_name", None),
+    "single_label_images": (
+        "SELECT image_name, COUNT(*) AS n FROM df GROUP BY image_name HAVING n = 1",
+        "SELECT image_name, COUNT(*) AS n FROM df GROUP BY image_name HAVING COUNT(*) = 1",
+    ),
+    "subjects_of_images": ("SELECT subject_name, COUNT(DISTINCT image_name) AS n_images FROM df WHERE set_type IN ('F', 'O') GROUP BY subject_name ORDER BY n_images", "SELECT subject_name, COUNT(DISTINCT image_name) AS n_images FROM df WHERE set_type IN ('F', 'O') GROUP BY subject_name"),
+    "label_coverage": ("SELECT label_name, COUNT(DISTINCT subject_name) AS n_subjects FROM df WHERE set_type = 'O' GROUP BY label_name HAVING n_subjects >= 2 ORDER BY n_subjects", "SELECT label_name, COUNT(DISTINCT subject_name) AS n_subjects FROM df WHERE set_type = 'O' GROUP BY label_name HAVING COUNT(DISTINCT subject_name) >= 2"),
+    "aggregate_division": (
+        "SELECT df.label_name, SUM(df.n_pixels) / COUNT(*) AS whole_mean, COUNT(DISTINCT image_name) / 2 AS half, (MAX(n_pixels) + 1) / 3 AS third, 'a/b' AS plain, ROUND(AVG(n_pixels) / 2, 6) AS mean_half FROM df WHERE df.label_name <> 'a/b' GROUP BY df.label_name",
+        "SELECT df.label_name, CAST(SUM(df.n_pixels) // COUNT(*) AS BIGINT) AS whole_mean, COUNT(DISTINCT image_name) // 2 AS half, (MAX(n_pixels) + 1) // 3 AS third, 'a/b' AS plain, ROUND(AVG(n_pixels) / 2, 6) AS mean_half FROM df WHERE df.label_name <> 'a/b' GROUP BY df.label_name",
+    ),
 }
 
 

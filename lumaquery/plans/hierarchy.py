@@ -11,7 +11,7 @@ from ..session import tables
 
 _IMAGES = """
 WITH rows AS (
-    SELECT c_nationkey AS domain, o_custkey AS subject_name, o_orderkey AS image_name, p_type AS used_labels, avg(l_discount) AS dice
+    SELECT c_nationkey AS domain, o_custkey AS subject_name, o_orderkey AS image_name, p_type AS used_labels, avg(round(l_discount * 100)) AS dice
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey
     GROUP BY c_nationkey, o_custkey, o_orderkey, p_type
 )
@@ -19,30 +19,31 @@ WITH rows AS (
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an image with parallel arrays of labels and metrics."""
+    """One row an image with parallel arrays of labels and metrics, in whole per cent: a rounded mean of
+    means of whole numbers depends on the order of summation only in rare ties of the last digit."""
     t = tables(spark, sf_dir, "lineitem", "orders", "customer", "part")
     rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
-    one = rows.groupBy(F.col("c_nationkey").alias("domain"), F.col("o_custkey").alias("subject_name"), F.col("o_orderkey").alias("image_name"), F.col("p_type").alias("used_labels")).agg(F.avg("l_discount").alias("dice"))
+    one = rows.groupBy(F.col("c_nationkey").alias("domain"), F.col("o_custkey").alias("subject_name"), F.col("o_orderkey").alias("image_name"), F.col("p_type").alias("used_labels")).agg(F.avg(F.round(F.col("l_discount") * 100)).alias("dice"))
     return A.implode(one, ["domain", "subject_name", "image_name"], "used_labels", ["used_labels", "dice"])
 
 
 def hier_class_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.grouped_metrics(images(spark, sf_dir), ["dice"])
-    return out.select("used_labels", F.round("dice", 6).alias("dice"))
+    return out.select("used_labels", F.round("dice", 9).alias("dice"))
 
 
 def hier_image_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.grouped_metrics(images(spark, sf_dir), ["dice"], mode="image_level")
-    return out.select("subject_name", F.round("dice", 6).alias("dice"))
+    return out.select("subject_name", F.round("dice", 9).alias("dice"))
 
 
 def hier_domain_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.grouped_metrics(images(spark, sf_dir), ["dice"], domains=["domain"])
-    return out.select("domain", "used_labels", F.round("dice", 6).alias("dice"))
+    return out.select("domain", "used_labels", F.round("dice", 9).alias("dice"))
 
 
 def hier_checkpoint_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.checkpoint_score(images(spark, sf_dir), "dice", "domain").select(F.round("dice", 6).alias("dice"))
+    return A.checkpoint_score(images(spark, sf_dir), "dice", "domain").select(F.round("dice", 9).alias("dice"))
 
 
 _LABELS = "WITH cells AS (SELECT lang, source, quality AS i, toxic AS j, d.doc_id FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
@@ -137,7 +138,7 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tables(spark, sf_dir, "part")["part"].groupBy(F.col("p_type").alias("label_index")).agg(F.count("*").alias("n"))
     out = A.class_weights(counts)
-    return out.select("label_index", *[F.round(c, 6).alias(c) for c in ("share", "inverse", "softmin", "nll")])
+    return out.select("label_index", *[F.round(c, 6).alias(c) for c in ("one", "share", "inverse", "softmin", "nll")])
 
 
 def superpixel_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +152,15 @@ def surface_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = lambda c, v: F.when(F.col(c) == v, 1).otherwise(0)
     grid = li.groupBy(F.col("l_suppkey").alias("image_name"), F.pmod("l_orderkey", F.lit(16)).cast("int").alias("row"), F.pmod("l_partkey", F.lit(16)).cast("int").alias("col"))
     cells_ = grid.agg(F.max(flag("l_returnflag", "N")).alias("label"), F.max(flag("l_linestatus", "O")).alias("prediction")).withColumn("valid", F.lit(True))
-    return M.surface_scores(cells_)
+    out = M.surface_scores(cells_)
+    return out.select("image_name", "label", F.round("nsd", 6).alias("nsd"), F.round("asd", 6).alias("asd"))
+
+
+def image_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, mean dice and calibration error of each image, in one call; suppliers stand for images."""
+    cells_ = _scored(spark, sf_dir).withColumnRenamed("subject", "image_name")
+    out = M.evaluate_images(cells_, "image_name", 2, "confidence")
+    return out.select("image_name", F.round("accuracy", 6).alias("accuracy"), F.round("dice_mean", 6).alias("dice_mean"), F.round("error", 6).alias("error"))
 
 
 def domain_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +174,10 @@ _GRID = ", g AS (SELECT lang, a.i, b.j FROM (SELECT DISTINCT lang FROM cells) k,
 _BIN = "least(9, greatest(0, CAST(ceil(confidence * 10 - 1e-9) AS INTEGER) - 1))"
 
 QUERIES = {
-    "hier_class_mean": (hier_class_mean, _IMAGES + ", s AS (SELECT subject_name, used_labels, avg(dice) AS dice FROM rows GROUP BY ALL) SELECT used_labels, round(avg(dice), 6) AS dice FROM s GROUP BY used_labels"),
-    "hier_image_mean": (hier_image_mean, _IMAGES + ", s AS (SELECT subject_name, image_name, avg(dice) AS dice FROM rows GROUP BY ALL) SELECT subject_name, round(avg(dice), 6) AS dice FROM s GROUP BY subject_name"),
-    "hier_domain_mean": (hier_domain_mean, _IMAGES + ", s AS (SELECT domain, subject_name, used_labels, avg(dice) AS dice FROM rows GROUP BY ALL) SELECT domain, used_labels, round(avg(dice), 6) AS dice FROM s GROUP BY domain, used_labels"),
-    "hier_checkpoint_score": (hier_checkpoint_score, _IMAGES + ", s AS (SELECT domain, subject_name, used_labels, avg(dice) AS dice FROM rows GROUP BY ALL), d AS (SELECT domain, used_labels, avg(dice) AS dice FROM s GROUP BY ALL), l AS (SELECT used_labels, avg(dice) AS dice FROM d GROUP BY ALL) SELECT round(avg(dice), 6) AS dice FROM l"),
+    "hier_class_mean": (hier_class_mean, _IMAGES + ", s AS (SELECT subject_name, used_labels, avg(dice) AS dice FROM rows GROUP BY ALL) SELECT used_labels, round(avg(dice), 9) AS dice FROM s GROUP BY used_labels"),
+    "hier_image_mean": (hier_image_mean, _IMAGES + ", s AS (SELECT subject_name, image_name, avg(dice) AS dice FROM rows GROUP BY ALL) SELECT subject_name, round(avg(dice), 9) AS dice FROM s GROUP BY subject_name"),
+    "hier_domain_mean": (hier_domain_mean, _IMAGES + ", s AS (SELECT domain, subject_name, used_labels, avg(dice) AS dice FROM rows GROUP BY ALL) SELECT domain, used_labels, round(avg(dice), 9) AS dice FROM s GROUP BY domain, used_labels"),
+    "hier_checkpoint_score": (hier_checkpoint_score, _IMAGES + ", s AS (SELECT domain, subject_name, used_labels, avg(dice) AS dice FROM rows GROUP BY ALL), d AS (SELECT domain, used_labels, avg(dice) AS dice FROM s GROUP BY ALL), l AS (SELECT used_labels, avg(dice) AS dice FROM d GROUP BY ALL) SELECT round(avg(dice), 9) AS dice FROM l"),
     "confusion_matrix": (confusion_matrix, _LABELS + _GRID + " SELECT g.lang, g.i, g.j, count(doc_id) AS n FROM g LEFT JOIN cells c ON g.lang = c.lang AND g.i = c.i AND g.j = c.j GROUP BY ALL"),
     "matrix_sums": (matrix_sums, _LABELS + " SELECT lang, concat_ws(',', count(*) FILTER (i = 0 AND j = 0), count(*) FILTER (i = 0 AND j = 1), count(*) FILTER (i = 1 AND j = 0), count(*) FILTER (i = 1 AND j = 1)) AS m FROM cells GROUP BY lang"),
     "cm_row_normalised": (
@@ -208,12 +217,34 @@ QUERIES = {
     ),
     "class_weights": (
         class_weights,
-        "WITH c AS (SELECT p_type AS label_index, count(*) AS n FROM part GROUP BY 1), s AS (SELECT label_index, n, n / sum(n) OVER () AS s FROM c) SELECT label_index, round((1 - s) / sum(1 - s) OVER (), 6) AS share, round((1 / n) / sum(1 / n) OVER (), 6) AS inverse, round(exp(-s) / sum(exp(-s)) OVER (), 6) AS softmin, round(-ln(s), 6) AS nll FROM s",
+        "WITH c AS (SELECT p_type AS label_index, count(*) AS n FROM part GROUP BY 1), s AS (SELECT label_index, n, n / sum(n) OVER () AS s FROM c) SELECT label_index, CAST(1 AS DOUBLE) AS one, round((1 - s) / sum(1 - s) OVER (), 6) AS share, round((1 / n) / sum(1 / n) OVER (), 6) AS inverse, round(exp(-2 * s) / sum(exp(-2 * s)) OVER (), 6) AS softmin, round(-ln(s), 6) AS nll FROM s",
     ),
     "superpixel_mode": (
         superpixel_mode,
         "WITH c AS (SELECT l_suppkey AS superpixel, l_linenumber AS label, count(*) AS n FROM lineitem WHERE l_quantity > 20 GROUP BY ALL), m AS (SELECT superpixel, label, row_number() OVER (PARTITION BY superpixel ORDER BY n DESC, label) AS k, CAST(sum(n) OVER (PARTITION BY superpixel) AS BIGINT) AS n FROM c) SELECT s.superpixel, coalesce(label, 0) AS label, coalesce(n, 0) AS n FROM (SELECT DISTINCT l_suppkey AS superpixel FROM lineitem) s LEFT JOIN m ON m.superpixel = s.superpixel AND k = 1",
     ),
-    "surface_scores": (surface_scores, None),
+    "surface_scores": (
+        surface_scores,
+        """WITH c AS (SELECT l_suppkey AS image_name, CAST(l_orderkey % 16 AS INTEGER) AS r, CAST(l_partkey % 16 AS INTEGER) AS k,
+             max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS a, max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS b FROM lineitem GROUP BY ALL),
+           m AS (SELECT image_name, r, k, a AS label, 'a' AS side FROM c UNION ALL SELECT image_name, r, k, b, 'b' FROM c),
+           border AS (SELECT m.* FROM m LEFT JOIN m n ON n.image_name = m.image_name AND n.side = m.side AND n.label = m.label AND abs(n.r - m.r) + abs(n.k - m.k) = 1
+                      GROUP BY ALL HAVING count(n.r) < 4),
+           named AS (SELECT DISTINCT image_name, a AS label FROM c),
+           d AS (SELECT p.image_name, p.label, p.side, p.r, p.k, min(sqrt((p.r - q.r) * (p.r - q.r) + (p.k - q.k) * (p.k - q.k))) AS d
+                 FROM border p JOIN named USING (image_name, label) LEFT JOIN border q ON q.image_name = p.image_name AND q.label = p.label AND q.side <> p.side GROUP BY ALL),
+           w AS (SELECT image_name, max(d) AS worst FROM d GROUP BY 1), s AS (SELECT image_name, sqrt((max(r) + 1) * (max(r) + 1) + (max(k) + 1) * (max(k) + 1)) AS diagonal FROM c GROUP BY 1)
+           SELECT d.image_name, d.label, round(count(*) FILTER (d <= 1) / count(*), 6) AS nsd, round(avg(coalesce(d, worst, diagonal)), 6) AS asd
+           FROM d JOIN w USING (image_name) JOIN s USING (image_name) GROUP BY 1, 2""",
+    ),
+    "image_evaluation": (
+        image_evaluation,
+        _SCORED
+        + f""", v AS (SELECT * FROM s WHERE valid), a AS (SELECT subject, avg(CAST(label = prediction AS INTEGER)) AS accuracy FROM v GROUP BY 1),
+             d AS (SELECT subject, c.c, 2 * count(*) FILTER (label = c AND prediction = c) / (count(*) FILTER (label = c) + count(*) FILTER (prediction = c)) AS dice FROM v, (VALUES (0), (1)) c(c) GROUP BY ALL HAVING count(*) FILTER (label = c) > 0),
+             m AS (SELECT subject, avg(dice) AS dice_mean FROM d GROUP BY 1),
+             b AS (SELECT subject, {_BIN} AS bin, count(*) AS n, avg(CAST(label = prediction AS INTEGER)) AS h, avg(confidence) AS c FROM v GROUP BY ALL), e AS (SELECT subject, sum(n * abs(h - c)) / sum(n) AS error FROM b GROUP BY 1)
+             SELECT a.subject AS image_name, round(accuracy, 6) AS accuracy, round(dice_mean, 6) AS dice_mean, round(error, 6) AS error FROM a JOIN m USING (subject) JOIN e USING (subject)""",
+    ),
     "domain_accuracy": (domain_accuracy, "SELECT c_nationkey AS subject, round(avg(CAST(o_orderstatus = CASE WHEN starts_with(o_orderpriority, '1') THEN 'O' ELSE 'F' END AS INTEGER)), 6) AS accuracy FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
 }

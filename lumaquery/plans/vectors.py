@@ -52,6 +52,7 @@ def nearest_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first and the second component of the vectors of each label."""
     v = _vectors(spark, sf_dir).select("label", "vec_id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
     out = M.distance_correlation(v, ["label"], "vec_id", "x", "y")
     return out.select("label", F.round("dcor", 6).alias("dcor"))
@@ -136,7 +137,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = tables(spark, sf_dir, "lineitem")["lineitem"]
-    return li.groupBy(F.col("l_returnflag").alias("task"), F.col("l_linestatus").alias("algorithm"), F.pmod("l_suppkey", F.lit(20)).alias("case")).agg(F.avg("l_discount").alias("value")).where("task <> 'N' or algorithm is not null")
+    return li.groupBy(F.col("l_returnflag").alias("task"), F.col("l_linestatus").alias("algorithm"), F.pmod("l_suppkey", F.lit(20)).alias("case")).agg(F.avg(F.round(F.col("l_discount") * 100)).alias("value"))
 
 
 def _complete(df: DataFrame) -> DataFrame:
@@ -150,12 +151,14 @@ def bootstrap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.rank_statistics(B.ranking(_complete(_cases(spark, sf_dir)), "task", "algorithm", "case", "value", 200), "task", "algorithm")
+    out = B.rank_statistics(B.ranking(_complete(_cases(spark, sf_dir)), "task", "algorithm", "case", "value", 200), "task", "algorithm")
+    return out.select("task", "algorithm", "low", "high", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cases(spark, sf_dir)
-    return B.interval(B.bootstrapped(rows, ["task"], "case", F.avg("value"), 100), ["task"])
+    out = B.interval(B.bootstrapped(rows, ["task"], "case", F.avg("value"), 100), ["task"])
+    return out.select("task", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std", "low", "high")])
 
 
 def hierarchical_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +186,43 @@ def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("epoch", "batch").agg(F.count("*").alias("n"))
 
 
+def worker_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts dealt to four workers by stride and by runs."""
+    part = tables(spark, sf_dir, "part")["part"].select("p_partkey")
+    by = S.worker_share(part, 4, id_col="p_partkey").join(S.worker_share(part, 4, False, "p_partkey").withColumnRenamed("worker", "run"), "p_partkey")
+    return by.select("p_partkey", "worker", "run")
+
+
+def patch_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of suppliers' images, in proportion to the images' sizes."""
+    s = tables(spark, sf_dir, "supplier")["supplier"].select(F.col("s_suppkey").alias("image"), (10 + F.col("s_suppkey") % 20).cast("int").alias("h"), (12 + F.col("s_suppkey") % 7).cast("int").alias("w"))
+    return S.patch_places(s, "image", "h", "w", 5, 6, 500)
+
+
+def folds_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.nested_folds(tables(spark, sf_dir, "orders")["orders"], "o_custkey", "o_orderstatus", 3, 2)
+
+
+def folds_subset_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.subset_series(tables(spark, sf_dir, "nation")["nation"], "n_nationkey", [1, 3, 8], 4, 12)
+
+
+def colour_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as colours and back, counted by colour."""
+    cells = _cells(spark, sf_dir)
+    colours = cells.select("label").distinct().select("label", *[F.pmod(F.col("label") * m, F.lit(256)).cast("int").alias(c) for c, m in (("r", 37), ("g", 91), ("b", 200))])
+    seen = R.labels_of_colours(R.colours_of_labels(cells, colours).select("image", "r", "g", "b"), colours)
+    return seen.groupBy("label", "r", "g", "b").agg(F.count("*").alias("n"))
+
+
+def mixed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors mixed with a shuffled partner's, by their sums."""
+    v = _vectors(spark, sf_dir).select("vec_id", "v", F.col("label").cast("int").alias("label"), (F.col("vec_id") % 3 > 0).alias("valid"))
+    out = R.mix_up(v, "vec_id", ["v"], 0.75, 0, ["label"], 4, "valid")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return out.select("vec_id", F.round(total("v"), 5).alias("total"), F.round(F.get("label", F.lit(1)), 6).alias("label_1"), F.col("valid").cast("int").alias("valid"))
+
+
 def folds_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, "customer", "nation")
     out = C.leave_one_out(t["customer"], "c_nationkey", "c_custkey")
@@ -229,13 +269,31 @@ def cells_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curve_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).groupBy("user_id", F.col("value").cast("double").alias("x")).agg(F.count("*").cast("double").alias("y"))
-    return M.curve_on_grid(e, ["user_id"], "x", "y", 0.0, 100.0, 20)
+    out = M.curve_on_grid(e, ["user_id"], "x", "y", 0.0, 95.0, 20)
+    return out.select("user_id", "at", "x", F.round("y", 6).alias("y"))
 
 
 def sample_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.patches(_cells(spark, sf_dir), "image", 5, 5, 4)
 
 
+def _u(parts: str) -> str:
+    """The oracle's spelling of ``bootstrap.uniform`` over a list of parts, the seed first."""
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {parts})), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+_CELLS = "WITH cells AS (SELECT l_suppkey AS image, CAST(l_orderkey % 20 AS INTEGER) AS row, CAST(l_partkey % 20 AS INTEGER) AS col, min(l_linenumber) AS label, max(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+_CHOSEN = _CELLS + f", l AS (SELECT image, list_sort(list(DISTINCT label)) AS l FROM cells WHERE label < 5 GROUP BY 1), ch AS (SELECT image, l[CAST(floor({_u('0, image')} * len(l)) AS INTEGER) + 1] AS c FROM l)"
+_NEXT = f", o AS (SELECT image, row_number() OVER (ORDER BY {_u('2, image')}, image) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT image FROM cells)), t AS (SELECT a.image, b.image AS donor FROM o a JOIN o b ON (b.i - 1 + b.n) % b.n = a.i)"
+_KINDS = "WITH k AS (SELECT o_custkey AS s, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kind, count(*) AS n FROM orders GROUP BY 1)"
+_CASES = "WITH cases AS (SELECT l_returnflag AS task, l_linestatus AS algorithm, l_suppkey % 20 AS c, avg(round(l_discount * 100)) AS value FROM lineitem GROUP BY ALL)"
+_RANKED = (
+    _CASES
+    + f", f AS (SELECT * FROM cases SEMI JOIN (SELECT task, c FROM cases GROUP BY ALL HAVING count(*) = 2) USING (task, c)), p AS (SELECT task, c, row_number() OVER (PARTITION BY task ORDER BY c) - 1 AS p, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, c FROM f)),"
+    + f" d AS (SELECT task, b, CAST(floor({_u('0, task, b, p')} * n) AS BIGINT) AS pick FROM p, unnest(range(200)) t(b)), m AS (SELECT d.task, b, algorithm, avg(value) AS score FROM d JOIN p ON p.task = d.task AND p.p = pick JOIN f ON f.task = p.task AND f.c = p.c GROUP BY ALL), r AS (SELECT *, rank() OVER (PARTITION BY task, b ORDER BY score DESC) AS rank FROM m)"
+)
+
+
 QUERIES = {
     "l1_norm": (_long(lambda v: V.normalised(v, 1)), _E + " SELECT vec_id, CAST(idx AS INTEGER) AS idx, round(x / sum(abs(x)) OVER (PARTITION BY vec_id), 6) + 0.0 AS x FROM e"),
     "l2_norm": (_long(lambda v: V.normalised(v, 2)), _E + " SELECT vec_id, CAST(idx AS INTEGER) AS idx, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) + 0.0 AS x FROM e"),
@@ -271,21 +329,64 @@ QUERIES = {
     "pair_enumeration": (pair_enumeration, "SELECT a.p_type, a.p_partkey AS \"first\", b.p_partkey AS \"second\" FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size <= 3 AND b.p_size >= 49"),
     "cells_tiled": (cells_tiled, "SELECT l_suppkey AS image, CAST(l_orderkey % 20 AS INTEGER) AS \"row\", CAST(l_partkey % 20 AS INTEGER) AS col, min(l_linenumber) AS label, max(l_quantity) AS value FROM lineitem GROUP BY ALL"),
     "cells_blanked": (cells_blanked, "SELECT l_suppkey AS image, CAST(l_orderkey % 20 AS INTEGER) AS \"row\", CAST(l_partkey % 20 AS INTEGER) AS col, CASE WHEN min(l_linenumber) = 2 THEN 100 ELSE min(l_linenumber) END AS label, CASE WHEN min(l_linenumber) = 2 THEN 0 ELSE max(l_quantity) END AS value FROM lineitem GROUP BY ALL"),
-    "cells_removed": (_changed(lambda c: R.remove_label(c, "image", F.col("label") < 5)), None),
-    "cells_isolated": (_changed(lambda c: R.remove_label(c, "image", F.col("label") < 5, isolate=True)), None),
-    "cells_hidden": (_changed(lambda c: R.hide_and_seek(c, "image", 5, 5, 6, 16)), None),
-    "cells_erased": (_changed(lambda c: R.erase_rectangle(c, "image", 6, 8, 20, 20)), None),
-    "cells_transplanted": (_changed(lambda c: R.transplant(c, "image", F.col("label") < 5)), None),
-    "cells_jigsaw": (_changed(lambda c: R.jigsaw(c, "image", 5, 5)), None),
-    "curve_grid": (curve_grid, None),
+    "cells_removed": (_changed(lambda c: R.remove_label(c, "image", F.col("label") < 5)), _CHOSEN + " SELECT image, row, col, CASE WHEN label = c THEN 100 ELSE label END AS label, CASE WHEN label = c THEN 0 ELSE value END AS value FROM cells LEFT JOIN ch USING (image)"),
+    "cells_isolated": (_changed(lambda c: R.remove_label(c, "image", F.col("label") < 5, isolate=True)), _CHOSEN + " SELECT image, row, col, CASE WHEN label <> c THEN 100 ELSE label END AS label, CASE WHEN label <> c THEN 0 ELSE value END AS value FROM cells LEFT JOIN ch USING (image)"),
+    "cells_hidden": (_changed(lambda c: R.hide_and_seek(c, "image", 5, 5, 6, 16)), _CELLS + f", a AS (SELECT image, max(col // 5) + 1 AS across FROM cells GROUP BY 1), h AS (SELECT DISTINCT image, CAST(floor({_u('0, image, k')} * 16) AS BIGINT) AS p FROM (SELECT DISTINCT image FROM cells) i, unnest(range(1, 7)) t(k)), x AS (SELECT cells.*, h.p IS NOT NULL AS hit FROM cells JOIN a USING (image) LEFT JOIN h ON h.image = cells.image AND h.p = (row // 5) * across + col // 5) SELECT image, row, col, CASE WHEN hit THEN 100 ELSE label END AS label, CASE WHEN hit THEN 0 ELSE value END AS value FROM x"),
+    "cells_erased": (_changed(lambda c: R.erase_rectangle(c, "image", 6, 8, 20, 20)), _CELLS + f", x AS (SELECT *, row BETWEEN floor({_u('0, image, chr(114)')} * 15) AND floor({_u('0, image, chr(114)')} * 15) + 5 AND col BETWEEN floor({_u('0, image, chr(99)')} * 13) AND floor({_u('0, image, chr(99)')} * 13) + 7 AS hit FROM cells) SELECT image, row, col, CASE WHEN hit THEN 100 ELSE label END AS label, CASE WHEN hit THEN 0 ELSE value END AS value FROM x"),
+    "cells_transplanted": (
+        _changed(lambda c: R.transplant(c, "image", F.col("label") < 5)),
+        _CHOSEN + _NEXT + ", d AS (SELECT t.image, row, col, label, value FROM cells JOIN ch USING (image) JOIN t ON t.donor = cells.image WHERE label = c) SELECT cells.image, cells.row, cells.col, coalesce(d.label, cells.label) AS label, coalesce(d.value, cells.value) AS value FROM cells LEFT JOIN d ON d.image = cells.image AND d.row = cells.row AND d.col = cells.col",
+    ),
+    "cells_rectangle_transplanted": (
+        _changed(lambda c: R.transplant_region(R.rectangles(c, "image", 6, 8, 20, 20), "image", "region")),
+        _CELLS + _NEXT + f", d AS (SELECT t.image, row, col, label, value FROM cells JOIN t ON t.donor = cells.image WHERE row BETWEEN floor({_u('0, cells.image, chr(114)')} * 15) AND floor({_u('0, cells.image, chr(114)')} * 15) + 5 AND col BETWEEN floor({_u('0, cells.image, chr(99)')} * 13) AND floor({_u('0, cells.image, chr(99)')} * 13) + 7) SELECT cells.image, cells.row, cells.col, coalesce(d.label, cells.label) AS label, coalesce(d.value, cells.value) AS value FROM cells LEFT JOIN d ON d.image = cells.image AND d.row = cells.row AND d.col = cells.col",
+    ),
+    "cells_jigsaw": (
+        _changed(lambda c: R.jigsaw(c, "image", 5, 5)),
+        _CELLS + f", p AS (SELECT DISTINCT image, row // 5 AS r, col // 5 AS k FROM cells), h AS (SELECT *, row_number() OVER (ORDER BY {_u('0, image, r, k')}, image, r, k) AS i FROM p), g AS (SELECT *, row_number() OVER (ORDER BY {_u('1, image, r, k')}, image, r, k) AS i FROM p) SELECT g.image, CAST(g.r * 5 + cells.row % 5 AS INTEGER) AS row, CAST(g.k * 5 + cells.col % 5 AS INTEGER) AS col, label, value FROM cells JOIN h ON h.image = cells.image AND h.r = cells.row // 5 AND h.k = cells.col // 5 JOIN g ON g.i = h.i",
+    ),
+    "curve_grid": (
+        curve_grid,
+        "WITH e AS (SELECT user_id, CAST(value AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS y FROM events GROUP BY ALL), n AS (SELECT user_id, count(*) AS n, min(x) AS x, min(y) AS y FROM e GROUP BY 1), g AS (SELECT CAST(i AS INTEGER) AS p, 5.0::DOUBLE * i AS gx FROM unnest(range(20)) t(i)), b AS (SELECT user_id, p, gx, max(x) FILTER (x <= gx) AS lo, min(x) FILTER (x >= gx) AS hi FROM e, g GROUP BY ALL), j AS (SELECT b.*, l.y AS ly, h.y AS hy, n, n.x AS only_x, n.y AS only_y FROM b JOIN n USING (user_id) LEFT JOIN e l ON l.user_id = b.user_id AND l.x = lo LEFT JOIN e h ON h.user_id = b.user_id AND h.x = hi) SELECT user_id, p AS \"at\", gx AS x, round(CASE WHEN n = 1 THEN CASE WHEN p = (SELECT arg_min(g.p, abs(g.gx - only_x) + g.p * 1e-9) FROM g) THEN only_y ELSE 'nan'::DOUBLE END WHEN lo IS NULL OR hi IS NULL THEN 'nan'::DOUBLE WHEN lo = hi THEN ly ELSE ly + (hy - ly) * (gx - lo) / (hi - lo) END, 6) AS y FROM j",
+    ),
     "sample_patches": (sample_patches, None),
-    "folds_stratified": (folds_stratified, None),
-    "bootstrap_ranking": (bootstrap_ranking, None),
-    "bootstrap_statistics": (bootstrap_statistics, None),
-    "bootstrap_interval": (bootstrap_interval, None),
-    "hierarchical_bootstrap": (hierarchical_bootstrap, None),
-    "balanced_bootstrap": (balanced_bootstrap, None),
+    "folds_stratified": (folds_stratified, _KINDS + f", f AS (SELECT s, CAST((row_number() OVER (PARTITION BY kind ORDER BY n DESC, s) - 1 + floor({_u('0, kind')} * 4)) % 4 AS INTEGER) AS fold FROM k) SELECT fold, count(*) AS n FROM f GROUP BY 1"),
+    "folds_nested": (
+        folds_nested,
+        _KINDS + f", f AS (SELECT k.*, CAST((row_number() OVER (PARTITION BY kind ORDER BY n DESC, s) - 1 + floor({_u('0, kind')} * 3)) % 3 AS INTEGER) AS own FROM k), o AS (SELECT f.*, CAST(u AS INTEGER) AS outer_fold, (row_number() OVER (PARTITION BY u, kind, own = u ORDER BY n DESC, s) - 1) % 2 AS inn FROM f, unnest(range(3)) t(u)) SELECT s AS o_custkey, outer_fold, CAST(i AS INTEGER) AS fold, CASE WHEN own = outer_fold THEN 'test' WHEN inn = i THEN 'val' ELSE 'train' END AS split FROM o, unnest(range(2)) t(i)",
+    ),
+    "folds_subset_series": (
+        folds_subset_series,
+        f"WITH p AS (SELECT n_nationkey AS s, t, row_number() OVER (PARTITION BY t ORDER BY {_u('0, t, n_nationkey')}, n_nationkey) AS k FROM nation, unnest(range(12)) r(t)), q AS (SELECT z, t, list(s ORDER BY s) AS l FROM p, (VALUES (1), (3), (8)) v(z) WHERE k <= z GROUP BY ALL), f AS (SELECT z, l, min(t) AS t FROM q GROUP BY ALL), c AS (SELECT z, l, row_number() OVER (PARTITION BY z ORDER BY t) - 1 AS seed FROM f) SELECT z AS \"size\", CAST(seed AS INTEGER) AS seed, unnest(l) AS n_nationkey FROM c WHERE seed < 4",
+    ),
+    "worker_shares": (worker_shares, f"WITH o AS (SELECT p_partkey, row_number() OVER (ORDER BY {_u('0, p_partkey')}, p_partkey) - 1 AS i, count(*) OVER () AS n FROM part) SELECT p_partkey, CAST(i % 4 AS INTEGER) AS worker, CAST(floor(i * 4 / n) AS INTEGER) AS run FROM o"),
+    "patch_positions": (
+        patch_positions,
+        f"WITH i AS (SELECT s_suppkey AS image, CAST(10 + s_suppkey % 20 AS INTEGER) AS h, CAST(12 + s_suppkey % 7 AS INTEGER) AS w FROM supplier), n AS (SELECT image, h, w, CAST(floor(CAST((h - 4) * (w - 5) AS DOUBLE) / sum((h - 4) * (w - 5)) OVER () * 500 + {_u('0, image, chr(110)')}) AS INTEGER) AS n FROM i) SELECT image, CAST(k AS INTEGER) AS patch, CAST(floor({_u('0, image, k, chr(114)')} * (h - 4)) AS INTEGER) AS top, CAST(floor({_u('0, image, k, chr(99)')} * (w - 5)) AS INTEGER) AS \"left\" FROM n, unnest(range(n)) t(k)",
+    ),
+    "colour_masks": (colour_masks, _CELLS + " SELECT label, CAST(label * 37 % 256 AS INTEGER) AS r, CAST(label * 91 % 256 AS INTEGER) AS g, CAST(label * 200 % 256 AS INTEGER) AS b, count(*) AS n FROM cells GROUP BY label"),
+    "mixed_vectors": (
+        mixed_vectors,
+        f"WITH v AS (SELECT vec_id, label, vec_id % 3 > 0 AS ok, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS t FROM embeddings), a AS (SELECT *, row_number() OVER (ORDER BY {_u('0, vec_id')}, vec_id) AS k FROM v), b AS (SELECT *, row_number() OVER (ORDER BY {_u('1, vec_id')}, vec_id) AS k FROM v) SELECT a.vec_id, round(0.75 * a.t + 0.25 * b.t, 5) AS total, round(0.75 * CAST(a.label = 1 AS INTEGER) + 0.25 * CAST(b.label = 1 AS INTEGER), 6) AS label_1, CAST(a.ok AND b.ok AS INTEGER) AS valid FROM a JOIN b USING (k)",
+    ),
+    "bootstrap_ranking": (bootstrap_ranking, _RANKED + " SELECT task, algorithm, CAST(rank AS INTEGER) AS rank, count(*) AS n FROM r GROUP BY ALL"),
+    "bootstrap_statistics": (
+        bootstrap_statistics,
+        _RANKED + ", o AS (SELECT *, row_number() OVER (PARTITION BY task, algorithm ORDER BY rank, b) AS i, count(*) OVER (PARTITION BY task, algorithm) AS n FROM r) SELECT task, algorithm, CAST(max(rank) FILTER (i = greatest(1, round_even(0.025 * n, 0))) AS INTEGER) AS low, CAST(max(rank) FILTER (i = greatest(1, round_even(0.975 * n, 0))) AS INTEGER) AS high, round(avg(rank), 6) AS mean, round(median(rank), 6) AS median, round(stddev_pop(rank), 6) AS std FROM o GROUP BY ALL",
+    ),
+    "bootstrap_interval": (
+        bootstrap_interval,
+        _CASES + f", p AS (SELECT task, c, row_number() OVER (PARTITION BY task ORDER BY c) - 1 AS p, count(*) OVER (PARTITION BY task) AS n FROM (SELECT DISTINCT task, c FROM cases)), d AS (SELECT task, b, p AS draw, CAST(floor({_u('0, task, b, p')} * n) AS BIGINT) AS pick FROM p, unnest(range(100)) t(b)), m AS (SELECT d.task, b, avg(value) AS m FROM d JOIN p ON p.task = d.task AND p.p = pick JOIN cases ON cases.task = p.task AND cases.c = p.c GROUP BY ALL) SELECT task, round(avg(m), 6) AS mean, round(median(m), 6) AS median, round(stddev_samp(m), 6) AS std, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1",
+    ),
+    "hierarchical_bootstrap": (
+        hierarchical_bootstrap,
+        f"WITH r AS (SELECT c_nationkey AS d, o_custkey AS s, o_orderkey AS i FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT d, s, row_number() OVER (PARTITION BY d ORDER BY s) - 1 AS p, count(*) OVER (PARTITION BY d) AS n FROM (SELECT DISTINCT d, s FROM r)), i AS (SELECT d, s, i, row_number() OVER (PARTITION BY d, s ORDER BY i) - 1 AS q, count(*) OVER (PARTITION BY d, s) AS m FROM r), w AS (SELECT d, n, b, k, CAST(floor({_u('0, d, b, k')} * n) AS BIGINT) AS p FROM (SELECT DISTINCT d, n FROM s), unnest(range(20)) t(b), unnest(range(5)) u(k)), x AS (SELECT w.d, b, k, s.s, m FROM w JOIN s ON s.d = w.d AND s.p = w.p JOIN (SELECT DISTINCT d, s, m FROM i) c ON c.d = w.d AND c.s = s.s), y AS (SELECT d, b, s, CAST(floor({_u('1, d, b, k, j')} * m) AS BIGINT) AS q FROM x, unnest(range(4)) t(j)) SELECT CAST(b AS INTEGER) AS bootstrap, y.d AS c_nationkey, y.s AS o_custkey, i.i AS o_orderkey FROM y JOIN i ON i.d = y.d AND i.s = y.s AND i.q = y.q",
+    ),
+    "balanced_bootstrap": (
+        balanced_bootstrap,
+        f"WITH l AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS l, count(*) OVER () AS total FROM (SELECT DISTINCT p_type FROM part)), p AS (SELECT part.p_type, l, total, p_partkey, row_number() OVER (PARTITION BY part.p_type ORDER BY p_partkey) - 1 AS p, count(*) OVER (PARTITION BY part.p_type) AS n FROM part JOIN l ON l.p_type = part.p_type), d AS (SELECT b, w, w % (SELECT max(total) FROM l) AS l FROM unnest(range(20)) t(b), unnest(range(60)) u(w)), k AS (SELECT b, w, d.l, CAST(floor({_u('0, b, w')} * n) AS BIGINT) AS p FROM d JOIN (SELECT DISTINCT l, n FROM p) c ON c.l = d.l) SELECT CAST(b AS INTEGER) AS bootstrap, CAST(w AS INTEGER) AS draw, p_type, p_partkey FROM k JOIN p ON p.l = k.l AND p.p = k.p",
+    ),
     "oversampled_bootstrap": (oversampled_bootstrap, None),
-    "weighted_sampling": (weighted_sampling, None),
-    "sample_stream": (sample_stream, None),
+    "weighted_sampling": (weighted_sampling, f"WITH k AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY -ln(greatest({_u('0, p_partkey')}, 1e-300)) / p_size, p_partkey) AS r FROM part WHERE p_size > 0) SELECT p_type, p_partkey FROM k WHERE r <= 10"),
+    "sample_stream": (sample_stream, f"WITH o AS (SELECT CAST(e AS INTEGER) AS epoch, row_number() OVER (PARTITION BY e ORDER BY {_u('0, e, p_partkey')}, p_partkey) - 1 AS i FROM part, unnest(range(2)) t(e)) SELECT epoch, i // 32 AS batch, count(*) AS n FROM o GROUP BY ALL"),
 }

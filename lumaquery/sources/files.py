@@ -166,3 +166,36 @@ def verified_copy(spark: SparkSession, source: str, target: str) -> DataFrame:
 
 def write_if_absent(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
+
+
+def colour_images(spark: SparkSession, path: str, pattern: str = "*RGB-Image.png", border: tuple[int, int, int, int] = (30, 3, 3, 3), height: int = 480, width: int = 640) -> DataFrame:
+    """One row a pixel of camera pictures (image_name, row, col, r, g, b), without the border (top, right,
+    bottom, left) that the camera's program draws; another size than ``height`` by ``width`` is an error.
+
+    Pictures are decoded by Spark's image source, whose channels are blue, green, red, row by row.
+    """
+    top, right, bottom, left = border
+    raw = spark.read.format("image").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("image.*")
+    fits = (F.col("height") == height + top + bottom) & (F.col("width") == width + left + right) & (F.col("nChannels") == 3)
+    size = F.concat_ws(" ", F.lit("unexpected size of"), "origin", F.col("height").cast("string"), F.col("width").cast("string"), F.col("nChannels").cast("string"))
+    checked = raw.where(F.when(fits, True).otherwise(F.raise_error(size).cast("boolean")))
+    lines = checked.select(image_name(F.col("origin")).alias("image_name"), "data", "width", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("row"))
+    line = lines.select("image_name", "row", F.expr(f"substring(data, int((row + {top}) * width * 3 + {left} * 3 + 1), {width * 3})").alias("_line"))
+    cells = line.select("image_name", "row", F.hex("_line").alias("_hex"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
+    channel = lambda k: F.conv(F.expr(f"substring(_hex, col * 6 + {2 * k + 1}, 2)"), 16, 10).cast("int")
+    return cells.select("image_name", "row", "col", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+
+
+def first_existing(spark: SparkSession, locations: list[str], needed: str) -> str:
+    """The location of a table kept in several places: the first one that has ``needed``, else the first that
+    exists, else an error."""
+    jvm = spark._jvm
+
+    def exists(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    found = [x for x in locations if exists(f"{x}/{needed}")] or [x for x in locations if exists(x)]
+    if not found:
+        raise FileNotFoundError(f"none of {locations} exists")
+    return found[0]

@@ -13,9 +13,12 @@ from ..operators.aggregates import one_value
 
 
 def write_median_table(df: DataFrame, root: str, mode: str = "append") -> None:
-    """One folder a dataset, table and annotation; the three columns live in the paths."""
+    """One folder a dataset, table and annotation; the three columns live in the paths.
+
+    Rows are dealt by folder, and a folder with many rows is split over tasks and files.
+    """
     parts = ["dataset_name", "table_name", "annotation_name"]
-    df.repartition(*parts).write.mode(mode).partitionBy(*parts).option("mergeSchema", "true").parquet(root)
+    df.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts).option("mergeSchema", "true").parquet(root)
 
 
 def read_median_tables(spark: SparkSession, root: str) -> DataFrame:
@@ -128,9 +131,19 @@ def union_tables(parts: dict[str, DataFrame], name: str = "source") -> DataFrame
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn(name, F.lit(n)) for n, d in parts.items()])
 
 
+def _spec_json(spark: SparkSession, path: str) -> DataFrame:
+    """A file of one array or object, or one object a line (as ``write_spec`` writes)."""
+    lines = spark.read.text(path)
+    single = lines.where(F.trim("value").startswith("{") & F.trim("value").endswith("}")).count() == lines.where(F.trim("value") != "").count()
+    return spark.read.option("multiLine", not single).json(path)
+
+
 def spec_table(spark: SparkSession, path: str, with_test: bool = False) -> DataFrame:
-    """(fold_name, split_name, image_name) of a specification; test splits only if asked for."""
-    raw = spark.read.option("multiLine", True).json(path)
+    """(fold_name, split_name, image_name) of a specification; test splits only if asked for.
+
+    A fold is an object of its name and, for each split, an object with ``image_names``.
+    """
+    raw = _spec_json(spark, path)
     splits = [c for c in raw.columns if c != "fold_name" and (with_test or not c.startswith("test"))]
     one = [F.struct(F.lit(c).alias("split_name"), F.col(f"`{c}`.image_names").alias("images")) for c in splits]
     long = raw.select("fold_name", F.inline(F.array(*one))).select("fold_name", "split_name", F.explode("images").alias("image_name"))
@@ -142,11 +155,23 @@ def spec_paths(spec: DataFrame, pattern: str) -> DataFrame:
     return spec.where(F.col("split_name").rlike(pattern)).select("image_name").distinct().orderBy("image_name")
 
 
-def write_spec(spec: DataFrame, path: str) -> None:
-    """A specification as JSON, one fold a line."""
-    splits = spec.groupBy("fold_name", "split_name").agg(F.sort_array(F.collect_list("image_name")).alias("image_names"))
-    folds = splits.groupBy("fold_name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split_name", F.struct("image_names"))))).alias("splits"))
-    folds.select(F.to_json(F.struct("fold_name", "splits")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_spec(spec: DataFrame, path: str) -> DataFrame:
+    """A specification as JSON that ``spec_table`` reads; what is read back, which must be what was given.
+
+    The file has one fold an element; its splits are few, so their names become its fields.
+    """
+    splits = [r[0] for r in spec.select("split_name").distinct().orderBy("split_name").collect()]
+    lists = [F.struct(F.sort_array(F.collect_set(F.when(F.col("split_name") == c, F.col("image_name")))).alias("image_names")).alias(c) for c in splits]
+    folds = spec.groupBy("fold_name").agg(*lists)
+    folds.select(F.to_json(F.struct("*")).alias("value")).orderBy("value").coalesce(1).write.mode("overwrite").text(path)
+    back = spec.sparkSession.read.json(path)
+    one = [F.struct(F.lit(c).alias("split_name"), F.col(f"`{c}`.image_names").alias("images")) for c in splits]
+    found = back.select("fold_name", F.inline(F.array(*one))).select("fold_name", "split_name", F.explode("images").alias("image_name")) if splits else spec
+    given = spec.select("fold_name", "split_name", "image_name").distinct()
+    odd = found.exceptAll(given).unionAll(given.exceptAll(found)).limit(1).collect()
+    if odd:
+        raise ValueError(f"the specification was not written as given: {odd[0]}")
+    return found
 
 
 def fold_tables(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.bootstrap import uniform
+from ..operators.bootstrap import numbered, uniform
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -40,21 +40,32 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, change: Callable[[
 
 
 def sample_batches(df: DataFrame, size: int, epochs: int = 1, seed: int = 0, id_col: str = "image_name") -> DataFrame:
-    """(epoch, batch, rows): every epoch all rows in another random order, in batches; the last may be smaller.
-
-    Rows are range-partitioned by their random key, and a batch is a run of
-    ``size`` rows of a partition, so no task sees more than its share.
-    """
-    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_u", uniform(seed, F.col("epoch"), F.col(id_col).cast("string")))
-    dealt = rows.repartitionByRange("epoch", "_u").sortWithinPartitions("epoch", "_u").withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_m"), 33)
-    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.withColumn("batch", F.struct(part.alias("part"), F.floor(place / size).alias("number"))).drop("_u", "_m")
-
-
-def worker_share(df: DataFrame, workers: int, strided: bool = True, id_col: str = "image_name") -> DataFrame:
-    """Rows with the worker that gets them: every n-th, or by hash."""
-    return df.withColumn("worker", F.pmod(F.col(id_col) if strided else F.xxhash64(id_col), F.lit(workers)).cast("int"))
+    """Rows with ``epoch`` and ``batch``: every epoch all rows in another random order, in batches of
+    ``size``; an epoch's last may be smaller."""
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    out = numbered(rows, uniform(seed, F.col("epoch"), F.col(id_col)), [id_col], "_i", ["epoch"])
+    return out.withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
+
+
+def worker_share(df: DataFrame, workers: int, strided: bool = True, id_col: str = "image_name", seed: int = 0) -> DataFrame:
+    """Rows with the worker that gets them: every n-th of a random order, or runs of equal length of it."""
+    out = numbered(df, uniform(seed, F.col(id_col)), [id_col], "_i")
+    n = out.agg(F.count("*")).scalar()
+    worker = F.pmod(F.col("_i"), F.lit(workers)) if strided else F.floor(F.col("_i") * workers / n)
+    return out.withColumn("worker", worker.cast("int")).drop("_i")
+
+
+def patch_places(images: DataFrame, image: str, rows: str, cols: str, height: int, width: int, n: int, proportional: bool = True, seed: int = 0) -> DataFrame:
+    """(image, patch, top, left): ``n`` patches from all images, as many from each in proportion to the
+    places that it has, or equally many; the places are drawn with replacement."""
+    places = F.greatest(F.col(rows) - height + 1, F.lit(0)) * F.greatest(F.col(cols) - width + 1, F.lit(0))
+    fits = images.select(image, rows, cols, places.cast("double").alias("_w")).where("_w > 0")
+    sums = fits.agg(F.sum("_w"), F.count("*")).first()
+    share = F.col("_w") / (sums[0] or 1.0) if proportional else F.lit(1.0 / max(1, sums[1]))
+    many = fits.withColumn("_n", F.floor(share * n + uniform(seed, F.col(image), F.lit("n"))).cast("int")).where("_n > 0")
+    drawn = many.withColumn("patch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = lambda size, length, name: F.floor(uniform(seed, F.col(image), F.col("patch"), F.lit(name)) * (F.col(size) - length + 1)).cast("int")
+    return drawn.select(image, "patch", at(rows, height, "r").alias("top"), at(cols, width, "c").alias("left"))
 
 
 def patches(cells: DataFrame, image: str, height: int, width: int, n: int, seed: int = 0) -> DataFrame:
