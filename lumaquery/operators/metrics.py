@@ -331,10 +331,11 @@ def evaluate_images(cells: DataFrame, image: str, n_classes: int, confidence: st
     dice = dice_from_confusion(counts, [image]).groupBy(image).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "dice")))).alias("dice"), F.avg("dice").alias("dice_mean"))
     lines = counts.groupBy(image, "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "n"))), lambda s: s["n"]).alias("_row"))
     matrix = lines.groupBy(image).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "_row"))), lambda s: s["_row"]).alias("confusion"))
-    out = images.join(accuracy_from_confusion(counts, [image]), image).join(dice, image).join(matrix, image)
+    # left joins: an image without a valid cell is an error, not an absence
+    out = images.join(accuracy_from_confusion(counts, [image]), image, "left").join(dice, image, "left").join(matrix, image, "left")
     if confidence:
         binned = calibration_bins(cells.where("valid"), [image], bins, confidence, F.col("label") == F.col("prediction"))
-        out = out.join(calibration_error(binned, [image]), image)
+        out = out.join(calibration_error(binned, [image]), image, "left")
     if tolerance is not None:
         surface = surface_scores(cells, image, tolerance).groupBy(image).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "nsd")))).alias("surface_dice"))
         out = out.join(surface, image, "left")

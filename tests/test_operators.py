@@ -129,7 +129,8 @@ def test_mapping(spark):
 
 def test_class_weights(spark):
     out = rows(A.class_weights(spark.createDataFrame([(0, 10), (1, 5)], "label_index int, n bigint")), "label_index")
-    got = {k: [r[i] for r in out] for i, k in enumerate(("label_index", "n", "share", "inverse", "softmin", "nll"))}
+    got = {k: [r[i] for r in out] for i, k in enumerate(("label_index", "n", "one", "share", "inverse", "softmin", "nll"))}
+    assert got["one"] == [1.0, 1.0] and np.allclose(got["softmin"], [0.339244, 0.660756], atol=1e-6)
     assert np.allclose(got["share"], [1 / 3, 2 / 3]) and np.allclose(got["inverse"], [1 / 3, 2 / 3]) and np.allclose(got["nll"], [0.405465, 1.098612])
 
 

@@ -70,9 +70,10 @@ def test_spec(spark, tmp_path):
     assert {tuple(r) for r in table.collect()} == {("f1", "train", "a"), ("f1", "train", "b"), ("f1", "val", "c")}
     assert T.spec_table(spark, str(tmp_path / "spec.json"), with_test=True).count() == 4
     assert [r[0] for r in T.spec_paths(table, "^tr").collect()] == ["a", "b"]
-    T.write_spec(table, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out")).first()
-    assert back.fold_name == "f1" and back.splits.train.image_names == ["a", "b"]
+    two = table.unionByName(spark.createDataFrame([("f2", "val", "a")], "fold_name string, split_name string, image_name string"))
+    want = {tuple(r) for r in two.collect()}
+    assert {tuple(r) for r in T.write_spec(two, str(tmp_path / "out")).collect()} == want
+    assert {tuple(r) for r in T.spec_table(spark, str(tmp_path / "out")).collect()} == want
 
 
 ROWS = [
