@@ -62,6 +62,7 @@ class Vocabulary:
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        _supported(spec, path)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         self.merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -74,6 +75,22 @@ class Vocabulary:
         return max(self.bytes_of) + 1
 
 
+def _supported(spec: dict, path: str) -> None:
+    """Raises for a vocabulary file that splits or spells texts otherwise than this module does."""
+    before = spec.get("pre_tokenizer") or {}
+    wrong = []
+    if spec["model"].get("type", "BPE") != "BPE" or spec["model"].get("byte_fallback") or spec["model"].get("dropout"):
+        wrong.append("model")
+    if spec.get("normalizer"):
+        wrong.append("normalizer")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"{path}: {', '.join(wrong)} not supported")
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 
 
@@ -86,9 +103,10 @@ def vocabulary(path: str) -> Vocabulary:
 def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Starts of words in ``points``; ``first`` marks each text's first character.
 
-    Holds for text without apostrophe contractions: a word is a run of letters,
-    of digits or of other signs, with one space before it if there is one; of a
-    longer run of white space the last character stands apart.
+    A word is a run of letters, of digits or of other signs, with one space before
+    it if there is one; of a longer run of white space the last character stands
+    apart.  An apostrophe that begins a word takes the letters of a contraction
+    with it, and what letters follow are the next word.
     """
     kind = char_classes()[points]
     n = len(kind)
@@ -107,7 +125,28 @@ def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     # the last of several white space characters before a word
     inner = space & ~last
     inner[:-1] &= ~space[1:]
-    return starts | inner
+    starts |= inner
+    at = np.flatnonzero((points == 39) & starts)
+    if len(at):
+        size = contraction(points, first, at)
+        at, size = at[size > 0], size[size > 0]
+        starts[at + 1] = False
+        end = at + 1 + size
+        end = end[end < n]
+        starts[end[kind[end] == LETTER]] = True
+    return starts
+
+
+def contraction(points: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many letters of a contraction follow each apostrophe in its text: 0, 1 or 2."""
+    n = len(points)
+    one, two = np.minimum(at + 1, n - 1), np.minimum(at + 2, n - 1)
+    there = (at + 1 < n) & ~first[one]
+    a, b = points[one], points[two]
+    more = there & (at + 2 < n) & ~first[two]
+    single = there & np.isin(a, [ord(x) for x in "stmd"])
+    double = more & ((np.isin(a, [ord("r"), ord("v")]) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l"))))
+    return np.where(single, 1, np.where(double, 2, 0))
 
 
 def split_slow(text: str) -> list[str]:
@@ -163,7 +202,7 @@ class WordEncoder:
         return np.concatenate([*parts, self._plain(text[at:])])
 
     def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of non-empty texts without contractions or special tokens."""
+        """Ids of non-empty texts without special tokens."""
         whole = "".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -189,7 +228,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, a block of texts at a time."""
         for block in blocks(texts):
-            odd = [bool(not t or "'" in t or (self.special and self.special.search(t))) for t in block]
+            odd = [bool(not t or (self.special and self.special.search(t))) for t in block]
             usual = [t for t, x in zip(block, odd, strict=True) if not x]
             found = iter(self._ordinary(usual) if usual else [])
             for t, x in zip(block, odd, strict=True):

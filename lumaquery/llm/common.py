@@ -19,21 +19,43 @@ SPACES = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, one of our own if the driver runs all tasks; else an error, as
+    executors don't see the driver's folders.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lumaquery-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_folders: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this driver; for when the results have been written."""
+    while _folders:
+        delete(spark, _folders.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written once into the shared folder, to cut lineage and to be read
-    several times.  They outlive the loss of executors."""
+    several times.  They outlive the loss of executors, and stay until ``clear_scratch``,
+    as results are read lazily."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _folders.append(self.at)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -52,9 +74,7 @@ class Scratch:
 
     def remove(self, path: str | None) -> None:
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
 
 
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -266,6 +266,47 @@ def test_bpe(table, request):
     assert Counter((r.doc_id, r.text) for r in bpe.decode(encoded, PATH).collect()) == Counter((i, x) for (i, _, x), n in want.items() for _ in range(n))
 
 
+def test_words_are_split_like_the_pattern():
+    from lumaquery.llm import bytelevel
+
+    rng = np.random.default_rng(2)
+    signs = list("strevlmdxA9 .-") + ["'", "'", " ", "\n", "\t", "é", "\u3000", "日"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(signs, rng.integers(1, 25))) for _ in range(20)]
+        points = np.array([ord(x) for t in texts for x in t], np.uint32)
+        sizes = np.array([len(t) for t in texts])
+        first = np.zeros(len(points), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        starts = np.flatnonzero(bytelevel.word_starts(points, first)).tolist()
+        want, at = [], 0
+        for t in texts:
+            for w in bytelevel.split_slow(t):
+                want.append(at)
+                at += len(w)
+        assert starts == want
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    from lumaquery.llm import bytelevel
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}):
+        at = tmp_path / "v.json"
+        at.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not supported"):
+            bytelevel.Vocabulary(str(at))
+    bytelevel.Vocabulary(PATH)
+
+
+def test_bpe_of_one_long_word(spark):
+    tok = Tokenizer.from_file(PATH)
+    texts = ["ab" * 20_000, "日本語" * 4000, "x'" * 5000, "it's we'll they've I'd o'clock 'tis rock'n'roll " * 50]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    assert all(got[i] == tok.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+
+
 def test_bpe_decodes_broken_utf8():
     from lumaquery.llm.bytelevel import vocabulary
 
@@ -371,3 +412,15 @@ def test_digest_queries(spark, sf_dir):
     for r in queries.op7_bpe(spark, sf_dir).collect():
         ids = np.array(tok.encode(docs[r.doc_id], add_special_tokens=False).ids, "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+
+
+def test_scratch_is_cleared(spark, docs):
+    import os
+
+    from lumaquery.llm import common
+
+    lm.score(docs.limit(20), F.lit(False)).collect()
+    folders = [x.removeprefix("file://") for x in common._folders]
+    assert any(os.path.isdir(x) for x in folders)
+    common.clear_scratch(spark)
+    assert not any(os.path.isdir(x) for x in folders)
