@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SCALE = 1024
 SHARD, LEAF = 8192, 256
 #: Queries of a block (broadcast), and rows of the sample that k-th scores start from.
@@ -121,7 +123,8 @@ def topk(queries: DataFrame, base: DataFrame, k: int = 10, id_col: str = "vec_id
     its ends, in any order among themselves.  Other columns are not read.
     """
     spark = base.sparkSession
-    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
+    # written, so that a block of queries is read without another pass over their table
+    asked = Scratch(spark, "topk").write(usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")))
     rows = usable(base, id_col, vec_col)
     n = asked.count()
     blocks = -(-n // QUERIES)
