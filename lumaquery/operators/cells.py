@@ -52,6 +52,12 @@ def erase_rectangle(cells: DataFrame, image: str, height: int, width: int, rows:
     return blank(cells, F.col("row").between(top, top + height - 1) & F.col("col").between(left, left + width - 1))
 
 
+def erase_region(cells: DataFrame, image: str, region: str, p: float = 1.0, seed: int = 0) -> DataFrame:
+    """A random region (a superpixel) of each image is blanked, with probability p."""
+    rows = cells.join(chosen_label(cells, image, F.lit(True), seed, region), image, "left")
+    return blank(rows, F.coalesce(F.col(region) == F.col("_chosen"), F.lit(False)) & drawn(image, p, seed + 1)).drop("_chosen")
+
+
 def transplant(cells: DataFrame, image: str, valid: Column, seed: int = 0) -> DataFrame:
     """A random valid label's cells of each image go to the next image, in a random order, at the same places."""
     order = numbered(cells.select(image).distinct(), uniform(seed + 2, F.col(image)), [image], "_i")

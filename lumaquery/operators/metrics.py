@@ -212,6 +212,14 @@ def surface_scores(cells: DataFrame, image: str = "image_name", tolerance: float
     return cells.select(image, "row", "col", "label", "prediction", "valid").groupBy(image).applyInPandas(work, f"{image} {kind}, label int, nsd double, asd double")
 
 
+def annotator_pairs(cells: DataFrame, image: str = "image_name", annotator: str = "annotation_name") -> DataFrame:
+    """Cells that two annotators of an image have both marked: (image, first, second, row, col, label, prediction)."""
+    place = [image, "row", "col"]
+    a = cells.select(*place, F.col(annotator).alias("first"), "label")
+    b = cells.select(*place, F.col(annotator).alias("second"), F.col("label").alias("prediction"))
+    return a.join(b, place).where(F.col("first") < F.col("second")).select(image, "first", "second", "row", "col", "label", "prediction")
+
+
 def border_distances(cells: DataFrame, image: str = "image_name") -> DataFrame:
     """Distances between the borders that two annotators (label, prediction) drew, both ways, finite ones only."""
 

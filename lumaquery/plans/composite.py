@@ -48,12 +48,12 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensemble_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables(spark, sf_dir, "embeddings")["embeddings"].select(F.col("label").alias("image"), F.slice(V.doubles("embedding"), 1, 5).alias("logits"))
+    e = tables(spark, sf_dir, "embeddings")["embeddings"].select(F.col("label").alias("image"), V.doubles("embedding").alias("logits"))
     return Q.ensemble(e, ["image"], "logits").select("image", "prediction")
 
 
 def ensemble_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables(spark, sf_dir, "embeddings")["embeddings"].select(F.col("label").alias("image"), F.slice(V.doubles("embedding"), 1, 5).alias("logits"))
+    e = tables(spark, sf_dir, "embeddings")["embeddings"].select(F.col("label").alias("image"), V.doubles("embedding").alias("logits"))
     return Q.ensemble(e, ["image"], "logits", "mode").select("image", "prediction")
 
 
@@ -90,6 +90,17 @@ def table_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.consistency(li, []).groupBy("check").agg(F.count("*").alias("n"))
 
 
+def rater_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two annotators agree on the cells of an image that both have marked."""
+    from ..operators.metrics import annotator_pairs
+
+    li = tables(spark, sf_dir, "lineitem")["lineitem"]
+    keys = [F.col("l_suppkey").alias("image_name"), F.col("l_linestatus").alias("annotation_name"), F.pmod("l_orderkey", F.lit(20)).cast("int").alias("row"), F.pmod("l_partkey", F.lit(20)).cast("int").alias("col")]
+    cells = li.groupBy(*keys).agg(F.min("l_linenumber").alias("label"))
+    out = annotator_pairs(cells).groupBy("image_name", "first", "second")
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("prediction")).alias("same"))
+
+
 def interval_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links followed from one table of paths to another."""
     o = tables(spark, sf_dir, "orders")["orders"]
@@ -105,8 +116,8 @@ QUERIES = {
     "cohort_overlap": (cohort_overlap, "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 OR o_orderpriority = '1-URGENT')"),
     "cohort_difference": (cohort_difference, "WITH r AS (SELECT l_suppkey AS subject, p_type AS label, l_returnflag AS phase, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey), e AS (SELECT subject, label, avg(q) AS m FROM r WHERE phase = 'A' GROUP BY ALL), g AS (SELECT label, avg(q) AS m FROM r WHERE phase = 'A' GROUP BY ALL) SELECT r.subject, r.label, round(sum(q - coalesce(e.m, g.m)), 4) + 0.0 AS difference FROM r LEFT JOIN e ON e.subject = r.subject AND e.label = r.label LEFT JOIN g ON g.label = r.label GROUP BY ALL"),
     "model_comparison": (model_comparison, "SELECT l_linenumber, round(avg(l_discount) FILTER (l_linestatus = 'O'), 6) AS a, round(avg(l_discount) FILTER (l_linestatus = 'F'), 6) AS b FROM lineitem GROUP BY 1"),
-    "ensemble_predictions": (ensemble_predictions, "WITH m AS (SELECT label AS image, i - 1 AS c, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, 6)) u(i) GROUP BY ALL) SELECT image, CAST(arg_max(c, x) AS INTEGER) AS prediction FROM m GROUP BY image"),
-    "ensemble_mode": (ensemble_mode, "WITH p AS (SELECT label AS image, CAST(list_position(embedding[1:5], list_max(embedding[1:5])) - 1 AS INTEGER) AS c FROM embeddings), n AS (SELECT image, c, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, c) AS k FROM p GROUP BY image, c) SELECT image, c AS prediction FROM n WHERE k = 1"),
+    "ensemble_predictions": (ensemble_predictions, "WITH m AS (SELECT label AS image, i - 1 AS c, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i) GROUP BY ALL) SELECT image, CAST(arg_max(c, x) AS INTEGER) AS prediction FROM m GROUP BY image"),
+    "ensemble_mode": (ensemble_mode, "WITH p AS (SELECT label AS image, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS c FROM embeddings), n AS (SELECT image, c, row_number() OVER (PARTITION BY image ORDER BY count(*) DESC, c) AS k FROM p GROUP BY image, c) SELECT image, c AS prediction FROM n WHERE k = 1"),
     "binary_scores": (binary_scores, "WITH c AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic <> 1) AS fn, count(*) FILTER (quality <> 1 AND toxic = 1) AS fp, count(*) FILTER (quality <> 1 AND toxic <> 1) AS tn FROM labels JOIN documents USING (doc_id) GROUP BY 1), r AS (SELECT source, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS a, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END AS b, (tp + fn) / (tp + fn + fp + tn) AS p FROM c) SELECT source, round(a, 6) AS sensitivity, round(b, 6) AS specificity, round((a + b) / 2, 6) AS balanced_accuracy, round(p, 6) AS prevalence FROM r"),
     "sampling_weights": (sampling_weights, STATS + ", w AS (SELECT label_name, 1 / count(DISTINCT image_name) AS w FROM df GROUP BY 1) SELECT image_name, round(avg(w), 8) AS weight FROM df JOIN w USING (label_name) GROUP BY 1"),
     "neighbour_shares": (
@@ -115,5 +126,9 @@ QUERIES = {
     ),
     "relative_changes": (relative_changes, "WITH b AS (SELECT l_linenumber, avg(l_quantity) AS m FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT l_linenumber, round(avg((l_quantity - m) / m), 6) + 0.0 AS change FROM lineitem JOIN b USING (l_linenumber) GROUP BY 1"),
     "table_consistency": (table_consistency, "WITH v AS (SELECT 'repeated key' AS c FROM (SELECT l_returnflag, l_linenumber, l_orderkey FROM lineitem GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'epochs of unequal size' FROM (SELECT l_returnflag FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linenumber) GROUP BY 1 HAVING max(n) <> min(n)) UNION ALL SELECT 'best epoch missing' FROM (SELECT l_returnflag FROM lineitem GROUP BY 1 HAVING NOT bool_or(l_linenumber = 7))) SELECT c AS \"check\", count(*) AS n FROM v GROUP BY 1"),
+    "rater_pairs": (
+        rater_pairs,
+        "WITH c AS (SELECT l_suppkey AS image_name, l_linestatus AS a, l_orderkey % 20 AS r, l_partkey % 20 AS k, min(l_linenumber) AS label FROM lineitem GROUP BY ALL) SELECT x.image_name, x.a AS \"first\", y.a AS \"second\", count(*) AS n, count(*) FILTER (x.label = y.label) AS same FROM c x JOIN c y ON x.image_name = y.image_name AND x.r = y.r AND x.k = y.k AND x.a < y.a GROUP BY ALL",
+    ),
     "linked_paths": (interval_neighbours, "SELECT CAST(o_orderkey AS VARCHAR) AS path FROM orders UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders"),
 }

@@ -60,7 +60,7 @@ def distance_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def condensed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Argmax and single class above a threshold of softmax scores."""
-    p = V.softmax(F.transform(F.slice("v", 1, 4), lambda x: 10 * x))
+    p = V.softmax(F.transform("v", lambda x: 10 * x))
     out = _vectors(spark, sf_dir).select("vec_id", p.alias("p"))
     return out.select("vec_id", V.argmax(F.col("p")).alias("best"), V.single_label(F.col("p"), 0.5).cast("int").alias("single"))
 
@@ -308,7 +308,7 @@ QUERIES = {
         distance_correlation,
         "WITH v AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, abs(a.x - b.x) AS a, abs(a.y - b.y) AS b FROM v a JOIN v b USING (label)), c AS (SELECT label, a - avg(a) OVER (PARTITION BY label, i) - avg(a) OVER (PARTITION BY label, j) + avg(a) OVER (PARTITION BY label) AS a, b - avg(b) OVER (PARTITION BY label, i) - avg(b) OVER (PARTITION BY label, j) + avg(b) OVER (PARTITION BY label) AS b FROM p) SELECT label, round(sqrt(greatest(avg(a * b), 0)) / sqrt(sqrt(avg(a * a) * avg(b * b))), 6) AS dcor FROM c GROUP BY label",
     ),
-    "condensed_labels": (condensed_labels, "WITH s AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(10 * CAST(x AS DOUBLE))) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM s) SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS best, CASE WHEN list_max(p) > 0.5 THEN CAST(list_position(p, list_max(p)) - 1 AS INTEGER) ELSE -1 END AS single FROM p"),
+    "condensed_labels": (condensed_labels, "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: exp(10 * CAST(x AS DOUBLE))) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM s) SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS best, CASE WHEN list_max(p) > 0.5 THEN CAST(list_position(p, list_max(p)) - 1 AS INTEGER) ELSE -1 END AS single FROM p"),
     "running_stats": (running_stats, "SELECT channel, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT 'discount' AS channel, l_discount AS x FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem) GROUP BY channel"),
     "rel_time": (rel_time, "SELECT event_id, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6, 3) AS rel_time FROM events"),
     "first_inclusion": (first_inclusion, "SELECT event_id FROM (SELECT event_id, rank() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE)) AS r FROM events) WHERE r = 1"),

@@ -6,12 +6,13 @@ will do; a decoder sees one file's bytes at a time.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The wavelength axis of a cube, in nm.
@@ -157,9 +158,33 @@ def spectrometer(spark: SparkSession, path: str, pattern: str = "*.txt") -> Data
     return rows.where(F.size(parts) == 2).select("file", "label", "at", parts[0].try_cast("double").alias("wavelength"), parts[1].try_cast("double").alias("value")).where("wavelength is not null and value is not null")
 
 
+def spectrometer_statistics(rows: DataFrame, white: str | None = None, dark: str | None = None, norm: int | None = None) -> DataFrame:
+    """(label, at, wavelength, mean, median, std, n) over the measurements of each label from ``spectrometer``.
+
+    With the labels of white and dark measurements values become (x - dark) / (white - dark), by the
+    means of these measurements, which then drop out; with ``norm`` each measurement is divided by its Lp norm.
+    """
+    for label, name in ((white, "_white"), (dark, "_dark")):
+        if label:
+            rows = rows.join(rows.where(F.col("label") == label).groupBy("at").agg(F.avg("value").alias(name)), "at")
+    if white or dark:
+        rows = rows.where(~F.col("label").isin([x for x in (white, dark) if x]))
+        low = F.col("_dark") if dark else F.lit(0.0)
+        rows = rows.withColumn("value", (F.col("value") - low) / ((F.col("_white") - low) if white else F.lit(1.0)))
+    if norm:
+        size = F.pow(F.sum(F.pow(F.abs("value"), F.lit(float(norm)))).over(Window.partitionBy("file")), F.lit(1 / norm))
+        rows = rows.withColumn("value", F.col("value") / size)
+    of = rows.groupBy("label", "at")
+    return of.agg(F.min("wavelength").alias("wavelength"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_pop("value").alias("std"), F.count("*").alias("n"))
+
+
 def verified_copy(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Files whose content differs between two folders, by digest and name."""
-    digest = lambda p: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("d"))
+    """Files whose content differs between two folders or that the second lacks, by digest and path below the folder."""
+
+    def digest(root: str) -> DataFrame:
+        below = F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/").split(":")[-1].lstrip("/")) + "/", "")
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(below.alias("name"), F.sha2("content", 256).alias("d"))
+
     a, b = digest(source), digest(target).withColumnRenamed("d", "e")
     return a.join(b, "name", "left").where(~F.col("d").eqNullSafe(F.col("e"))).select("name")
 

@@ -191,3 +191,29 @@ def test_borders_and_spectra(spark):
 def test_sessions(spark, tmp_path):
     rows = spark.createDataFrame([("u", f"2024-01-01 00:{m:02d}:00") for m in (0, 2, 4, 30, 31)], "u string, t string").select("u", F.col("t").cast("timestamp").alias("ts"))
     assert sorted(r.n for r in X.sessions(rows, "ts", "5 minutes", ["u"]).collect()) == [2, 3]
+
+
+def test_spectrometer_statistics(spark):
+    spectra = {"w_1": [2.0, 4.0], "d_1": [0.0, 1.0], "x_1": [1.0, 2.5], "x_2": [2.0, 1.0]}
+    rows = [(f, f[0], k, 500.0 + k, v) for f, vs in spectra.items() for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "file string, label string, at int, wavelength double, value double")
+    out = {r.at: r for r in S.spectrometer_statistics(df, "w", "d").collect()}
+    assert [(out[k].label, out[k].mean, out[k].n) for k in (0, 1)] == [("x", 0.75, 2), ("x", 0.25, 2)] and out[0].std == 0.25
+    normed = {(r.label, r.at): r.mean for r in S.spectrometer_statistics(df.where("file = 'x_1'"), norm=1).collect()}
+    assert normed == {("x", 0): pytest.approx(1 / 3.5), ("x", 1): pytest.approx(2.5 / 3.5)}
+
+
+def test_copies_in_folders(spark, tmp_path):
+    for side, content in (("a", b"1"), ("b", b"2")):
+        for sub in ("x", "y"):
+            (tmp_path / side / sub).mkdir(parents=True)
+            (tmp_path / side / sub / "same").write_bytes(content if sub == "y" else b"0")
+    assert [r.name for r in S.verified_copy(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()] == ["y/same"]
+
+
+def test_erased_region(spark):
+    cells = spark.createDataFrame([("i", k, 0, 1, 1.0, k // 3) for k in range(9)], "image string, row int, col int, label int, value double, region int")
+    out = R.erase_region(cells, "image", "region").collect()
+    gone = {r.region for r in out if r.label == R.INVALID}
+    assert len(gone) == 1 and all((r.value == 0) == (r.region in gone) for r in out)
+    assert all(r.label == 1 for r in R.erase_region(cells, "image", "region", p=0.0).collect())
