@@ -121,7 +121,8 @@ class Model:
         table = F.create_map(*[F.lit(x) for pair in sorted(self.table.items()) for x in pair]) if self.table else F.lit(None).cast("map<string,double>")
         weighed = F.aggregate(transitions(v), F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(table, p), F.lit(0.0)))
         pieces = F.split(F.lower(F.regexp_replace(v, r"(\p{Ll})(\p{Lu})", "$1 $2")), r"[^\p{L}]+")
-        known = F.aggregate(F.filter(pieces, lambda p: p.isin(self.words)), F.lit(0), lambda a, p: a + F.length(p)) / n if self.words else F.lit(0.0)
+        dictionary = F.split(F.lit("\n".join(self.words)), "\n")
+        known = F.aggregate(F.filter(pieces, lambda p: F.array_contains(dictionary, p)), F.lit(0), lambda a, p: a + F.length(p)) / n if self.words else F.lit(0.0)
         fixed = (n - F.length(F.regexp_replace(F.lower(v), f"({DICTIONARY})", ""))) / n
         return [
             n,
@@ -141,13 +142,13 @@ class Model:
             flag(after.rlike(f"{OTHER_NAMES}|{EXAMPLES}")),
         ]
 
-    def probability(self, x: list[Column]) -> Column:
-        """The forest's probability: the mean over trees of the share of secrets in the leaf."""
+    def probability(self, x: list[str]) -> str:
+        """The forest's probability over features named in SQL: the mean over trees of the share of secrets in the leaf."""
 
-        def value(node) -> Column:
-            return F.lit(node) if isinstance(node, float) else F.when(x[node[0]] <= node[1], value(node[2])).otherwise(value(node[3]))
+        def value(node) -> str:
+            return f"{node!r}D" if isinstance(node, float) else f"CASE WHEN {x[node[0]]} <= {float(node[1])!r}D THEN {value(node[2])} ELSE {value(node[3])} END"
 
-        return sum((value(t) for t in self.trees[1:]), value(self.trees[0])) / len(self.trees)
+        return f"({' + '.join(value(t) for t in self.trees)}) / {len(self.trees)}"
 
 
 def saved_trees(spark: SparkSession, path: str) -> list:
@@ -215,8 +216,8 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", path_col: str =
     # a candidate's features are an array first, so that the trees don't compute them again and again
     weighed = F.transform("_found", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"), F.array(*model.features(c, path)).alias("x")))
     out = out.withColumn("_weighed", weighed)
-    judged = F.transform("_weighed", lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), c["after"].alias("after"), model.probability([F.get(c["x"], F.lit(i)) for i in range(len(FEATURES))]).alias("probability")))
-    out = out.withColumn("_candidates", judged)
+    probability = model.probability([f"c.x[{i}]" for i in range(len(FEATURES))])
+    out = out.withColumn("_candidates", F.expr(f"transform(_weighed, c -> struct(c.value AS value, c.before AS before, c.after AS after, {probability} AS probability))"))
     secrets = F.transform(F.filter("_candidates", lambda c: c["probability"] >= threshold), lambda c: c["value"])
     return out.withColumn("_secrets", F.array_distinct(secrets)).drop("_found", "_weighed")
 
@@ -244,7 +245,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, words: list[s
     draw = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("int")
     hexes = lambda size, salt: F.substring(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512), 1, size)
     mixed = lambda size, salt: F.substring(F.regexp_replace(F.base64(F.unhex(hexes(96, salt))), "=", ""), 1, size)
-    pick = lambda options, salt: F.get(F.array(*map(F.lit, options)), draw(salt, len(options)))
+    pick = lambda options, salt: F.get(F.split(F.lit("\n".join(options)), "\n"), draw(salt, len(options)))
     cut = lambda value, low, high, salt: F.substring(value, F.lit(1), draw(salt, high - low + 1) + low)
     letters = F.regexp_replace(mixed(60, "l"), "[^A-Za-z]", "")
     every = [*DICTIONARY.split("|"), *[w for w in words if len(w) >= 4]]

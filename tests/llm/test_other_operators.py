@@ -402,7 +402,7 @@ def test_forest_expression_equals_the_model(spark):
     at = Scratch(spark, "forest").path()
     forest.write().save(at)
     model.trees = secrets.saved_trees(spark, at)
-    pairs = forest.transform(rows).select(vector_to_array("probability")[1].alias("want"), model.probability([F.col(c) for c in secrets.FEATURES]).alias("got")).collect()
+    pairs = forest.transform(rows).select(vector_to_array("probability")[1].alias("want"), F.expr(model.probability(secrets.FEATURES)).alias("got")).collect()
     assert np.allclose([r.want for r in pairs], [r.got for r in pairs], atol=1e-9) and len(pairs) == 600
 
 
