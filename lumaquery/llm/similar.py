@@ -191,7 +191,12 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[Data
     keyed = classes.select("node", F.explode("keys").alias("key"))
     shared = scratch.write(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
     banded = keyed.join(shared, "key").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))
-    met = scratch.write(banded.unionAll(equal).unionAll(near).distinct())
+    # a class meets at most a hub a band; its hubs are linked to the smallest of them, and it to that one,
+    # so that a large group of near copies gives a link a class and few between hubs
+    stars = banded.unionAll(equal).groupBy("src").agg(F.min("dst").alias("least"), F.collect_set("dst").alias("hubs"))
+    stars = scratch.write(stars)
+    between = stars.select(F.explode("hubs").alias("src"), F.col("least").alias("dst")).where("src <> dst")
+    met = scratch.write(between.unionAll(stars.select("src", F.col("least").alias("dst"))).unionAll(near).distinct())
     together = scratch.write(connected_components(spark, scratch, met))
 
     sizes = together.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
