@@ -149,6 +149,86 @@ FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.k = 1
 """
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark item's windows."""
+    from .decontaminate import scan
+
+    out = scan(parquet(spark, sf_dir, "documents").select("doc_id", "text"), parquet(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS k, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT CAST(item_id AS VARCHAR) AS item,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), p AS (
+    SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0
+), g AS MATERIALIZED (
+    SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM p
+), q AS (
+    SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM g) l ON len(w) >= n
+), h AS MATERIALIZED (
+    SELECT k, i, q.n, item FROM (SELECT k, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM q) q JOIN g ON g.gram = q.gram AND g.n = q.n
+), c AS (
+    SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS place FROM h) u GROUP BY k
+), t AS (
+    SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h WHERE item IS NOT NULL) u GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON d.k = c.k LEFT JOIN t ON d.k = t.k
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding by exact k-means."""
+    from .kmeans import kmeans
+
+    return kmeans(parquet(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, seed=3)
+
+
+def _op12_sql(k: int = 8, rounds: int = 10, width: int = 64, seed: int = 3) -> str:
+    """The rounds written one after the other, each by full scans."""
+    parts = [
+        f"""v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS w
+    FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, w FROM (SELECT sha256('{seed}:' || vec_id) AS h, w FROM v ORDER BY h LIMIT {k})
+)""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+    SELECT r, arg_min(c, d * {k} + c) AS c, min(d) AS d
+    FROM (SELECT r, c, CAST(list_sum(list_transform(list_zip(v.w, c{i}.w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{i}) x GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+    SELECT c{i}.c, coalesce(m.w, c{i}.w) AS w FROM c{i} LEFT JOIN (
+        SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS w
+        FROM (SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a{i}.c, unnest(w) AS x, unnest(range({width})) AS j FROM v JOIN a{i} ON v.r = a{i}.r) u GROUP BY c, j) y GROUP BY c
+    ) m ON m.c = c{i}.c
+)""")
+    last = f"a{rounds}"
+    return f"""WITH {', '.join(parts)}
+SELECT v.vec_id, {last}.c AS cluster, {last}.d AS distance, CAST(sum({last}.d) OVER (PARTITION BY {last}.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum({last}.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.w, ',')) AS centroid_sha256
+FROM v JOIN {last} ON v.r = {last}.r JOIN c{rounds} ON c{rounds}.c = {last}.c"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, 16 components each."""
+    from .whitening import whiten
+
+    return whiten(parquet(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -160,5 +240,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_clusters": op12_clusters,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op9_url_filter": OP9_SQL, "op11_decontaminate": OP11_SQL, "op12_clusters": _op12_sql()}
