@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dependence import distance_correlation  # noqa: F401
+
 
 def confusion(cells: DataFrame, keys: list[str], n_classes: int, label: str = "label", prediction: str = "prediction", valid: str | None = None) -> DataFrame:
     """Dense counts (keys, i, j, n): reference i, prediction j; zeros for what never occurs."""
@@ -283,49 +285,6 @@ def _sums(rows: DataFrame, key: str) -> DataFrame:
     return elementwise(rows, [key], "v").withColumnRenamed("v", "m").join(rows.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
-def distance_correlation(df: DataFrame, keys: list[str], row: str, x: str, y: str, block: int = 2048) -> DataFrame:
-    """Distance correlation of two columns in each group, by doubly centred distances.
-
-    A group's rows are dealt into blocks of about ``block`` rows; each pair of blocks is a task's
-    work and gives sums of products and the rows' sums of distances, never the distances.
-    """
-    point = df.select(*keys, F.col(row).alias("_i"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    sizes = point.groupBy(*keys).agg(F.count("*").alias("_n"), F.ceil(F.count("*") / block).cast("int").alias("_k"))
-    placed = point.join(sizes, keys).withColumn("_c", F.pmod(F.xxhash64("_i"), "_k").cast("int"))
-    pairs = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    pairs = pairs.select(*keys, "_i", "_x", "_y", "_n", "_c", F.least("_c", "_o").alias("_p"), F.greatest("_c", "_o").alias("_q"))
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    kind = point.schema["_i"].dataType.simpleString()
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = (pdf["_c"] == pdf["_p"].iloc[0]).to_numpy()
-        u, same = pdf[low], pdf["_p"].iloc[0] == pdf["_q"].iloc[0]
-        v = u if same else pdf[~low]
-        ids, sums, ab = [*u["_i"], *(() if same else v["_i"])], [], np.zeros(3)
-        each = [np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(v)), np.zeros(len(v))]
-        for i in range(0, len(u), 256):
-            a, b = (np.abs(u[c].to_numpy()[i : i + 256, None] - v[c].to_numpy()[None, :]) for c in ("_x", "_y"))
-            ab += [(a * b).sum(), (a * a).sum(), (b * b).sum()]
-            each[0][i : i + 256], each[1][i : i + 256] = a.sum(1), b.sum(1)
-            each[2] += a.sum(0)
-            each[3] += b.sum(0)
-        sums = [each[0], each[1]] if same else [np.append(each[0], each[2]), np.append(each[1], each[3])]
-        out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"_i": ids, "_a": sums[0], "_b": sums[1]})
-        for name, value in zip(("_ab", "_aa", "_bb"), ab if same else 2 * ab, strict=True):
-            out[name] = [value] + [0.0] * (len(out) - 1)
-        return out
-
-    parts = pairs.groupBy(*keys, "_p", "_q").applyInPandas(work, f"{kinds}, _i {kind}, _a double, _b double, _ab double, _aa double, _bb double")
-    rows = parts.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in ("_a", "_b", "_ab", "_aa", "_bb")])
-    s = rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in ("_a", "_b", "_ab", "_aa", "_bb")], F.sum(F.col("_a") * F.col("_b")).alias("rab"), F.sum(F.col("_a") * F.col("_a")).alias("raa"), F.sum(F.col("_b") * F.col("_b")).alias("rbb"))
-    n = F.col("n")
-    # mean of products of doubly centred distances, from sums alone
-    centred = lambda p, r, u, v: F.col(p) / (n * n) - 2 * F.col(r) / (n * n * n) + F.col(u) * F.col(v) / (n * n * n * n)
-    s = s.select(*keys, centred("_ab", "rab", "_a", "_b").alias("ab"), centred("_aa", "raa", "_a", "_a").alias("aa"), centred("_bb", "rbb", "_b", "_b").alias("bb"))
-    whole = F.sqrt(F.sqrt(F.greatest("aa", F.lit(0.0)) * F.greatest("bb", F.lit(0.0))))
-    return s.select(*keys, F.coalesce(F.try_divide(F.sqrt(F.greatest("ab", F.lit(0.0))), whole), F.lit(0.0)).alias("dcor"))
-
-
 def evaluate_images(cells: DataFrame, image: str, n_classes: int, confidence: str | None = None, bins: int = 10, tolerance: float | None = None) -> DataFrame:
     """One row an image: ``accuracy``, ``dice`` by label (a map), their mean, ``confusion`` (rows of the
     matrix), with ``confidence`` the calibration ``error``, with ``tolerance`` the surface dice by label.
