@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dependence import distance_correlation  # noqa: F401
+from .surfaces import border_distances, surface_scores  # noqa: F401
 
 
 def confusion(cells: DataFrame, keys: list[str], n_classes: int, label: str = "label", prediction: str = "prediction", valid: str | None = None) -> DataFrame:
@@ -167,53 +168,6 @@ def gini(rows: DataFrame, keys: list[str], p: str) -> DataFrame:
     return elementwise(rows, keys, p).select(*keys, (1 - total(F.transform(p, lambda x: x * x))).alias("gini"))
 
 
-def _border(mask: np.ndarray) -> np.ndarray:
-    """Cells of a mask with a neighbour (of four) outside it or at the image's edge."""
-    padded = np.pad(mask, 1)
-    inner = padded[:-2, 1:-1] & padded[2:, 1:-1] & padded[1:-1, :-2] & padded[1:-1, 2:]
-    return np.argwhere(mask & ~inner)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance of each point of a to the nearest of b, in blocks."""
-    if not len(b):
-        return np.full(len(a), np.inf)
-    out = [np.sqrt(((a[i : i + 512, None, :] - b[None, :, :]) ** 2).sum(2).min(1)) for i in range(0, len(a), 512)]
-    return np.concatenate(out) if out else np.zeros(0)
-
-
-def surface_scores(cells: DataFrame, image: str = "image_name", tolerance: float = 1.0) -> DataFrame:
-    """Normalised surface dice and mean surface distance of each label of each image.
-
-    One image's cells (row, col, label, prediction, valid) are one task's arrays; an
-    image is bounded by its camera.  Distances that don't exist count as the
-    largest finite one of the image, or its diagonal if there is none.
-    """
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1)
-        grids = {}
-        for c in ("label", "prediction"):
-            g = np.full(shape, -1)
-            v = pdf[pdf["valid"]]
-            g[v["row"], v["col"]] = v[c]
-            grids[c] = g
-        found = []
-        for c in sorted(set(pdf.loc[pdf["valid"], "label"])):
-            a, b = (_border(grids[k] == c) for k in ("label", "prediction"))
-            found.append((c, len(a) + len(b), _distances(a, b), _distances(b, a)))
-        finite = [x for _, _, p, q in found for x in (*p, *q) if np.isfinite(x)]
-        worst = max(finite) if finite else float(np.hypot(*shape))
-        rows = []
-        for c, n, p, q in found:
-            d = np.concatenate([p, q])
-            rows.append((pdf[image].iloc[0], int(c), float((d <= tolerance).sum() / n), float(np.where(np.isfinite(d), d, worst).mean())))
-        return pd.DataFrame(rows, columns=[image, "label", "nsd", "asd"])
-
-    kind = cells.schema[image].dataType.simpleString()
-    return cells.select(image, "row", "col", "label", "prediction", "valid").groupBy(image).applyInPandas(work, f"{image} {kind}, label int, nsd double, asd double")
-
-
 def annotator_pairs(cells: DataFrame, image: str = "image_name", annotator: str = "annotation_name") -> DataFrame:
     """Cells that two annotators of an image have both marked: (image, first, second, row, col, label, prediction)."""
     place = [image, "row", "col"]
@@ -222,24 +176,6 @@ def annotator_pairs(cells: DataFrame, image: str = "image_name", annotator: str
     return a.join(b, place).where(F.col("first") < F.col("second")).select(image, "first", "second", "row", "col", "label", "prediction")
 
 
-def border_distances(cells: DataFrame, image: str = "image_name") -> DataFrame:
-    """Distances between the borders that two annotators (label, prediction) drew, both ways, finite ones only."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1)
-        a, b = np.full(shape, -1), np.full(shape, -1)
-        a[pdf["row"], pdf["col"]], b[pdf["row"], pdf["col"]] = pdf["label"], pdf["prediction"]
-        rows = []
-        for c in sorted(set(pdf["label"]) & set(pdf["prediction"])):
-            p, q = _border(a == c), _border(b == c)
-            d = np.concatenate([_distances(p, q), _distances(q, p)])
-            rows += [(pdf[image].iloc[0], int(c), float(x)) for x in d[np.isfinite(d)]]
-        return pd.DataFrame(rows, columns=[image, "label", "distance"])
-
-    kind = cells.schema[image].dataType.simpleString()
-    return cells.groupBy(image).applyInPandas(work, f"{image} {kind}, label int, distance double")
-
-
 def curve_on_grid(df: DataFrame, keys: list[str], x: str, y: str, low: float, high: float, points: int = 100) -> DataFrame:
     """Curves on a common grid by linear interpolation, NaN outside; a single point goes to the nearest grid point."""
     grid = np.linspace(low, high, points)
@@ -285,17 +221,48 @@ def _sums(rows: DataFrame, key: str) -> DataFrame:
     return elementwise(rows, [key], "v").withColumnRenamed("v", "m").join(rows.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
-def evaluate_images(cells: DataFrame, image: str, n_classes: int, confidence: str | None = None, bins: int = 10, tolerance: float | None = None) -> DataFrame:
+def predicted(cells: DataFrame, probabilities: str, n_classes: int) -> DataFrame:
+    """Cells with ``prediction`` (the class of the largest probability, the first of equal ones) and ``confidence``.
+
+    Vectors with non-finite values are repaired and made probabilities again; one of another length
+    than ``n_classes``, or whose sum is not 1 within 1e-5 (such as logits), is an error.
+    """
+    from ..functions import arrays as V
+    from .composites import repaired_softmax
+
+    p = repaired_softmax(F.col(probabilities).cast("array<double>"))
+    fine = (F.size("_p") == n_classes) & (F.abs(V.total(F.col("_p")) - 1) <= 1e-5)
+    checked = F.when(fine, F.col("_p")).otherwise(F.raise_error(F.lit("values of a cell are no probabilities of the classes")).cast("array<double>"))
+    out = cells.drop("prediction", "confidence").withColumn("_p", p).withColumn("_p", checked)
+    return out.withColumns({"prediction": V.argmax(F.col("_p")), "confidence": F.array_max("_p")}).drop("_p")
+
+
+def evaluate_images(
+    cells: DataFrame,
+    image: str,
+    n_classes: int,
+    confidence: str | None = None,
+    bins: int = 10,
+    tolerance: float | dict[int, float] | list[float] | None = None,
+    probabilities: str | None = None,
+    thresholds: list[float] | None = None,
+) -> DataFrame:
     """One row an image: ``accuracy``, ``dice`` by label (a map), their mean, ``confusion`` (rows of the
-    matrix), with ``confidence`` the calibration ``error``, with ``tolerance`` the surface dice by label.
+    matrix), with ``confidence`` the calibration ``error``, with ``tolerance`` (of all labels or by label) the
+    surface dice by label, its mean, and the mean surface distance by label.
 
     Cells (image, label, prediction, valid, and row and col for surfaces) that are not valid
-    take no part; an image without a valid cell is an error.
+    take no part; an image without a valid cell is an error.  With ``probabilities`` (a column of vectors
+    over the classes) predictions and confidences come from them.  With ``thresholds`` the map
+    ``dice_confidences`` holds for each threshold the labels' area and dice among cells that reach it.
     """
+    if probabilities:
+        cells, confidence = predicted(cells, probabilities, n_classes), "confidence"
+    by_label = lambda value: F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", value))))
     any_valid = F.when(F.bool_or("valid"), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no valid cell in image"), F.col(image).cast("string"))).cast("boolean"))
     images = cells.groupBy(image).agg(any_valid.alias("_ok")).where("_ok").select(image)
     counts = confusion(cells, [image], n_classes, valid="valid")
-    dice = dice_from_confusion(counts, [image]).groupBy(image).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "dice")))).alias("dice"), F.avg("dice").alias("dice_mean"))
+    dice = dice_from_confusion(counts, [image]).groupBy(image).agg(by_label("dice").alias("dice"), F.avg("dice").alias("dice_mean"))
     lines = counts.groupBy(image, "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "n"))), lambda s: s["n"]).alias("_row"))
     matrix = lines.groupBy(image).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "_row"))), lambda s: s["_row"]).alias("confusion"))
     # left joins: an image without a valid cell is an error, not an absence
@@ -304,8 +271,12 @@ def evaluate_images(cells: DataFrame, image: str, n_classes: int, confidence: st
         binned = calibration_bins(cells.where("valid"), [image], bins, confidence, F.col("label") == F.col("prediction"))
         out = out.join(calibration_error(binned, [image]), image, "left")
     if tolerance is not None:
-        surface = surface_scores(cells, image, tolerance).groupBy(image).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "nsd")))).alias("surface_dice"))
-        out = out.join(surface, image, "left")
+        surface = surface_scores(cells, image, tolerance).groupBy(image)
+        out = out.join(surface.agg(by_label("nsd").alias("surface_dice"), F.avg("nsd").alias("surface_dice_mean"), by_label("asd").alias("surface_distance")), image, "left")
+    if thresholds:
+        each = dice_at_thresholds(cells.withColumn("confidence", F.col(confidence or "confidence")), [image], thresholds)
+        each = each.groupBy(image, "threshold").agg(F.sort_array(F.collect_list(F.struct("label", "area", "dice"))).alias("_labels"))
+        out = out.join(each.groupBy(image).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("threshold", "_labels")))).alias("dice_confidences")), image, "left")
     return out
 
 
