@@ -94,7 +94,11 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "not_in_list": ("SELECT label_name, COUNT(DISTINCT image_name) AS n_images FROM df WHERE label_name NOT IN ('PROMO', 'SMALL') AND set_type IN ('F', 'O') GROUP BY label_name", None),
     "hashed_name": ("SELECT DISTINCT sha1(label_name) AS hashed FROM df", None),
     "average": ("SELECT ROUND(AVG(n_pixels), 6) AS mean FROM df", None),
-    "superpixel_bound": ("SELECT subject_name, ROUND(AVG(dice), 6) AS bound, ROUND(AVG(n_pixels), 6) AS pixels, ROUND(AVG(dice * n_pixels), 6) AS weighted FROM df GROUP BY subject_name", None),
+    # means in whole millionths, so that no order of rows and no way of rounding plays a part
+    "superpixel_bound": (
+        "SELECT subject_name, CAST((2 * SUM(CAST(ROUND(dice * 1000000) AS BIGINT)) + COUNT(*)) / (2 * COUNT(*)) AS FLOAT) / 1000000 AS bound, CAST((2000000 * SUM(n_pixels) + COUNT(*)) / (2 * COUNT(*)) AS FLOAT) / 1000000 AS pixels, CAST((2 * SUM(CAST(ROUND(dice * 1000000) AS BIGINT) * n_pixels) + COUNT(*)) / (2 * COUNT(*)) AS FLOAT) / 1000000 AS weighted FROM df GROUP BY subject_name",
+        "SELECT subject_name, CAST((2 * SUM(CAST(ROUND(dice * 1000000) AS BIGINT)) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 1000000 AS bound, CAST((2000000 * SUM(n_pixels) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 1000000 AS pixels, CAST((2 * SUM(CAST(ROUND(dice * 1000000) AS BIGINT) * n_pixels) + COUNT(*)) // (2 * COUNT(*)) AS DOUBLE) / 1000000 AS weighted FROM df GROUP BY subject_name",
+    ),
     "test_labels": ("SELECT COUNT(DISTINCT label_name) AS n_labels FROM df WHERE is_test = 1 AND label_name != 'PROMO'", "SELECT COUNT(DISTINCT label_name) AS n_labels FROM df WHERE is_test AND label_name != 'PROMO'"),
     "background_share": (
         "SELECT ROUND(CAST(SUM(CASE WHEN label_name = 'PROMO' THEN n_pixels ELSE 0 END) AS FLOAT) / SUM(n_pixels), 6) AS share FROM df",
@@ -113,6 +117,20 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT image_name, subject_name, GROUP_CONCAT(DISTINCT label_name) AS labels FROM df GROUP BY image_name, subject_name HAVING COUNT(DISTINCT label_name) > 3",
         "SELECT image_name, subject_name, string_agg(DISTINCT label_name, ',' ORDER BY label_name) AS labels FROM df GROUP BY image_name, subject_name HAVING COUNT(DISTINCT label_name) > 3",
     ),
+    "lone_columns": (
+        """SELECT image_name, subject_name, is_test, COUNT(*) AS n_labels, GROUP_CONCAT(label_name) AS label_names FROM df WHERE is_test OR n_pixels > 100
+           GROUP BY image_name ORDER BY subject_name""",
+        """SELECT image_name, any_value(subject_name) AS subject_name, CAST(any_value(is_test) AS INTEGER) AS is_test, COUNT(*) AS n_labels,
+           string_agg(label_name, ',' ORDER BY label_name) AS label_names FROM df WHERE is_test OR n_pixels > 100 GROUP BY image_name""",
+    ),
+    "quoted_names": (
+        """SELECT label_name AS "label of the cells", SUM(n_pixels * 1.0) / COUNT(*) AS "mean pixels" FROM df WHERE NOT is_test AND label_name != "PROMO" GROUP BY label_name HAVING "mean pixels" > 20.5""",
+        """SELECT label_name AS "label of the cells", SUM(CAST(n_pixels AS DOUBLE)) / COUNT(*) AS "mean pixels" FROM df WHERE NOT is_test AND label_name <> 'PROMO' GROUP BY label_name HAVING SUM(CAST(n_pixels AS DOUBLE)) / COUNT(*) > 20.5""",
+    ),
+    "flag_counts": (
+        "SELECT label_name, SUM(is_test) AS n_test, COUNT(CASE WHEN is_test AND n_pixels > 30 THEN 1 END) AS n_large, MAX(is_test) AS any_test FROM df WHERE NOT (is_test AND n_pixels < 10) GROUP BY label_name",
+        "SELECT label_name, CAST(SUM(CAST(is_test AS INTEGER)) AS BIGINT) AS n_test, COUNT(CASE WHEN is_test AND n_pixels > 30 THEN 1 END) AS n_large, MAX(CAST(is_test AS INTEGER)) AS any_test FROM df WHERE NOT (is_test AND n_pixels < 10) GROUP BY label_name",
+    ),
     "label_distribution": ("SELECT label_name, CAST(SUM(n_pixels) AS BIGINT) AS n_pixels, COUNT(DISTINCT image_name) AS n_images FROM df WHERE label_name NOT IN ('MEDIUM') GROUP BY label_name ORDER BY n_pixels DESC", "SELECT label_name, CAST(SUM(n_pixels) AS BIGINT) AS n_pixels, COUNT(DISTINCT image_name) AS n_images FROM df WHERE label_name NOT IN ('MEDIUM') GROUP BY label_name"),
     "label_distribution_by_set": ("SELECT set_type, label_name, CAST(SUM(n_pixels) AS BIGINT) AS n_pixels FROM df WHERE label_name NOT IN ('MEDIUM') GROUP BY set_type, label_name", None),
     "single_label_images": (

@@ -96,7 +96,9 @@ def moving_average_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interpolate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("hour", F.floor(L.micros("ts") / 3_600_000_000))
-    sparse = e.groupBy("user_id", "hour").agg(F.avg(F.when(F.col("event_type") != TYPE, F.col("value"))).alias("value"))
+    # whole hundredths have exact sums, whatever the order of rows
+    hundredths = F.when(F.col("event_type") != TYPE, F.round(F.col("value") * 100).cast("long"))
+    sparse = e.groupBy("user_id", "hour").agg((F.try_divide(F.sum(hundredths), F.count(hundredths)) / 100).alias("value"))
     return L.interpolated(sparse, ["user_id"], "hour", "value").select("user_id", "hour", F.round("value", 6).alias("value"))
 
 
@@ -316,7 +318,7 @@ QUERIES = {
     "moving_average_valid": (moving_average_valid, "SELECT event_id, avg5 FROM (SELECT event_id, round(avg(value) OVER (w ROWS 4 PRECEDING), 6) AS avg5, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k >= 5"),
     "interpolate_gaps": (
         interpolate_gaps,
-        "WITH h AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, avg(CASE WHEN event_type <> 'click' THEN value END) AS v FROM events GROUP BY ALL), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER b AS bh, last_value(v IGNORE NULLS) OVER b AS bv, first_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER a AS ah, first_value(v IGNORE NULLS) OVER a AS av FROM h WINDOW b AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, hour, round(CASE WHEN v IS NOT NULL THEN v WHEN bh IS NULL THEN av WHEN ah IS NULL THEN bv ELSE bv + (av - bv) * (hour - bh) / (ah - bh) END, 6) AS value FROM n",
+        "WITH h AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, CAST(sum(CASE WHEN event_type <> 'click' THEN CAST(round(value * 100) AS BIGINT) END) AS DOUBLE) / count(CASE WHEN event_type <> 'click' THEN 1 END) / 100 AS v FROM events GROUP BY ALL), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER b AS bh, last_value(v IGNORE NULLS) OVER b AS bv, first_value(CASE WHEN v IS NOT NULL THEN hour END IGNORE NULLS) OVER a AS ah, first_value(v IGNORE NULLS) OVER a AS av FROM h WINDOW b AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT user_id, hour, round(CASE WHEN v IS NOT NULL THEN v WHEN bh IS NULL THEN av WHEN ah IS NULL THEN bv ELSE bv + (av - bv) * (hour - bh) / (ah - bh) END, 6) AS value FROM n",
     ),
     "interval_join": (interval_join, "SELECT s.event_id AS span, count(*) AS n FROM events s JOIN events e ON s.user_id = e.user_id AND epoch_us(e.ts) BETWEEN epoch_us(s.ts) AND epoch_us(s.ts) + 7200000000 WHERE s.event_type = 'click' GROUP BY 1"),
     "nearest_join": (nearest_join, "WITH m AS (SELECT user_id, epoch_us(ts) AS r, min(event_id) AS mark FROM events WHERE event_type = 'click' GROUP BY ALL), j AS (SELECT e.event_id, mark, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(e.ts) - r), r) AS k FROM events e LEFT JOIN m USING (user_id)) SELECT event_id, mark FROM j WHERE k = 1"),

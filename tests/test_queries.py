@@ -25,7 +25,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
         if pd.isna(v):
             return ""
         if isinstance(v, (int, float)) and not isinstance(v, bool) or getattr(getattr(v, "dtype", None), "kind", "") in ("f", "i", "u"):
-            return f"{float(v):.5f}"
+            return f"{round(float(v), 6):.6f}"
         return str(v)
 
     return sorted(tuple(value(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False))
