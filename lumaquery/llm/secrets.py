@@ -2,7 +2,8 @@
 
 A candidate is a run of at least 16 token characters with a digit in it, or what
 stands after a secret's name and a sign of assignment (at least 8 signs without
-white space, digits or not, dots included).  Its features are its length, its
+white space, digits or not, dots included), or a URL's password (at least 8 signs
+between the user's name and the ``@``).  Its features are its length, its
 kinds of characters, how likely its transitions between classes of characters are
 among secrets and among look-alikes (a table counted from the labelled findings),
 how much of it words cover (those counted in the corpus and some fixed ones), the
@@ -29,25 +30,31 @@ from .common import Scratch, text_column
 #: Names beside which secrets stand, names beside which look-alikes stand,
 #: paths of examples, and words that made-up values are written with.
 SECRET_NAMES = "token|passw|pwd|secret|api[_-]?key|auth|bearer|credential|access[_-]?key|private"
-OTHER_NAMES = "commit|sha|uuid|guid|hash|md5|etag|version|revision|checksum|digest|isbn|order|invoice|session|page|file|image|object"
+OTHER_NAMES = "commit|sha|uuid|guid|hash|md5|etag|version|revision|checksum|digest|isbn|order|invoice|session|page|file|image|object|integrity|base64|sum|ref|src|path"
 EXAMPLES = "test|example|sample|mock|fixture|doc"
 DICTIONARY = "example|sample|placeholder|change|your|here|test|user|name|token|secret|password|admin|default|index|image|file|page|data|value|order|session|customer|service|server|client|config|backup|release|version|build|report|account|update|string|number|object|request|response|handler|manager|required|optional|header|the|and|for|get|set|key|api|url|id"
 #: Runs of token characters, and values after a secret's name.
 VALUE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}"
 NAME = rf"(?:(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{{0,64}}?(?i:{SECRET_NAMES})[A-Za-z0-9_\-]{{0,32}}[\"']{{0,2}}[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']?|(?<![A-Za-z0-9_\-])(?i:bearer)[\x20\t]{{1,3}})"
-NAMED = NAME + r"[^\x20\x09-\x0D\"'<>,;&]{8,}"
+#: A URL's user before a password, with what a password consists of.
+_PASSWORD = r"[^\x20\x09-\x0D\"'<>@/]{8,128}"
+USER = rf"[A-Za-z0-9._%+\-]{{1,64}}:(?={_PASSWORD}@)"
+NAMED = rf"(?<=://){USER}{_PASSWORD}|{NAME}" + r"[^\x20\x09-\x0D\"'<>,;&]{8,}"
 CANDIDATE = f"{NAMED}|{VALUE}"
 #: A document without a match of either holds no candidate.
 ANY = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}"
 #: Characters that are looked at before and after a candidate, and gaps without a letter
 #: that are looked over for what stands before it.
 BEFORE, AFTER, LOOK_BACK = 48, 24, 4
-#: Words of the corpus that make its dictionary, the most frequent ones.
-DICTIONARY_WORDS = 2000
+#: Words of the corpus that make its dictionary: those that are at least this share of all its words,
+#: so there are 4000 of them at most, and as many for any size of the corpus.
+DICTIONARY_SHARE = 1 / 4000
 THRESHOLD = 0.5
 MASK = "<SECRET>"
 TREES, DEPTH, TRAINING_ROWS, SEED = 20, 6, 4000, 7
-FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "hexadecimal", "run", "dictionary", "separators", "example_path", "secret_name", "other_name", "assigned", "quoted", "other_after"]
+FEATURES = ["length", "digits", "capitals", "transitions", "distinct", "hexadecimal", "run", "dictionary", "separators", "example_path", "secret_name", "other_name", "assigned", "quoted", "other_after", "segments", "marked"]
+#: How digests are marked, and data in URLs.
+MARKS = "sha[0-9]+|md5|blake2|base64|crc"
 #: The class of each character; other characters have class "o".
 CLASSES = {"d": "0123456789", "h": "bcdf", "v": "aeiouy", "c": "ghjklmnpqrstvwxz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "s": "+/_-", "p": ".:=$@!%"}
 _ARRAY = "array<struct<value:string,before:string,after:string>>"
@@ -70,7 +77,7 @@ def candidates(text: Column) -> Column:
 
 def _split(match: Column, gap: Column, after: Column) -> Column:
     """A match as its value, the text on its left and the text on its right."""
-    name = F.regexp_extract(match, "^" + NAME, 0)
+    name = F.regexp_extract(F.concat(match, F.left(after, F.lit(1))), f"^(?:{USER}|{NAME})", 0)
     whole = F.substring(match, F.length(name) + 1, F.length(match))
     value = F.when(F.length(name) > 0, F.regexp_replace(whole, r"[.)\]};:!?*$#%&]+$", "")).otherwise(whole)
     rest = F.substring(whole, F.length(value) + 1, F.length(whole))
@@ -99,11 +106,13 @@ def transitions(value: Column) -> Column:
     return F.transform(F.array(classes(value)), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))[0]
 
 
-def corpus_words(docs: DataFrame, n: int = DICTIONARY_WORDS, text_col: str = "text") -> list[str]:
-    """The ``n`` most frequent words of 4 to 16 letters of all whole texts, in lower case; of equally frequent ones the smaller."""
+def corpus_words(docs: DataFrame, share: float = DICTIONARY_SHARE, text_col: str = "text") -> list[str]:
+    """The words of 4 to 16 letters that are at least ``share`` of the words of all whole texts, in lower case and order."""
     words = docs.select(F.explode(F.split(F.lower(text_column(docs, text_col)), r"[^\p{L}\p{Nd}]+")).alias("word"))
     words = words.where(F.length("word").between(4, 16)).groupBy("word").count().where(~F.col("word").rlike(r"\p{Nd}"))
-    return [r[0] for r in words.orderBy(F.desc("count"), "word").limit(n).collect()]
+    words = Scratch(docs.sparkSession, "words").write(words)
+    total = words.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return sorted(r[0] for r in words.where(F.col("count") >= share * total).collect())  # 1 / share at most
 
 
 class Model:
@@ -121,8 +130,7 @@ class Model:
         table = F.create_map(*[F.lit(x) for pair in sorted(self.table.items()) for x in pair]) if self.table else F.lit(None).cast("map<string,double>")
         weighed = F.aggregate(transitions(v), F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(table, p), F.lit(0.0)))
         pieces = F.split(F.lower(F.regexp_replace(v, r"(\p{Ll})(\p{Lu})", "$1 $2")), r"[^\p{L}]+")
-        dictionary = F.split(F.lit("\n".join(self.words)), "\n")
-        known = F.aggregate(F.filter(pieces, lambda p: F.array_contains(dictionary, p)), F.lit(0), lambda a, p: a + F.length(p)) / n if self.words else F.lit(0.0)
+        known = F.aggregate(F.filter(pieces, lambda p: p.isin(self.words)), F.lit(0), lambda a, p: a + F.length(p)) / n if self.words else F.lit(0.0)
         fixed = (n - F.length(F.regexp_replace(F.lower(v), f"({DICTIONARY})", ""))) / n
         return [
             n,
@@ -135,11 +143,14 @@ class Model:
             F.greatest(known, fixed),
             share(r"[+/_\-.:]"),
             flag(F.coalesce(F.lower(path), F.lit("")).rlike(EXAMPLES)),
-            flag(before.rlike(SECRET_NAMES)),
+            flag(before.rlike(f"{SECRET_NAMES}|://[^/@ ]*:$")),
             flag(before.rlike(f"({OTHER_NAMES})")),
             flag(before.rlike("[=:]\\s*[\"']?$")),
             flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
             flag(after.rlike(f"{OTHER_NAMES}|{EXAMPLES}")),
+            # letters in whole words between separators, as in paths and names
+            F.length(F.array_join(F.regexp_extract_all(v, F.lit("(?<![A-Za-z0-9])[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*(?![A-Za-z0-9])"), F.lit(0)), "")) / n,
+            flag(v.rlike(f"(?i)^({MARKS})[\\-:_]") | before.rlike(f"({MARKS})[,:\\- ]*$")),
         ]
 
     def probability(self, x: list[str]) -> str:
@@ -284,6 +295,24 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, words: list[s
         (F.concat(F.lit("your_api_key_here_"), hexes(2, "7")), named),
         (hexes(32, "8"), other + plain),
     ]
+    user = ["postgres://admin:", "https://deploy:", "amqp://svc:", "mongodb://root:", "redis://default:"]
+    code = "src main lib core java scala util test include vendor node modules assets static public internal pkg cmd site packages".split()
+    folder = lambda salt, k: F.concat_ws("/", *[F.when(draw(f"{salt}{i}", 3) == 0, pick(every, f"{salt}w{i}")).otherwise(pick(code, f"{salt}{i}")) for i in range(k)])
+    secret += [
+        (special, user),
+        (cut(mixed(40, "L"), 10, 32, "M"), user),
+        (cut(hexes(48, "N"), 12, 40, "O"), user),
+        (either(cut(hexes(64, "P"), 24, 64, "Q"), "R"), ["export TOKEN=", "\"password\":\"", "\"client_secret\": \"", "Authorization: Bearer ", "--token=", "DB_PASSWORD="]),
+        (cut(mixed(70, "S"), 20, 64, "T"), ["export API_KEY=", "\"auth_token\":\"", "\"secret\": \"", "Authorization: Bearer ", "--password=", "aws_secret_access_key = "]),
+    ]
+    false += [
+        (F.concat(pick(["sha512-", "sha256-", "sha1-", "sha384-"], "U"), mixed(60, "V")), ["integrity ", "integrity: ", "\"integrity\": \"", "h1:", "resolved ", *plain]),
+        (mixed(86, "W"), ["integrity sha512:", "checksum sha256:", "sha512:", "go.sum h1:", "digest: sha384:"]),
+        (cut(mixed(120, "X"), 40, 110, "Y"), ["data:image/png;base64,", "url(data:font/woff2;base64,", "src=\"data:image/gif;base64,", "image base64:"]),
+        (F.concat(folder("Z", 4), F.lit("/"), F.initcap(pick(every, "ZA")), F.upper(hexes(1, "ZB")), F.lpad(draw("ZC", 9999).cast("string"), 4, "0")), [*plain, "file ", "at ", "import ", "/", "path: "]),
+        (F.concat(F.lit("/"), folder("ZD", 3), F.lit("/"), pick(every, "ZE"), F.lit("-"), draw("ZF", 99).cast("string"), F.lit("/"), pick(every, "ZG")), [*plain, "path = \"", "src=\"", "key = \"", "include "]),
+        (cut(hexes(64, "ZH"), 32, 64, "ZI"), ["sha256:", "\"digest\": \"sha256:", "image@sha256:", "md5 = ", "tree ", "blob ", "ref: ", "etag: \""]),
+    ]
     kinds = [*((v, b, 1.0) for v, b in secret for _ in range(2)), *((v, b, 0.0) for v, b in false)]
     ids = spark.range(0, n, 1, max(1, n // 20_000)).withColumn("kind", draw("kind", len(kinds)))
     made = [ids.where(F.col("kind") == k).select("id", v.alias("value"), pick(b, "b").alias("before"), F.lit(y).alias("secret")) for k, (v, b, y) in enumerate(kinds)]

@@ -300,7 +300,7 @@ def candidates_plain(text):
     """Candidates by going through the text match by match."""
     found, at = [], 0
     for m in re.finditer(secrets.CANDIDATE, text):
-        name = re.match(secrets.NAME, m.group())
+        name = re.match(f"{secrets.USER}|{secrets.NAME}", text[m.start() : m.end() + 1])
         name = name.group() if name else ""
         whole = m.group()[len(name) :]
         value = re.sub(r"[.)\]};:!?*$#%&]+$", "", whole) if name else whole
@@ -331,20 +331,21 @@ def features_plain(value, before, after, path, model):
     b, a = before.lower(), after.lower()
     return [
         n, count("[0-9]") / n, count("[A-Z]") / n, sum(model.table.get(p, 0) for p in pairs) / max(1, n - 1), len(set(value)) / n, has("^[0-9a-f]+$|^[0-9A-F]+$", value), has(r"(.)\1{4,}", value),
-        max(known, n - len(re.sub(f"({secrets.DICTIONARY})", "", low))) / n, count(r"[+/_\-.:]") / n, has(secrets.EXAMPLES, path), has(secrets.SECRET_NAMES, b), has(secrets.OTHER_NAMES, b),
+        max(known, n - len(re.sub(f"({secrets.DICTIONARY})", "", low))) / n, count(r"[+/_\-.:]") / n, has(secrets.EXAMPLES, path), has(f"{secrets.SECRET_NAMES}|://[^/@ ]*:$", b), has(secrets.OTHER_NAMES, b),
         has("[=:]\\s*[\"']?$", b), float(bool(re.search("[\"']$", b) and re.search("^[\"']", a))), has(f"{secrets.OTHER_NAMES}|{secrets.EXAMPLES}", a),
+        sum(len(x) for x in re.findall("(?<![A-Za-z0-9])[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*(?![A-Za-z0-9])", value)) / n, float(bool(re.search(f"(?i)^({secrets.MARKS})[\\-:_]", value) or re.search(f"({secrets.MARKS})[,:\\- ]*$", b))),
     ]
 
 
 def awkward_texts(n=300):
     rng = np.random.default_rng(9)
-    pieces = ["token=", "API_KEY: ", 'password = "', "'", '"', ",", ";", "&", ".", " ", "  ", "\n", "\t", "=", ":", "bearer ", "my-secret-id=", "x" * 70 + "token=", "0123456789abcdef", "deadbeefdeadbeefdeadbeef", "a" * 40, "A1b2C3d4E5f6G7h8I9", "word", "hunter2!", "é", "日本", "a.b.c.d.e.f", "xxxxxxxxxxxx", "/path/to/some-file/0001", "commit ", "####", "thonre", "CamelCaseWordHere", "1234-5678"]
+    pieces = ["token=", "API_KEY: ", 'password = "', "'", '"', ",", ";", "&", ".", " ", "  ", "\n", "\t", "=", ":", "bearer ", "my-secret-id=", "x" * 70 + "token=", "0123456789abcdef", "deadbeefdeadbeefdeadbeef", "a" * 40, "A1b2C3d4E5f6G7h8I9", "word", "hunter2!", "é", "日本", "a.b.c.d.e.f", "xxxxxxxxxxxx", "/path/to/some-file/0001", "commit ", "####", "thonre", "CamelCaseWordHere", "1234-5678", "x://me:", "S3cr3tPa55", "@host", "sha256:", "base64,"]
     return ["".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, 30))) for _ in range(n)]
 
 
 def test_secret_candidates_and_features(spark):
     model = secrets.fit(secrets.labelled_findings(spark, 800, ["thonre", "word"]), ["thonre", "word", "path"])
-    texts = [*awkward_texts(), "", " ", "token=" * 50, "token=12345678." * 300, "z9" * 30_000, ("k" * 15 + " ") * 500]
+    texts = [*awkward_texts(400), "", " ", "token=" * 50, "token=12345678." * 300, "z9" * 30_000, ("k" * 15 + " ") * 500]
     df = spark.createDataFrame([(i, t, f"src{i % 3}/" + "test" * (i % 2)) for i, t in enumerate(texts)], "doc_id long, text string, source string")
     c = F.col("_found")
     rows = df.withColumn("_found", secrets.candidates(F.col("text"))).withColumn("x", F.transform(c, lambda c: F.array(*model.features(c, F.col("source"))))).collect()
