@@ -153,6 +153,23 @@ def oversaturated(spectrum: Column, limit: float = 1.0) -> Column:
     return F.exists(spectrum, lambda x: x > limit)
 
 
+def lightness(r: Column, g: Column, b: Column) -> Column:
+    """L* (0 to 100) of an sRGB colour of numbers from 0 to 255."""
+
+    def linear(c: Column) -> Column:
+        x = c.cast("double") / 255
+        return F.when(x > 0.04045, F.pow((x + 0.055) / 1.055, F.lit(2.4))).otherwise(x / 12.92)
+
+    # fixed values: the luminance of the primaries, and the constants of L*
+    y = 0.212671 * linear(r) + 0.71516 * linear(g) + 0.072169 * linear(b)
+    return 116 * F.when(y > 0.008856, F.cbrt(y)).otherwise(7.787 * y + 4.0 / 29) - 16
+
+
+def specular(r: Column, g: Column, b: Column, limit: float) -> Column:
+    """Whether a pixel is a specular highlight: lighter than the limit."""
+    return lightness(r, g, b) > limit
+
+
 def cube_validity(df: DataFrame, image: str, spectrum: str, strict: bool = False) -> DataFrame:
     """Whether an image's spectra are usable: finite, not all zero or negative; strictly, no zero or negative value at all."""
     v = F.col(spectrum)
