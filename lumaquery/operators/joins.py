@@ -89,37 +89,61 @@ def neighbours(cells: DataFrame, keys: list[str], row: str = "row", col: str = "
 def least_distance(tests: DataFrame, training: DataFrame, key: str, vector: str, block: int = 20_000) -> DataFrame:
     """``key`` and the least Euclidean distance to any training vector, exactly.
 
-    The training vectors are broadcast in blocks of bounded size and each task
-    compares its batch by matrix products; blocks beyond the first add passes, not memory.
+    Both sides are dealt into blocks by their vectors' norms (of at most some ``block`` rows where many norms
+    are equal).  Vectors are no nearer than their norms, so after each block of tests has met the
+    training block of the nearest norms, it meets only those whose norms are within its largest distance
+    so far.  A pair of blocks is a task; only the blocks' least and largest norms come to the driver.
+    Equal keys count as one, null vectors take no part (their distance is null), and widths must be equal.
     """
+    from .dependence import MOST_BLOCKS, _placed
+
+    spark, v = tests.sparkSession, F.col(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    asked = tests.where(v.isNotNull()).select(F.col(key).alias("_key"), v.alias("_v")).withColumn("_norm", norm)
+    points = training.where(v.isNotNull()).select(v.alias("_v")).distinct().withColumn("_norm", norm)  # else equal vectors would fill blocks
+
+    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, list]:
+        n = rows.count()
+        parts = min(MOST_BLOCKS, max(1, -(-n // block)))
+        bounds = sorted(set(rows.agg(F.percentile_approx("_norm", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or [])) if parts > 1 else []
+        rows = rows.withColumn("_i", F.col("_v")).withColumn("_b", F.array(*map(F.lit, bounds)).cast("array<double>"))
+        placed = _placed(rows, [], "_norm", "_b", name, max(1.0, n / parts)).drop("_i", "_b")
+        ends = placed.groupBy(name).agg(F.min("_norm").alias("low"), F.max("_norm").alias("high")).collect()
+        return placed, sorted((r.low, r.high, r[name]) for r in ends)
+
+    left, own = blocks(asked, "_s")
+    right, others = blocks(points, "_t")
+    kind = asked.schema["_key"].dataType.simpleString()
+    none = tests.select(key).distinct().select(F.col(key), F.lit(None).cast("double").alias("min_distance"))
+    if not own or not others:
+        return none
+
+    def meet(pairs: list[tuple]) -> DataFrame:
+        table = spark.createDataFrame(pairs, "_s int, _t int")
+        sides = [d.join(table, c).groupBy("_s", "_t") for d, c in ((left, "_s"), (right, "_t"))]
+        return sides[0].cogroup(sides[1]).applyInPandas(_least, f"_s int, _key {kind}, d double")
+
+    gap = lambda a, b: max(0.0, a[0] - b[1], b[0] - a[1])
+    first = {a[2]: min(others, key=lambda b: (gap(a, b), abs(a[0] + a[1] - b[0] - b[1])))[2] for a in own}
+    found = meet(list(first.items()))
+    worst = {r["_s"]: r.d for r in found.groupBy("_s").agg(F.max("d").alias("d")).collect()}
+    more = [(a[2], b[2]) for a in own for b in others if b[2] != first[a[2]] and gap(a, b) <= worst[a[2]] * (1 + 1e-9)]
+    if more:
+        found = found.unionAll(meet(more))
+    least = found.groupBy(F.col("_key")).agg(F.min("d").alias("min_distance"))
+    return tests.select(key).distinct().join(least, F.col(f"`{key}`").eqNullSafe(F.col("_key")), "left").select(key, "min_distance")
+
+
+def _least(a, b):
+    """Least distances of one block's rows to another's."""
     import numpy as np
     import pandas as pd
 
-    spark = tests.sparkSession
-    v = F.col(vector).cast("array<double>")
-    different = training.select(v.alias("v")).distinct()  # else equal vectors would fill one block
-    n = different.count()
-    blocks, parts = max(1, -(-n // block)), []
-    numbered = different.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = [r[0] for r in numbered.where(F.col("_b") == b).select("v").collect()]
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(np.array(rows))
-
-        def work(batches, shared=shared):
-            points = shared.value
-            squares = (points**2).sum(1)
-            for pdf in batches:
-                x = np.stack(pdf["v"].to_numpy())
-                d = np.empty(len(x))
-                for i in range(0, len(x), 256):
-                    near = (x[i : i + 256] ** 2).sum(1)[:, None] + squares[None, :] - 2 * x[i : i + 256] @ points.T
-                    best = points[near.argmin(1)]
-                    d[i : i + 256] = np.sqrt(((x[i : i + 256] - best) ** 2).sum(1))
-                yield pd.DataFrame({"k": pdf["k"], "d": d})
-
-        parts.append(tests.select(F.col(key).alias("k"), v.alias("v")).mapInPandas(work, "k long, d double"))
-    if not parts:
-        return tests.select(F.col(key), F.lit(None).cast("double").alias("min_distance"))
-    return reduce(DataFrame.unionAll, parts).groupBy(F.col("k").alias(key)).agg(F.min("d").alias("min_distance"))
+    if not len(a) or not len(b):
+        return pd.DataFrame({"_s": a["_s"], "_key": a["_key"], "d": np.full(len(a), np.inf)})
+    x, points = np.stack(a["_v"].to_numpy()), np.stack(b["_v"].to_numpy())
+    squares, d = (points**2).sum(1), np.empty(len(x))
+    for i in range(0, len(x), 256):
+        near = (x[i : i + 256] ** 2).sum(1)[:, None] + squares[None, :] - 2 * x[i : i + 256] @ points.T
+        d[i : i + 256] = np.sqrt(((x[i : i + 256] - points[near.argmin(1)]) ** 2).sum(1))
+    return pd.DataFrame({"_s": a["_s"], "_key": a["_key"], "d": d})

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def modules() -> list:
-    from . import composite, corpus, hierarchy, reading, vectors
+    from . import composite, corpus, design, hierarchy, reading, vectors
 
-    return [corpus, hierarchy, reading, vectors, composite]
+    return [corpus, hierarchy, reading, vectors, composite, design]
 
 
 def queries() -> dict[str, Callable]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumaquery.operators import checks, dependence, folds
+from lumaquery.operators import checks, dependence, folds, joins
 
 RNG = np.random.default_rng(5)
 
@@ -141,3 +141,20 @@ def test_distance_correlation_of_vectors(spark):
     assert of(hot, "x", "y") == pytest.approx(of(hot, "x", "z"))
     numbers = spark.createDataFrame(list(enumerate(zip([1.0, 2.0, 3.0, 4.0, 4.0], [1.0, 2.2, -3.3, 2.0, 2.0], strict=True))), "i int, p struct<x: double, y: double>").select("i", "p.*")
     assert of(numbers, "x", "y") == pytest.approx(0.5242320806029278)
+
+
+@pytest.mark.parametrize("block", [7, 40, 20_000])
+def test_least_distance_by_tiles(spark, block):
+    unit = RNG.normal(size=(60, 4))
+    unit /= np.sqrt((unit**2).sum(1))[:, None]  # equal norms, up to rounding
+    ones = np.sign(RNG.normal(size=(30, 4)))  # equal norms
+    x, y = np.vstack([RNG.normal(size=(80, 4)) * 5, unit[:30], ones[:15]]), np.vstack([RNG.normal(size=(70, 4)) * 3, unit[30:], ones[10:]])
+    tests = [(f"t{i}", [float(a) for a in v]) for i, v in enumerate(x)] + [("none", None), (None, [0.0] * 4), ("t0", [float(a) for a in y[3]])]
+    df = lambda rows: spark.createDataFrame(rows, "k string, v array<double>")
+    training = df([("x", [float(a) for a in v]) for v in y] * 2 + [("x", None)])
+    got = {r.k: r.min_distance for r in joins.least_distance(df(tests), training, "k", "v", block).collect()}
+    want = {f"t{i}": np.sqrt(((y - v) ** 2).sum(1)).min() for i, v in enumerate(x)} | {"t0": 0.0, None: np.sqrt((y**2).sum(1)).min()}
+    assert got.pop("none") is None and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    empty = joins.least_distance(df(tests), training.where("false"), "k", "v").collect()
+    assert len(empty) == len(got) + 1 and all(r.min_distance is None for r in empty)
