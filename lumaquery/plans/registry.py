@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def modules() -> list:
-    from . import composite, corpus, design, hierarchy, reading, vectors
+    from . import composite, corpus, design, details, hierarchy, reading, vectors
 
-    return [corpus, hierarchy, reading, vectors, composite, design]
+    return [corpus, hierarchy, reading, vectors, composite, design, details]
 
 
 def queries() -> dict[str, Callable]:
