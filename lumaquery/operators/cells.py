@@ -24,6 +24,29 @@ def blank(cells: DataFrame, selected: Column, value: Column | None = None, label
     return cells.withColumn(column, F.when(selected, fill).otherwise(F.col(column))).withColumn(label, F.when(selected, F.lit(INVALID)).otherwise(F.col(label)))
 
 
+def fill_vectors(cells: DataFrame, image: str, selected: Column, how: str = "zero", p: float = 1.0, seed: int = 0, donor: DataFrame | None = None, label: str = "label", column: str = "value") -> DataFrame:
+    """Selected cells of an image, which is altered with probability p, become invalid and their vectors are replaced.
+
+    ``zero``: by zeros; ``random``: by numbers drawn for each cell (image, row, col) and place, over their sum;
+    ``donor``: by the vector at the same place of ``donor`` (row, col, column), zeros where it has none.
+    """
+    hit = F.coalesce(selected, F.lit(False)) & drawn(image, p, seed)
+    places = F.sequence(F.lit(0), F.size(column) - 1)
+    rows = cells
+    if how == "zero":
+        fill = F.transform(column, lambda x: x * 0)
+    elif how == "random":
+        numbers = F.transform(places, lambda k: uniform(seed + 1, F.col(image), F.col("row"), F.col("col"), k))
+        fill = F.transform(F.array(numbers), lambda v: F.transform(v, lambda x: F.try_divide(x, F.aggregate(v, F.lit(0.0), lambda a, y: a + y))))[0]
+    elif how == "donor":
+        rows = cells.join(donor.select("row", "col", F.col(column).alias("_donor")), ["row", "col"], "left")
+        fill = F.coalesce("_donor", F.transform(column, lambda x: x * 0))
+    else:
+        raise ValueError(f"no way to fill cells: {how}")
+    out = rows.withColumn("_hit", hit).withColumns({column: F.when(F.col("_hit") & (F.size(column) > 0), fill).otherwise(F.col(column)), label: F.when(F.col("_hit"), F.lit(INVALID)).otherwise(F.col(label))})
+    return out.select(*cells.columns)
+
+
 def chosen_label(cells: DataFrame, image: str, valid: Column, seed: int, label: str = "label") -> DataFrame:
     """A random valid label of each image, as ``_chosen``."""
     labels = cells.where(valid).groupBy(image).agg(F.sort_array(F.collect_set(label)).alias("_l"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def modules() -> list:
-    from . import composite, corpus, design, details, hierarchy, reading, vectors
+    from . import cohorts, composite, corpus, design, details, hierarchy, reading, vectors
 
-    return [corpus, hierarchy, reading, vectors, composite, design, details]
+    return [corpus, hierarchy, reading, vectors, composite, design, details, cohorts]
 
 
 def queries() -> dict[str, Callable]:

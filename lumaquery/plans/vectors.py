@@ -185,7 +185,7 @@ def weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.sample_batches(tables(spark, sf_dir, "part")["part"].select("p_partkey"), 32, 2, id_col="p_partkey")
-    return out.groupBy("epoch", "batch").agg(F.count("*").alias("n"))
+    return out.select("epoch", "batch", "p_partkey")
 
 
 def worker_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,5 +390,5 @@ QUERIES = {
     ),
     "oversampled_bootstrap": (oversampled_bootstrap, None),
     "weighted_sampling": (weighted_sampling, f"WITH k AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY -ln(greatest({_u('0, p_partkey')}, 1e-300)) / p_size, p_partkey) AS r FROM part WHERE p_size > 0) SELECT p_type, p_partkey FROM k WHERE r <= 10"),
-    "sample_stream": (sample_stream, f"WITH o AS (SELECT CAST(e AS INTEGER) AS epoch, row_number() OVER (PARTITION BY e ORDER BY {_u('0, e, p_partkey')}, p_partkey) - 1 AS i FROM part, unnest(range(2)) t(e)) SELECT epoch, i // 32 AS batch, count(*) AS n FROM o GROUP BY ALL"),
+    "sample_stream": (sample_stream, f"WITH o AS (SELECT CAST(e AS INTEGER) AS epoch, p_partkey, row_number() OVER (PARTITION BY e ORDER BY {_u('0, e, p_partkey')}, p_partkey) - 1 AS i FROM part, unnest(range(2)) t(e)) SELECT epoch, i // 32 AS batch, p_partkey FROM o"),
 }

@@ -224,3 +224,27 @@ def first_existing(spark: SparkSession, locations: list[str], needed: str) -> st
     if not found:
         raise FileNotFoundError(f"none of {locations} exists")
     return found[0]
+
+
+def best_location(spark: SparkSession, locations: list[str], needle: str | None = None, writing: bool = False) -> str:
+    """The most suitable of several places of one thing.
+
+    With a ``needle``, the place that holds it in its path (the folder's path, where all places have the same
+    last name; of several the one most alike to it, by difflib's ratio), if it exists or is
+    wanted for ``writing``; else the first place that exists; else the needle's, or the first.
+    """
+    from difflib import SequenceMatcher
+
+    def exists(path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    matched = None
+    if needle is not None:
+        same = len({x.rstrip("/").rsplit("/", 1)[-1] for x in locations}) == 1
+        searched = {x: x.rstrip("/").rsplit("/", 1)[0] if same else x for x in locations}
+        fits = [x for x in locations if needle in searched[x]]
+        matched = max(fits, key=lambda x: SequenceMatcher(None, needle, x).ratio(), default=None)
+    if matched is not None and (writing or exists(matched)):
+        return matched
+    return next((x for x in locations if exists(x)), matched or locations[0])
