@@ -6,8 +6,11 @@ millions of cells is counted before anything is joined.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,10 +205,11 @@ def discriminant(df: DataFrame, label: str, vector: str) -> tuple[np.ndarray, np
     v = F.col(vector).cast("array<double>")
     rows = df.select(F.col(label).alias("c"), v.alias("v"))
     sums = {r.c: (r.n, np.array(r.m)) for r in _sums(rows, "c").collect()}
-    products = rows.select(F.posexplode("v").alias("i", "x"), "v").select("i", F.posexplode("v").alias("j", "y"), "x").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
-    d = max(r.i for r in products) + 1
+    d = len(next(iter(sums.values()))[1])
     s2 = np.zeros((d, d))
-    for r in products:
+    # products are added up in each partition: a row for each line of the matrix leaves it
+    lines = rows.select("v").mapInArrow(_products, "i int, line array<double>").select("i", F.posexplode("line").alias("j", "x"))
+    for r in lines.groupBy("i", "j").agg(F.sum("x").alias("s")).collect():
         s2[r.i, r.j] = r.s
     n, mean = sum(x[0] for x in sums.values()), sum(x[0] * x[1] for x in sums.values()) / sum(x[0] for x in sums.values())
     between = sum(k * np.outer(m - mean, m - mean) for k, m in sums.values())
@@ -215,6 +219,16 @@ def discriminant(df: DataFrame, label: str, vector: str) -> tuple[np.ndarray, np
     return values.real[order], vectors.real[:, order]
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        if b.num_rows:
+            x = np.stack(b.column("v").to_numpy(zero_copy_only=False))
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "line"])
+
+
 def _sums(rows: DataFrame, key: str) -> DataFrame:
     from ..functions.arrays import elementwise
 
