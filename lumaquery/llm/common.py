@@ -181,11 +181,3 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     row = sum(sizes[1:], sizes[0]).cast("long")
     return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
 
-
-def text_bytes(df: DataFrame, column: str = "text") -> int:
-    """Bytes of all texts; one pass over one column."""
-    return int(df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0)
-
-
-def safe_name(name: str) -> str:
-    return re.sub(r"\W+", "_", name)

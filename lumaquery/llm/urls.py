@@ -9,7 +9,8 @@ host.  Beginnings of the URL's path of these lengths are tried likewise and join
 with the entries.  The exact joins remove the filter's false positives.
 
 The filter is a table of blocks and is joined by block number, so it may be as long
-as the list needs; Spark's own size check decides whether it is broadcast.
+as the list needs; up to a measured size (some 3 million entries) it is broadcast, so
+that only what it lets pass is shuffled, beyond that it is joined by shuffle.
 DataFrame operations only.
 """
 
@@ -21,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded
 
 #: Bits of the filter for each key.
 BITS = 16
@@ -92,7 +93,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     entry = lambda host, path: F.concat_ws("\x00", host, path)
     keys = hosts.select(F.col("host").alias("key")).unionAll(listed.select(entry("host", "path").alias("key")))
     table, blocks = bloom(keys, 2 * n)
-    table = scratch.write(table)
+    table = bounded(scratch.write(table))
     tried = parted.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("_url"), "path", F.explode(host_ends(labels)).alias("_end"))
     tried = passing(tried, F.col("_end"), table, blocks).join(hosts.withColumnRenamed("host", "_end"), "_end")
     begins = F.transform(F.filter("_lengths", lambda k: k <= F.length("path")), lambda k: F.left("path", k))
