@@ -247,7 +247,31 @@ r AS (
 SELECT CAST(bootstrap AS INTEGER) AS bootstrap, round(bin / 10.0, 6) AS threshold, round(p / ps, 6) AS tpr, round(q / qs, 6) AS fpr FROM r
 """
 
+def patches_at_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of suppliers' images until each relevant cell was in one: what the stream with state draws."""
+    li = tables(spark, sf_dir, "lineitem")["lineitem"]
+    keys = [F.col("l_suppkey").alias("image"), F.pmod("l_orderkey", F.lit(20)).cast("int").alias("row"), F.pmod("l_partkey", F.lit(20)).cast("int").alias("col")]
+    cells = li.select(*keys, F.lit(20).alias("height"), F.lit(20).alias("width"))
+    return S.all_patches(S.packed_cells(cells, "image"), "image", 5, 5)
+
+
+PATCHES = """
+WITH RECURSIVE p AS (
+    SELECT image, list({'r': r, 'c': c} ORDER BY r, c) AS free FROM (SELECT DISTINCT l_suppkey AS image, l_orderkey % 20 AS r, l_partkey % 20 AS c FROM lineitem) x GROUP BY image
+), w AS (
+    SELECT image, -1 AS patch, 0::BIGINT AS y, 0::BIGINT AS x, free FROM p
+    UNION ALL
+    SELECT image, patch + 1, y, x, list_filter(free, lambda t: NOT (t.r >= y AND t.r < y + 5 AND t.c >= x AND t.c < x + 5))
+    FROM (
+        SELECT image, patch, free, least(greatest(cell.r - 2, 0), 15) AS y, least(greatest(cell.c - 2, 0), 15) AS x
+        FROM (SELECT image, patch, free, free[CAST('0x' || substr(md5('0,' || image || ',' || (patch + 1)), 1, 12) AS BIGINT) % len(free) + 1] AS cell FROM w WHERE len(free) > 0) a
+    ) b
+)
+SELECT image, CAST(patch AS INTEGER) AS patch, CAST(y AS INTEGER) AS top, CAST(x AS INTEGER) AS "left" FROM w WHERE patch >= 0
+"""
+
 QUERIES = {
+    "patches_at_rest": (patches_at_rest, PATCHES),
     "group_folds": (group_folds, _group_folds_sql()),
     "nested_group_folds": (nested_group_folds, None),
     "fold_partitions": (fold_partitions, FOLD_PARTITIONS),
