@@ -3,6 +3,8 @@ folder, words of texts, and a numpy hash table."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -181,3 +183,11 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     row = sum(sizes[1:], sizes[0]).cast("long")
     return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
 
+
+def release_memory() -> None:
+    """Gives memory that Python no longer uses back to the system, after work on the driver; without effect where that can't be asked for."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -315,8 +315,9 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING_ROWS, words: list[s
     ]
     kinds = [*((v, b, 1.0) for v, b in secret for _ in range(2)), *((v, b, 0.0) for v, b in false)]
     ids = spark.range(0, n, 1, max(1, n // 20_000)).withColumn("kind", draw("kind", len(kinds)))
-    made = [ids.where(F.col("kind") == k).select("id", v.alias("value"), pick(b, "b").alias("before"), F.lit(y).alias("secret")) for k, (v, b, y) in enumerate(kinds)]
-    rows = reduce(DataFrame.unionAll, made)
+    # one expression that looks at the kind, not a union of kinds: a plan of one step
+    by_kind = lambda column: reduce(lambda rest, k: F.when(F.col("kind") == k, column(*kinds[k])).otherwise(rest), range(len(kinds) - 1, -1, -1), F.lit(None))
+    rows = ids.select("id", by_kind(lambda v, b, y: v).alias("value"), by_kind(lambda v, b, y: pick(b, "b")).alias("before"), by_kind(lambda v, b, y: F.lit(y)).alias("secret"))
     # what encloses a value closes after it; made-up values lie in examples more often, and what they are is said after them
     close = F.regexp_extract("before", "[\"']$", 0)
     true = F.col("secret") > 0.5

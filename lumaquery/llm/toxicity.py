@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, column_texts, factorize, portions, text_column, words_of
+from .common import HashTable, column_texts, factorize, portions, release_memory, text_column, words_of
 
 ORDER = 6
 #: Labelled rows of each class that the counts come from, and rows for the curve.
@@ -282,6 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS
     table = counted.toArrow()  # the words of 2 * max_rows texts
     counts = np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], axis=1) if len(table) else np.zeros((0, 2), np.int64)
     scorer = Models().fit([bytes(w) for w in table.column("word").to_pylist()], counts).scorer() if len(table) else None
+    del table, counts
+    release_memory()
     rest = rows.where("part = 2").select("doc_id", "text", "toxic")
     seen = annotate(rest, scorer, None, raw=True).select("toxic", "_features").collect()
     curve = Curve().fit(np.array([r[1] for r in seen]).reshape(-1, 1 + len(STRONGEST)), np.array([r[0] for r in seen], float))
