@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Subjects that one task assigns; more are dealt into lots, whose folds are matched afterwards.
-LOT = 20_000
 #: Scale of a label's weight, one over the square of its rows.
 SCALE = 10**18
 
 
-def weights(totals: list[int]) -> list[int]:
-    """What a row of each label counts for: shares of labels matter, not rows."""
-    return [SCALE // (t * t) if t else 0 for t in totals]
-
-
-def greedy(items: list[list[int]], k: int, weight: list[int]) -> list[int]:
-    """The fold of each vector of label counts, in the order given.
+def turns(x: list[int], n: int, weight: list[int], sums: list[list[int]], rows: list[int]) -> tuple[list[int], list[int]]:
+    """Folds of n subjects of the same label counts: the first ones', and those that take turns from then on.
 
-    A vector goes where the weighted product of the fold's counts with its own is least, which
+    A subject goes where the weighted product of the fold's counts with its own is least, which
     adds least to the sum of squared shares; then to the fold of fewer rows, then to the first.
-    Whole numbers throughout.
+    Each subject raises its fold's product and rows by the same step, so as soon as the lowest
+    fold with a step more is past the highest, the folds follow each other in their order.  The
+    folds' counts and rows are raised.  Whole numbers throughout.
     """
-    sums, rows, out = [[0] * len(weight) for _ in range(k)], [0] * k, []
-    for x in items:
-        own = [(j, n, n * w) for j, (n, w) in enumerate(zip(x, weight, strict=True)) if n]
-        f = min(range(k), key=lambda f: (sum(sums[f][j] * nw for j, _, nw in own), rows[f], f))
-        for j, n, _ in own:
-            sums[f][j] += n
-            rows[f] += n
-        out.append(f)
-    return out
-
-
-def spread(x: list[int], weight: list[int]) -> int:
-    return sum(n * n * w for n, w in zip(x, weight, strict=True))
+    own = [(j, c, c * w) for j, (c, w) in enumerate(zip(x, weight, strict=True)) if c]
+    cost, size = sum(c * cw for _, c, cw in own), sum(c for _, c, _ in own)
+    state = [(sum(h[j] * cw for j, _, cw in own), r, f) for f, (h, r) in enumerate(zip(sums, rows, strict=True))]
+    first, more = [], [0] * len(sums)
+    while len(first) < n:
+        low = min(state)
+        if (low[0] + cost, low[1] + size, low[2]) > max(state):
+            break
+        first.append(low[2])
+        more[low[2]] += 1
+        state[low[2]] = (low[0] + cost, low[1] + size, low[2])
+    cycle = [f for _, _, f in sorted(state)]
+    times, rest = divmod(n - len(first), len(cycle))
+    for i, f in enumerate(cycle):
+        more[f] += times + (i < rest)
+        for j, c, _ in own:
+            sums[f][j] += c * more[f]
+        rows[f] += size * more[f]
+    return first, cycle
+
+
+def _assigned(keys: list[str], k: int):
+    """A task's runs in order, with their folds; only the folds' counts are kept from run to run."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums, rows = None, [], []
+        for b in batches:
+            out = []
+            for *key, x, w, n in zip(*[b.column(c).to_pylist() for c in [*keys, "_x", "_w", "_n"]]):
+                if at is None or key != at:
+                    at, sums, rows = key, [[0] * len(x) for _ in range(k)], [0] * k
+                out.append(turns(x, n, w, sums, rows))
+            kept = [*keys, "_spread", "_run"]
+            made = [pa.array([r[i] for r in out], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *made], names=[*kept, "_first", "_cycle"])
+
+    return work
 
 
 def counted(df: DataFrame, subject: str, label: str, keys: list[str]) -> tuple[DataFrame, list]:
@@ -47,56 +67,38 @@ def counted(df: DataFrame, subject: str, label: str, keys: list[str]) -> tuple[D
     return df.groupBy(*keys, subject).agg(F.array(*each).alias("_x")), labels
 
 
-def group_folds(df: DataFrame, subject: str, label: str, k: int, keys: list[str] | None = None, lot: int = LOT) -> DataFrame:
+def group_folds(df: DataFrame, subject: str, label: str, k: int, keys: list[str] | None = None, lot: int | None = None) -> DataFrame:
     """(keys, subject, fold): subjects in k folds of shares of every label that are as even as a greedy order makes them.
 
     Subjects go in order of falling spread (weighted squares of their counts, then by name as text).
-    No subject is in two folds.  ``keys`` (few values) name tables with folds of their own.  More
-    subjects than ``lot`` are dealt into lots by hash; each lot is assigned in a task, and the lots'
-    folds, as vectors, are matched to each other by the same rule, a lot after the other.
+    No subject is in two folds.  ``keys`` (few values) name tables with folds of their own.  The order is
+    one after the other by nature, but subjects of the same counts that follow each other need one
+    step together (``turns``): a row a run goes through a key's task, and each subject finds its fold by its
+    place in the run.  ``lot`` is without effect: no order is cut into lots any more.
     """
     keys = keys or []
     counts, labels = counted(df, subject, label, keys)
-    sums = counts.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.get("_x", F.lit(j))).alias(f"s{j}") for j in range(len(labels))]).collect()
-    weight = {tuple(r[c] for c in keys): weights([r[f"s{j}"] for j in range(len(labels))]) for r in sums}
-    lots = max([1, *[-(-r["n"] // lot) for r in sums]])
-    placed = counts.withColumn("_lot", F.pmod(F.xxhash64(subject), F.lit(lots)).cast("int"))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, subject])
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = weight[tuple(_plain(pdf[c].iloc[0]) for c in keys)]
-        rows = [[int(n) for n in x] for x in pdf["_x"]]
-        names = pdf[subject].tolist()
-        order = sorted(range(len(rows)), key=lambda i: (-spread(rows[i], w), str(names[i])))
-        fold = np.zeros(len(rows), int)
-        fold[order] = greedy([rows[i] for i in order], k, w)
-        return pdf[[*keys, subject, "_lot", "_x"]].assign(fold=fold.astype(np.int32))
-
-    out = placed.groupBy(*keys, "_lot").applyInPandas(work, f"{kinds}, _lot int, _x array<long>, fold int")
-    if lots > 1:
-        parts = out.groupBy(*keys, "_lot", "fold").agg(*[F.sum(F.get("_x", F.lit(j))).alias(f"s{j}") for j in range(len(labels))]).collect()
-        moved = _matched([(tuple(r[c] for c in keys), r["_lot"], r["fold"], [r[f"s{j}"] for j in range(len(labels))]) for r in parts], k, weight)
-        schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys], "_lot int, fold int, _to int"])
-        out = out.join(df.sparkSession.createDataFrame(moved, schema), [*keys, "_lot", "fold"]).withColumn("fold", F.col("_to"))
-    return out.select(*keys, subject, "fold")
-
-
-def _plain(x):
-    return x.item() if isinstance(x, np.generic) else x
-
-
-def _matched(parts: list[tuple], k: int, weight: dict) -> list[tuple]:
-    """(keys, lot, fold, new fold): each lot's folds on different ones of what the lots before it have."""
-    out, state = [], {}
-    for key, lot in sorted({p[:2] for p in parts}, key=str):
-        w, sums = weight[key], state.setdefault(key, [[0] * len(weight[key]) for _ in range(k)])
-        free = set(range(k))
-        for _, _, fold, x in sorted((p for p in parts if p[:2] == (key, lot)), key=lambda p: (-spread(p[3], w), p[2])):
-            to = min(free, key=lambda f: (sum(a * b * c for a, b, c in zip(sums[f], x, w, strict=True)), sum(sums[f]), f))
-            free.remove(to)
-            sums[to] = [a + b for a, b in zip(sums[to], x, strict=True)]
-            out.append((*key, lot, fold, to))
-    return out
+    totals = [F.sum(F.get("_x", F.lit(j))).cast("decimal(19,0)") for j in range(len(labels))]
+    each = [F.when(t > 0, F.call_function("div", F.lit(SCALE).cast("decimal(38,0)"), t * t)).otherwise(F.lit(0).cast("long")) for t in totals]
+    weight = counts.groupBy(*keys).agg(F.array(*each).cast("array<bigint>").alias("_w")).select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_w")
+    same = lambda d: [d[c].eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+    placed = counts.join(F.broadcast(weight), same(counts) or None, "inner" if keys else "cross").drop(*[f"_k_{c}" for c in keys])  # a row a key
+    wide = lambda c: c.cast("decimal(19,0)")
+    squares = F.zip_with("_x", "_w", lambda x, w: (wide(x) * wide(x) * wide(w)).cast("decimal(38,0)"))
+    placed = placed.withColumn("_spread", F.aggregate(squares, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + x).cast("decimal(38,0)")))
+    # a run: subjects of equal counts that follow each other; other counts have the same spread only in ties
+    order = Window.partitionBy(*keys, "_spread").orderBy(F.col(subject).cast("string").asc_nulls_last())
+    placed = placed.withColumn("_r", F.row_number().over(order)).withColumn("_new", F.coalesce(F.lag("_x").over(order) != F.col("_x"), F.lit(True)))
+    placed = placed.withColumn("_run", F.max(F.when(F.col("_new"), F.col("_r"))).over(order)).withColumn("_at", F.col("_r") - F.col("_run"))
+    runs = placed.groupBy(*keys, "_spread", "_run").agg(F.any_value("_x").alias("_x"), F.any_value("_w").alias("_w"), F.count("*").alias("_n"))
+    dealt = runs.repartition(*keys) if keys else runs.repartition(1)
+    kinds = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys], "_spread decimal(38,0), _run int, _first array<int>, _cycle array<int>"])
+    folds = dealt.sortWithinPartitions(*keys, F.desc("_spread"), "_run").mapInArrow(_assigned(keys, k), kinds)
+    folds = folds.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_spread").alias("_k_spread"), F.col("_run").alias("_k_run"), "_first", "_cycle")
+    out = placed.join(folds, [*same(placed), placed["_spread"] == F.col("_k_spread"), placed["_run"] == F.col("_k_run")])
+    early = F.col("_at") < F.size("_first")
+    fold = F.when(early, F.get("_first", F.col("_at"))).otherwise(F.get("_cycle", F.pmod(F.col("_at") - F.size("_first"), F.lit(k))))
+    return out.select(*keys, subject, fold.alias("fold"))
 
 
 def unevenness(df: DataFrame, folds: DataFrame, subject: str, label: str, k: int) -> DataFrame:

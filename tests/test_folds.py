@@ -158,3 +158,12 @@ def test_least_distance_by_tiles(spark, block):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     empty = joins.least_distance(df(tests), training.where("false"), "k", "v").collect()
     assert len(empty) == len(got) + 1 and all(r.min_distance is None for r in empty)
+
+
+def test_group_folds_of_many_subjects_follow_one_order(spark):
+    """Lots matched to each other gave other folds than the one greedy order."""
+    counts = RNG.integers(0, 4, (200, 3))
+    rows = [(f"s{i}", x) for i, own in enumerate(counts) for x, n in zip("abc", own) for _ in range(n)]
+    for k in (3, 5):
+        got = folds.group_folds(table(spark, rows), "subject", "label", k, lot=20).collect()
+        assert {r.subject: r.fold for r in got} == plain_folds(rows, k)
