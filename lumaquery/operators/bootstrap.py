@@ -38,14 +38,44 @@ def numbered(df: DataFrame, u: Column, tie: list[str], name: str, keys: list[str
     return rows.withColumn("_place", place).join(sizes, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_u", "_range", "_place", "_before")
 
 
-def resampled(df: DataFrame, keys: list[str], unit: str, n: int, seed: int = 0) -> DataFrame:
-    """(keys, bootstrap, draw, unit): as many draws with replacement from each group's units as it has, n times."""
+#: Units that one task puts in order; more are ranked by ranges.
+LOT = 50_000
+
+
+def places(df: DataFrame, keys: list[str], unit: str, lot: int = LOT) -> tuple[DataFrame, int]:
+    """(keys, unit, _p, _n): each group's different units numbered from 0 in their order, and how many it has; and the number of rows.
+
+    More units than ``lot`` are ranked within ranges of the unit, and the ranges' sizes are added up.  Bounds
+    are some of the units, picked by hash; they only say which task ranks a unit.
+    """
     units = df.select(*keys, unit).distinct()
-    w = Window.partitionBy(*keys)
-    placed = units.withColumn("_p", F.row_number().over(w.orderBy(unit)) - 1).withColumn("_n", F.count("*").over(w))
+    n, w = units.count(), Window.partitionBy(*keys)
+    if n <= lot:
+        return units.withColumn("_p", F.row_number().over(w.orderBy(unit)) - 1).withColumn("_n", F.count("*").over(w)), n
+    some = units.select(unit).where(F.col(unit).isNotNull() & (F.pmod(F.xxhash64(unit), F.lit(max(1, n // max(4096, 20 * n // lot)))) == 0)).distinct()
+    seen = [r[0] for r in some.orderBy(unit).collect()]  # 20 a range
+    step = max(1, len(seen) * lot // n)
+    bounds = seen[step::step]
+    rows = units.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(unit))) if bounds else F.lit(0))
+    sizes = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_range", before.alias("_before"), F.sum("_size").over(w).alias("_n"))  # the ranges of a group
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(unit)) - 1
+    ranked = rows.repartition(len(bounds) + 1, *keys, "_range").withColumn("_i", inside).join(sizes, [*keys, "_range"])
+    return ranked.select(*keys, unit, (F.col("_before") + F.col("_i")).cast("int").alias("_p"), "_n"), n
+
+
+def picks(placed: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """(keys, bootstrap, draw, _p): the places that n bootstraps of as many draws as there are units take."""
     draws = placed.select(*keys, F.col("_p").alias("draw"), "_n").withColumn("bootstrap", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pick = F.floor(uniform(seed, *map(F.col, keys), F.col("bootstrap"), F.col("draw")) * F.col("_n")).cast("int")
-    return draws.select(*keys, "bootstrap", "draw", pick.alias("_p")).join(placed.drop("_n"), [*keys, "_p"]).drop("_p")
+    return draws.select(*keys, "bootstrap", "draw", pick.alias("_p"))
+
+
+def resampled(df: DataFrame, keys: list[str], unit: str, n: int, seed: int = 0) -> DataFrame:
+    """(keys, bootstrap, draw, unit): as many draws with replacement from each group's units as it has, n times."""
+    placed, _ = places(df, keys, unit)
+    return picks(placed, keys, n, seed).join(placed.drop("_n"), [*keys, "_p"]).drop("_p")
 
 
 def bootstrapped(df: DataFrame, keys: list[str], unit: str, metric: Column, n: int = 1000, seed: int = 0, name: str = "metric") -> DataFrame:

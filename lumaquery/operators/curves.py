@@ -9,16 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bootstrap import resampled
+from .bootstrap import picks, places
 
 CHUNK = 50
+#: Draws that one task counts.
+DRAWS = 1_000_000
 
 
 def replicate_weights(df: DataFrame, unit: str, n: int, seed: int = 0) -> DataFrame:
     """(unit, bootstraps, counts): which of n bootstraps draw a unit, and how often; the draws are those of ``resampled``."""
-    drawn = resampled(df, [], unit, n, seed).groupBy(unit, "bootstrap").agg(F.count("*").cast("double").alias("_k"))
+    placed, units = places(df, [], unit)
+    # one exchange by place: a place's draws are counted and packed in the same task, without their unit
+    drawn = picks(placed, [], n, seed).select("_p", "bootstrap").repartition(-(-max(1, units * n) // DRAWS), "_p")
+    counts = drawn.groupBy("_p", "bootstrap").agg(F.count("*").cast("double").alias("_k"))
     pairs = F.collect_list(F.struct(F.col("bootstrap").cast("int").alias("b"), "_k"))  # at most n of a unit
-    return drawn.groupBy(unit).agg(pairs.alias("_p")).select(unit, F.col("_p.b").alias("bootstraps"), F.col("_p._k").alias("counts"))
+    packed = counts.groupBy("_p").agg(pairs.alias("_c"))
+    return packed.join(placed.select(unit, "_p"), "_p").select(unit, F.col("_c.b").alias("bootstraps"), F.col("_c._k").alias("counts"))
 
 
 def _summed(width: int, bins: int):

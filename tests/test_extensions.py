@@ -140,3 +140,14 @@ def test_lightness(spark):
     got = {(r.r, r.g, r.b): r for r in df.select("*", cells.lightness(F.col("r"), F.col("g"), F.col("b")).alias("l"), cells.specular(F.col("r"), F.col("g"), F.col("b"), 85).alias("s")).collect()}
     assert all(got[k].l == pytest.approx(v, abs=0.02) for k, v in colours.items())
     assert {k for k in got if got[k].s} == {(255, 255, 255), (0, 255, 0)}
+
+
+def test_units_are_numbered_by_ranges(spark):
+    """More units than a lot used to be numbered in one task; ranges give the same numbers."""
+    for make, kind in ((lambda i: i * 7 % 3001, "long"), (lambda i: f"s{i * 7 % 3001}", "string")):
+        df = spark.createDataFrame([("uv"[i % 3 == 0], make(i)) for i in range(3000)] * 2 + [("u", None)], f"g string, unit {kind}")
+        for keys in ([], ["g"]):
+            (small, _), (large, n) = bootstrap.places(df, keys, "unit"), bootstrap.places(df, keys, "unit", lot=400)
+            columns = [*keys, "unit", "_p", "_n"]
+            assert sorted(map(str, small.select(columns).collect())) == sorted(map(str, large.select(columns).collect())) and n == small.count()
+            assert "_range" in large._jdf.queryExecution().optimizedPlan().toString() and "_range" not in small._jdf.queryExecution().optimizedPlan().toString()
