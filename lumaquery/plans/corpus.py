@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dialect import sql
-from ..session import tables
+from ..session import dealt, tables
 
 STATS = """
 WITH df AS (
@@ -23,10 +23,15 @@ WITH df AS (
 """
 
 
+def orders_of(lines: DataFrame, orders: DataFrame, n: int) -> DataFrame:
+    """Line items with their orders, dealt by order: what groups by order and more needs no other exchange."""
+    return dealt(lines, n, "l_orderkey").join(dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an (image, label)."""
     t = tables(spark, sf_dir, "lineitem", "orders", "part")
-    rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    rows = orders_of(t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")), t["orders"], t["lineitem"].count())
     keys = [F.col("o_orderkey").alias("image_name"), F.col("o_custkey").alias("subject_name"), F.col("p_type").alias("label_name"), F.col("o_orderstatus").alias("_s")]
     out = rows.groupBy(*keys).agg(F.date_format(F.min("o_orderdate"), "yyyy_MM_dd_HH_mm_ss").alias("timestamp"), F.sum("l_quantity").cast("long").alias("n_pixels"), F.avg("l_discount").alias("dice"))
     return out.select("image_name", "subject_name", "timestamp", "label_name", (F.col("_s") == "F").alias("is_test"), F.when(F.col("_s") != "P", F.col("_s")).alias("set_type"), "n_pixels", "dice")

@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import surfaces as D
 from ..sources import tables as T
 from ..session import tables
+from .corpus import orders_of
 
 _E = "WITH e AS (SELECT vec_id, label, i - 1 AS idx, CAST(embedding[i] AS DOUBLE) AS x, len(embedding) AS n FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i))"
 
@@ -75,7 +76,7 @@ def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result table with folds (return flags) and epochs (line numbers): one row an image and epoch, arrays by label."""
     t = tables(spark, sf_dir, "lineitem", "orders", "part")
-    rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    rows = orders_of(t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")), t["orders"], t["lineitem"].count())
     keys = [F.col("l_returnflag").alias("fold_name"), F.pmod("l_linenumber", F.lit(3)).alias("epoch_index"), F.col("o_custkey").alias("subject_name"), F.col("o_orderkey").alias("image_name")]
     one = rows.groupBy(*keys, F.col("p_type").alias("used_labels")).agg(F.avg(F.round(F.col("l_discount") * 100)).alias("dice"))
     best = F.when(F.col("fold_name") == "A", 0).when(F.col("fold_name") == "N", 1).otherwise(2)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import metrics as M
 from ..session import tables
+from .corpus import orders_of
 
 _IMAGES = """
 WITH rows AS (
@@ -22,7 +23,9 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an image with parallel arrays of labels and metrics, in whole per cent: a rounded mean of
     means of whole numbers depends on the order of summation only in rare ties of the last digit."""
     t = tables(spark, sf_dir, "lineitem", "orders", "customer", "part")
-    rows = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    # customers meet their orders first, so line items are dealt once
+    orders = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    rows = orders_of(t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")), orders, t["lineitem"].count())
     one = rows.groupBy(F.col("c_nationkey").alias("domain"), F.col("o_custkey").alias("subject_name"), F.col("o_orderkey").alias("image_name"), F.col("p_type").alias("used_labels")).agg(F.avg(F.round(F.col("l_discount") * 100)).alias("dice"))
     return A.implode(one, ["domain", "subject_name", "image_name"], "used_labels", ["used_labels", "dice"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "lumaquery", **config: str) -> SparkSession:
@@ -22,3 +22,12 @@ def session(app: str = "lumaquery", **config: str) -> SparkSession:
 def tables(spark: SparkSession, directory: str, *names: str) -> dict:
     """Parquet tables of a folder by name."""
     return {n: spark.read.parquet(f"{directory}/{n}.parquet") for n in names}
+
+
+#: Rows of a table that one task joins and groups.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The table by keys, in as many parts as n rows (of the larger table that it meets) need: a task's memory doesn't grow with the input."""
+    return df.repartition(max(1, -(-n // TASK_ROWS)), *keys)

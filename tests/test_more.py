@@ -217,3 +217,13 @@ def test_erased_region(spark):
     gone = {r.region for r in out if r.label == R.INVALID}
     assert len(gone) == 1 and all((r.value == 0) == (r.region in gone) for r in out)
     assert all(r.label == 1 for r in R.erase_region(cells, "image", "region", p=0.0).collect())
+
+
+def test_parts_follow_the_rows(spark, sf_dir, monkeypatch):
+    """Annotation tables were grouped in as few tasks as the exchange's bytes filled, whatever their rows."""
+    from lumaquery import session
+    from lumaquery.plans import corpus, details, hierarchy
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    for table in (corpus.stats, hierarchy.images, details._folded):
+        assert table(spark, sf_dir).rdd.getNumPartitions() >= 12  # of some 6000 line items
