@@ -7,22 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .bootstrap import uniform
 
 
 def repeated_keys(df: DataFrame, keys: list[str], name: str = "repeated key") -> DataFrame:
-    return _violations(df.groupBy(*keys).count().where("count > 1"), keys, name)
+    rows = dealt(df.select(*keys), df.count(), *keys)
+    return _violations(rows.groupBy(*keys).count().where("count > 1"), keys, name)
 
 
 def missing_keys(df: DataFrame, reference: DataFrame, keys: list[str], name: str = "missing key") -> DataFrame:
     """Keys of ``df`` that the reference lacks."""
-    return _violations(df.select(*keys).distinct().join(reference, keys, "left_anti"), keys, name)
+    n = max(df.count(), reference.count())
+    return _violations(dealt(df.select(*keys), n, *keys).distinct().join(dealt(reference.select(*keys), n, *keys), keys, "left_anti"), keys, name)
 
 
 def shared_keys(parts: dict[str, DataFrame], keys: list[str], name: str = "key in several parts") -> DataFrame:
     """Keys that are in more than one part."""
-    rows = reduce(DataFrame.unionByName, [d.select(*keys).distinct().withColumn("_part", F.lit(p)) for p, d in parts.items()])
-    return _violations(rows.groupBy(*keys).count().where("count > 1"), keys, name)
+    rows = reduce(DataFrame.unionByName, [d.select(*keys).withColumn("_part", F.lit(p)) for p, d in parts.items()])
+    once = dealt(rows, rows.count(), *keys).distinct()
+    return _violations(once.groupBy(*keys).count().where("count > 1"), keys, name)
 
 
 def unequal_counts(df: DataFrame, keys: list[str], name: str = "unequal counts") -> DataFrame:

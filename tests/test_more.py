@@ -227,3 +227,14 @@ def test_parts_follow_the_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 500)
     for table in (corpus.stats, hierarchy.images, details._folded):
         assert table(spark, sf_dir).rdd.getNumPartitions() >= 12  # of some 6000 line items
+
+
+def test_checks_of_many_keys_are_dealt(spark, monkeypatch):
+    from lumaquery import session
+    from lumaquery.operators import checks
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    df = spark.range(3000).select((F.col("id") % 2990).alias("k"))
+    few, other = df.where("k < 2000"), spark.range(1995, 4000).select(F.col("id").alias("k"))
+    for found, n in ((checks.repeated_keys(df, ["k"]), 10), (checks.missing_keys(few, other, ["k"]), 1995), (checks.shared_keys({"a": few, "b": other}, ["k"]), 5)):
+        assert found.count() == n and found.rdd.getNumPartitions() >= 5
