@@ -165,11 +165,25 @@ def untiled(tiled: DataFrame, height: int, width: int, rows: int, cols: int) ->
     return out.where((F.col("row") < rows) & (F.col("col") < cols)).drop("tile_row", "tile_col", "in_row", "in_col")
 
 
-def pairs_by_label(df: DataFrame, label: str, first: Column, second: Column, image: str) -> DataFrame:
-    """Images of two conditions that share a label."""
-    a = df.where(first).select(label, F.col(image).alias("first"))
-    b = df.where(second).select(label, F.col(image).alias("second"))
-    return a.join(b, label)
+#: Rows of a block of pairs; a task makes some BLOCK * BLOCK pairs of a label.
+BLOCK = 2000
+
+
+def pairs_by_label(df: DataFrame, label: str, first: Column, second: Column, image: str, block: int = BLOCK) -> DataFrame:
+    """Images of two conditions that share a label.
+
+    The result grows with the square of a label's rows, so both sides are dealt into blocks by hash, and a
+    pair of blocks is one key of the join: no task makes all pairs of a label.
+    """
+    sizes = df.groupBy(label).agg(F.count_if(first).alias("_a"), F.count_if(second).alias("_b"))
+    blocks = sizes.where("_a > 0 and _b > 0").select(label, *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("_a", "_b")])
+    parts = blocks.agg(F.sum(F.col("_a").cast("long") * F.col("_b"))).first()[0] or 1
+    own = lambda n: F.pmod(F.xxhash64(image), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = df.where(first).join(blocks, label).select(label, F.col(image).alias("first"), own("_a").alias("_i"), every("_b").alias("_j"))
+    b = df.where(second).join(blocks, label).select(label, F.col(image).alias("second"), own("_b").alias("_j"), every("_a").alias("_i"))
+    keys = [label, "_i", "_j"]
+    return a.repartition(parts, *keys).join(b.repartition(parts, *keys), keys).select(label, "first", "second")
 
 
 def oversaturated(spectrum: Column, limit: float = 1.0) -> Column:

@@ -238,3 +238,16 @@ def test_checks_of_many_keys_are_dealt(spark, monkeypatch):
     few, other = df.where("k < 2000"), spark.range(1995, 4000).select(F.col("id").alias("k"))
     for found, n in ((checks.repeated_keys(df, ["k"]), 10), (checks.missing_keys(few, other, ["k"]), 1995), (checks.shared_keys({"a": few, "b": other}, ["k"]), 5)):
         assert found.count() == n and found.rdd.getNumPartitions() >= 5
+
+
+def test_pairs_of_one_label_are_made_by_blocks(spark):
+    """All pairs of a label were made in one task."""
+    from lumaquery.operators import cells
+
+    rows = spark.range(600).select(F.when(F.col("id") % 100 == 7, None).when(F.col("id") < 500, "a").otherwise("b").alias("l"), (F.col("id") % 3).alias("c"), F.col("id").alias("i"))
+    whole = cells.pairs_by_label(rows, "l", F.col("c") == 0, F.col("c") == 1, "i")
+    got = cells.pairs_by_label(rows, "l", F.col("c") == 0, F.col("c") == 1, "i", block=20)
+    known = [(r.l, r.c, r.i) for r in rows.collect() if r.l]
+    want = sorted((a[0], a[2], b[2]) for a in known for b in known if a[0] == b[0] and a[1] == 0 and b[1] == 1)
+    assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, whole.collect()))
+    assert max(r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < len(want) / 4
