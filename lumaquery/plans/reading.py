@@ -9,7 +9,7 @@ from ..functions import keys as K
 from ..functions.labels import LabelMapping, by_given_order, domain_index, order_key, remap
 from ..operators import checks as C
 from ..operators import joins as J
-from ..session import tables
+from ..session import dealt, tables
 from ..sources.tables import basic_statistics, median_table, union_tables
 from .corpus import STATS, stats
 
@@ -85,7 +85,8 @@ def median_table_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = stats(spark, sf_dir).where("is_test").select(F.col("image_name").cast("string").alias("image_name"), F.lit("test").alias("split_name"))
-    out = basic_statistics(_median(spark, sf_dir), spec, MAPPING)
+    n = _t(spark, sf_dir, "lineitem")["lineitem"].count()
+    out = basic_statistics(dealt(_median(spark, sf_dir), n, "image_name"), dealt(spec, n, "image_name"), MAPPING)
     return out.groupBy("set_type", "label_index", F.col("label_valid").cast("int").alias("label_valid")).agg(F.sum("n_pixels").alias("n_pixels"), F.count("*").alias("n"))
 
 
