@@ -173,12 +173,16 @@ def permuted(cells: DataFrame, order: DataFrame) -> DataFrame:
 
 def neighbour_shares(counts: DataFrame, subject: str, image: str) -> DataFrame:
     """Shares of touching labels: an image's rows in per cent, their mean over a subject's images that have the row, then over subjects likewise."""
-    total = F.sum("n").over(Window.partitionBy(image, "of"))
-    share = counts.withColumn("share", 100 * F.col("n") / total)
-    images = share.select(subject, image, "of").distinct().groupBy(subject, "of").agg(F.count("*").alias("_images"))
-    by_subject = share.groupBy(subject, "of", "label").agg(F.sum("share").alias("_s")).join(images, [subject, "of"]).withColumn("share", F.col("_s") / F.col("_images"))
-    subjects = images.groupBy("of").agg(F.count("*").alias("_subjects"))
-    return by_subject.groupBy("of", "label").agg(F.sum("share").alias("_s")).join(subjects, "of").select("of", "label", (F.col("_s") / F.col("_subjects")).alias("share"))
+    one, of_subject = Window.partitionBy(image, "of"), Window.partitionBy(subject, "of")
+    first = lambda *by: (F.row_number().over(Window.partitionBy(*by).orderBy("label")) == 1).cast("long")
+    # images and subjects are counted by their first rows, so the table of counts is read once
+    share = counts.where(F.col("of").isNotNull()).withColumn("share", 100 * F.col("n") / F.sum("n").over(one)).withColumn("_image", first(subject, image, "of"))
+    by_subject = share.groupBy(subject, "of", "label").agg(F.sum("share").alias("_s"), F.sum("_image").alias("_i"))
+    by_subject = by_subject.withColumn("share", F.col("_s") / F.sum("_i").over(of_subject)).withColumn("_subject", first(subject, "of"))
+    known = F.when(F.col(subject).isNotNull(), F.col("share"))
+    out = by_subject.groupBy("of", "label").agg(F.sum(known).alias("_s"), F.sum("_subject").alias("_k"))
+    subjects = F.sum("_k").over(Window.partitionBy("of"))  # a row a pair of labels
+    return out.withColumn("share", F.col("_s") / subjects).where(F.col("_s").isNotNull()).select("of", "label", "share")
 
 
 def repeated_transform(df: DataFrame, transform, epochs: int, keys: list[str], spectrum: str) -> DataFrame:

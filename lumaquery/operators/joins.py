@@ -80,10 +80,15 @@ def version(df: DataFrame, changes: DataFrame, at: str, key: str, change: str, b
 
 def neighbours(cells: DataFrame, keys: list[str], row: str = "row", col: str = "col", label: str = "label") -> DataFrame:
     """For every label, how many cells of each other label touch it (eight neighbours, each cell counted once)."""
-    steps = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    moved = cells.select(*keys, F.col(label).alias("of"), F.explode(steps).alias("s"), row, col)
-    moved = moved.select(*keys, "of", (F.col(row) + F.col("s.r")).alias(row), (F.col(col) + F.col("s.c")).alias(col)).distinct()
-    return moved.join(cells, [*keys, row, col]).where(F.col("of") != F.col(label)).groupBy(*keys, "of", label).agg(F.count("*").alias("n"))
+    steps = F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    known = cells.where(" and ".join(f"`{c}` is not null" for c in [*keys, row, col, label]))
+    moved = known.select(*keys, F.col(label).alias("_l"), F.explode(steps).alias("s"), row, col)
+    own = (F.col("s.r") == 0) & (F.col("s.c") == 0)
+    moved = moved.select(*keys, F.when(~own, F.col("_l")).alias("_of"), F.when(own, F.col("_l")).alias("_own"), (F.col(row) + F.col("s.r")).alias(row), (F.col(col) + F.col("s.c")).alias(col))
+    # a place's own label and those of its neighbours meet by grouping, which, unlike a join, keeps a table dealt by its keys where it is
+    places = moved.groupBy(*keys, row, col).agg(F.collect_set("_of").alias("_of"), F.collect_list("_own").alias("_own"))
+    pairs = places.where(F.size("_own") > 0).select(*keys, "_of", F.explode("_own").alias(label)).select(*keys, F.explode("_of").alias("of"), label)
+    return pairs.where(F.col("of") != F.col(label)).groupBy(*keys, "of", label).agg(F.count("*").alias("n"))
 
 
 def least_distance(tests: DataFrame, training: DataFrame, key: str, vector: str, block: int = 20_000) -> DataFrame:

@@ -164,7 +164,9 @@ def version_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem")["lineitem"]
-    cells = li.groupBy(F.col("l_suppkey").alias("image"), F.pmod("l_orderkey", F.lit(25)).cast("int").alias("row"), F.pmod("l_partkey", F.lit(25)).cast("int").alias("col")).agg(F.min("l_linenumber").alias("label"))
+    lines = li.select(F.col("l_suppkey").alias("image"), F.pmod("l_orderkey", F.lit(25)).cast("int").alias("row"), F.pmod("l_partkey", F.lit(25)).cast("int").alias("col"), "l_linenumber")
+    # an image has 625 cells at most, so it stays in one task, and what follows needs no other exchange; a cell has up to eight moved copies
+    cells = dealt(lines, 4 * li.count(), "image").groupBy("image", "row", "col").agg(F.min("l_linenumber").alias("label"))
     return J.neighbours(cells, ["image"])
 
 

@@ -251,3 +251,11 @@ def test_pairs_of_one_label_are_made_by_blocks(spark):
     want = sorted((a[0], a[2], b[2]) for a in known for b in known if a[0] == b[0] and a[1] == 0 and b[1] == 1)
     assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, whole.collect()))
     assert max(r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < len(want) / 4
+
+
+def test_neighbours_need_one_exchange(spark, sf_dir):
+    """Moved cells, the join with the cells and their grouping each had an exchange of their own."""
+    from lumaquery.plans import reading
+
+    plan = reading.neighbour_matrix(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
