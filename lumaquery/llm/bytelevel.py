@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of texts that are split and encoded at a time.
 BLOCK_CHARS = 3_000_000
-#: Words that a worker keeps with their ids; the cache starts anew beyond it.
+#: Words that a worker keeps with their ids; beyond it, the half that was met last stays.
 CACHE_WORDS = 400_000
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -52,11 +53,6 @@ def byte_chars() -> tuple[list[str], dict[str, int]]:
     return chars, {c: b for b, c in enumerate(chars)}
 
 
-@functools.cache
-def latin_table() -> dict[int, str]:
-    return dict(enumerate(byte_chars()[0]))
-
-
 class Vocabulary:
     """A byte-level BPE vocabulary file: tokens, merges and special tokens."""
 
@@ -168,20 +164,36 @@ class WordEncoder:
     def _reset(self) -> None:
         self.slot: dict[str, int] = {}
         self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        #: the call that met each word last
+        self.last, self.calls = np.zeros(0, np.int64), 0
+
+    def _forget(self) -> None:
+        """Leaves the words that were met last, at most half of them."""
+        stay = np.flatnonzero(self.last > np.partition(self.last, len(self.last) // 2)[len(self.last) // 2])
+        words = list(self.slot)
+        self.slot = {words[k]: n for n, k in enumerate(stay.tolist())}
+        self.flat, sizes = self._gather(stay)
+        self.offsets, self.last = np.concatenate([[0], np.cumsum(sizes)]), self.last[stay]
 
     def _slots(self, words: list[str]) -> np.ndarray:
         """Index of each word's ids, of words new to the cache as well."""
         if len(self.slot) > CACHE_WORDS:
-            self._reset()
-        new = [w for w in dict.fromkeys(words) if w not in self.slot]
-        if new:
-            ids = self.encode_words(new)
-            ids, sizes = ids
+            self._forget()
+        self.calls += 1
+        found = np.fromiter(map(self.slot.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            absent = [words[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(absent))
+            ids, sizes = self.encode_words(new)
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, ids])
             base = len(self.slot)
             self.slot.update(zip(new, range(base, base + len(new)), strict=True))
-        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+            self.last = np.append(self.last, np.zeros(len(new), np.int64))
+            found[missing] = np.arange(base, base + len(new)) if len(new) == len(absent) else np.fromiter(map(self.slot.__getitem__, absent), np.int64, len(absent))
+        self.last[found] = self.calls
+        return found
 
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a sequence of words, and the number of ids of each word."""
@@ -269,15 +281,14 @@ def library_encoder(path: str) -> WordEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model, table = tokenizer.model, latin_table()
+        model, table = tokenizer.model, np.array([*map(ord, byte_chars()[0])], "<u2")
+        table[0xFF] = 10  # no byte of UTF-8, so it parts the words
 
         def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ids: list[int] = []
             sizes = []
-            chars = "\n".join(words).encode().decode("latin-1").translate({**table, 10: "\n"}).split("\n")
-            if len(chars) != len(words):  # words of line ends
-                chars = [w.encode().decode("latin-1").translate(table) for w in words]
-            for w in chars:
+            raw = np.frombuffer("\udcff".join(words).encode("utf-8", "surrogateescape"), np.uint8)
+            for w in table[raw].tobytes().decode("utf-16-le").split("\n"):
                 tokens = model.tokenize(w)
                 ids.extend([t.id for t in tokens])
                 sizes.append(len(tokens))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytelevel import BLOCK_CHARS, library_encoder
+from .bytelevel import BLOCK_CHARS, library_encoder, vocabulary
 from .common import Scratch, column_texts, mix, portions, text_column
 
 WINDOW = 2048
@@ -34,6 +34,8 @@ WINDOW = 2048
 SHARD_IDS = 3_000_000
 #: Terms that more than this share of a shard's documents have are kept as whole rows of weights.
 DENSE = 0.25
+#: Used documents leave a shard's postings when this share of those left in has been used.
+DROP = 0.1
 #: MinHash values by which documents are dealt.
 KEYS = 3
 K1, B = 1.2, 0.75
@@ -94,14 +96,26 @@ class Index:
         at = at[np.argsort(self.doc[at], kind="stable")]
         return code[at], np.searchsorted(self.doc[at], np.arange(self.n + 1))
 
-    def nearest(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first; every distinct term of the seed counts once."""
+    def drop(self, used: np.ndarray) -> None:
+        """Takes used documents out of the postings; the scores of the others stay as they are."""
+        stays = ~used[self.doc]
+        place = np.concatenate([[0], np.cumsum(stays)])
+        self.begin, self.end = place[self.begin], place[self.end]
+        self.doc, self.weight = self.doc[stays], self.weight[stays]
+
+    def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """The score of each document, 0 for used ones and those that share no term with the seed; every distinct term of the seed counts once."""
         few, many = (terms[begin[seed] : begin[seed + 1]] for terms, begin in (self.few, self.many))
         begin, size = self.begin[few], (self.end - self.begin)[few]
         take = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         score = np.bincount(self.doc[take], self.weight[take], minlength=self.n)
         score = score + self.rows[self.row[many]].sum(axis=0)
         score[used] = 0
+        return score
+
+    def nearest(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with the seed, best first."""
+        score = self.scores(seed, used)
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -121,7 +135,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
     if used.all():
         return out
     index, waiting, seed = Index(docs, corpus), iter(np.flatnonzero(~used).tolist()), -1
-    room, held = window, []
+    room, held, dropped = window, [], 0
 
     def place(d: int, n: int) -> None:
         nonlocal room
@@ -141,17 +155,24 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
         if not used[at]:
             seed = at  # its rest opens the next window
         if room:
-            near = index.nearest(at, used)
-            sizes = left[near].tolist()
-            for d, n in zip(near.tolist(), sizes, strict=True):
+            gone = int(used.sum())
+            if gone - dropped > DROP * (len(docs) - dropped):
+                index.drop(used)
+                dropped = gone
+            score = index.scores(at, used)
+            # only what may fit is put in order
+            fit = np.flatnonzero((score > 0) & (left <= room))
+            fit = fit[np.argsort(-score[fit], kind="stable")]
+            for d, n in zip(fit.tolist(), left[fit].tolist(), strict=True):
                 if n <= room:
                     place(d, n)
+                    score[d] = 0
                     if not room:
                         break
             if room:
-                over = near[~used[near]]
-                if len(over):
-                    seed = int(over[0])
+                best = int(score.argmax())
+                if score[best] > 0:
+                    seed = best
                     place(seed, room)
                 else:
                     seed = next((d for d in waiting if not used[d]), -1)
@@ -198,17 +219,25 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "d
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's ids; the task's last row holds its document frequencies instead."""
-        enc, end, names = library_encoder(path), np.array([end_id], np.uint32), ["doc_id", "ids", "terms"]
-        df, n, total = np.zeros(1, np.int64), 0, 0
+        enc, end, names = library_encoder(path), np.array([end_id], "<u4"), ["doc_id", "ids", "terms"]
+        df, n, total = np.zeros(max(vocabulary(path).size, end_id + 1), np.int64), 0, 0
+        last = np.zeros(len(df), np.int64)
         for b in portions(batches, "text", 2 * BLOCK_CHARS):
-            ids = [np.append(x, end).astype("<u4") for x in enc.encode(column_texts(b, "text"))]
-            for x in ids:
-                terms = np.unique(x)
-                if terms[-1] >= len(df):
-                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
-                df[terms] += 1
-            n, total = n + len(ids), total + sum(map(len, ids))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+            ids = [y for x in enc.encode(column_texts(b, "text")) for y in (x, end)]
+            ends = np.cumsum([len(x) for x in ids])[1::2]
+            flat = np.concatenate(ids).astype("<u4", copy=False)
+            place = np.arange(len(flat))
+            begin = 0
+            for until in ends.tolist():
+                # a term counts where it stands last in the document
+                x, at = flat[begin:until], place[begin:until]
+                last[x] = at
+                df[x[last[x] == at]] += 1
+                begin = until
+            n, total = n + len(ends), total + len(flat)
+            offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), column, pa.nulls(len(ends), pa.binary())], names=names)
         terms = np.flatnonzero(df)
         counts = np.stack([np.append(terms, [DOCS, IDS]), np.append(df[terms], [n, total])])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)

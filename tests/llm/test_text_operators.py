@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumaquery.llm import bpe, lm, packing, queries, simhash, tokenids
+from lumaquery.llm import bpe, bytelevel, lm, packing, queries, simhash, tokenids
 from lumaquery.llm.common import HashTable, Scratch
 from lumaquery.llm.mph import PerfectHash
 
@@ -424,3 +424,44 @@ def test_scratch_is_cleared(spark, docs):
     assert any(os.path.isdir(x) for x in folders)
     common.clear_scratch(spark)
     assert not any(os.path.isdir(x) for x in folders)
+
+
+def test_cache_leaves_the_words_met_last(monkeypatch):
+    """The cache began anew whenever it was full, so frequent words were encoded again and again."""
+    monkeypatch.setattr(bytelevel, "CACHE_WORDS", 40)
+    tok, made = Tokenizer.from_file(PATH), []
+
+    def encode_words(words):
+        made.extend(words)
+        ids = [tok.encode(w, add_special_tokens=False).ids for w in words]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids])
+
+    enc = bytelevel.WordEncoder(bytelevel.vocabulary(PATH), encode_words)
+    texts = [" the same few words" + "".join(f" w{'abcdefghij'[k % 10]}{'xyzuvw'[k % 6]}{'klmnop'[n % 6]}q{chr(97 + n)}" for k in range(7)) for n in range(26)]
+    for t in texts:
+        assert next(enc.encode([t])).tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(enc.slot) <= 40 + 11
+    assert Counter(made)[" same"] == 1 and len(made) > 120
+
+
+def test_words_of_line_ends_and_last_bytes():
+    """Ids by the library for words that hold line ends or the highest code points, all in one block."""
+    words = ["a", "\n", " \n", "\n\n\n", "ÿ", " ÿÿ", "\U0010ffff", "é\n", " word"]
+    tok = Tokenizer.from_file(PATH)
+    ids, sizes = bytelevel.library_encoder(PATH).encode_words(words)
+    want = [[t.id for t in tok.model.tokenize("".join(bytelevel.byte_chars()[0][b] for b in w.encode()))] for w in words]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_used_documents_leave_the_postings():
+    """A shard's postings kept every used document, and all neighbours were put in order for every window."""
+    rng = np.random.default_rng(11)
+    docs = [rng.choice(300, int(k)).astype(np.uint32) for k in rng.integers(5, 400, 120)]
+    index, plain = packing.Index(docs), packing.Index(docs)
+    used = rng.random(120) < 0.5
+    held = len(index.doc)
+    index.drop(used)
+    assert len(index.doc) < held and not used[index.doc].any()
+    for seed in range(0, 120, 7):
+        assert (index.scores(seed, used) == plain.scores(seed, used)).all()
+        assert (index.nearest(seed, used) == plain.nearest(seed, used)).all()
