@@ -135,12 +135,21 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class HashTable:
-    """Positions of 64-bit keys, looked up many at a time (open addressing)."""
+    """Positions of 64-bit keys, looked up many at a time (open addressing).
+
+    The slots are laid out at the first look-up and never sent: where tables are only
+    passed on, as on the driver, there are just the keys."""
 
     def __init__(self, keys: np.ndarray):
         self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length() + 1)
+        self.keys, self.slots = keys, None
+
+    def __reduce__(self):
+        return HashTable, (self.keys,)
+
+    def _lay_out(self) -> None:
+        keys = self.keys
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys = keys
         todo, probe = np.arange(len(keys), dtype=np.int32), 0
         while len(todo):
             at = self._at(keys[todo], probe)
@@ -159,6 +168,8 @@ class HashTable:
         found = np.full(len(keys), -1, np.int64)
         if not len(self.keys):
             return found
+        if self.slots is None:
+            self._lay_out()
         todo = np.arange(len(keys))
         for probe in range(self.probes):
             slot = self.slots[self._at(keys[todo], probe)]

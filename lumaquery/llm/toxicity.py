@@ -15,6 +15,8 @@ probability.
 
 The models are fitted on a bounded sample of labelled rows (``max_rows`` of each
 class and as many for the curve), with all their words; every text is scored whole.
+The fit is a task of an executor.  The driver gets the scorer's arrays, some 12 bytes
+a row, and broadcasts them once.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import HashTable, column_texts, factorize, portions, release_memory, text_column, words_of
@@ -154,12 +157,28 @@ def _log_ratio(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(out), out, 0.0).astype(np.float32)
 
 
+_PORTION = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("content", pa.binary())])
+
+
 class Scorer:
     """Log-likelihood ratios, toxic to ordinary, by rows and by pasts."""
 
     def __init__(self, order: int, keys: HashTable, of_key: np.ndarray, contexts: HashTable, of_context: np.ndarray):
         self.order, self.keys, self.of_key, self.contexts, self.of_context = order, keys, of_key, contexts, of_context
 
+    def portions(self) -> Iterator[pa.RecordBatch]:
+        """The arrays, ``STEP`` entries a row."""
+        for i, x in enumerate((self.keys.keys, self.of_key, self.contexts.keys, self.of_context)):
+            for at in range(0, len(x), STEP):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at], pa.int64()), pa.array([x[at : at + STEP].tobytes()], pa.binary())], schema=_PORTION)
+
+    @staticmethod
+    def joined(order: int, table: pa.Table) -> Scorer:
+        """The scorer whose ``portions`` the rows are, in any order."""
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in _PORTION.names), strict=True))
+        parts = [np.frombuffer(b"".join(x for j, _, x in rows if j == i), kind) for i, kind in enumerate((np.uint64, np.float32) * 2)]
+        return Scorer(order, HashTable(parts[0]), parts[1], HashTable(parts[2]), parts[3])
+
     def evidence(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihood ratio of each word."""
         if not words:
@@ -257,8 +276,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), *map(pa.array, n)], names=["word", "n0", "n1"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Scorer | None, Curve]:
-    """Models and curve from labelled rows where the column ``learn_from`` is true.
+def _learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scorer's portions, of the counted words of all batches; nothing without words."""
+    table = pa.Table.from_batches(batches, schema=pa.schema([("word", pa.binary()), ("n0", pa.int64()), ("n1", pa.int64())]))
+    if len(table):
+        counts = np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], axis=1)
+        yield from Models().fit(table.column("word").to_pylist(), counts).scorer().portions()
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Broadcast | None, Curve]:
+    """The scorer, broadcast, and the curve from labelled rows where the column ``learn_from`` is true.
 
     Rows are drawn by the hash of their id: at most ``max_rows`` of each class for
     the counts, and as many other rows for the curve.  A document with several
@@ -279,10 +306,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS
     rows = Scratch(spark, "toxicity").write(rows)
     counted = rows.where("part < 2").select("text", "toxic").mapInArrow(_counted, "word binary, n0 long, n1 long")
     counted = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = counted.toArrow()  # the words of 2 * max_rows texts
-    counts = np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], axis=1) if len(table) else np.zeros((0, 2), np.int64)
-    scorer = Models().fit([bytes(w) for w in table.column("word").to_pylist()], counts).scorer() if len(table) else None
-    del table, counts
+    # one task sees the words of 2 * max_rows texts at most
+    table = counted.repartition(1).mapInArrow(_learnt, "part int, place long, content binary").toArrow()
+    scorer = spark.sparkContext.broadcast(Scorer.joined(ORDER, table)) if len(table) else None
+    del table
     release_memory()
     rest = rows.where("part = 2").select("doc_id", "text", "toxic")
     seen = annotate(rest, scorer, None, raw=True).select("toxic", "_features").collect()
@@ -294,16 +321,21 @@ def key_of(docs: DataFrame, id_col: str):
     return F.col(id_col).cast("long").alias("doc_id")
 
 
-def annotate(docs: DataFrame, scorer: Scorer | None, curve: Curve | None, text_col: str = "text", raw: bool = False) -> DataFrame:
+def _sent(spark: SparkSession, scorer: Broadcast | Scorer | None) -> Broadcast:
+    """The scorer for tasks; one that is broadcast already is not sent again."""
+    return scorer if isinstance(scorer, Broadcast) else spark.sparkContext.broadcast(scorer)
+
+
+def annotate(docs: DataFrame, scorer: Broadcast | Scorer | None, curve: Curve | None, text_col: str = "text", raw: bool = False) -> DataFrame:
     """``docs`` with ``_toxicity`` (0 to 1) of every row, null and empty texts too;
     with ``raw`` the features instead, as ``_features``.  A column of that name is replaced;
     ``ordinary`` keeps all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((scorer, curve))
+    shared = _sent(docs.sparkSession, scorer)
     name = "_features" if raw else "_toxicity"
     plain = docs.drop(name)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, curve = shared.value
+        scorer = shared.value
         for b in portions(batches, text_col, BLOCK):
             x = features(scorer, column_texts(b, text_col)) if scorer else np.zeros((b.num_rows, 1 + len(STRONGEST)))
             out = pa.array(x.tolist(), pa.list_(pa.float64())) if raw else pa.array(curve(x))
@@ -313,12 +345,12 @@ def annotate(docs: DataFrame, scorer: Scorer | None, curve: Curve | None, text_c
     return plain.mapInArrow(work, f"{fields}, {name} {'array<double>' if raw else 'double'}")
 
 
-def ordinary(docs: DataFrame, scorer: Scorer | None, curve: Curve, below: float = PREDICTED_FROM, text_col: str = "text") -> DataFrame:
+def ordinary(docs: DataFrame, scorer: Broadcast | Scorer | None, curve: Curve, below: float = PREDICTED_FROM, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score under ``below``, with their own columns, whatever their names."""
-    shared = docs.sparkSession.sparkContext.broadcast((scorer, curve))
+    shared = _sent(docs.sparkSession, scorer)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, curve = shared.value
+        scorer = shared.value
         for b in portions(batches, text_col, BLOCK):
             x = features(scorer, column_texts(b, text_col)) if scorer else np.zeros((b.num_rows, 1 + len(STRONGEST)))
             yield b.filter(pa.array(curve(x) < below))

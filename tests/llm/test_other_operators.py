@@ -1,16 +1,19 @@
 """Top-k, toxicity, quality, URL filter, secrets and the pipeline against brute force."""
 
+import pickle
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumaquery.llm import quality, queries, secrets, simhash, similar, topk, toxicity, urls
+from lumaquery.llm.common import HashTable
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -85,6 +88,39 @@ def test_toxicity_odd_rows(odd, none, spark):
     assert all(0 <= r._toxicity <= 1 for r in toxicity.annotate(long, scorer, curve).select("_toxicity").collect())
 
 
+def test_toxicity_is_fitted_in_a_task_and_sent_once(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    counts = Counter()
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    known = {r.doc_id for r in labels.where("toxic in (0, 1)").collect()}
+    counted = spark.createDataFrame([(i,) for i in known], "doc_id long").where("pmod(xxhash64(doc_id, 1), 3) < 2")
+    for r in docs.join(counted, "doc_id").collect():
+        counts.update((w, int(r.doc_id in toxic)) for w in toxicity.expressions(r.text or ""))
+    words = sorted({w for w, _ in counts})
+    want = toxicity.Models().fit(words, np.array([[counts[w, 0], counts[w, 1]] for w in words])).scorer()
+
+    def refused(*_, **__):
+        raise AssertionError("this is work for a task, not for the driver")
+
+    monkeypatch.setattr(toxicity.Models, "fit", refused)
+    monkeypatch.setattr(HashTable, "_at", refused)
+    monkeypatch.setattr(toxicity, "STEP", 1000)
+    scorer, curve = toxicity.fit(docs, labels, F.lit(True))
+    got = scorer.value
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    assert toxicity.ordinary(docs, scorer, curve, 2.0).count() == docs.count()
+    for x, y in ((got.keys.keys, want.keys.keys), (got.of_key, want.of_key), (got.contexts.keys, want.contexts.keys), (got.of_context, want.of_context)):
+        assert x.dtype == y.dtype and np.array_equal(x, y)
+    assert len(pickle.dumps(got, 5)) < 12 * (len(got.of_key) + len(got.of_context)) + 2000
+
+
+def test_scorer_comes_in_portions_of_any_order(monkeypatch):
+    monkeypatch.setattr(toxicity, "STEP", 7)
+    want = toxicity.Models(4).fit([b"abab", b"abc", b"ba", b"cab"], np.array([[3, 1], [2, 0], [0, 4], [1, 1]])).scorer()
+    got = toxicity.Scorer.joined(4, pa.Table.from_batches(list(want.portions())[::-1]))
+    assert np.array_equal(got.evidence([b"abc", b"b", b"cabab"]), want.evidence([b"abc", b"b", b"cabab"]))
+
+
 def test_class_models_add_up_to_one():
     m = toxicity.Models(3).fit([b"abab", b"abc", b"ba", b"cab"], np.array([[3, 1], [2, 0], [0, 4], [1, 1]]), keep=True)
     past = b"\x02ab"
